@@ -28,6 +28,12 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding, so that exact decimal halves do not hang on the
+    order in which an engine summed them."""
+    return float(f"0.00137e-{digits}")
+
+
 def present(df: DataFrame, digits: int) -> DataFrame:
     """Comparable output: zone-free timestamps, 64-bit integers, rounded doubles."""
     cols = []
@@ -38,7 +44,7 @@ def present(df: DataFrame, digits: int) -> DataFrame:
         elif isinstance(f.dataType, T.IntegerType):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + F.lit(nudge(digits)), digits) + F.lit(0.0)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -55,7 +61,7 @@ def query(name: str, covers: str, sql: str | None = None, doubles: str = "", int
             raise ValueError(f"duplicate query {name}")
         text = None
         if sql is not None:
-            edits = [f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split()]
+            edits = [f"round({c} + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles.split()]
             edits += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
             replace = f" REPLACE ({', '.join(edits)})" if edits else ""
             text = f"SELECT *{replace} FROM (\n{ctes.compose(sql)}\n) result"
