@@ -107,6 +107,7 @@ def on_base_bars(
     frames: Sequence[str],
     values: dict[str, Column],
     carry: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Show each base bar the newest candle that was closed at its time.
 
@@ -114,18 +115,20 @@ def on_base_bars(
     `values` maps a column to the default used before any candle is closed.  A
     base bar always lies in an existing candle, so the as-of lookup becomes an
     equality on (symbol, tf, label): the visible row is the predecessor of that
-    candle, or the one before while a week's label still lies ahead.
+    candle, or the one before while a week's label still lies ahead.  `by` names
+    further series keys of the candles (a parameter set); each base bar then
+    repeats per key.
     """
-    w = W.partitionBy("symbol", "tf").orderBy("label")
+    w = W.partitionBy("symbol", "tf", *by).orderBy("label")
     previous = candles.select(
-        "symbol", "tf", "label",
+        "symbol", "tf", "label", *by,
         *[F.lag(c, 1).over(w).alias(f"__1_{c}") for c in values],
         *[F.lag(c, 2).over(w).alias(f"__2_{c}") for c in values],
     )
     base = _slotted(bars.select("symbol", "ts", *carry), frames)
     reached = F.col("label") <= F.col("ts")
     return base.join(previous, ["symbol", "tf", "label"], "left").select(
-        "symbol", "ts", "tf", *carry,
+        "symbol", "ts", "tf", *by, *carry,
         *[
             F.coalesce(F.when(reached, F.col(f"__1_{c}")).otherwise(F.col(f"__2_{c}")), d).alias(c)
             for c, d in values.items()

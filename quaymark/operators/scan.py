@@ -146,8 +146,14 @@ def affine(
     b: Column,
     out: str,
     block: Column | None = None,
+    prev: str | None = None,
 ) -> DataFrame:
-    """Add y = a*y_prev + b along each key (y before the first row is 0)."""
+    """Add y = a*y_prev + b along each key (y before the first row is 0).
+
+    `prev` names a column for y_prev.  With a `block`, every block is first
+    composed to one (a, b) step, the steps are scanned along the key, and then
+    all blocks evaluate in parallel from their entry values.
+    """
     keys, order = list(keys), list(order)
     base = df.withColumns({"__a": a.cast("double"), "__b": b.cast("double")})
     if block is None:
@@ -191,14 +197,18 @@ def affine(
             if not len(pdf):
                 continue
             flags, last = _starts(pdf, group, last)
-            ys = []
+            ys, entries = [], []
             for new, av, bv, y0 in zip(
                 flags, pdf["__a"].tolist(), pdf["__b"].tolist(), pdf["__y0"].tolist()
             ):
-                y = av * (y0 if new else y) + bv
+                if new:
+                    y = y0
+                entries.append(y)
+                y = av * y + bv
                 ys.append(y)
-            yield pdf.assign(**{"__y": ys})
+            yield pdf.assign(**{"__y": ys, "__e": entries})
 
     ordered = sorted_batches(start, group, order)
-    result = ordered.mapInPandas(evaluate, _extended(ordered, ("__y", "double")))
-    return result.select(*df.columns, F.col("__y").alias(out))
+    result = ordered.mapInPandas(evaluate, _extended(ordered, ("__y", "double"), ("__e", "double")))
+    extra = [] if prev is None else [F.col("__e").alias(prev)]
+    return result.select(*df.columns, F.col("__y").alias(out), *extra)
