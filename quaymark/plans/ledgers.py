@@ -23,12 +23,12 @@ def _balances(t: Tables):
     return ledger.balances(t.actions).select("account_id", "side", "symbol", "ts", "action_no", "delta", "balance")
 
 
-define("debt_rows", """SELECT account_id, symbol, date_trunc('hour', ts) AS ts,
+define("debt_rows", """SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY ts) AS i FROM (
+    SELECT account_id, symbol, date_trunc('hour', ts) AS ts,
         CAST(epoch(date_trunc('hour', ts)) / 3600 AS BIGINT) - 473352 AS bar,
         sum(CASE type WHEN 'borrow' THEN amount ELSE -amount END) AS delta, avg(price) AS price,
-        any_value(CASE symbol WHEN 'USDC' THEN 0.08 WHEN 'ETH' THEN 0.04 ELSE 0 END::DOUBLE) / 8760 AS r,
-        row_number() OVER (PARTITION BY account_id, symbol ORDER BY date_trunc('hour', ts)) AS i
-    FROM actions WHERE type IN ('borrow', 'repay') GROUP BY ALL""")
+        any_value(CASE symbol WHEN 'USDC' THEN 0.08 WHEN 'ETH' THEN 0.04 ELSE 0 END::DOUBLE) / 8760 AS r
+    FROM actions WHERE type IN ('borrow', 'repay') GROUP BY ALL)""")
 define("debts", """/* RECURSIVE */ SELECT account_id, symbol, ts, bar, delta, i, delta AS balance, 0.0::DOUBLE AS interest FROM debt_rows WHERE i = 1
     UNION ALL SELECT d.account_id, d.symbol, d.ts, d.bar, d.delta, d.i, b.balance * pow(1 + d.r, d.bar - b.bar) + d.delta,
         b.balance * pow(1 + d.r, d.bar - b.bar - 1) * d.r * d.price

@@ -18,9 +18,21 @@ class Query:
     name: str
     covers: str
     build: Callable[[Tables], DataFrame]
-    sql: str | None
+    body: str | None
+    doubles: tuple[str, ...]
+    ints: tuple[str, ...]
     digits: int
 
+    @property
+    def sql(self) -> str | None:
+        """The oracle text: the body with its CTEs, rounded like the Spark side."""
+        if self.body is None:
+            return None
+        edits = [f"round({c} + {nudge(self.digits)!r}::DOUBLE, {self.digits}) + 0.0 AS {c}" for c in self.doubles]
+        edits += [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints]
+        replace = f" REPLACE ({', '.join(edits)})" if edits else ""
+        return f"SELECT *{replace} FROM (\n{ctes.compose(self.body)}\n) result"
+
     def run(self, spark, root: str) -> DataFrame:
         return present(self.build(Tables(spark, root)), self.digits)
 
@@ -59,13 +71,7 @@ def query(name: str, covers: str, sql: str | None = None, doubles: str = "", int
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        text = None
-        if sql is not None:
-            edits = [f"round({c} + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles.split()]
-            edits += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
-            replace = f" REPLACE ({', '.join(edits)})" if edits else ""
-            text = f"SELECT *{replace} FROM (\n{ctes.compose(sql)}\n) result"
-        QUERIES[name] = Query(name, covers, build, text, digits)
+        QUERIES[name] = Query(name, covers, build, sql, tuple(doubles.split()), tuple(ints.split()), digits)
         return build
 
     return register
