@@ -84,8 +84,9 @@ def _matched(opps: DataFrame, book: DataFrame) -> DataFrame:
 
 
 def filled(target: Column) -> Column:
-    """Volume a level gives to a walk toward `target`."""
-    return F.least(F.col("vol"), F.greatest(F.lit(0.0), target - F.col("before")))
+    """Volume a level gives to a walk toward `target`; null without a target."""
+    left = F.greatest(F.lit(0.0), target - F.col("before"))
+    return F.when(target.isNotNull(), F.least(F.col("vol"), left))
 
 
 def executable(levels: DataFrame, fees: DataFrame, balances: DataFrame, compat_base_amount: bool = False) -> DataFrame:

@@ -104,8 +104,8 @@ def buy_and_hold_values(history: DataFrame, base_run: str, prices: DataFrame, sy
 def with_price(history: DataFrame, prices: DataFrame, symbol: str) -> DataFrame:
     """Attach the as-of price of one symbol as `sol_price`.
 
-    Prices of one symbol are few (bars); the as-of runs per run_id, to which the
-    prices are repeated by the runs' time range only.
+    All runs share the symbol as their key; the day blocks of the as-of keep that
+    one key spread over tasks.
     """
     one = prices.filter(F.col("symbol") == symbol).select("symbol", "ts", F.col("price").alias("sol_price"))
     keyed = history.withColumn("symbol", F.lit(symbol))

@@ -93,12 +93,15 @@ def tier_rank(tier: Column) -> Column:
 
 
 def against_benchmark(results: DataFrame, benchmark: DataFrame, acceptable: float = 25.0) -> DataFrame:
-    """Tracking gap, drawdown improvement, tier and its rank."""
+    """Tracking gap, drawdown improvement, tier and its rank.
+
+    Gaps are taken to nine digits, so a run that equals the benchmark has none.
+    """
     rows = results.join(F.broadcast(benchmark), "symbol")
     rows = rows.withColumns(
         {
-            "tracking_gap_pct": F.col("total_return_pct") - F.col("benchmark_return_pct"),
-            "drawdown_improvement_pct": F.col("benchmark_max_drawdown_pct") - F.col("max_drawdown_pct"),
+            "tracking_gap_pct": F.round(F.col("total_return_pct") - F.col("benchmark_return_pct"), 9),
+            "drawdown_improvement_pct": F.round(F.col("benchmark_max_drawdown_pct") - F.col("max_drawdown_pct"), 9),
         }
     )
     tier = benchmark_tier(F.col("tracking_gap_pct"), F.col("drawdown_improvement_pct"), acceptable)

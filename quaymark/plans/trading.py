@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.operators import onchain, orderbook
+from quaymark.operators import onchain, orderbook, universe
 from quaymark.plans.ctes import define
 from quaymark.plans.registry import query
 from quaymark.sources.tables import Tables
@@ -143,3 +143,55 @@ def _obligations(t: Tables):
     )
     table = onchain.reserves(decoded_reserves(t), token_list(t))
     return onchain.slot_positions(slots, table).select("account_id", "pos_no", "side", "symbol", "amount", "price")
+
+
+def _universe(t: Tables) -> DataFrame:
+    """Asset universe bound to parts: kinds, flags and references follow the key."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "exchange").when(k % 3 == 1, "pegged").otherwise("derived")
+    name = F.concat(F.lit("P"), k.cast("string"))
+    return t.raw("part").select(
+        k.alias("ordinal"), F.when(k % 40 == 0, F.lit("X")).otherwise(name).alias("key"), name.alias("symbol"), kind.alias("price_kind"),
+        (F.col("p_size") > 5).alias("can_be_collateral"), (F.col("p_size") < 45).alias("can_be_borrowed"),
+        (k % 2 == 0).alias("include_in_long_short_research"), F.when(k % 6 == 0, F.col("p_name")).alias("exchange_symbol"),
+        F.when(k % 9 == 1, "USD").alias("peg_target"), F.when(k % 4 == 0, F.col("p_brand")).alias("derived_from"),
+    )
+
+
+define("universe", """SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 40 = 0 THEN 'X' ELSE 'P' || p_partkey END AS key, 'P' || p_partkey AS symbol,
+        CASE p_partkey % 3 WHEN 0 THEN 'exchange' WHEN 1 THEN 'pegged' ELSE 'derived' END AS kind, p_size > 5 AS coll, p_size < 45 AS borrow,
+        p_partkey % 2 = 0 AS research, CASE WHEN p_partkey % 6 = 0 THEN p_name END AS exchange_symbol,
+        CASE WHEN p_partkey % 9 = 1 THEN 'USD' END AS peg, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS derived FROM part""")
+
+
+@query("research_universe", "O-P3 D3 D4", """
+    SELECT r.ordinal, r.symbol, r.kind = 'exchange' AS needs_candles, CASE WHEN r.kind = 'exchange' THEN coalesce(r.exchange_symbol, '') END AS exchange_symbol
+    FROM universe r WHERE research""")
+def _research(t: Tables):
+    table = _universe(t)
+    priced = universe.exchange_priced(table).select("ordinal", "exchange_symbol")
+    return universe.research_symbols(table).join(priced, "ordinal", "left").select(
+        "ordinal", "symbol", F.col("exchange_symbol").isNotNull().alias("needs_candles"), "exchange_symbol"
+    )
+
+
+@query("universe_violations", "O-P4 D5", """
+    WITH m AS (SELECT u.*, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = u.ordinal AND l.l_quantity > 48) AS listed FROM universe u)
+    SELECT symbol, 'symbol mismatch' AS rule FROM m WHERE key <> symbol
+    UNION ALL SELECT symbol, 'not in market' FROM m WHERE NOT listed
+    UNION ALL SELECT symbol, 'missing exchange_symbol' FROM m WHERE kind = 'exchange' AND exchange_symbol IS NULL
+    UNION ALL SELECT symbol, 'missing peg_target' FROM m WHERE kind = 'pegged' AND peg IS NULL
+    UNION ALL SELECT symbol, 'missing derived_from' FROM m WHERE kind = 'derived' AND derived IS NULL
+    UNION ALL SELECT symbol, 'not tradable both ways' FROM m WHERE research AND NOT (coll AND borrow)""")
+def _violations(t: Tables):
+    market = t.raw("lineitem").filter("l_quantity > 48").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"))
+    return universe.violations(_universe(t), market)
+
+
+@query("json_actions", "O-S3", """
+    SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CASE WHEN CAST(props->>'$.k' AS BIGINT) % 2 = 0 THEN 'borrow' ELSE 'repay' END AS type FROM events""")
+def _json(t: Tables):
+    parsed = F.from_json("props", "struct<k:bigint>")
+    return t.events.select("event_id", parsed["k"].alias("k")).withColumn(
+        "type", F.when(F.col("k") % 2 == 0, "borrow").otherwise("repay")
+    )
