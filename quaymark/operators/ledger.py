@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quaymark.functions.numeric import ratio
 from quaymark.operators.asof import backward_asof
 from quaymark.operators.risk import report_columns, signed_amount, verb_side
-from quaymark.operators.scan import affine, running, time_block
+from quaymark.operators.scan import affine, cut, floored, running, time_block
 
 ORDER = ("ts", "action_no")
 HOURS_PER_YEAR = 8760.0
@@ -33,9 +33,8 @@ def _snap(c: Column) -> Column:
 
 def balances(actions: DataFrame, block: Column | None = None) -> DataFrame:
     """Amount of each (account, side, symbol) after every action."""
-    rows = actions.withColumns({"side": verb_side(), "delta": signed_amount()}).filter("side IS NOT NULL")
     return running(
-        rows, ["account_id", "side", "symbol"], ORDER, {"balance": ("sum", F.col("delta"))},
+        signed_deltas(actions), ["account_id", "side", "symbol"], ORDER, {"balance": ("sum", F.col("delta"))},
         _day() if block is None else block,
     )
 
@@ -73,15 +72,9 @@ def staking_yield(rows: DataFrame, keys: Sequence[str], apy: Column, hours_per_b
 
 def floored_cash(flows: DataFrame, keys: Sequence[str], flow: str, out: str = "cash_reserve",
                  block: Column | None = None) -> DataFrame:
-    """Running cash that never falls below zero.
-
-    The floor lifts the path by the depth of its lowest point so far, so two
-    scans (a sum, then a minimum of sums) replace the sequential rule.
-    """
-    block = _day() if block is None else block
-    rows = running(flows, keys, ORDER, {"__s": ("sum", F.col(flow))}, block)
-    rows = running(rows, keys, ORDER, {"__m": ("min", F.col("__s"))}, block)
-    return rows.withColumn(out, _snap(F.col("__s") - F.least(F.lit(0.0), F.col("__m")))).drop("__s", "__m")
+    """Running cash that never falls below zero."""
+    rows = floored(flows, keys, ORDER, F.col(flow), "__level", block=_day() if block is None else block)
+    return rows.withColumn(out, _snap(F.col("__level"))).drop("__level")
 
 
 def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], need: str, budget: Column,
@@ -97,24 +90,17 @@ def short_ledger(trades: DataFrame, protected: float = 0.25, block: Column | Non
 
     `trades`: (account_id, symbol, ts, action_no, is_open, amount, usdc) with
     proceeds on opens and cost on covers.  The open amount is a floored running
-    sum; the cost basis is affine in its predecessor (opens add, covers scale),
-    so both scan in blocks.
+    sum; the cost basis is affine in its predecessor (opens add, covers scale).
+    Both are blocked scans, with a cut between dependent scans.
     """
     keys = ["account_id", "symbol"]
     block = _day() if block is None else block
     amount = F.col("amount")
-    rows = trades.withColumn("__x", F.when(F.col("is_open"), amount).otherwise(-amount))
-    rows = running(rows, keys, ORDER, {"__p": ("sum", F.col("__x"))}, block)
-    rows = running(rows, keys, ORDER, {"__m": ("min", F.col("__p"))}, block, exclusive=True)
-    floor = F.least(F.lit(0.0), F.col("__m"))
-    rows = rows.withColumns(
-        {
-            "__open0": _snap(F.col("__p") - F.col("__x") - floor),
-            "open_amount": _snap(F.col("__p") - F.least(floor, F.col("__p"))),
-        }
-    )
+    change = F.when(F.col("is_open"), amount).otherwise(-amount)
+    rows = floored(trades, keys, ORDER, change, "open_amount", "__open0", block)
+    rows = rows.withColumns({"open_amount": _snap(F.col("open_amount")), "__open0": _snap(F.col("__open0"))})
     covered = F.when(F.col("is_open"), 0.0).otherwise(F.least(amount, F.col("__open0")))
-    rows = rows.withColumn("covered", covered)
+    rows = cut(rows.withColumn("covered", covered))
     keep = ratio(F.col("open_amount"), F.col("__open0"), 0.0)
     rows = affine(
         rows, keys, ORDER,
@@ -131,10 +117,10 @@ def short_ledger(trades: DataFrame, protected: float = 0.25, block: Column | Non
     )
     kept = F.greatest(F.col("realized_pnl"), F.lit(0.0)) * protected
     rows = running(
-        rows, keys, ORDER,
+        cut(rows), keys, ORDER,
         {"lifetime_realized": ("sum", F.col("realized_pnl")), "protected_book": ("sum", kept)}, block,
     )
-    return rows.drop("__x", "__p", "__m", "__open0", "__cost0")
+    return rows.drop("__open0", "__cost0")
 
 
 def spendable(lifetime: Column, consumed: Column, protected: Column) -> Column:
@@ -142,17 +128,27 @@ def spendable(lifetime: Column, consumed: Column, protected: Column) -> Column:
 
 
 def perp_entries(trades: DataFrame, block: Column | None = None) -> DataFrame:
-    """Signed quantity and average entry after each trade: (…, delta_quantity, price).
+    """Signed quantity, average entry and price PnL of each trade: (…, delta_quantity, price).
 
     Adding averages, reducing keeps the entry, opening or flipping restarts it at
-    the trade price.
+    the trade price.  `pnl` is the quantity before the trade times the price move
+    since the previous one.
     """
     keys = ["account_id", "symbol"]
     block = _day() if block is None else block
     dq, price = F.col("delta_quantity"), F.col("price")
-    rows = running(trades, keys, ORDER, {"__q0": ("sum", dq)}, block, exclusive=True)
+    rows = running(
+        trades, keys, ORDER, {"__q0": ("sum", dq), "__p0": ("last", price)}, block, exclusive=True
+    )
     rows = rows.withColumn("__q0", _snap(F.col("__q0")))
-    rows = rows.withColumn("quantity", _snap(F.col("__q0") + dq))
+    rows = cut(
+        rows.withColumns(
+            {
+                "quantity": _snap(F.col("__q0") + dq),
+                "pnl": F.coalesce(F.col("__q0") * (price - F.col("__p0")), F.lit(0.0)),
+            }
+        ).drop("__p0")
+    )
     q0, q = F.col("__q0"), F.col("quantity")
     fresh = (q0 * q) <= 0
     adding = F.signum(q0) == F.signum(dq)
@@ -164,12 +160,17 @@ def perp_entries(trades: DataFrame, block: Column | None = None) -> DataFrame:
     ).drop("__q0", "__basis")
 
 
-def mark_to_market(balance_rows: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame,
+def signed_deltas(actions: DataFrame) -> DataFrame:
+    """Amount changes of each (account, side, symbol)."""
+    return actions.withColumns({"side": verb_side(), "delta": signed_amount()}).filter("side IS NOT NULL")
+
+
+def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame,
                    symbols: Sequence[str]) -> DataFrame:
     """Account report at each mark time from replayed balances and as-of prices.
 
-    `marks`: (account_id, ts).  Every mark looks up the latest balance of each
-    configured asset side, so untouched assets still count.
+    `marks`: (account_id, ts).  Each mark joins the ledger of every configured
+    asset side as a zero change, so one running sum replays and looks up at once.
     """
     slots = F.array(
         *[
@@ -178,11 +179,16 @@ def mark_to_market(balance_rows: DataFrame, marks: DataFrame, prices: DataFrame,
             for s in symbols
         ]
     )
-    grid = marks.select("account_id", "ts", F.inline(slots))
-    held = backward_asof(
-        grid, balance_rows.select("account_id", "side", "symbol", "ts", "balance"),
-        ["account_id", "side", "symbol"], ["balance"],
-    ).filter(F.col("balance").isNotNull())
+    keys = ["account_id", "side", "symbol"]
+    grid = marks.select("account_id", "ts", F.inline(slots)).select(
+        *keys, "ts", F.lit(1).alias("__mark"), F.lit(0.0).alias("delta")
+    )
+    moves = deltas.select(*keys, "ts", F.lit(0).alias("__mark"), "delta")
+    held = running(
+        moves.unionByName(grid), keys, ["ts", "__mark"],
+        {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark"))}, _day(),
+    )
+    held = cut(held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance"))
     priced = backward_asof(held, prices, ["symbol"], ["price"])
     coll = F.col("side") == "collateral"
     terms = priced.join(F.broadcast(market), "symbol").withColumn("value", F.col("balance") * F.col("price"))

@@ -53,26 +53,28 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _queue(rows: DataFrame, side: str, priority: Column, waves: int) -> DataFrame:
-    """The first positions of each account in liquidation order.
+def _queues(rows: DataFrame, waves: int) -> DataFrame:
+    """The first positions of each account and side in liquidation order.
 
-    A pass takes the first position with a positive amount and a wave can empty
-    at most one, so `waves` positions per side are all that can ever be touched:
-    an exact bound, not a cut.  The rank filter runs map-side before the shuffle.
+    Debts go by highest borrow factor, collateral by lowest threshold.  A pass
+    takes the first position with a positive amount and a wave can empty at most
+    one, so `waves` positions per side are all that can ever be touched: an exact
+    bound, not a cut.  The rank filter runs map-side before the shuffle.
     """
-    order = W.partitionBy("account_id").orderBy(priority, "pos_no")
-    ranked = (
-        rows.filter((F.col("side") == side) & (F.col("amount") > 0))
-        .withColumn("__r", F.row_number().over(order))
-        .filter(F.col("__r") <= waves)
-    )
+    debt = F.col("side") == "debt"
+    priority = F.when(debt, -F.coalesce("m_borrow_factor", F.lit(0.0))).otherwise(F.coalesce("m_threshold", F.lit(1.0)))
+    live = rows.filter(F.col("amount") > 0).withColumn("__priority", priority)
+    order = W.partitionBy("account_id", "side").orderBy("__priority", "pos_no")
+    ranked = live.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= waves)
     item = F.struct(
         "__r", "symbol", "amount", "price", "ltv", "liq_threshold", "borrow_factor",
         F.coalesce("m_threshold", F.lit(UNKNOWN["m_threshold"])).alias("threshold"),
         F.coalesce("min_bonus_bps", F.lit(UNKNOWN["min_bonus_bps"])).cast("double").alias("low"),
         F.coalesce("max_bonus_bps", F.lit(UNKNOWN["max_bonus_bps"])).cast("double").alias("high"),
     )
-    return ranked.groupBy("account_id").agg(F.sort_array(F.collect_list(item)).alias(f"__{side}"))
+    of = lambda test: F.sort_array(F.collect_list(F.when(test, item)))
+    queues = ranked.groupBy("account_id").agg(of(debt).alias("__debt"), of(~debt).alias("__collateral"))
+    return queues.filter((F.size("__debt") > 0) & (F.size("__collateral") > 0))
 
 
 _EVENT = (
@@ -91,14 +93,9 @@ def liquidation_waves(positions: DataFrame, market: DataFrame, waves: int = 5,
     Returns one row per event.
     """
     unhealthy = account_report(positions).filter(F.col("liquidation_health_factor") < 1)
-    touched = with_market(positions, market)
-    highest_first = -F.coalesce("m_borrow_factor", F.lit(0.0))
-    lowest_first = F.coalesce("m_threshold", F.lit(1.0))
-    rows = (
-        unhealthy.select("account_id", "collateral_value", "debt_value", "borrow_limit", "liquidation_value", "risk_debt")
-        .join(_queue(touched, "debt", highest_first, waves), "account_id")
-        .join(_queue(touched, "collateral", lowest_first, waves), "account_id")
-    )
+    rows = unhealthy.select(
+        "account_id", "collateral_value", "debt_value", "borrow_limit", "liquidation_value", "risk_debt"
+    ).join(_queues(with_market(positions, market), waves), "account_id")
     start = F.struct(
         F.col("collateral_value").alias("coll"), F.col("debt_value").alias("debt"),
         F.col("borrow_limit").alias("limit"), F.col("liquidation_value").alias("liq"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import INF, ratio
@@ -30,6 +31,14 @@ def with_fees(levels: DataFrame, fees: DataFrame) -> DataFrame:
     return rows.withColumn("price_inc_fee", net)
 
 
+def merged_levels(levels: DataFrame) -> DataFrame:
+    """One row per price of a book side: a walk fills equal prices alike.
+
+    Combined map-side; what is left is bounded by the ticks in the price range.
+    """
+    return levels.groupBy("pair", "exchange", "side", "price").agg(F.sum("vol").alias("vol"))
+
+
 def quotes(levels: DataFrame, fees: DataFrame) -> DataFrame:
     """Best raw and fee-adjusted bid and ask per (pair, exchange)."""
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
@@ -46,23 +55,28 @@ def quotes(levels: DataFrame, fees: DataFrame) -> DataFrame:
 def opportunities(tops: DataFrame) -> DataFrame:
     """Exchange pairs whose net bid beats the net ask.
 
-    One row per (pair, exchange) on both sides, so a pair yields at most the
-    square of the number of exchanges, which is the matrix asked for.
+    The quotes of a pair (one per exchange) fold into one row and unfold into the
+    matrix asked for, so the quotes are computed once and not joined to
+    themselves.
     """
-    bids = tops.filter("net_bid IS NOT NULL").select("pair", F.col("exchange").alias("bid_ex"), "net_bid")
-    asks = tops.filter("net_ask IS NOT NULL").select("pair", F.col("exchange").alias("ask_ex"), "net_ask")
-    edge = ratio(F.col("net_bid"), F.col("net_ask"), 0.0) - 1.0
-    return bids.join(asks, "pair").filter(F.col("net_bid") > F.col("net_ask")).withColumn("edge", edge)
+    folded = tops.groupBy("pair").agg(F.collect_list(F.struct("exchange", "net_bid", "net_ask")).alias("__q"))
+    bids = folded.select("pair", "__q", F.explode(F.filter("__q", lambda q: q["net_bid"].isNotNull())).alias("__b"))
+    asks = bids.select(
+        "pair", "__b", F.explode(F.filter("__q", lambda q: q["net_ask"] < F.col("__b.net_bid"))).alias("__a")
+    )
+    return asks.select(
+        "pair", F.col("__b.exchange").alias("bid_ex"), F.col("__a.exchange").alias("ask_ex"),
+        F.col("__b.net_bid").alias("net_bid"), F.col("__a.net_ask").alias("net_ask"),
+        (ratio(F.col("__b.net_bid"), F.col("__a.net_ask"), 0.0) - 1.0).alias("edge"),
+    )
 
 
-def ladder(levels: DataFrame, fees: DataFrame) -> DataFrame:
-    """Merged price levels with the volume that ranks before each of them.
+def ladder(merged: DataFrame, fees: DataFrame) -> DataFrame:
+    """Price levels with the volume that ranks before each of them.
 
-    Equal prices of one side merge first (a walk fills them at the same price),
-    which leaves at most one row per tick; the running volume is scanned in
-    blocks of equal relative price width.
+    `merged` has one row per price; the running volume is scanned in blocks of
+    equal relative price width.
     """
-    merged = levels.groupBy("pair", "exchange", "side", "price").agg(F.sum("vol").alias("vol"))
     rank = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
     width = price_block("price")
     block = F.when(F.col("side") == "ask", width).otherwise(-width)
@@ -74,13 +88,20 @@ def ladder(levels: DataFrame, fees: DataFrame) -> DataFrame:
 
 
 def _matched(opps: DataFrame, book: DataFrame) -> DataFrame:
-    """Levels of both books that trade at a profit for an opportunity."""
-    cols = ["price_inc_fee", "vol", "before", "side"]
-    bids = book.filter("side = 'bid'").withColumnRenamed("exchange", "bid_ex")
-    asks = book.filter("side = 'ask'").withColumnRenamed("exchange", "ask_ex")
-    hit_bids = opps.join(bids, ["pair", "bid_ex"]).filter(F.col("price") >= F.col("net_ask"))
-    hit_asks = opps.join(asks, ["pair", "ask_ex"]).filter(F.col("price") <= F.col("net_bid"))
-    return hit_bids.select(*PAIR_KEY, *cols).unionByName(hit_asks.select(*PAIR_KEY, *cols))
+    """Levels of both books that trade at a profit for an opportunity.
+
+    An opportunity asks for one side of two books; both requests go through one
+    join.
+    """
+    legs = F.array(
+        F.struct(F.lit("bid").alias("side"), F.col("bid_ex").alias("exchange"), F.col("net_ask").alias("limit")),
+        F.struct(F.lit("ask").alias("side"), F.col("ask_ex").alias("exchange"), F.col("net_bid").alias("limit")),
+    )
+    asked = opps.select(*PAIR_KEY, F.inline(legs))
+    good = F.when(F.col("side") == "bid", F.col("price") >= F.col("limit")).otherwise(F.col("price") <= F.col("limit"))
+    return asked.join(book, ["pair", "exchange", "side"]).filter(good).select(
+        *PAIR_KEY, "side", "price_inc_fee", "vol", "before"
+    )
 
 
 def filled(target: Column) -> Column:
@@ -96,54 +117,51 @@ def executable(levels: DataFrame, fees: DataFrame, balances: DataFrame, compat_b
     `compat_base_amount` takes the reciprocal of amounts above one as the base
     amount, and none below.
     """
-    opps = opportunities(quotes(levels, fees))
-    hits = _matched(opps, ladder(levels, fees))
+    merged = merged_levels(levels)
+    hits = _matched(opportunities(quotes(merged, fees)), ladder(merged, fees))
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
     held = F.broadcast(balances)
     base = held.select(F.col("exchange").alias("ask_ex"), "base_balance")
     quote = held.select(F.col("exchange").alias("bid_ex"), "quote_balance")
-    owned = hits.join(base, "ask_ex", "left")
-    depth = owned.groupBy(*PAIR_KEY).agg(
-        F.sum(F.when(bid, F.col("vol")).otherwise(0.0)).alias("maximum_bid_depth"),
-        F.sum(F.when(ask, F.col("vol")).otherwise(0.0)).alias("maximum_ask_depth"),
-        F.sum(F.when(ask, F.col("price_inc_fee") * filled(F.col("base_balance")))).alias("opposing_value"),
+    rows = hits.join(base, "ask_ex", "left").join(quote, "bid_ex", "left")
+    # Depth and walk share the partitioning of an opportunity: its levels are
+    # bounded by ticks, so a window finds the depth and the aggregate follows
+    # without a further shuffle.
+    one = W.partitionBy(*PAIR_KEY)
+    rows = rows.withColumns(
+        {
+            "maximum_bid_depth": F.sum(F.when(bid, F.col("vol")).otherwise(0.0)).over(one),
+            "maximum_ask_depth": F.sum(F.when(ask, F.col("vol")).otherwise(0.0)).over(one),
+            "opposing_value": F.sum(F.when(ask, F.col("price_inc_fee") * filled(F.col("base_balance")))).over(one),
+        }
     )
     no_limit = F.lit(INF)
-    depth = depth.join(quote, "bid_ex", "left").withColumn(
-        "executable_amount",
-        F.least(
-            "maximum_bid_depth", "maximum_ask_depth",
-            F.coalesce("quote_balance", no_limit), F.coalesce("opposing_value", no_limit),
-        ),
+    amount = F.least(
+        "maximum_bid_depth", "maximum_ask_depth",
+        F.coalesce("quote_balance", no_limit), F.coalesce("opposing_value", no_limit),
     )
-    amount = F.col("executable_amount")
-    if compat_base_amount:
-        amount = F.when(amount > 1, 1.0 / amount)
-    depth = depth.withColumn("executable_amount_in_base", amount)
+    rows = rows.withColumn("executable_amount", amount)
+    in_base = F.when(F.col("executable_amount") > 1, 1.0 / F.col("executable_amount")) if compat_base_amount else F.col("executable_amount")
+    rows = rows.withColumn("executable_amount_in_base", in_base)
     target = F.col("executable_amount_in_base")
-    walked = (
-        hits.join(depth.select(*PAIR_KEY, "executable_amount_in_base"), list(PAIR_KEY))
-        .groupBy(*PAIR_KEY, "executable_amount_in_base")
-        .agg(
-            F.sum(F.when(bid, F.col("price_inc_fee") * filled(target)).otherwise(0.0)).alias("__b"),
-            F.sum(F.when(ask, F.col("price_inc_fee") * filled(target)).otherwise(0.0)).alias("__a"),
-        )
-        .withColumns({"avg_bid": ratio(F.col("__b"), target), "avg_ask": ratio(F.col("__a"), target)})
-        .drop("__a", "__b", "executable_amount_in_base")
+    walk = lambda side: F.sum(F.when(side, F.col("price_inc_fee") * filled(target)).otherwise(0.0))
+    kept = ["maximum_bid_depth", "maximum_ask_depth", "opposing_value", "executable_amount", "executable_amount_in_base"]
+    out = rows.groupBy(*PAIR_KEY).agg(
+        *[F.max(c).alias(c) for c in kept], walk(bid).alias("__b"), walk(ask).alias("__a")
     )
-    out = depth.join(walked, list(PAIR_KEY))
+    out = out.withColumns({"avg_bid": ratio(F.col("__b"), target), "avg_ask": ratio(F.col("__a"), target)}).drop("__a", "__b")
     both = (F.col("avg_bid") > 0) & (F.col("avg_ask") > 0)
     return out.withColumns(
         {
             "nominal_return": (F.col("avg_bid") - F.col("avg_ask")) * target,
             "pct_return": F.when(both, F.log(ratio(F.col("avg_bid"), F.when(both, F.col("avg_ask"))))),
         }
-    ).drop("quote_balance")
+    )
 
 
 def opposing_leg(levels: DataFrame, fees: DataFrame, balances: DataFrame) -> DataFrame:
     """Quote value of walking each ask book with the base balance held there."""
-    asks = ladder(levels, fees).filter("side = 'ask'")
+    asks = ladder(merged_levels(levels.filter("side = 'ask'")), fees)
     rows = asks.join(F.broadcast(balances.select("exchange", "base_balance")), "exchange", "left")
     value = F.sum(F.col("price_inc_fee") * filled(F.col("base_balance")))
     return rows.groupBy("pair", "exchange").agg(F.coalesce(value, F.lit(INF)).alias("opposing_value"))

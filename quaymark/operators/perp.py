@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import clip, num
 from quaymark.operators.asof import tier_array, tier_of
-from quaymark.operators.scan import running, time_block
 
 # Research venue presets
 # (venue, taker, maker, liquidation fee, max leverage, min notional, quantity step)
@@ -40,16 +39,6 @@ def with_venue(rows: DataFrame, venue_dim: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(venue_dim), "venue")
 
 
-def price_pnl(positions: DataFrame, block: Column | None = None) -> DataFrame:
-    """Previous quantity times the price change since the previous row."""
-    rows = running(
-        positions, ["account_id", "symbol"], ["ts", "action_no"], {"__before": ("last", F.col("price"))},
-        time_block("ts") if block is None else block, exclusive=True,
-    )
-    pnl = F.coalesce(F.col("previous_quantity") * (F.col("price") - F.col("__before")), F.lit(0.0))
-    return rows.withColumn("pnl", pnl).drop("__before")
-
-
 def funding_flow(close_notional: Column, mark_notional: Column, rate: Column, default: float = 0.0,
                  signed: bool = True) -> Column:
     """Funding on the mark notional while a position is open; unsigned without a venue."""

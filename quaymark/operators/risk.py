@@ -154,7 +154,6 @@ def stress_grid(
     scenarios multiply the rows: the scan and its shuffle do not grow with the
     number of scenarios.
     """
-    coll = is_collateral()
     by = lambda c: F.sum(F.col("amount") * F.col(c))
     valued = with_values(positions)
     per_asset = valued.groupBy(*keys, "side", "symbol").agg(
@@ -163,9 +162,11 @@ def stress_grid(
         F.sum("liquidation_value").alias("liquidation_value"),
         F.sum("risk_debt").alias("risk_debt"),
         F.sum("amount").alias("__amount"),
-        F.when(F.first("side") == "collateral", by("ltv")).otherwise(0.0).alias("__ltv"),
-        F.when(F.first("side") == "collateral", by("liq_threshold")).otherwise(0.0).alias("__thr"),
-        F.when(F.first("side") == "debt", by("borrow_factor")).otherwise(0.0).alias("__bf"),
+        *[by(c).alias(tag) for c, tag in (("ltv", "__ltv"), ("liq_threshold", "__thr"), ("borrow_factor", "__bf"))],
+    )
+    only = lambda side, c: F.when(F.col("side") == side, F.col(c)).otherwise(0.0)
+    per_asset = per_asset.withColumns(
+        {"__ltv": only("collateral", "__ltv"), "__thr": only("collateral", "__thr"), "__bf": only("debt", "__bf")}
     )
     grid = F.array(
         *[

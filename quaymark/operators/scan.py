@@ -113,6 +113,61 @@ def running(
     )
 
 
+def floored(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    flow: Column,
+    out: str,
+    prev: str | None = None,
+    block: Column | None = None,
+) -> DataFrame:
+    """Add the running level max(level + flow, 0) along each key; `prev` is the level before.
+
+    The level is the running sum minus its lowest point so far (at most 0).  A
+    block is summed up by its total and its lowest prefix, which compose, so this
+    is one blocked scan and not a sum followed by a minimum.
+    """
+    keys, order = list(keys), list(order)
+    rows = df.withColumns({"__x": flow, BLOCK: F.lit(0) if block is None else block})
+    inside = W.partitionBy(*keys, BLOCK).orderBy(*order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.sum("__x").over(upto))
+    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("__x").alias("__total"), F.min("__s").alias("__low"))
+    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    entry = totals.withColumn("__p0", F.coalesce(F.sum("__total").over(before), F.lit(0.0)))
+    entry = entry.select(
+        *keys, BLOCK, "__p0", F.min(F.col("__p0") + F.col("__low")).over(before).alias("__m0")
+    )
+    local = rows.withColumns(
+        {
+            "__m": F.min("__s").over(upto),
+            "__mp": F.min("__s").over(inside.rowsBetween(W.unboundedPreceding, -1)),
+        }
+    ).join(entry, [*keys, BLOCK])
+    zero = F.lit(0.0)
+    now = F.col("__p0") + F.col("__s")
+    low = F.least(zero, F.col("__m0"), F.col("__p0") + F.col("__m"))
+    low_before = F.least(zero, F.col("__m0"), F.col("__p0") + F.col("__mp"))
+    cols = [(now - low).alias(out)]
+    if prev is not None:
+        cols.append((now - F.col("__x") - low_before).alias(prev))
+    return local.select(*df.columns, *cols)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store an intermediate result so that what follows does not recompute it.
+
+    A blocked scan reads its input twice; without a cut, k chained scans would
+    read the source 2^k times.  Goes to the cluster's shared checkpoint folder,
+    so losing executors costs no recomputation either.
+    """
+    from quaymark.session import checkpoint_folder
+
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def _starts(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple[list[bool], tuple]:
     """Flag the first row of every key run in a sorted batch; also the final key."""
     flags = np.zeros(len(pdf), dtype=bool)

@@ -47,8 +47,9 @@ def vote_rows(dirs: DataFrame, frames: Sequence[str] = VOTE_FRAMES) -> DataFrame
 def rank_symbols(greens: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """Strongest and weakest symbol of every ts; ties go to the earlier symbol."""
     place = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol"))
-    up = F.struct(F.col("green"), -place)
-    down = F.struct(F.col("green"), place)
+    # One number orders by votes, then place; a struct would force a sort-based aggregate.
+    step = F.col("green") * (len(symbols) + 1)
+    up, down = step - place, step + place
     return greens.groupBy("ts").agg(
         F.max_by("symbol", up).alias("strongest"),
         F.max("green").alias("strongest_green"),

@@ -141,7 +141,7 @@ def perp_trades(t: Tables) -> DataFrame:
 
 
 def perp_ledger(t: Tables) -> DataFrame:
-    return perp.price_pnl(ledger.perp_entries(perp_trades(t)))
+    return ledger.perp_entries(perp_trades(t))
 
 
 define("trade_rows", """SELECT account_id, symbol, ts, action_no, CASE action_no % 2 WHEN 0 THEN amount ELSE -amount END AS dq, price,
@@ -285,7 +285,7 @@ def _mtm(t: Tables):
         asset.alias("symbol"), "ts", F.col("close").alias("price")
     )
     return ledger.mark_to_market(
-        ledger.balances(t.actions), marks, prices, liquidation.market_assets(t.spark), ["SOL", "USDC", "ETH"]
+        ledger.signed_deltas(t.actions), marks, prices, liquidation.market_assets(t.spark), ["SOL", "USDC", "ETH"]
     ).select("account_id", "ts", "collateral_value", "debt_value", "portfolio_value", "health_factor")
 
 

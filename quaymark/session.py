@@ -19,6 +19,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session; a local one only where none is named."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(current)
+    return current
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
     spark = (
