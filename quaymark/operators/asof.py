@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quaymark.operators.scan import running
-
 
 def backward_asof(
     left: DataFrame,
@@ -23,35 +21,40 @@ def backward_asof(
 
     The latest row counts even where its value is null: values travel inside a
     struct, and only a missing row leaves null.  Both sides go through one
-    shuffle; nothing is multiplied.  `block` is the time unit that cuts hot keys
-    (None where rows per key have a bound).
+    shuffle; nothing is multiplied.  `block` is the time unit that cuts hot keys:
+    inside a block a window fills forward, and what enters a block comes from a
+    scan over one row per (key, block).  None uses one plain window per key, for
+    keys whose rows have a bound.
     """
-    keys = list(keys)
+    keys, values = list(keys), list(values)
     lcols = [c for c in left.columns if c not in keys and c != ts]
+    slot = F.lit(0) if block is None else F.date_trunc(block, F.col("__ts"))
     l_side = left.select(
-        *keys,
-        F.col(ts).alias("__ts"),
-        F.lit(1).alias("__side"),
-        F.struct(F.col(ts), *lcols).alias("__left"),
+        *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), *[F.col(c).alias(f"__l_{c}") for c in lcols]
     )
     r_side = right.select(
-        *keys,
-        F.col(ts).alias("__ts"),
-        F.lit(0).alias("__side"),
-        F.struct(*values).alias("__right"),
-    )
-    both = l_side.unionByName(r_side, allowMissingColumns=True)
-    filled = running(
-        both,
-        keys,
-        ["__ts", "__side"],
-        {"__seen": ("last", F.col("__right"))},
-        block=None if block is None else F.date_trunc(block, F.col("__ts")),
+        *keys, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), *[F.col(v).alias(f"__r_{v}") for v in values]
     )
-    return filled.filter("__side = 1").select(
+    both = l_side.unionByName(r_side, allowMissingColumns=True).withColumn("__block", slot)
+    is_right = F.col("__side") == 0
+    row = F.when(is_right, F.struct(*[F.col(f"__r_{v}").alias(v) for v in values]))
+    inside = W.partitionBy(*keys, "__block").orderBy("__ts", "__side").rowsBetween(W.unboundedPreceding, 0)
+    seen = F.last(row, ignorenulls=True).over(inside)
+    filled = both.withColumn("__seen", seen).filter(~is_right)
+    if block is not None:
+        # Column by column, so that fixed-width values keep a hash aggregate.
+        at = F.when(is_right, F.col("__ts"))
+        totals = both.groupBy(*keys, "__block").agg(
+            F.max(at).alias("__at"), *[F.max_by(f"__r_{v}", at).alias(v) for v in values]
+        )
+        earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+        last = F.when(F.col("__at").isNotNull(), F.struct(*values))
+        entry = totals.select(*keys, "__block", F.last(last, ignorenulls=True).over(earlier).alias("__entry"))
+        filled = filled.join(entry, [*keys, "__block"]).withColumn("__seen", F.coalesce("__seen", "__entry"))
+    return filled.select(
         *keys,
-        F.col(f"__left.{ts}").alias(ts),
-        *[F.col(f"__left.{c}").alias(c) for c in lcols],
+        F.col("__ts").alias(ts),
+        *[F.col(f"__l_{c}").alias(c) for c in lcols],
         *[F.col(f"__seen.{v}").alias(v) for v in values],
     )
 

@@ -191,8 +191,8 @@ def snapshots(history: DataFrame, positions: DataFrame, assets: Sequence[str] =
 def final_composition(positions: DataFrame, side: str) -> DataFrame:
     """Latest positive values and their shares per run."""
     rows = composition(positions, side)
-    last = rows.groupBy("run_id").agg(F.max("ts").alias("ts"))
-    final = rows.join(F.broadcast(last), ["run_id", "ts"])
+    last = F.max("ts").over(W.partitionBy("run_id"))
+    final = rows.withColumn("__last", last).filter(F.col("ts") == F.col("__last"))
     total = F.sum("value_usd").over(W.partitionBy("run_id"))
     return final.withColumn("share_pct", ratio(F.col("value_usd"), total, 0.0) * 100.0).filter("value_usd > 0").select(
         "run_id", "asset", "value_usd", "share_pct"
@@ -247,10 +247,8 @@ def hedge_levels(events: DataFrame, ratios: DataFrame) -> DataFrame:
 
 def kpi_deltas(summary: DataFrame, measures: Sequence[str], baseline: str) -> DataFrame:
     """Each run's KPIs and their difference to one chosen run."""
-    base = summary.filter(F.col("run_id") == baseline).select(
-        F.lit(1).alias("__k"), *[F.col(m).alias(f"__b_{m}") for m in measures]
-    )
-    rows = summary.withColumn("__k", F.lit(1)).join(F.broadcast(base), "__k")
+    base = summary.filter(F.col("run_id") == baseline).select(F.struct(*measures).alias("b")).scalar()
+    rows = summary.withColumn("__b", base)
     return rows.select(
-        "run_id", *measures, *[(F.col(m) - F.col(f"__b_{m}")).alias(f"delta_{m}") for m in measures]
+        "run_id", *measures, *[(F.col(m) - F.col(f"__b.{m}")).alias(f"delta_{m}") for m in measures]
     )

@@ -69,25 +69,28 @@ def report_columns(coll: Column, debt: Column, limit: Column, liq: Column, risk:
     }
 
 
-def _totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+_REPORT = ("collateral_value", "debt_value", "borrow_limit", "liquidation_value", "risk_debt")
+
+
+def _report_parts() -> tuple[list[Column], dict[str, Column]]:
+    """Sums of an account over valued positions, and the ratios built on them."""
     coll = is_collateral()
-    return rows.groupBy(*keys).agg(
-        F.sum(F.when(coll, F.col("value")).otherwise(0.0)).alias("collateral_value"),
-        F.sum(F.when(coll, 0.0).otherwise(F.col("value"))).alias("debt_value"),
-        F.sum("limit_value").alias("borrow_limit"),
-        F.sum("liquidation_value").alias("liquidation_value"),
-        F.sum("risk_debt").alias("risk_debt"),
+    sums = (
+        F.when(coll, F.col("value")).otherwise(0.0), F.when(coll, 0.0).otherwise(F.col("value")),
+        F.col("limit_value"), F.col("liquidation_value"), F.col("risk_debt"),
     )
+    totals = [F.sum(v).alias(c) for c, v in zip(_REPORT, sums)]
+    return totals, report_columns(*[F.col(c) for c in _REPORT])
 
 
-_REPORT = ("collateral_value", "debt_value", "borrow_limit", "liquidation_value", "risk_debt")
+def _report(valued: DataFrame, keys: Sequence[str]) -> DataFrame:
+    totals, ratios = _report_parts()
+    return valued.groupBy(*keys).agg(*totals).withColumns(ratios)
 
 
 def account_report(positions: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
     """Totals and risk ratios per account in one aggregate."""
-    return _totals(with_values(positions), keys).withColumns(
-        report_columns(*[F.col(c) for c in _REPORT])
-    )
+    return _report(with_values(positions), keys)
 
 
 def health_band(hf: Column) -> Column:
@@ -100,23 +103,6 @@ def health_band(hf: Column) -> Column:
     )
 
 
-def report_deltas(base: DataFrame, scenario: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
-    """Scenario minus baseline; null where either side is infinite."""
-    measures = ("health_factor", "borrow_limit", "liquidation_buffer", "current_ltv", "borrow_ltv", "liquidation_ltv")
-    before = base.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in measures])
-    joined = scenario.join(before, list(keys))
-    finite = lambda c: F.abs(F.col(c)) < F.lit(INF)
-    return joined.select(
-        *keys,
-        F.col("health_factor").alias("scenario_hf"),
-        health_band(F.col("health_factor")).alias("band"),
-        *[
-            F.when(finite(c) & finite(f"__b_{c}"), F.col(c) - F.col(f"__b_{c}")).alias(f"delta_{c}")
-            for c in measures
-        ],
-    )
-
-
 def liquidation_prices(positions: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
     """Price of each asset at which its account becomes liquidatable.
 
@@ -192,7 +178,7 @@ def stress_grid(
             "risk_debt": moved("risk_debt", "__bf"),
         }
     )
-    return _totals(rows, [*keys, "scenario_id"]).withColumns(report_columns(*[F.col(c) for c in _REPORT]))
+    return _report(rows, [*keys, "scenario_id"])
 
 
 _COLLATERAL_VERBS = {"deposit_collateral": 1.0, "withdraw_collateral": -1.0}
@@ -215,27 +201,57 @@ def verb_side() -> Column:
 
 
 def apply_actions(net: DataFrame, actions: DataFrame) -> DataFrame:
-    """Positions after a batch: summed deltas, last set price; amounts may go negative."""
-    deltas = (
-        actions.withColumn("side", verb_side())
-        .filter("side IS NOT NULL")
-        .groupBy("account_id", "side", "symbol")
-        .agg(F.sum(signed_amount()).alias("__delta"))
-    )
-    prices = (
-        actions.filter(F.col("type").isin(*_PRICE_VERBS) & F.col("price").isNotNull())
-        .groupBy("account_id", "symbol")
-        .agg(F.max_by("price", "action_no").alias("__price"))
-    )
-    joined = net.join(deltas, ["account_id", "side", "symbol"], "left").join(
-        prices, ["account_id", "symbol"], "left"
-    )
-    return joined.withColumns(
+    """Positions after a batch: summed deltas, last set price; amounts may go negative.
+
+    Adds the opening `amount_before` and `price_before`.  Actions reduce to one
+    row per (account, asset) before they meet the positions.
+    """
+    delta = lambda side: F.sum(F.when(verb_side() == side, signed_amount()).otherwise(0.0))
+    priced = F.col("type").isin(*_PRICE_VERBS) & F.col("price").isNotNull()
+    batch = actions.groupBy("account_id", "symbol").agg(
+        delta("collateral").alias("__c"),
+        delta("debt").alias("__d"),
+        F.max_by(F.when(priced, F.col("price")), F.when(priced, F.col("action_no"))).alias("__price"),
+    )
+    change = F.coalesce(F.when(is_collateral(), F.col("__c")).otherwise(F.col("__d")), F.lit(0.0))
+    return net.join(batch, ["account_id", "symbol"], "left").withColumns(
         {
-            "amount": F.col("amount") + F.coalesce("__delta", F.lit(0.0)),
+            "amount_before": F.col("amount"),
+            "price_before": F.col("price"),
+            "amount": F.col("amount") + change,
             "price": F.coalesce("__price", "price"),
         }
-    ).select(*net.columns)
+    ).select(*net.columns, "amount_before", "price_before")
+
+
+def scenario_deltas(after: DataFrame) -> DataFrame:
+    """Health after a batch and its change against the opening positions.
+
+    Both states are on the same rows, so one aggregate per state over one shuffle
+    of the net positions serves the comparison.
+    """
+    both = after.select(
+        "*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__state")
+    ).withColumns(
+        {
+            "amount": F.when(F.col("__state") == 0, F.col("amount_before")).otherwise(F.col("amount")),
+            "price": F.when(F.col("__state") == 0, F.col("price_before")).otherwise(F.col("price")),
+        }
+    )
+    reports = account_report(both, ["account_id", "__state"])
+    measures = ("health_factor", "borrow_limit", "liquidation_buffer", "current_ltv", "borrow_ltv", "liquidation_ltv")
+    pick = lambda n, c: F.max(F.when(F.col("__state") == n, F.col(c)))
+    wide = reports.groupBy("account_id").agg(
+        *[pick(n, c).alias(f"__{n}_{c}") for n in (0, 1) for c in measures]
+    )
+    finite = lambda c: F.abs(F.col(c)) < F.lit(INF)
+    return wide.select(
+        "account_id", F.col("__1_health_factor").alias("scenario_hf"), health_band(F.col("__1_health_factor")).alias("band"),
+        *[
+            F.when(finite(f"__1_{c}") & finite(f"__0_{c}"), F.col(f"__1_{c}") - F.col(f"__0_{c}")).alias(f"delta_{c}")
+            for c in measures
+        ],
+    )
 
 
 def action_errors(positions: DataFrame, actions: DataFrame) -> DataFrame:
@@ -294,45 +310,49 @@ def swap_tokens(amount: Column, price: Column, target_price: Column) -> Column:
 def recovery_options(net: DataFrame, target: float = 1.1, trigger: float = 1.5) -> DataFrame:
     """Repay (A), swap (B) and deposit (C) amounts that restore the target health.
 
-    Uses borrow limit and LTV against borrow-factor debt.  Option B pairs each
-    collateral asset with each debt asset of the account; `net` keeps that to a
-    few rows per account.
+    Uses borrow limit and LTV against borrow-factor debt.  `net` has one row per
+    asset of an account, bounded by the assets of the market, so an account folds
+    into one row and its options (B pairs assets) unfold from it.
     """
-    report = account_report(net).select("account_id", "borrow_limit", "risk_debt", "health_factor")
-    gap = deficit(F.col("risk_debt"), F.col("borrow_limit"), target)
-    weak = report.filter((F.col("health_factor") < trigger) & (gap > 0)).select(
-        "account_id", gap.alias("deficit"),
-        repay_usd(F.col("risk_debt"), F.col("borrow_limit"), target).alias("repay_usd"),
+    account = W.partitionBy("account_id")
+    valued = with_values(net)
+    limit, risk = F.sum("limit_value").over(account), F.sum("risk_debt").over(account)
+    rows = valued.withColumns({"__limit": limit, "__risk": risk})
+    rows = rows.withColumn("__gap", deficit(F.col("__risk"), F.col("__limit"), target)).filter(
+        (ratio(F.col("__limit"), F.col("__risk"), INF) < trigger) & (F.col("__gap") > 0)
     )
-    rows = net.join(weak, "account_id")
     price, amount = F.col("price"), F.col("amount")
-    debts = rows.filter((F.col("side") == "debt") & (price > 0) & (amount > 0))
-    colls = rows.filter((F.col("side") == "collateral") & (price > 0) & (F.col("ltv") > 0))
-    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
-
-    a = debts.select(
-        "account_id", F.lit("A").alias("option"), none_s.alias("collateral_symbol"),
-        F.col("symbol").alias("debt_symbol"), none_d.alias("collateral_tokens"),
-        F.least(F.col("repay_usd") / price, amount).alias("debt_tokens"),
-    )
-    c = colls.select(
-        "account_id", F.lit("C").alias("option"), F.col("symbol").alias("collateral_symbol"),
-        none_s.alias("debt_symbol"), deposit_tokens(F.col("deficit"), price, F.col("ltv")).alias("collateral_tokens"),
-        none_d.alias("debt_tokens"),
-    )
-    sold = colls.withColumn(
-        "__w", swap_withdraw(F.col("deficit"), price, target, F.col("ltv"), amount)
-    ).filter("__w > 0").select(
-        "account_id", F.col("symbol").alias("collateral_symbol"), "__w", (F.col("__w") * price).alias("__usd")
-    )
-    b = sold.join(
-        debts.select("account_id", F.col("symbol").alias("debt_symbol"), price.alias("__p"), amount.alias("__a")),
-        "account_id",
-    ).select(
-        "account_id", F.lit("B").alias("option"), "collateral_symbol", "debt_symbol",
-        F.col("__w").alias("collateral_tokens"), F.least(F.col("__usd") / F.col("__p"), F.col("__a")).alias("debt_tokens"),
-    )
-    return a.unionByName(b).unionByName(c)
+    coll = is_collateral()
+    item = F.struct("symbol", "price", "amount", "ltv")
+    side = lambda test: F.collect_list(F.when(test & (price > 0), item))
+    folded = rows.groupBy("account_id").agg(
+        F.first("__gap").alias("__gap"),
+        F.first(repay_usd(F.col("__risk"), F.col("__limit"), target)).alias("__pay"),
+        side(coll & (F.col("ltv") > 0)).alias("__c"),
+        side(~coll & (amount > 0)).alias("__d"),
+    )
+    gap = F.col("__gap")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def option(name: str, c: Column, d: Column, c_tokens: Column, d_tokens: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("option"), c.alias("collateral_symbol"), d.alias("debt_symbol"),
+            c_tokens.cast("double").alias("collateral_tokens"), d_tokens.cast("double").alias("debt_tokens"),
+        )
+
+    sold = lambda c: swap_withdraw(gap, c["price"], target, c["ltv"], c["amount"])
+    a = F.transform("__d", lambda d: option("A", text, d["symbol"], number, F.least(F.col("__pay") / d["price"], d["amount"])))
+    b = F.flatten(
+        F.transform(
+            F.filter("__c", lambda c: sold(c) > 0),
+            lambda c: F.transform(
+                "__d",
+                lambda d: option("B", c["symbol"], d["symbol"], sold(c), F.least(sold(c) * c["price"] / d["price"], d["amount"])),
+            ),
+        )
+    )
+    c = F.transform("__c", lambda c: option("C", c["symbol"], text, deposit_tokens(gap, c["price"], c["ltv"]), number))
+    return folded.select("account_id", F.inline(F.concat(a, b, c)))
 
 
 def leverage_loops(positions: DataFrame, configs: Sequence[tuple[str, int, float]]) -> DataFrame:
@@ -380,8 +400,8 @@ def account_assets(net: DataFrame, collateral: Sequence[str], debt: Sequence[str
             here = (F.col("side") == side) & (F.col("symbol") == s)
             tag = f"{'c' if side == 'collateral' else 'd'}_{s.lower()}"
             wanted += [F.max(F.when(here, F.col(f))).alias(f"{tag}_{f}") for f in fields]
-    wide = net.groupBy("account_id").agg(*wanted)
-    return account_report(net).join(wide, "account_id")
+    totals, ratios = _report_parts()
+    return with_values(net).groupBy("account_id").agg(*totals, *wanted).withColumns(ratios)
 
 
 def rebalance_advice(

@@ -172,21 +172,23 @@ def gates(rows: DataFrame, sol_gate: float, near_gate: float, hf_gate: float, st
 
 def selected_rows(rows: DataFrame, usd: float, drawdown: float, dd_limit: float = 55.0,
                   ties: Sequence[str] = ()) -> DataFrame:
-    """One row per criterion: most USD, least drawdown, best strict, best below a limit."""
+    """One row per criterion: most USD, least drawdown, best strict, best below a limit.
+
+    All criteria are one aggregate: each partition sends one candidate per rule.
+    """
     v, d = F.col("final_portfolio_value_usd"), F.col("max_drawdown_pct")
-    most_usd, least_dd = [v.desc(), d.asc(), *ties], [d.asc(), v.desc(), *ties]
+    names = [F.col(t) for t in ties]
+    most_usd, least_dd = F.struct(-v, d, *names), F.struct(d, -v, *names)
     rules = [
-        ("Highest USD", None, most_usd),
-        ("Lowest DD", None, least_dd),
+        ("Highest USD", F.lit(True), most_usd),
+        ("Lowest DD", F.lit(True), least_dd),
         ("Strict reference improvement", (v >= usd) & (d <= drawdown), most_usd),
         (f"Best DD <={dd_limit:g}%", d <= dd_limit, most_usd),
     ]
-    out = None
-    for name, keep, order in rules:
-        top = (rows if keep is None else rows.filter(keep)).orderBy(*order).limit(1)
-        top = top.withColumn("criterion", F.lit(name))
-        out = top if out is None else out.unionByName(top)
-    return out
+    row = F.struct(*rows.columns)
+    best = rows.agg(*[F.min_by(row, F.when(keep, order)).alias(f"r{i}") for i, (_, keep, order) in enumerate(rules)])
+    picks = F.array(*[F.struct(F.lit(name).alias("criterion"), F.col(f"r{i}").alias("row")) for i, (name, _, _) in enumerate(rules)])
+    return best.select(F.inline(picks)).filter("row IS NOT NULL").select("criterion", "row.*")
 
 
 def best_per_family(rows: DataFrame, family: str = "family", ties: Sequence[str] = ()) -> DataFrame:

@@ -44,17 +44,23 @@ def vote_rows(dirs: DataFrame, frames: Sequence[str] = VOTE_FRAMES) -> DataFrame
     )
 
 
-def rank_symbols(greens: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """Strongest and weakest symbol of every ts; ties go to the earlier symbol."""
+def rank_symbols(greens: DataFrame, symbols: Sequence[str], keep_greens: bool = False) -> DataFrame:
+    """Strongest and weakest symbol of every ts; ties go to the earlier symbol.
+
+    `keep_greens` adds the counts of all symbols (a configured handful) as an
+    array of (green, symbol).
+    """
     place = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol"))
     # One number orders by votes, then place; a struct would force a sort-based aggregate.
     step = F.col("green") * (len(symbols) + 1)
     up, down = step - place, step + place
+    extra = [F.collect_list(F.struct("green", "symbol")).alias("greens")] if keep_greens else []
     return greens.groupBy("ts").agg(
         F.max_by("symbol", up).alias("strongest"),
         F.max("green").alias("strongest_green"),
         F.min_by("symbol", down).alias("weakest"),
         F.min("green").alias("weakest_green"),
+        *extra,
     )
 
 
@@ -67,26 +73,23 @@ def select_legs(ranked: DataFrame, min_long: int, max_short: int) -> DataFrame:
 
 
 def protective_short(
-    greens: DataFrame, legs: DataFrame, candidates: Sequence[str], fixed: str | None = None,
-    symbols: Sequence[str] = (),
+    legs: DataFrame, candidates: Sequence[str], fixed: str | None = None, symbols: Sequence[str] = (),
 ) -> DataFrame:
-    """Hedge symbol per ts: weakest configured candidate, else a fixed one, else the first other."""
+    """Hedge symbol per ts: weakest configured candidate, else a fixed one, else the first other.
+
+    `legs` carries `greens`, so the choice is local to the row.
+    """
     if candidates:
-        able = greens.filter(F.col("symbol").isin(*candidates)).join(
-            legs.select("ts", "selected_long"), "ts"
-        )
-        best = (
-            able.filter(F.col("symbol") != F.col("selected_long"))
-            .groupBy("ts")
-            .agg(F.min_by("symbol", F.struct("green", "symbol")).alias("protective_short"))
-        )
-        return legs.join(best, "ts", "left").withColumn(
-            "protective_short", F.coalesce("protective_short", F.lit(""))
+        able = F.filter(
+            "greens", lambda g: g["symbol"].isin(*candidates) & (g["symbol"] != F.col("selected_long"))
         )
-    if fixed:
-        return legs.withColumn("protective_short", F.lit(fixed))
-    others = F.filter(F.array(*[F.lit(s) for s in symbols]), lambda s: s != F.col("selected_long"))
-    return legs.withColumn("protective_short", F.coalesce(F.get(others, F.lit(0)), F.lit("")))
+        choice = F.coalesce(F.array_min(able)["symbol"], F.lit(""))
+    elif fixed:
+        choice = F.lit(fixed)
+    else:
+        others = F.filter(F.array(*[F.lit(s) for s in symbols]), lambda s: s != F.col("selected_long"))
+        choice = F.coalesce(F.get(others, F.lit(0)), F.lit(""))
+    return legs.withColumn("protective_short", choice)
 
 
 def ladder(key: Column, steps: Mapping[int, float], default: float = 0.0) -> Column:

@@ -139,9 +139,7 @@ def _errors(t: Tables):
     FROM s JOIN report r USING (account_id)""",
        doubles="scenario_hf delta_health_factor delta_borrow_limit delta_liquidation_buffer delta_current_ltv delta_borrow_ltv delta_liquidation_ltv")
 def _deltas(t: Tables):
-    net = risk.net_positions(t.positions)
-    after = risk.apply_actions(net, t.actions)
-    return risk.report_deltas(risk.account_report(net), risk.account_report(after))
+    return risk.scenario_deltas(risk.apply_actions(risk.net_positions(t.positions), t.actions))
 
 
 @query("recovery_options", "O-R7", """

@@ -90,8 +90,8 @@ def _vol_target(t: Tables):
         AND symbol <> s.selected_long), '') AS protective_short FROM s""")
 def _legs(t: Tables):
     greens = traffic.green_counts(traffic.directions(t.aligned, traffic.VOTE_FRAMES))
-    legs = traffic.select_legs(traffic.rank_symbols(greens, SYMBOLS), 3, 1)
-    return traffic.protective_short(greens, legs, ["click", "view", "signup"]).select(
+    legs = traffic.select_legs(traffic.rank_symbols(greens, SYMBOLS, keep_greens=True), 3, 1)
+    return traffic.protective_short(legs, ["click", "view", "signup"]).select(
         "ts", "selected_long", "selected_short", "protective_short"
     )
 
