@@ -562,13 +562,12 @@ def _matching(t: Tables):
 
 
 @query("hedge_levels", "O-E8", """
-    WITH e AS (SELECT event_id, event_type AS run_id, ts, value / 100 AS target_ratio, user_id * 0.5 AS open_short_amount, value AS average_basis FROM events WHERE CAST(props->>'$.k' AS INT) < 20),
+    WITH e AS (SELECT event_id, event_type AS run_id, ts, value / 100 AS target_ratio, user_id * 0.5 AS open_short_amount, value AS average_basis FROM events),
     r AS (SELECT run_id, ts + INTERVAL 1 HOUR AS ts, portfolio_value * target_short_fraction AS d, CASE WHEN long_green = 0 THEN 0 ELSE portfolio_value END AS c FROM history)
     SELECT e.event_id, e.run_id, e.ts, e.target_ratio, CASE WHEN c IS NULL OR c = 0 THEN 0 ELSE d / c END AS marked_ratio, open_short_amount * average_basis AS open_short_basis
     FROM e ASOF LEFT JOIN r ON e.run_id = r.run_id AND e.ts >= r.ts""", doubles="target_ratio marked_ratio open_short_basis")
 def _levels(t: Tables):
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    events = t.events.filter(k < 20).select(
+    events = t.events.select(
         "event_id", F.col("event_type").alias("run_id"), "ts", (F.col("value") / 100.0).alias("target_ratio"),
         (F.col("user_id") * 0.5).alias("open_short_amount"), F.col("value").alias("average_basis"),
     )
