@@ -27,22 +27,25 @@ def parse(timeframe: str) -> tuple[int, str]:
     return count, unit
 
 
+HOUR, DAY = 3600, 86_400
+# Fixed value: the first Monday of the epoch, 1970-01-05.
+FIRST_MONDAY = 4 * DAY
+
+
 def label(ts: Column, timeframe: str, origin: Column | None = None) -> Column:
-    """Label of the candle that holds `ts`."""
+    """Label of the candle that holds `ts`, in whole-second UTC arithmetic."""
     count, unit = parse(timeframe)
+    seconds = F.unix_seconds(ts)
     if unit == "w":
-        return F.date_trunc("week", ts) + F.expr("INTERVAL 6 DAYS")
-    if unit == "d" and count == 1:
-        return F.date_trunc("day", ts)
-    if unit == "d":
-        if origin is None:
-            raise ValueError("multi-day frames need the first timestamp as origin")
-        start = F.to_date(origin)
-        day = F.datediff(F.to_date(ts), start)
-        return F.date_add(start, day - F.pmod(day, F.lit(count))).cast("timestamp")
-    day = F.date_trunc("day", ts)
-    hour = F.hour(ts)
-    return F.timestamp_add("HOUR", hour - F.pmod(hour, F.lit(count)), day)
+        return F.timestamp_seconds(seconds - F.pmod(seconds - FIRST_MONDAY, F.lit(7 * DAY)) + 6 * DAY)
+    step = count * (HOUR if unit == "h" else DAY)
+    if unit == "h" or count == 1:
+        return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(step)))
+    if origin is None:
+        raise ValueError("multi-day frames need the first timestamp as origin")
+    first = F.unix_seconds(origin)
+    start = first - F.pmod(first, F.lit(DAY))
+    return F.timestamp_seconds(seconds - F.pmod(seconds - start, F.lit(step)))
 
 
 def needs_origin(timeframe: str) -> bool:

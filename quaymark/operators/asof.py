@@ -120,6 +120,12 @@ def tier_of(amount: Column, tiers: Column) -> Column:
     return F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.element_at(tiers, -1))
 
 
+def enrich(rows: DataFrame, dim: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Attach a small dimension; rows whose key it lacks get the defaults."""
+    joined = rows.join(F.broadcast(dim), key, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def relative_to_baseline(
     df: DataFrame, group: str, name: str, baseline: str, measures: Sequence[str], suffix: str
 ) -> DataFrame:

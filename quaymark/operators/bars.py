@@ -13,29 +13,25 @@ from quaymark.functions import timeframes as tf
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
-def _arrival(ts: str, tie: str | None) -> Column:
-    """Ordering key as one number.
+def bars_from_ticks(ticks: DataFrame, timeframe: str = "1h", tie: str | None = "seq") -> DataFrame:
+    """Aggregate (symbol, ts, price, size) into bars; partial sums before the shuffle.
 
-    min_by/max_by over a struct falls back to a sort-based aggregate; a decimal
-    keeps the fixed-width buffer that a hash aggregate needs.
+    `tie` orders ticks of one instant.  Its struct ordering costs a sort-based
+    partial aggregate (measured: half the time of packing the order into one
+    decimal); None, for sources without equal instants, keeps the hash aggregate.
     """
     if tie is None:
-        return F.col(ts)
-    micros = F.unix_micros(F.col(ts)).cast("decimal(19,0)")
-    shift = F.lit(10**18).cast("decimal(19,0)")
-    return (micros * shift + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
-def bars_from_ticks(ticks: DataFrame, timeframe: str = "1h", tie: str | None = "seq") -> DataFrame:
-    """Aggregate (symbol, ts, price, size) into bars; partial sums before the shuffle."""
-    at = _arrival("ts", tie)
+        first, last = F.min_by("price", "ts"), F.max_by("price", "ts")
+    else:
+        row = F.struct("ts", tie, "price")
+        first, last = F.min(row)["price"], F.max(row)["price"]
     return (
         ticks.groupBy("symbol", tf.label(F.col("ts"), timeframe).alias("bucket"))
         .agg(
-            F.min_by("price", at).alias("open"),
+            first.alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", at).alias("close"),
+            last.alias("close"),
             F.sum("size").alias("volume"),
         )
         .withColumnRenamed("bucket", "ts")

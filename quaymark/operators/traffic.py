@@ -198,3 +198,15 @@ def under_hedged(target: Column, current: Column, collateral_value: Column, capa
     """Safe short capacity is smaller than the short still wanted."""
     wanted = collateral_value * (target - current)
     return (target > current) & (wanted > 0) & (capacity + num(1e-9) < wanted)
+
+
+def gain_near_high(peak: Column, initial: Column, current: Column, min_gain: float = 1.0, near: float = 0.10) -> Column:
+    """The peak is a large enough gain and the value is still close to it."""
+    gain = ratio(peak, initial, 0.0) - 1.0
+    fall = ratio(peak - current, peak, 1.0)
+    return (initial > 0) & (peak > 0) & (gain >= min_gain) & (fall <= near)
+
+
+def hedge_failure(protected: Column, underperformance: Column, threshold: float = 0.10) -> Column:
+    """A protective mode is on and the asset still lags its hedge leg."""
+    return protected & (underperformance >= threshold)

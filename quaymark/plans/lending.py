@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymark.operators import liquidation, rebalance, risk
+from quaymark.operators import asof, liquidation, rebalance, risk
 from quaymark.plans.ctes import define
 from quaymark.plans.registry import query
 from quaymark.sources.tables import Tables
@@ -391,3 +391,14 @@ def _excess(t: Tables):
 def _conflict(t: Tables):
     legs = _legs(t).select("account_id", "selected_long", F.col("selected_short").alias("desired_short"))
     return rebalance.conflict_cover(risk.net_positions(t.positions), legs, ["SOL", "ETH"], 0.001)
+
+
+@query("actions_with_market", "O-J5", """
+    SELECT a.account_id, a.action_no, a.symbol, coalesce(m_thr, 0.80) AS m_threshold, coalesce(lo, 200) AS min_bonus_bps,
+        coalesce(hi, 1000) AS max_bonus_bps, coalesce(m_bf, 1.0) AS m_borrow_factor FROM actions a LEFT JOIN market m USING (symbol)""",
+       doubles="m_threshold m_borrow_factor", ints="min_bonus_bps max_bonus_bps")
+def _with_market(t: Tables):
+    rows = asof.enrich(
+        t.actions, liquidation.market_assets(t.spark), "symbol", {**liquidation.UNKNOWN, "m_borrow_factor": 1.0}
+    )
+    return rows.select("account_id", "action_no", "symbol", "m_threshold", "min_bonus_bps", "max_bonus_bps", "m_borrow_factor")

@@ -586,3 +586,40 @@ def _levels(t: Tables):
 def _kpis(t: Tables):
     table = reports.existing_columns(metrics.performance(t.history), ["run_id", "final_value", "post_2024_drawdown_pct", "max_drawdown_pct"])
     return reports.kpi_deltas(table, ["final_value", "max_drawdown_pct"], "click")
+
+
+@query("reserve_flags", "O-G24", """
+    WITH p AS (SELECT h.*, first_value(portfolio_value) OVER (PARTITION BY run_id ORDER BY ts) AS v0 FROM hist h),
+    u AS (SELECT a.ts, b.r - a.r AS lag FROM (SELECT ts, close / lag(close, 24) OVER (ORDER BY ts) - 1 AS r FROM aligned WHERE symbol = 'click') a
+        JOIN (SELECT ts, close / lag(close, 24) OVER (ORDER BY ts) - 1 AS r FROM aligned WHERE symbol = 'view') b USING (ts))
+    SELECT run_id, ts, peak / v0 - 1 >= 0.01 AND (peak - portfolio_value) / peak <= 0.005 AS gain_near_high,
+        long_green <= 1 AND coalesce(lag, 0) >= 0.1 AS hedge_failure FROM p JOIN u USING (ts)""")
+def _reserve_flags(t: Tables):
+    from pyspark.sql import Window as W
+
+    upto = W.partitionBy("run_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    rows = metrics.with_drawdown(t.history).withColumn("__v0", F.first("portfolio_value").over(upto))
+    lag = ind.relative_strength(t.aligned, "view", "click", 24).select("ts", "underperformance")
+    return rows.join(lag, "ts").select(
+        "run_id", "ts",
+        traffic.gain_near_high(F.col("peak"), F.col("__v0"), F.col("portfolio_value"), 0.01, 0.005).alias("gain_near_high"),
+        traffic.hedge_failure(F.col("long_green") <= 1, F.col("underperformance"), 0.1).alias("hedge_failure"),
+    )
+
+
+@query("hedge_gates", "O-G21", """
+    WITH e AS (SELECT run_id, ts, target_short_fraction AS s, dd, worsening FROM eq),
+    r AS (SELECT a.ts, a.r AS basis, b.r AS short FROM (SELECT ts, close / lag(close, 24) OVER (ORDER BY ts) - 1 AS r FROM aligned WHERE symbol = 'click') a
+        JOIN (SELECT ts, close / lag(close, 24) OVER (ORDER BY ts) - 1 AS r FROM aligned WHERE symbol = 'view') b USING (ts)),
+    g AS (SELECT e.*, s <= 0 OR (dd >= 0.005 AND worsening >= 0.0 AND coalesce(short <= basis - 0.02, FALSE)) AS active FROM e JOIN r USING (ts))
+    SELECT run_id, ts, active AS gate_active, CASE WHEN active THEN s ELSE 0 END AS gated_short FROM g""", doubles="gated_short")
+def _gates_on_hedge(t: Tables):
+    strength = ind.relative_strength(t.aligned, "click", "view", 24).select("ts", "basis_return", "other_return")
+    short = F.col("target_short_fraction")
+    active = (short <= 0) | (
+        traffic.slope_gate(F.col("dd"), F.col("worsening"), 0.005, 0.0)
+        & traffic.strength_gate(F.col("basis_return"), F.col("other_return"), 0.02)
+    )
+    return _equity(t).join(strength, "ts").select(
+        "run_id", "ts", active.alias("gate_active"), F.when(active, short).otherwise(0.0).alias("gated_short")
+    )

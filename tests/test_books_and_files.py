@@ -175,3 +175,16 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
         q.stop()
     assert [(r["open"], r["close"]) for r in got][:3] == [(0.0, 3.0), (4.0, 7.0), (8.0, 11.0)]
     assert len(got) == 7  # bars whose end the watermark (last tick - 2 h) has passed
+
+
+def test_sweep_and_perp_sinks(spark, tmp_path):
+    table = spark.createDataFrame(
+        [("a", "f", True, True, 10.0, 5.0), ("b", "f", False, True, 8.0, 9.0), ("c", "g", False, False, 3.0, 1.0)],
+        "scenario string, family string, valid boolean, near_valid boolean, max_drawdown_pct double, final_sol_equiv double",
+    )
+    files.write_sweep_tables(table, str(tmp_path / "sweep"))
+    count = lambda name: spark.read.option("header", True).csv(str(tmp_path / "sweep" / name)).count()
+    assert [count(n) for n in ("summary", "valid_configs", "near_valid_configs", "family_best")] == [3, 1, 2, 2]
+    files.write_perp_report(table, table.withColumn("run_id", F.col("family")), table.limit(1), str(tmp_path / "perp"))
+    assert spark.read.json(str(tmp_path / "perp" / "summary")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "perp" / "history")).filter("run_id = 'f'").count() == 2
