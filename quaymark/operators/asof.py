@@ -16,6 +16,7 @@ def backward_asof(
     values: Sequence[str],
     ts: str = "ts",
     block: str | None = "day",
+    spread: int = 1,
 ) -> DataFrame:
     """Give each left row the values of the latest right row at or before its ts.
 
@@ -24,9 +25,18 @@ def backward_asof(
     shuffle; nothing is multiplied.  `block` is the time unit that cuts hot keys:
     inside a block a window fills forward, and what enters a block comes from a
     scan over one row per (key, block).  None uses one plain window per key, for
-    keys whose rows have a bound.
+    keys whose rows have a bound.  Where many left rows share both key and block
+    (all accounts look up one price series), `spread` deals them over that many
+    copies of the right side, which must be a small series then.
     """
     keys, values = list(keys), list(values)
+    if spread > 1:
+        others = [c for c in left.columns if c not in keys]
+        left = left.withColumn("__deal", F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int"))
+        right = right.select(
+            *keys, ts, *[v for v in values if v != ts], F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__deal")
+        )
+        return backward_asof(left, right, [*keys, "__deal"], values, ts, block).drop("__deal")
     lcols = [c for c in left.columns if c not in keys and c != ts]
     slot = F.lit(0) if block is None else F.date_trunc(block, F.col("__ts"))
     l_side = left.select(

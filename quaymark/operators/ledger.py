@@ -166,11 +166,12 @@ def signed_deltas(actions: DataFrame) -> DataFrame:
 
 
 def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame,
-                   symbols: Sequence[str]) -> DataFrame:
+                   symbols: Sequence[str], spread: int = 8) -> DataFrame:
     """Account report at each mark time from replayed balances and as-of prices.
 
     `marks`: (account_id, ts).  Each mark joins the ledger of every configured
     asset side as a zero change, so one running sum replays and looks up at once.
+    All accounts then look up the same few price series, dealt over `spread` copies.
     """
     slots = F.array(
         *[
@@ -189,7 +190,7 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
         {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark"))}, _day(),
     )
     held = cut(held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance"))
-    priced = backward_asof(held, prices, ["symbol"], ["price"])
+    priced = backward_asof(held, prices, ["symbol"], ["price"], spread=spread)
     coll = F.col("side") == "collateral"
     terms = priced.join(F.broadcast(market), "symbol").withColumn("value", F.col("balance") * F.col("price"))
     v = F.coalesce(F.col("value"), F.lit(0.0))

@@ -101,15 +101,14 @@ def buy_and_hold_values(history: DataFrame, base_run: str, prices: DataFrame, sy
     )
 
 
-def with_price(history: DataFrame, prices: DataFrame, symbol: str) -> DataFrame:
+def with_price(history: DataFrame, prices: DataFrame, symbol: str, spread: int = 8) -> DataFrame:
     """Attach the as-of price of one symbol as `sol_price`.
 
-    All runs share the symbol as their key; the day blocks of the as-of keep that
-    one key spread over tasks.
+    All runs look up the same short series, so they are dealt over copies of it.
     """
     one = prices.filter(F.col("symbol") == symbol).select("symbol", "ts", F.col("price").alias("sol_price"))
     keyed = history.withColumn("symbol", F.lit(symbol))
-    return backward_asof(keyed, one, ["symbol"], ["sol_price"]).drop("symbol")
+    return backward_asof(keyed, one, ["symbol"], ["sol_price"], spread=spread).drop("symbol")
 
 
 def temperature(priced: DataFrame) -> DataFrame:

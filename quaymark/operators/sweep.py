@@ -97,7 +97,7 @@ def against_benchmark(results: DataFrame, benchmark: DataFrame, acceptable: floa
 
     Gaps are taken to nine digits, so a run that equals the benchmark has none.
     """
-    rows = results.join(F.broadcast(benchmark), "symbol")
+    rows = results.join(benchmark, "symbol")
     rows = rows.withColumns(
         {
             "tracking_gap_pct": F.round(F.col("total_return_pct") - F.col("benchmark_return_pct"), 9),
@@ -131,7 +131,7 @@ def final_positions(history: DataFrame, positions: DataFrame,
         F.max_by("portfolio_value", "ts").alias("final_portfolio_value_usd"),
         F.max_by("price", "ts").alias("__price"),
     )
-    legs = positions.join(F.broadcast(last.select("run_id", "ts")), ["run_id", "ts"]).groupBy("run_id")
+    legs = positions.join(last.select("run_id", "ts"), ["run_id", "ts"]).groupBy("run_id")
     pick = lambda side, s, c: F.coalesce(
         F.max(F.when((F.col("side") == side) & (F.col("symbol") == s), F.col(c))), F.lit(0.0)
     )

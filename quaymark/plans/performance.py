@@ -118,9 +118,14 @@ define("episodes", """
     WHERE e.trough_value < e.peak_value AND (e.peak_value - e.trough_value) / e.peak_value * 100 >= 2""")
 
 
-@query("drawdown_episodes", "O-M9", "SELECT * FROM episodes", doubles="peak_value trough_value drawdown_pct")
+@query("drawdown_episodes", "O-M9", "SELECT * FROM episodes",
+       doubles="peak_value trough_value drawdown_pct half_recovery_bars new_high_bars")
 def _episodes(t: Tables):
-    return m.drawdown_episodes(m.indexed(t.history), 2.0)
+    # Nullable counts travel as doubles, which every client reads alike.
+    number = lambda c: F.col(c).cast("double")
+    return m.drawdown_episodes(m.indexed(t.history), 2.0).withColumns(
+        {c: number(c) for c in ("half_recovery_bars", "new_high_bars")}
+    )
 
 
 @query("episode_summary", "O-M10", """

@@ -33,7 +33,7 @@ def read_candles(spark: SparkSession, pattern: str, latest_file_only: bool = Fal
     rows = rows.withColumn("symbol", F.regexp_extract("path", r"([A-Za-z0-9]+)_USDT_[^/]*\.csv$", 1))
     if latest_file_only:
         last = rows.groupBy("symbol").agg(F.max("path").alias("path"))
-        rows = rows.join(F.broadcast(last), ["symbol", "path"])
+        rows = rows.join(last, ["symbol", "path"])
     return rows.select(
         "symbol", F.col("timestamp").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume"
     )
@@ -64,7 +64,7 @@ def attach_marks(rows: DataFrame, marks: DataFrame, keys: Sequence[str] = ()) ->
     if keys:
         return backward_asof(rows, marks, keys, ["mark_price"])
     one = lambda df: df.withColumn("__one", F.lit(1))
-    return backward_asof(one(rows), one(marks), ["__one"], ["mark_price"]).drop("__one")
+    return backward_asof(one(rows), one(marks), ["__one"], ["mark_price"], spread=8).drop("__one")
 
 
 def read_accounts(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
