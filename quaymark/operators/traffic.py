@@ -50,18 +50,25 @@ def rank_symbols(greens: DataFrame, symbols: Sequence[str], keep_greens: bool =
     `keep_greens` adds the counts of all symbols (a configured handful) as an
     array of (green, symbol).
     """
-    place = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol"))
-    # One number orders by votes, then place; a struct would force a sort-based aggregate.
-    step = F.col("green") * (len(symbols) + 1)
-    up, down = step - place, step + place
+    n = len(symbols)
+    names = F.array(*[F.lit(s) for s in symbols])
+    place = F.array_position(names, F.col("symbol"))
+    # Votes and place packed into one integer: extremes stay a hash aggregate.
+    step = F.col("green") * (n + 1)
     extra = [F.collect_list(F.struct("green", "symbol")).alias("greens")] if keep_greens else []
-    return greens.groupBy("ts").agg(
-        F.max_by("symbol", up).alias("strongest"),
-        F.max("green").alias("strongest_green"),
-        F.min_by("symbol", down).alias("weakest"),
-        F.min("green").alias("weakest_green"),
-        *extra,
+    packed = greens.groupBy("ts").agg(
+        F.max(step + (n - place)).alias("__top"), F.min(step + place).alias("__low"), *extra
     )
+    rest = lambda c: F.pmod(F.col(c), F.lit(n + 1)).cast("int")
+    votes = lambda c: F.floor(F.col(c) / (n + 1))
+    return packed.withColumns(
+        {
+            "strongest": F.element_at(names, F.lit(n) - rest("__top")),
+            "strongest_green": votes("__top"),
+            "weakest": F.element_at(names, rest("__low")),
+            "weakest_green": votes("__low"),
+        }
+    ).drop("__top", "__low")
 
 
 def select_legs(ranked: DataFrame, min_long: int, max_short: int) -> DataFrame:
