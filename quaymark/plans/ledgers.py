@@ -10,7 +10,6 @@ from quaymark.plans.ctes import define
 from quaymark.plans.registry import query
 from quaymark.sources.tables import Tables
 
-DEBT_APY = {"SOL": 0.0, "USDC": 0.08, "ETH": 0.04, "XYZ": 0.0}
 
 define("bal", """SELECT *, sum(delta) OVER (PARTITION BY account_id, side, symbol ORDER BY ts, action_no) AS balance FROM (
         SELECT *, CASE WHEN type LIKE '%collateral' THEN 'collateral' ELSE 'debt' END AS side,

@@ -97,7 +97,7 @@ def read_accounts(spark: SparkSession, path: str, multi_line: bool = False) -> t
     return positions, actions
 
 
-def _reports(spark: SparkSession, pattern: str, schema: str, report_level: int = 1) -> DataFrame:
+def _reports(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """CSVs of all report folders, or an empty frame with the schema where none exist."""
     wanted = spark.createDataFrame([], schema).schema
     try:
