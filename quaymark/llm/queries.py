@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, packing, sharding, token_counts
+from quaymark.llm import chat, decontaminate, packing, sharding, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op2_sharding(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, root: str) -> DataFrame:
+    return trie_join.similar_groups(table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    rows = decontaminate.verdicts(decontaminate.found(docs, table(spark, root, "benchmark")))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), "contaminated")
+
+
 def op9_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, root, "documents"))
 
@@ -39,6 +49,8 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op6_ngram_join": op6_ngram_join,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }

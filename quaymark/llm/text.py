@@ -131,15 +131,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def copies_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id, text and copy: 0, or the number among rows that share an id (ordered by text).
+def copies_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Columns doc_id, text and copy (whole: all columns and __copy) that make (id, copy) a key of rows.
 
-    Ids are unique in sound tables, and then no text is shuffled.  Rows equal in id and text
-    get different numbers, so that (doc_id, copy) is a key of rows.
+    copy is 0, or the number among rows that share an id, ordered by text.  Ids are unique in
+    sound tables, and then no text is shuffled.  Null ids count as one repeated id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return docs.withColumn("copy", F.lit(0))
-    within = Window.partitionBy("doc_id").orderBy("text")
-    return stored(docs.withColumn("copy", F.row_number().over(within) - 1), "numbered")
+    ident = F.col(id_col).cast("long")
+    repeated = docs.groupBy(ident.alias("i")).count().filter("count > 1").limit(1).count()
+    copy = (F.row_number().over(Window.partitionBy(ident).orderBy(text_col)) - 1) if repeated else F.lit(0)
+    if whole:
+        docs = docs.withColumn("__copy", copy)
+    else:
+        docs = docs.select(ident.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), copy.alias("copy"))
+    return stored(docs, "numbered") if repeated else docs
