@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, decontaminate, packing, sharding, token_counts, trie_join
+from quaymark.llm import chat, decontaminate, packing, sharding, suffixes, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_sharding(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.removed(table(spark, root, "documents"), with_kept=False)
+
+
 def op6_ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return trie_join.similar_groups(table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -49,6 +53,7 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
