@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, decontaminate, packing, sharding, suffixes, token_counts, trie_join
+from quaymark.llm import chat, convnet, decontaminate, packing, sharding, spherical_caps, suffixes, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op2_sharding(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return spherical_caps.near_duplicates(table(spark, root, "embeddings"))
+
+
+def op4_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return convnet.classified(docs, table(spark, root, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffixes.removed(table(spark, root, "documents"), with_kept=False)
 
@@ -53,6 +62,8 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op8_decontamination": op8_decontamination,
