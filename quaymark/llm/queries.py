@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, convnet, decontaminate, packing, sharding, spherical_caps, suffixes, token_counts, trie_join
+from quaymark.llm import chat, convnet, decontaminate, katz, packing, sharding, spherical_caps, suffixes, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_ngram_join(spark: SparkSession, root: str) -> DataFrame:
     return trie_join.similar_groups(table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_katz(spark: SparkSession, root: str) -> DataFrame:
+    return katz.scored(table(spark, root, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     rows = decontaminate.verdicts(decontaminate.found(docs, table(spark, root, "benchmark")))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_katz": op7_katz,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
