@@ -174,8 +174,8 @@ def sorted_out(rows: DataFrame) -> DataFrame:
             if opener is not None and (further & (first < 0)).any():
                 extra, opener = [opener], None
             pick = np.flatnonzero(further | several | ~new_kind)
-            out = [np.concatenate([[x[k] for x in extra], c[pick]]).astype(np.int64) for k, c in enumerate((gram, doc, place))]
-            whole = np.concatenate([[False] * len(extra), ~new_kind[pick]]).astype(bool)
+            out = [np.concatenate([np.array([x[k] for x in extra], np.int64), c[pick]]) for k, c in enumerate((gram, doc, place))]
+            whole = np.concatenate([np.zeros(len(extra), bool), ~new_kind[pick]])
             before = (gram[-1], segment[-1])
             if first[-1] >= 0:
                 f = first[-1]
