@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm import convnet, decontaminate, packing, suffixes, trie_join
-from quaymark.llm.text import checkpoint_root
+from quaymark.session import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each writes Parquet to the shared folder, and the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name.replace(' ', '-')}"
         stage(spark, docs, sf_dir).write.parquet(path)

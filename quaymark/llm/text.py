@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quaymark.session import checkpoint_folder
+
 #: Bytes and rows of one Arrow batch: bounds a Python worker's memory whatever the partition size.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 4000
 
@@ -115,18 +117,10 @@ def take(batch: pa.RecordBatch, names: list[str], rows: np.ndarray) -> list[pa.A
     return [batch.column(batch.schema.get_field_index(n)).take(at) for n in names]
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; the session's checkpoint folder where set by call."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
