@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,11 +22,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only where none is named."""
+    """The checkpoint folder of the session, which driver and executors share.
+
+    Where neither the session nor `spark.checkpoint.dir` names one, a temporary folder serves, but
+    only where all tasks run on this machine.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(current)
     return current
 
