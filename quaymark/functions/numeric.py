@@ -32,6 +32,12 @@ def clip(c: Column, lo: Column | float | None = None, hi: Column | float | None
     return F.when(c.isNotNull(), out)
 
 
+def significant(c: Column, digits: int) -> Column:
+    """Round to so many significant digits."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(c))))
+    return F.when(c != 0, F.round(c * scale) / scale).otherwise(c)
+
+
 def sign(c: Column) -> Column:
     return F.when(c > 0, 1).when(c < 0, -1).otherwise(0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join where null equals null; the columns of `on` come from the left side."""
+    renamed = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on])
+    return left.join(renamed, same, "left").drop(*[f"__on_{c}" for c in on])
+
+
 def backward_asof(
     left: DataFrame,
     right: DataFrame,
@@ -21,7 +29,8 @@ def backward_asof(
     """Give each left row the values of the latest right row at or before its ts.
 
     The latest row counts even where its value is null: values travel inside a
-    struct, and only a missing row leaves null.  Both sides go through one
+    struct, and only a missing row leaves null.  Left rows with a null key or ts
+    stay and find nothing; right rows with one are never found.  Both sides go through one
     shuffle; nothing is multiplied.  `block` is the time unit that cuts hot keys:
     inside a block a window fills forward, and what enters a block comes from a
     scan over one row per (key, block).  None uses one plain window per key, for
@@ -42,7 +51,7 @@ def backward_asof(
     l_side = left.select(
         *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), *[F.col(c).alias(f"__l_{c}") for c in lcols]
     )
-    r_side = right.select(
+    r_side = right.dropna(subset=[*keys, ts]).select(
         *keys, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), *[F.col(v).alias(f"__r_{v}") for v in values]
     )
     both = l_side.unionByName(r_side, allowMissingColumns=True).withColumn("__block", slot)
@@ -60,7 +69,7 @@ def backward_asof(
         earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
         last = F.when(F.col("__at").isNotNull(), F.struct(*values))
         entry = totals.select(*keys, "__block", F.last(last, ignorenulls=True).over(earlier).alias("__entry"))
-        filled = filled.join(entry, [*keys, "__block"]).withColumn("__seen", F.coalesce("__seen", "__entry"))
+        filled = join_null_safe(filled, entry, [*keys, "__block"]).withColumn("__seen", F.coalesce("__seen", "__entry"))
     return filled.select(
         *keys,
         F.col("__ts").alias(ts),
@@ -93,6 +102,14 @@ def align_symbols(bars: DataFrame, symbols: Sequence[str]) -> DataFrame:
     return filled.withColumn("__ok", complete).filter("__ok").drop("__ok")
 
 
+def join_overlap(prices: DataFrame, signals: DataFrame, on: Sequence[str] = ("ts",)) -> DataFrame:
+    """Rows that prices and signals share; raises where they share none (one row is looked for)."""
+    both = prices.join(signals, list(on))
+    if not both.limit(1).count():
+        raise ValueError("prices and signals do not overlap")
+    return both
+
+
 def interval_rows(df: DataFrame, ts: str, intervals: Sequence[tuple[str, str | None, str | None]],
                   name: str) -> DataFrame:
     """Repeat each row for every named interval that holds its ts.
@@ -132,7 +149,7 @@ def tier_of(amount: Column, tiers: Column) -> Column:
 
 def enrich(rows: DataFrame, dim: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Attach a small dimension; rows whose key it lacks get the defaults."""
-    joined = rows.join(F.broadcast(dim), key, "left")
+    joined = rows.join(dim, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 

@@ -116,26 +116,32 @@ def on_base_bars(
 ) -> DataFrame:
     """Show each base bar the newest candle that was closed at its time.
 
-    `candles` holds every candle of the same bars with its computed columns and
+    `candles` holds the candles of the same bars with their computed columns and
     `values` maps a column to the default used before any candle is closed.  A
-    base bar always lies in an existing candle, so the as-of lookup becomes an
-    equality on (symbol, tf, label): the visible row is the predecessor of that
-    candle, or the one before while a week's label still lies ahead.  `by` names
-    further series keys of the candles (a parameter set); each base bar then
-    repeats per key.
+    candle closes at the label of the next one.  So a base bar sees the candle
+    before its own, or the one before that while its own label still lies ahead
+    (weeks) or its own candle was dropped as incomplete.  That makes the as-of
+    lookup an equality on (symbol, tf, label), once dropped candles have a slot.
+    `by` names further series keys of the candles (a parameter set); each base
+    bar then repeats per key.
     """
-    w = W.partitionBy("symbol", "tf", *by).orderBy("label")
-    previous = candles.select(
-        "symbol", "tf", "label", *by,
-        *[F.lag(c, 1).over(w).alias(f"__1_{c}") for c in values],
-        *[F.lag(c, 2).over(w).alias(f"__2_{c}") for c in values],
-    )
+    series = ["symbol", "tf", *by]
+    w = W.partitionBy(*series).orderBy("label")
+    now = candles.select(*series, "label", F.struct(*values).alias("__now"))
     base = _slotted(bars.select("symbol", "ts", *carry), frames)
-    reached = F.col("label") <= F.col("ts")
-    return base.join(previous, ["symbol", "tf", "label"], "left").select(
+    dropped = base.select("symbol", "tf", "label").distinct().join(now, ["symbol", "tf", "label"], "left_anti")
+    if by:
+        dropped = dropped.join(candles.select(*series).distinct(), ["symbol", "tf"])
+    held = now.withColumn("__held", F.struct("__now", F.lag("__now").over(w).alias("__before"))).drop("__now")
+    upto = w.rowsBetween(W.unboundedPreceding, -1)
+    slots = held.unionByName(dropped, allowMissingColumns=True).select(
+        *series, "label", F.col("__held").isNotNull().alias("__whole"), F.last("__held", ignorenulls=True).over(upto).alias("__seen")
+    )
+    closed = F.col("__whole") & (F.col("label") <= F.col("ts"))
+    return base.join(slots, ["symbol", "tf", "label"], "left").select(
         "symbol", "ts", "tf", *by, *carry,
         *[
-            F.coalesce(F.when(reached, F.col(f"__1_{c}")).otherwise(F.col(f"__2_{c}")), d).alias(c)
+            F.coalesce(F.when(closed, F.col(f"__seen.__now.{c}")).otherwise(F.col(f"__seen.__before.{c}")), d).alias(c)
             for c, d in values.items()
         ],
     )

@@ -10,12 +10,14 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quaymark.functions.numeric import is_finite, ratio
+from quaymark.functions.numeric import is_finite, ratio, significant
 from quaymark.operators.scan import _extended, _starts
 
 CANDLE_KEYS = ("symbol", "tf")
@@ -100,9 +102,10 @@ def trend_states(candles: DataFrame, specs: Sequence[TrendSpec], spans: Sequence
     """Supertrend direction per candle and spec, and EMAs of the close.
 
     Both recurrences are nonlinear or seeded, so they run in one streaming pass
-    over co-located, sorted candles.  The pass carries a few numbers between
-    Arrow batches, so memory does not grow with the series, and series are
-    spread over (symbol, timeframe, spec).
+    over co-located, sorted candles.  The pass carries one number per spec and
+    band between Arrow batches, so memory does not grow with the series, and
+    all specs of a candle step together: a candle travels once, and rows per
+    spec are only made from its result.
     """
     spans = sorted(set(spans))
     with_ranges = with_atr(candles.repartition(*CANDLE_KEYS), [s.atr for s in specs])
@@ -115,37 +118,35 @@ def trend_states(candles: DataFrame, specs: Sequence[TrendSpec], spans: Sequence
             F.lit(s.atr).alias("atr_n"),
         )
         slots.append(slot if s.tf is None else F.when(F.col("tf") == s.tf, slot))
-    rows = with_ranges.select(
-        "*", F.inline(F.filter(F.array(*slots), lambda x: x.isNotNull()))
-    ).drop(*[f"atr_{n}" for n in {s.atr for s in specs}])
-    keys = [*CANDLE_KEYS, "spec"]
-    placed = rows.repartition(*keys) if len(specs) > 8 else rows
-    ordered = placed.sortWithinPartitions(*keys, "label")
-    fields = [("bull", "boolean"), *[(f"ema_{n}", "double") for n in spans]]
+    rows = with_ranges.withColumn("__slots", F.filter(F.array(*slots), lambda x: x.isNotNull()))
+    rows = rows.drop(*[f"atr_{n}" for n in {s.atr for s in specs}])
+    reach = F.transform("__slots", lambda x: F.coalesce(x["mult"] * x["atr"], F.lit(float("nan"))))
+    ordered = rows.withColumn("__reach", reach).sortWithinPartitions(*CANDLE_KEYS, "label")
+    keys = list(CANDLE_KEYS)
+    passed = ordered.drop("__slots").columns
+    fields = [("__reach", T.ArrayType(T.DoubleType())), ("__bull", T.ArrayType(T.BooleanType())), *[(f"ema_{n}", "double") for n in spans]]
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = [2.0 / (n + 1.0) for n in spans]
-        last, bull, upper, lower, before = None, True, None, None, None
+        last, bull, upper, lower, before = None, None, None, None, math.nan
         means: list[float] = []
         for pdf in batches:
             if not len(pdf):
                 continue
             flags, last = _starts(pdf, keys, last)
-            mid = ((pdf["high"] + pdf["low"]) / 2.0).tolist()
-            reach = (pdf["mult"] * pdf["atr"]).astype(float).tolist()
+            mids = ((pdf["high"] + pdf["low"]) / 2.0).tolist()
             bulls, emas = [], []
-            for new, m, r, close in zip(flags, mid, reach, pdf["close"].tolist()):
+            for new, m, r, close in zip(flags, mids, pdf["__reach"].tolist(), pdf["close"].tolist()):
+                r = np.asarray(r, dtype=float)
                 if new:
-                    upper = lower = before = None
-                if math.isnan(r):
-                    bull, upper, lower = True, None, None
-                elif upper is None:
-                    bull, upper, lower = True, m + r, m - r
-                else:
-                    # A band only tightens while the previous close stayed inside it.
-                    upper = upper if before <= upper <= m + r else m + r
-                    lower = lower if m - r <= lower <= before else m - r
-                    bull = close >= lower if bull else close > upper
+                    upper = lower = np.full(len(r), math.nan)
+                    bull, before = np.ones(len(r), dtype=bool), math.nan
+                # A band only tightens while the previous close stayed inside it.
+                high, low = m + r, m - r
+                fresh = np.isnan(upper) | np.isnan(r)
+                upper = np.where((before <= upper) & (upper <= high), upper, high)
+                lower = np.where((low <= lower) & (lower <= before), lower, low)
+                bull = fresh | np.where(bull, close >= lower, close > upper)
                 before = close
                 bulls.append(bull)
                 if spans:
@@ -156,9 +157,19 @@ def trend_states(candles: DataFrame, specs: Sequence[TrendSpec], spans: Sequence
                     )
                     emas.append(means)
             extra = {f"ema_{n}": [e[i] for e in emas] for i, n in enumerate(spans)}
-            yield pdf.assign(bull=bulls, **extra)
-
-    return ordered.mapInPandas(walk, _extended(ordered, *fields))
+            yield pdf.assign(__bull=bulls, **extra)
+
+    # The slots stay out of the pass: they follow from the candle's own columns.
+    named = [F.struct(F.lit(s.spec).alias("spec"), F.lit(float(s.mult)).alias("mult"), F.lit(s.atr).alias("atr_n")) for s in specs]
+    named = [n if s.tf is None else F.when(F.col("tf") == s.tf, n) for n, s in zip(named, specs)]
+    candle = ordered.select(*passed)
+    walked = candle.mapInPandas(walk, _extended(candle.drop("__reach"), *fields))
+    per_spec = F.arrays_zip(F.filter(F.array(*named), lambda x: x.isNotNull()).alias("n"), F.col("__reach").alias("r"), F.col("__bull").alias("b"))
+    kept = [c for c in walked.columns if not c.startswith("__")]
+    out = walked.select(*kept, F.explode(per_spec).alias("__s"))
+    return out.select(
+        *kept, "__s.n.spec", (F.col("__s.r") / F.col("__s.n.mult")).alias("atr"), "__s.n.mult", "__s.n.atr_n", F.col("__s.b").alias("bull")
+    )
 
 
 def returns(keys: Sequence[str] = ("symbol",), order: str = "ts", value: str = "close") -> Column:
@@ -186,10 +197,10 @@ def percentile_rank(value: str, n: int, least: int, keys: Sequence[str] = ("symb
                     order: str = "ts") -> Column:
     """Share of the last n values at or below this one, ties at their mean rank.
 
-    Values are compared at 12 digits, so that equal windows tie whatever the
-    order their deviations were summed in.
+    Values are compared at 12 significant digits, so that equal windows tie
+    whatever the order their deviations were summed in, and small values stay apart.
     """
-    own = F.round(F.col(value), 12)
+    own = significant(F.col(value), 12)
     seen = F.collect_list(own).over(_tail(keys, order, n))
     below = F.size(F.filter(seen, lambda x: x < own))
     same = F.size(F.filter(seen, lambda x: x == own))

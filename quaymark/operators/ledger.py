@@ -13,22 +13,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import ratio
-from quaymark.operators.asof import backward_asof
+from quaymark.operators.asof import backward_asof, enrich
 from quaymark.operators.risk import report_columns, signed_amount, verb_side
 from quaymark.operators.scan import affine, cut, floored, running, time_block
 
 ORDER = ("ts", "action_no")
 HOURS_PER_YEAR = 8760.0
-DUST = 1e-9
+#: Share of what a key has moved so far that counts as nothing.
+DUST = 1e-12
 
 
 def _day() -> Column:
     return time_block("ts", "day")
 
 
-def _snap(c: Column) -> Column:
-    """Amounts below dust are zero: sums of the same numbers differ in the last bit."""
-    return F.when(F.abs(c) < DUST, 0.0).otherwise(c)
+def _snap(c: Column, gross: str) -> Column:
+    """Zero where nothing but rounding is left of the amounts moved so far."""
+    return F.when(F.abs(c) <= DUST * F.col(gross), 0.0).otherwise(c)
 
 
 def balances(actions: DataFrame, block: Column | None = None) -> DataFrame:
@@ -73,8 +74,8 @@ def staking_yield(rows: DataFrame, keys: Sequence[str], apy: Column, hours_per_b
 def floored_cash(flows: DataFrame, keys: Sequence[str], flow: str, out: str = "cash_reserve",
                  block: Column | None = None) -> DataFrame:
     """Running cash that never falls below zero."""
-    rows = floored(flows, keys, ORDER, F.col(flow), "__level", block=_day() if block is None else block)
-    return rows.withColumn(out, _snap(F.col("__level"))).drop("__level")
+    rows = floored(flows, keys, ORDER, F.col(flow), "__level", block=_day() if block is None else block, gross="__gross")
+    return rows.withColumn(out, _snap(F.col("__level"), "__gross")).drop("__level", "__gross")
 
 
 def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], need: str, budget: Column,
@@ -97,8 +98,8 @@ def short_ledger(trades: DataFrame, protected: float = 0.25, block: Column | Non
     block = _day() if block is None else block
     amount = F.col("amount")
     change = F.when(F.col("is_open"), amount).otherwise(-amount)
-    rows = floored(trades, keys, ORDER, change, "open_amount", "__open0", block)
-    rows = rows.withColumns({"open_amount": _snap(F.col("open_amount")), "__open0": _snap(F.col("__open0"))})
+    rows = floored(trades, keys, ORDER, change, "open_amount", "__open0", block, "__gross")
+    rows = rows.withColumns({c: _snap(F.col(c), "__gross") for c in ("open_amount", "__open0")}).drop("__gross")
     covered = F.when(F.col("is_open"), 0.0).otherwise(F.least(amount, F.col("__open0")))
     rows = cut(rows.withColumn("covered", covered))
     keep = ratio(F.col("open_amount"), F.col("__open0"), 0.0)
@@ -138,16 +139,16 @@ def perp_entries(trades: DataFrame, block: Column | None = None) -> DataFrame:
     block = _day() if block is None else block
     dq, price = F.col("delta_quantity"), F.col("price")
     rows = running(
-        trades, keys, ORDER, {"__q0": ("sum", dq), "__p0": ("last", price)}, block, exclusive=True
+        trades, keys, ORDER, {"__q0": ("sum", dq), "__g0": ("sum", F.abs(dq)), "__p0": ("last", price)}, block, exclusive=True
     )
-    rows = rows.withColumn("__q0", _snap(F.col("__q0")))
+    rows = rows.withColumn("__q0", _snap(F.col("__q0"), "__g0")).withColumn("__g1", F.col("__g0") + F.abs(dq))
     rows = cut(
         rows.withColumns(
             {
-                "quantity": _snap(F.col("__q0") + dq),
+                "quantity": _snap(F.col("__q0") + dq, "__g1"),
                 "pnl": F.coalesce(F.col("__q0") * (price - F.col("__p0")), F.lit(0.0)),
             }
-        ).drop("__p0")
+        ).drop("__p0", "__g0", "__g1")
     )
     q0, q = F.col("__q0"), F.col("quantity")
     fresh = (q0 * q) <= 0
@@ -166,24 +167,18 @@ def signed_deltas(actions: DataFrame) -> DataFrame:
 
 
 def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame,
-                   symbols: Sequence[str], spread: int = 8) -> DataFrame:
+                   spread: int = 8) -> DataFrame:
     """Account report at each mark time from replayed balances and as-of prices.
 
-    `marks`: (account_id, ts).  Each mark joins the ledger of every configured
-    asset side as a zero change, so one running sum replays and looks up at once.
-    All accounts then look up the same few price series, dealt over `spread` copies.
+    `marks`: (account_id, ts).  Each mark joins the ledger of every asset side
+    that its account ever moved as a zero change, so one running sum replays and
+    looks up at once.  Assets that the market lacks have no loan value, no
+    threshold and a borrow factor of 1; without a price they are worth nothing.
+    All accounts then look up the same price series, dealt over `spread` copies.
     """
-    slots = F.array(
-        *[
-            F.struct(F.lit(side).alias("side"), F.lit(s).alias("symbol"))
-            for side in ("collateral", "debt")
-            for s in symbols
-        ]
-    )
     keys = ["account_id", "side", "symbol"]
-    grid = marks.select("account_id", "ts", F.inline(slots)).select(
-        *keys, "ts", F.lit(1).alias("__mark"), F.lit(0.0).alias("delta")
-    )
+    slots = deltas.select(*keys).distinct()
+    grid = marks.join(slots, "account_id").select(*keys, "ts", F.lit(1).alias("__mark"), F.lit(0.0).alias("delta"))
     moves = deltas.select(*keys, "ts", F.lit(0).alias("__mark"), "delta")
     held = running(
         moves.unionByName(grid), keys, ["ts", "__mark"],
@@ -192,7 +187,8 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
     held = cut(held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance"))
     priced = backward_asof(held, prices, ["symbol"], ["price"], spread=spread)
     coll = F.col("side") == "collateral"
-    terms = priced.join(F.broadcast(market), "symbol").withColumn("value", F.col("balance") * F.col("price"))
+    unknown = {"m_ltv": 0.0, "m_threshold": 0.0, "m_borrow_factor": 1.0}
+    terms = enrich(priced, market, "symbol", unknown).withColumn("value", F.col("balance") * F.col("price"))
     v = F.coalesce(F.col("value"), F.lit(0.0))
     report = terms.groupBy("account_id", "ts").agg(
         F.sum(F.when(coll, v).otherwise(0.0)).alias("collateral_value"),

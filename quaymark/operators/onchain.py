@@ -96,8 +96,11 @@ def obligation_slots(obligations: DataFrame) -> DataFrame:
 
 
 def slot_positions(slots: DataFrame, table: DataFrame) -> DataFrame:
-    """Slots joined with reserves: deposits go through the exchange rate, borrows are scaled."""
-    rows = slots.filter("raw > 0").join(table, "reserve")
+    """Slots joined with reserves: deposits go through the exchange rate, borrows are scaled.
+
+    Slots of an unknown reserve stay, with null symbol, price and deposited amount.
+    """
+    rows = slots.filter("raw > 0").join(table, "reserve", "left")
     deposited = from_raw(F.col("raw").cast("double") * F.col("exchange_rate"), F.col("decimals"))
     owed = from_raw(from_sf(F.col("raw")), F.col("decimals"))
     coll = F.col("side") == "collateral"

@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import INF, ratio
+from quaymark.operators.asof import enrich
 from quaymark.operators.scan import price_block, running
 
 PAIR_KEY = ("pair", "bid_ex", "ask_ex")
+#: Of exchanges that the fee table lacks.
+NO_FEES = {"maker": 0.0, "taker": 0.0}
 
 
 def explode_books(books: DataFrame) -> DataFrame:
@@ -23,8 +26,8 @@ def explode_books(books: DataFrame) -> DataFrame:
 
 
 def with_fees(levels: DataFrame, fees: DataFrame) -> DataFrame:
-    """Add the price after fees next to the raw one: asks pay maker, bids pay taker."""
-    rows = levels.join(F.broadcast(fees.select("exchange", "maker", "taker")), "exchange")
+    """Add the price after fees next to the raw one: asks pay maker, bids pay taker; no fees where none are listed."""
+    rows = enrich(levels, fees.select("exchange", "maker", "taker"), "exchange", NO_FEES)
     net = F.when(F.col("side") == "ask", F.col("price") * (1.0 + F.abs("maker"))).otherwise(
         F.col("price") * (1.0 - F.abs("taker"))
     )
@@ -45,7 +48,7 @@ def quotes(levels: DataFrame, fees: DataFrame) -> DataFrame:
     best = levels.groupBy("pair", "exchange").agg(
         F.max(F.when(bid, F.col("price"))).alias("bid"), F.min(F.when(ask, F.col("price"))).alias("ask")
     )
-    return best.join(F.broadcast(fees.select("exchange", "maker", "taker")), "exchange").select(
+    return enrich(best, fees.select("exchange", "maker", "taker"), "exchange", NO_FEES).select(
         "pair", "exchange", "bid", "ask",
         (F.col("bid") * (1.0 - F.abs("taker"))).alias("net_bid"),
         (F.col("ask") * (1.0 + F.abs("maker"))).alias("net_ask"),

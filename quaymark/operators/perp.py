@@ -36,7 +36,8 @@ def venues(spark) -> DataFrame:
 
 
 def with_venue(rows: DataFrame, venue_dim: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(venue_dim), "venue")
+    """Attach the venue; one that isn't listed leaves its columns, and so the margins, null."""
+    return rows.join(venue_dim, "venue", "left")
 
 
 def funding_flow(close_notional: Column, mark_notional: Column, rate: Column, default: float = 0.0,

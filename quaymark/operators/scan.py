@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaymark.operators.asof import join_null_safe
+
 BLOCK = "__block"
 
 
@@ -76,7 +78,7 @@ def running(
         return out
 
     blocked = df.withColumn(BLOCK, block)
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    rank = F.struct(*order)  # not null where the order is
     totals = []
     for name, (kind, expr) in values.items():
         if kind == "last":
@@ -103,7 +105,7 @@ def running(
         "*",
         *[_LOCAL[kind](expr).over(inside).alias(f"__l_{name}") for name, (kind, expr) in values.items()],
     )
-    joined = local.join(carry, [*keys, BLOCK], "left")
+    joined = join_null_safe(local, carry, [*keys, BLOCK])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
@@ -121,9 +123,12 @@ def floored(
     out: str,
     prev: str | None = None,
     block: Column | None = None,
+    gross: str | None = None,
 ) -> DataFrame:
     """Add the running level max(level + flow, 0) along each key; `prev` is the level before.
 
+    `gross` names a column for the running sum of the flows' sizes.
+
     The level is the running sum minus its lowest point so far (at most 0).  A
     block is summed up by its total and its lowest prefix, which compose, so this
     is one blocked scan and not a sum followed by a minimum.
@@ -132,19 +137,23 @@ def floored(
     rows = df.withColumns({"__x": flow, BLOCK: F.lit(0) if block is None else block})
     inside = W.partitionBy(*keys, BLOCK).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("__s", F.sum("__x").over(upto))
-    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("__x").alias("__total"), F.min("__s").alias("__low"))
+    size = F.abs("__x")
+    rows = rows.withColumns({"__s": F.sum("__x").over(upto), "__g": F.sum(size).over(upto)})
+    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("__x").alias("__total"), F.sum(size).alias("__size"), F.min("__s").alias("__low"))
     before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    entry = totals.withColumn("__p0", F.coalesce(F.sum("__total").over(before), F.lit(0.0)))
+    entry = totals.withColumns(
+        {f"__{n}0": F.coalesce(F.sum(c).over(before), F.lit(0.0)) for n, c in (("p", "__total"), ("g", "__size"))}
+    )
     entry = entry.select(
-        *keys, BLOCK, "__p0", F.min(F.col("__p0") + F.col("__low")).over(before).alias("__m0")
+        *keys, BLOCK, "__p0", "__g0", F.min(F.col("__p0") + F.col("__low")).over(before).alias("__m0")
     )
     local = rows.withColumns(
         {
             "__m": F.min("__s").over(upto),
             "__mp": F.min("__s").over(inside.rowsBetween(W.unboundedPreceding, -1)),
         }
-    ).join(entry, [*keys, BLOCK])
+    )
+    local = join_null_safe(local, entry, [*keys, BLOCK])
     zero = F.lit(0.0)
     now = F.col("__p0") + F.col("__s")
     low = F.least(zero, F.col("__m0"), F.col("__p0") + F.col("__m"))
@@ -152,6 +161,8 @@ def floored(
     cols = [(now - low).alias(out)]
     if prev is not None:
         cols.append((now - F.col("__x") - low_before).alias(prev))
+    if gross is not None:
+        cols.append((F.col("__g0") + F.col("__g")).alias(gross))
     return local.select(*df.columns, *cols)
 
 
@@ -169,13 +180,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _starts(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple[list[bool], tuple]:
-    """Flag the first row of every key run in a sorted batch; also the final key."""
+    """Flag the first row of every key run in a sorted batch; also the final key.
+
+    Missing values are one key.
+    """
     flags = np.zeros(len(pdf), dtype=bool)
     for k in keys:
-        values = pdf[k].to_numpy()
-        flags[1:] |= values[1:] != values[:-1]
-    flags[0] = last is None or tuple(pdf[k].iloc[0] for k in keys) != last
-    return flags.tolist(), tuple(pdf[k].iloc[-1] for k in keys)
+        values, missing = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        flags[1:] |= (values[1:] != values[:-1]) & ~(missing[1:] & missing[:-1])
+    key = lambda i: tuple(None if pd.isna(v := pdf[k].iloc[i]) else v for k in keys)
+    flags[0] = last is None or key(0) != last
+    return flags.tolist(), key(-1)
 
 
 def sorted_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -186,7 +201,7 @@ def sorted_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def _extended(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+def _extended(df: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructType:
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fields:
         schema = schema.add(name, kind)
@@ -227,12 +242,13 @@ def affine(
                 if not len(pdf):
                     continue
                 flags, _ = _starts(pdf, group, current)
+                empty = {k: pdf[k].isna().tolist() for k in group}
                 done = []
                 for i, (new, av, bv) in enumerate(zip(flags, pdf["__a"].tolist(), pdf["__b"].tolist())):
                     if new:
                         if current is not None:
                             done.append((*current, scale, shift))
-                        current = tuple(pdf[k].iloc[i] for k in group)
+                        current = tuple(None if empty[k][i] else pdf[k].iloc[i] for k in group)
                         scale, shift = 1.0, 0.0
                     scale, shift = av * scale, av * shift + bv
                 if done:
@@ -244,7 +260,7 @@ def affine(
         carry = affine(summary, keys, [BLOCK], F.col("__a"), F.col("__b"), "__end")
         entry = W.partitionBy(*keys).orderBy(BLOCK)
         carry = carry.select(*group, F.coalesce(F.lag("__end").over(entry), F.lit(0.0)).alias("__y0"))
-        start = base.join(carry, group)
+        start = join_null_safe(base, carry, group)
 
     def evaluate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, y = None, 0.0

@@ -250,28 +250,27 @@ define("curve", """/* RECURSIVE */ SELECT run_id, ts, i, 10000.0::DOUBLE AS equi
     JOIN curve_rows r ON r.run_id = c.run_id AND r.i = c.i + 1""")
 
 
-@query("exposure_curve", "O-V8 O-J4", "SELECT run_id, ts, equity FROM curve", doubles="equity")
+@query("exposure_curve", "O-V8", "SELECT run_id, ts, equity FROM curve", doubles="equity")
 def _curve(t: Tables):
     rows = t.history.withColumn("exposure", F.col("target_long_fraction") - 1.0)
     return perp.exposure_curve(rows).select("run_id", "ts", "equity")
 
 
 define("marks", "SELECT DISTINCT account_id, date_trunc('day', ts) + INTERVAL 23 HOURS AS ts FROM actions")
-define("mark_prices", """SELECT CASE symbol WHEN 'click' THEN 'SOL' WHEN 'view' THEN 'ETH' ELSE 'USDC' END AS symbol, ts, close AS price
-    FROM bars WHERE symbol IN ('click', 'view', 'purchase')""")
+define("mark_prices", """SELECT CASE symbol WHEN 'click' THEN 'SOL' WHEN 'view' THEN 'ETH' WHEN 'signup' THEN 'XYZ' WHEN 'purchase' THEN 'USDC' ELSE symbol END AS symbol,
+        ts, close AS price FROM bars""")
 
 
 @query("mark_to_market", "O-L9", """
-    WITH g AS (SELECT m.account_id, m.ts, s.side, s.symbol FROM marks m, (SELECT * FROM (VALUES ('collateral'), ('debt')) a(side),
-            (VALUES ('SOL'), ('USDC'), ('ETH')) b(symbol)) s),
+    WITH g AS (SELECT m.account_id, m.ts, s.side, s.symbol FROM marks m JOIN (SELECT DISTINCT account_id, side, symbol FROM bal) s USING (account_id)),
         h AS (SELECT g.*, b.balance FROM g ASOF JOIN (SELECT account_id, side, symbol, ts, balance FROM bal) b
             ON g.account_id = b.account_id AND g.side = b.side AND g.symbol = b.symbol AND g.ts >= b.ts),
         p AS (SELECT h.*, coalesce(h.balance * p.price, 0) AS v FROM h ASOF LEFT JOIN mark_prices p ON h.symbol = p.symbol AND h.ts >= p.ts),
         a AS (SELECT account_id, ts, sum(CASE side WHEN 'collateral' THEN v ELSE 0 END) AS collateral_value,
             sum(CASE side WHEN 'debt' THEN v ELSE 0 END) AS debt_value,
-            sum(CASE side WHEN 'collateral' THEN v * CASE symbol WHEN 'SOL' THEN 0.75 WHEN 'USDC' THEN 0.9 ELSE 0.8 END::DOUBLE ELSE 0 END) AS borrow_limit,
-            sum(CASE side WHEN 'debt' THEN v * m_bf ELSE 0 END) AS risk_debt
-            FROM p JOIN market USING (symbol) GROUP BY ALL)
+            sum(CASE side WHEN 'collateral' THEN v * CASE symbol WHEN 'SOL' THEN 0.75 WHEN 'USDC' THEN 0.9 WHEN 'ETH' THEN 0.8 ELSE 0 END::DOUBLE ELSE 0 END) AS borrow_limit,
+            sum(CASE side WHEN 'debt' THEN v * coalesce(m_bf, 1) ELSE 0 END) AS risk_debt
+            FROM p LEFT JOIN market USING (symbol) GROUP BY ALL)
     SELECT account_id, ts, collateral_value, debt_value, collateral_value - debt_value AS portfolio_value,
         CASE WHEN abs(risk_debt) < 1e-9 THEN 'Infinity'::DOUBLE ELSE borrow_limit / risk_debt END AS health_factor FROM a""",
        doubles="collateral_value debt_value portfolio_value health_factor")
@@ -279,12 +278,11 @@ def _mtm(t: Tables):
     marks = t.actions.select(
         "account_id", F.timestamp_add("HOUR", F.lit(23), F.date_trunc("day", "ts")).alias("ts")
     ).distinct()
-    asset = F.when(F.col("symbol") == "click", "SOL").when(F.col("symbol") == "view", "ETH").otherwise("USDC")
-    prices = t.bars.filter(F.col("symbol").isin("click", "view", "purchase")).select(
-        asset.alias("symbol"), "ts", F.col("close").alias("price")
-    )
+    names = {"click": "SOL", "view": "ETH", "signup": "XYZ", "purchase": "USDC"}
+    asset = F.coalesce(*[F.when(F.col("symbol") == k, v) for k, v in names.items()], "symbol")
+    prices = t.bars.select(asset.alias("symbol"), "ts", F.col("close").alias("price"))
     return ledger.mark_to_market(
-        ledger.signed_deltas(t.actions), marks, prices, liquidation.market_assets(t.spark), ["SOL", "USDC", "ETH"]
+        ledger.signed_deltas(t.actions), marks, prices, liquidation.market_assets(t.spark)
     ).select("account_id", "ts", "collateral_value", "debt_value", "portfolio_value", "health_factor")
 
 

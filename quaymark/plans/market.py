@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaymark.operators import asof, bars, indicators as ind, signals, traffic
 from quaymark.plans.ctes import define
 from quaymark.plans.registry import query
+from quaymark.sources import files
 from quaymark.sources.tables import SYMBOLS, Tables
 
 ALL_FRAMES = ("1h", "4h", "8h", "1d", "3d", "1w")
@@ -71,11 +72,9 @@ def _candles(t: Tables):
     ON b.ts = f.ts""", doubles="close funding_rate", digits=8)
 def _funding(t: Tables):
     rates = t.bars.filter((F.col("symbol") == "signup") & (F.hour("ts") % 8 == 0)).select(
-        "ts", ((F.col("close") - 50.0) / 100000.0).alias("rate")
-    )
-    return t.bars.join(rates, "ts", "left").select(
-        "symbol", "ts", "close", F.coalesce("rate", F.lit(0.0)).alias("funding_rate")
+        "ts", ((F.col("close") - 50.0) / 100000.0).alias("funding_rate")
     )
+    return files.attach_funding(t.bars, rates).select("symbol", "ts", "close", "funding_rate")
 
 
 @query("mark_price_asof", "O-J2 O-S5", """
@@ -204,8 +203,9 @@ define("flat", """
             (count(*) FILTER (b.v < a.v) + (count(*) FILTER (b.v = a.v) + 1) / 2.0::DOUBLE) / count(b.v) END AS vol_percentile
         FROM vols a JOIN vols b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 191 AND a.i
         GROUP BY a.symbol, a.ts))""")
-define("vols", """SELECT symbol, ts, i, CASE WHEN count(r) OVER w >= 8 THEN round(stddev_samp(r) OVER w, 12) END AS v
-    FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING)""")
+define("vols", """SELECT symbol, ts, i, CASE WHEN s = 0 THEN 0 ELSE round(s * pow(10, 11 - floor(log10(s)))) / pow(10, 11 - floor(log10(s))) END AS v
+    FROM (SELECT symbol, ts, i, CASE WHEN count(r) OVER w >= 8 THEN stddev_samp(r) OVER w END AS s
+        FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING))""")
 
 
 @query("vol_flattening", "O-I9 O-I10", "SELECT * FROM flat", doubles="vol_percentile", digits=6)

@@ -462,6 +462,14 @@ def _prices(t: Tables) -> DataFrame:
     return t.bars.select("symbol", "ts", F.col("close").alias("price"))
 
 
+@query("price_signal_overlap", "O-J4", """SELECT h.run_id, h.ts, p.close AS price, h.target_long_fraction - h.target_short_fraction AS signal
+    FROM history h JOIN bars p ON h.ts = p.ts WHERE p.symbol = 'view'""", doubles="price signal")
+def _overlap(t: Tables):
+    prices = _prices(t).filter("symbol = 'view'").select("ts", "price")
+    signals = t.history.select("run_id", "ts", (F.col("target_long_fraction") - F.col("target_short_fraction")).alias("signal"))
+    return asof.join_overlap(prices, signals).select("run_id", "ts", "price", "signal")
+
+
 @query("buy_hold_values", "O-E2", """
     WITH b AS (SELECT h.ts, h.portfolio_value, s.symbol FROM history h, (SELECT DISTINCT symbol FROM bars) s WHERE run_id = 'error'),
     a AS (SELECT b.*, p.close AS price FROM b ASOF LEFT JOIN bars p ON b.symbol = p.symbol AND b.ts >= p.ts),
@@ -472,17 +480,16 @@ def _hold(t: Tables):
 
 
 define("priced", """SELECT h.*, p.close AS sol_price, sum((h.liquidation_penalty > 0)::INT) OVER (PARTITION BY h.run_id ORDER BY h.ts) AS liquidation_count
-    FROM history h ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-02') p ON h.ts >= p.ts""")
+    FROM history h ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'view') p ON h.ts >= p.ts""")
 
 
 def priced(t: Tables) -> DataFrame:
-    """History with a price that starts a day late and a running liquidation count."""
+    """History with its price and a running liquidation count."""
     from pyspark.sql import Window as W
 
     path = W.partitionBy("run_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     count = F.sum((F.col("liquidation_penalty") > 0).cast("bigint")).over(path)
-    prices = _prices(t).filter(F.col("ts") >= F.lit("2024-01-02").cast("timestamp"))
-    return reports.with_price(t.history.withColumn("liquidation_count", count), prices, "view")
+    return reports.with_price(t.history.withColumn("liquidation_count", count), _prices(t), "view")
 
 
 @query("temperature", "O-E3", "SELECT run_id, ts, sol_price, target_long_fraction - target_short_fraction AS net_temperature FROM priced WHERE sol_price IS NOT NULL",

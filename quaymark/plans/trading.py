@@ -176,7 +176,7 @@ def _research(t: Tables):
 
 
 @query("universe_violations", "O-P4 D5", """
-    WITH m AS (SELECT u.*, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = u.ordinal AND l.l_quantity > 48) AS listed FROM universe u)
+    WITH m AS (SELECT u.*, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = u.ordinal) AS listed FROM universe u)
     SELECT symbol, 'symbol mismatch' AS rule FROM m WHERE key <> symbol
     UNION ALL SELECT symbol, 'not in market' FROM m WHERE NOT listed
     UNION ALL SELECT symbol, 'missing exchange_symbol' FROM m WHERE kind = 'exchange' AND exchange_symbol IS NULL
@@ -184,7 +184,7 @@ def _research(t: Tables):
     UNION ALL SELECT symbol, 'missing derived_from' FROM m WHERE kind = 'derived' AND derived IS NULL
     UNION ALL SELECT symbol, 'not tradable both ways' FROM m WHERE research AND NOT (coll AND borrow)""")
 def _violations(t: Tables):
-    market = t.raw("lineitem").filter("l_quantity > 48").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"))
+    market = t.raw("lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"))
     return universe.violations(_universe(t), market)
 
 

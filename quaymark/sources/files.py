@@ -24,12 +24,45 @@ def _path() -> str:
     return "_metadata.file_path"
 
 
+def by_header(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """Header CSVs read by column name, all as strings, with `path`; None without files.
+
+    Files that share a header are read together and the groups are united by
+    name, so files may order their columns differently or lack some.  Only the
+    distinct headers, a handful of layouts, reach the driver with their paths.
+    """
+    try:
+        lines = spark.read.text(pattern).select(F.col(_path()).alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    except AnalysisException:
+        return None
+    # the header is the first line of the block that starts a file
+    numbered = lines.withColumn("line", F.monotonically_increasing_id()).filter("at = 0")
+    first = numbered.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    layouts = first.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    out = None
+    for layout in layouts:
+        part = spark.read.option("header", True).csv(sorted(layout.paths)).withColumn("path", F.col(_path()))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """Columns of a schema by name, null where a file lacks them, with `path`."""
+    fields = [part.strip().split(" ") for part in schema.split(",")]
+    cols = [(F.col(n) if n in rows.columns else F.lit(None)).try_cast(t).alias(n) for n, t in fields]
+    return rows.select("path", *cols)
+
+
 def read_candles(spark: SparkSession, pattern: str, latest_file_only: bool = False) -> DataFrame:
     """Candle CSVs named `<SYM>_USDT_<tf>_....csv`; times without a zone are UTC.
 
-    `latest_file_only` keeps, per symbol, the rows of its last file by name.
+    Columns go by their header.  `latest_file_only` keeps, per symbol, the rows
+    of its last file by name.
     """
-    rows = spark.read.schema(CANDLE_SCHEMA).option("header", True).csv(pattern).withColumn("path", F.col(_path()))
+    found = by_header(spark, pattern)
+    if found is None:
+        found = spark.createDataFrame([], "path string")
+    rows = typed(found, CANDLE_SCHEMA)
     rows = rows.withColumn("symbol", F.regexp_extract("path", r"([A-Za-z0-9]+)_USDT_[^/]*\.csv$", 1))
     if latest_file_only:
         last = rows.groupBy("symbol").agg(F.max("path").alias("path"))
@@ -100,12 +133,10 @@ def read_accounts(spark: SparkSession, path: str, multi_line: bool = False) -> t
 def _reports(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """CSVs of all report folders, or an empty frame with the schema where none exist."""
     wanted = spark.createDataFrame([], schema).schema
-    try:
-        rows = spark.read.option("header", True).csv(pattern)
-    except AnalysisException:
+    rows = by_header(spark, pattern)
+    if rows is None:
         return spark.createDataFrame([], schema)
-    path = F.col(_path())
-    rows = rows.withColumn("report_id", F.element_at(F.split(path, "/"), -2)).withColumn("__file", path)
+    rows = rows.withColumn("report_id", F.element_at(F.split("path", "/"), -2)).withColumnRenamed("path", "__file")
     cols = []
     for f in wanted.fields:
         if f.name in rows.columns:

@@ -227,3 +227,27 @@ def test_long_plan_buys_then_borrows_and_sells_repay(spark):
         ("SOL", "withdraw_collateral", "USDC", 100.0), ("SOL", "deposit_collateral", "SOL", 1.0),
         ("SOL", "borrow", "USDC", 200.0), ("SOL", "deposit_collateral", "SOL", 2.0),
     ]
+
+
+def test_tiny_positions_are_not_dust(spark):
+    from datetime import datetime
+
+    from quaymark.operators import ledger
+
+    at = datetime(2024, 1, 1)
+    trades = spark.createDataFrame([("a", "S", at, 0, True, 2e-10, 1.0), ("a", "S", at, 1, False, 1e-10, 0.4)], "account_id string, symbol string, ts timestamp, action_no int, is_open boolean, amount double, usdc double")
+    got = {r.action_no: (r.open_amount, r.realized_pnl) for r in ledger.short_ledger(trades).collect()}
+    assert got[1][0] == 1e-10 and abs(got[1][1] - 0.1) < 1e-12
+
+
+def test_accounts_are_marked_with_every_asset(spark):
+    from datetime import datetime
+
+    from quaymark.operators import ledger, liquidation
+
+    at = datetime(2024, 1, 1)
+    deltas = spark.createDataFrame([("a", "collateral", "SOL", at, 0, 2.0), ("a", "collateral", "NEW", at, 1, 3.0)], "account_id string, side string, symbol string, ts timestamp, action_no int, delta double")
+    marks = spark.createDataFrame([("a", at)], "account_id string, ts timestamp")
+    prices = spark.createDataFrame([("SOL", at, 10.0), ("NEW", at, 5.0)], "symbol string, ts timestamp, price double")
+    row = ledger.mark_to_market(deltas, marks, prices, liquidation.market_assets(spark)).first()
+    assert row.collateral_value == 35.0 and row.portfolio_value == 35.0

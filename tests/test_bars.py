@@ -123,3 +123,19 @@ def test_period_last_takes_the_last_row(spark):
     df = spark.createDataFrame([("r", hour(h), float(h)) for h in (0, 11, 12, 13)], "run_id string, ts timestamp, v double")
     got = rows(period_last(df, ["run_id"], 12, ["v"]), "period")
     assert [r["v"] for r in got] == [11.0, 13.0]
+
+
+def test_dropped_candles_show_the_last_closed_one(spark):
+    """As-of on available_at: a candle is visible from the label of the next one that exists."""
+    from pyspark.sql import functions as F
+
+    from quaymark.operators.bars import closed_candles, on_base_bars, resample
+
+    df = bars(spark, {"A": [float(i) for i in range(1, 25)]})
+    df = df.withColumns({c: F.when(~F.hour("ts").between(8, 11), F.col(c)) for c in ("open", "high", "low", "close")})
+    candles = resample(df, ["4h"])
+    got = {r.ts: r.close for r in on_base_bars(df, candles, ["4h"], {"close": F.lit(-1.0)}).collect()}
+    closed = [(r.available_at, r.close) for r in closed_candles(candles).orderBy("available_at").collect()]
+    assert len(got) == 24 and len(closed) == 4
+    for ts, value in got.items():
+        assert value == next((c for at, c in reversed(closed) if at <= ts), -1.0)

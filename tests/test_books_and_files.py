@@ -188,3 +188,27 @@ def test_sweep_and_perp_sinks(spark, tmp_path):
     files.write_perp_report(table, table.withColumn("run_id", F.col("family")), table.limit(1), str(tmp_path / "perp"))
     assert spark.read.json(str(tmp_path / "perp" / "summary")).count() == 1
     assert spark.read.option("header", True).csv(str(tmp_path / "perp" / "history")).filter("run_id = 'f'").count() == 2
+
+
+def test_reports_and_candles_go_by_their_headers(spark, tmp_path):
+    from quaymark.sources.files import read_candles, read_report_bundle
+
+    for name, text in (("a", "name,max_drawdown_pct,final_portfolio_value_usd\nx,20.0,1000.0\n"), ("b", "name,final_portfolio_value_usd,max_drawdown_pct\ny,2000.0,30.0\n"), ("c", "name,final_portfolio_value_usd\nz,5.0\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.csv").write_text(text)
+    schema = "report_id string, name string, final_portfolio_value_usd double, max_drawdown_pct double"
+    found = read_report_bundle(spark, str(tmp_path), schema, schema, schema)["summary"]
+    got = {r.name: (r.final_portfolio_value_usd, r.max_drawdown_pct) for r in found.collect()}
+    assert got == {"x": (1000.0, 20.0), "y": (2000.0, 30.0), "z": (5.0, None)}
+    (tmp_path / "SOL_USDT_1h_x.csv").write_text("timestamp,close,open,high,low,volume\n2024-01-01 00:00:00,4,1,5,0.5,9\n")
+    row = read_candles(spark, str(tmp_path / "*.csv")).first()
+    assert (row.symbol, row.open, row.high, row.low, row.close, row.volume) == ("SOL", 1.0, 5.0, 0.5, 4.0, 9.0)
+
+
+def test_unlisted_exchanges_have_no_fees(spark):
+    from quaymark.operators.orderbook import quotes, with_fees
+
+    levels = spark.createDataFrame([("p", "known", "bid", 0, 10.0, 1.0), ("p", "other", "ask", 0, 9.0, 1.0)], "pair string, exchange string, side string, level int, price double, vol double")
+    fees = spark.createDataFrame([("known", 0.1, 0.2)], "exchange string, maker double, taker double")
+    assert {r.exchange: r.price_inc_fee for r in with_fees(levels, fees).collect()} == {"known": 8.0, "other": 9.0}
+    assert {r.exchange for r in quotes(levels, fees).collect()} == {"known", "other"}

@@ -69,3 +69,43 @@ def test_affine_survives_long_decay(spark):
     df = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("i"))
     out = affine(df, ["k"], ["i"], F.lit(0.1), F.lit(1.0), "y", F.floor(F.col("i") / 500))
     assert out.agg(F.max("y")).first()[0] == pytest.approx(1 / 0.9)
+
+
+def _null_rows(spark):
+    from datetime import datetime
+
+    at = lambda d, h: datetime(2024, 1, d, h)
+    rows = [("a", at(1, 1), 0, 1.0), ("a", at(2, 1), 1, -3.0), (None, at(1, 2), 2, 2.0), (None, at(2, 2), 3, 4.0), ("a", None, 4, 5.0)]
+    return spark.createDataFrame(rows, "k string, ts timestamp, n int, x double")
+
+
+@pytest.mark.parametrize("scan", ["running", "last", "floored", "affine"])
+def test_null_keys_and_times_do_not_depend_on_blocks(spark, scan):
+    from pyspark.sql import functions as F
+
+    from quaymark.operators import scan as s
+
+    def values(block):
+        df = _null_rows(spark)
+        if scan == "running":
+            out = s.running(df, ["k"], ["ts", "n"], {"y": ("sum", F.col("x"))}, block)
+        elif scan == "last":
+            out = s.running(df, ["k"], ["ts"], {"y": ("last", F.col("x"))}, block)
+        elif scan == "floored":
+            out = s.floored(df, ["k"], ["ts", "n"], F.col("x"), "y", block=block)
+        else:
+            out = s.affine(df, ["k"], ["ts", "n"], F.lit(0.5), F.col("x"), "y", block=block)
+        return {r.n: r.y for r in out.collect()}
+
+    plain = values(None)
+    assert len(plain) == 5 and values(s.time_block("ts")) == plain
+
+
+def test_asof_keeps_left_rows_with_null_key_or_time(spark):
+    from quaymark.operators.asof import backward_asof
+
+    left = _null_rows(spark).select("k", "ts", "n")
+    right = _null_rows(spark).selectExpr("k", "ts", "x as v")
+    for block in (None, "day"):
+        got = {r.n: r.v for r in backward_asof(left, right, ["k"], ["v"], block=block).collect()}
+        assert got == {0: 1.0, 1: -3.0, 2: None, 3: None, 4: None}
