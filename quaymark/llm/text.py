@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from quaymark.session import checkpoint_folder
 
 #: Bytes and rows of one Arrow batch: bounds a Python worker's memory whatever the partition size.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4000
 
 _RNG = np.random.default_rng(20240101)
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -7,17 +7,17 @@ their smallest document first, so copies travel no further.
 Two sets can only reach the similarity if they share an element among their first
 n - ceil(t n) + 1, so only those are shuffled.  Where they meet,
 
-1. every set is paired with the smallest of the group (a star, linear in the group); pairs
-   that prove similar already tie most near copies into groups, and sets are then dealt to
-   tries of at most `block` sets, near copies side by side;
+1. every set is paired with a few sets drawn from the group (stars, linear in the group); pairs
+   that prove similar already tie near copies into groups, and sets are then dealt to tries of
+   at most `block` sets, near copies side by side;
 2. sets of different groups that share an element, and whose lengths and positions allow the
    similarity, are looked up in each other's tries.
 
 A trie stores the ordered sets of its block.  One traversal carries the overlap of the probe
 with the path, so sets with a common beginning share it, and leaves a subtree as soon as the
 overlap so far plus what remains, of the probe and of the longest set below, can't reach the
-bound.  Pairs within a group are never listed; no link between different groups is lost, so
-the components are exact.
+bound.  Pairs within a group are never listed, and a task keeps only links that tie something
+new together; no link between different groups is lost, so the components are exact.
 """
 
 from __future__ import annotations
@@ -29,13 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaymark.llm.components import components
 from quaymark.llm.text import LOWER, SPACES, Rolling, copies_numbered, runs_of, small_batches, stored, utf8, words
 
 N, PERCENT, BLOCK = 5, 75, 256
+#: Stars that a set is compared with at first, and the ratio of sizes that counts as alike.
+STARS, LIKE = 5, 1.15
 #: Buckets of the corpus-wide counts: a fixed size, whatever the corpus.
-BUCKET_BITS = 22
+BUCKET_BITS = 21
+#: Bits of a set's parity map.
+PARITY_BITS = 4096
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -60,31 +65,49 @@ def shingle_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.bincount(row[new], minlength=docs)
 
 
+def parity_maps(grams: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Per set, for every bit whether an odd number of elements falls on it, as 64-bit words.
+
+    Two sets' maps differ in at most as many bits as the sets differ in elements.
+    """
+    row, _ = runs_of(sizes)
+    at = (grams >> np.uint64(9)).astype(np.int64) % PARITY_BITS
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for a in range(0, len(sizes), 256):
+        n = min(256, len(sizes) - a)
+        s = slice(upto[a], upto[a + n])
+        odd = np.bincount((row[s] - a) * PARITY_BITS + at[s], minlength=n * PARITY_BITS).astype(np.uint8) & 1
+        out.extend(np.packbits(odd).view(np.int64).reshape(n, -1))
+    return out
+
+
 def surveyed(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """One pass over the corpus, with two kinds of rows.
 
-    Per document: doc_id, copy, n_shingles and node, a hash of its set (null without words), so that
-    equal sets are one node.  Per task: the hash buckets that its documents use more often than
+    Per document: doc_id, copy, n_shingles, node, a hash of its set (null without words), so that
+    equal sets are one node, and the set's parity map.  Per task: the hash buckets that its documents use more often than
     evenly, with counts.  The counts only order the elements, and any order that is the same
     everywhere is right, so rare buckets needn't be sent.
     """
-    schema = "doc_id long, copy int, n_shingles long, node long, bucket int, n long"
+    schema = "doc_id long, copy int, n_shingles long, node long, parity array<long>, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in schema.split(", ")]
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             grams, sizes = shingle_sets(batch.column(2), n)
-            total += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            bucket, times = np.unique((grams >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+            total[bucket] += times.astype(np.int32)
             upto = np.concatenate([[0], np.cumsum(sizes)])
             node = Rolling(grams).of(upto[:-1], upto[1:]).view(np.int64)
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(node, mask=sizes == 0), none.cast(pa.int32()), none], names
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(parity_maps(grams, sizes), pa.list_(pa.int64())), none.cast(pa.int32()), none], names
             )
         at = np.flatnonzero(total > 2 + 2 * total.mean())
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, pa.array(at.astype(np.int32)), pa.array(total[at])], names)
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names)
 
     return docs.select("doc_id", "copy", "text").mapInArrow(run, schema)
 
@@ -119,17 +142,37 @@ def in_order(column: pa.Array, n: int, often: np.ndarray, bits: int) -> tuple[np
     return grams[order], sizes, node
 
 
-def sets_of(docs: DataFrame, n: int, often, bits: int) -> DataFrame:
-    """node and its set's elements, as bytes in the global order."""
+def key_bits(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size in which the hashes of (doc_id, copy) are set."""
+    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << bits))
+    words = keys.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, copy), 64) as int))").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[table["word"].to_numpy()] = table["bit"].to_numpy()
+    return out.view(np.uint64)
+
+
+def sets_of(docs: DataFrame, keys: DataFrame, n: int, often, bits: int) -> DataFrame:
+    """node and its set's elements, as bytes in the global order, at least for the given rows.
+
+    The corpus is read again and a bitmap picks the rows, so no text is shuffled; what it picks
+    beyond the given rows is sifted out where sets are joined.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bits(keys, bits))
+    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << bits)).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, sizes, node = in_order(batch.column(0), n, often.value, bits)
+            key = batch.column(1).to_numpy()
+            hit = (wanted.value[key >> 6] >> (key & 63).astype(np.uint64)) & np.uint64(1) > 0
+            if not hit.any():
+                continue
+            grams, sizes, node = in_order(batch.column(0).filter(pa.array(hit)), n, often.value, bits)
             upto = np.concatenate([[0], np.cumsum(sizes)])
             raw = [grams[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "grams"]).filter(pa.array(sizes > 0))
 
-    return docs.select("text").mapInArrow(run, "node long, grams binary")
+    return docs.select("text", h).mapInArrow(run, "node long, grams binary")
 
 
 def prefix_rows(docs: DataFrame, n: int, often, bits: int, percent: int) -> DataFrame:
@@ -151,52 +194,50 @@ def prefix_rows(docs: DataFrame, n: int, often, bits: int, percent: int) -> Data
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows whose gram two nodes have, once per node, with the smallest node of like size.
+    """The rows whose gram two nodes have, once per node.
 
     Rows stream sorted by gram, so a gram of any frequency passes in constant memory.
     """
-    like = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.15))).cast("int")
-    ordered = rows.withColumn("like", like).repartition("gram").sortWithinPartitions("gram", "like", "node").select("gram", "like", "node", "size", "pos")
-    schema = "gram long, node long, size int, pos int, star long"
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "node").select("gram", "node", "size", "pos")
+    names, kinds = ["gram", "node", "size", "pos"], [np.int64, np.int64, np.int32, np.int32]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row read, not yet emitted: (gram, like, node, size, pos, star, whether its gram was emitted)
+        held, going = None, False  # the last row read, which waits for its successor; whether its gram began before it
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy() for c in batch.columns]
-            star = np.zeros(batch.num_rows, np.int64)
             if held is not None:
-                cols = [np.concatenate([[h], c]) for h, c in zip(held[:5], cols, strict=True)]
-                star = np.zeros(len(cols[0]), np.int64)
-            gram, like_, node, size, pos = cols
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            gram, node = cols[:2]
             fresh = np.ones(len(gram), bool)
-            fresh[1:] = (gram[1:] != gram[:-1]) | (like_[1:] != like_[:-1]) | (node[1:] != node[:-1])
-            gram, like_, node, size, pos = (c[fresh] for c in (gram, like_, node, size, pos))
-            opens = np.ones(len(gram), bool)
-            opens[1:] = (gram[1:] != gram[:-1]) | (like_[1:] != like_[:-1])
-            first = np.maximum.accumulate(np.where(opens, np.arange(len(gram)), 0))
-            star = node[first]
-            if held is not None:
-                star[first == 0] = held[5]
+            fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+            cols = [c[fresh] for c in cols]
+            gram = cols[0]
             same = np.zeros(len(gram) + 1, bool)  # the gram goes on from the row before
-            same[1:-1] = gram[1:] == gram[:-1]
-            same[0] = held is not None and held[6]
-            keep = (same[:-1] | same[1:])[:-1]  # all but the last row, which waits for its successor
-            held = (gram[-1], like_[-1], node[-1], size[-1], pos[-1], star[-1], bool(same[len(gram) - 1]))
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[at].astype(t)) for x, t in ((gram, np.int64), (node, np.int64), (size, np.int32), (pos, np.int32), (star, np.int64))],
-                ["gram", "node", "size", "pos", "star"],
-            )
-        if held is not None and held[6]:
-            gram, _, node, size, pos, star, _ = held
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(gram)], pa.int64()), pa.array([int(node)], pa.int64()), pa.array([int(size)], pa.int32()), pa.array([int(pos)], pa.int32()), pa.array([int(star)], pa.int64())],
-                ["gram", "node", "size", "pos", "star"],
-            )
+            same[0], same[1:-1] = going, gram[1:] == gram[:-1]
+            at = np.flatnonzero((same[:-1] | same[1:])[:-1])
+            held, going = [c[-1:] for c in cols], bool(same[-2])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at].astype(k)) for c, k in zip(cols, kinds, strict=True)], names)
+        if held is not None and going:
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(held, kinds, strict=True)], names)
+
+    return ordered.mapInArrow(run, "gram long, node long, size int, pos int")
 
-    return ordered.mapInArrow(run, schema)
+
+def starred(shared: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b): every node with the sets, of those drawn from its grams, that it meets most often.
+
+    Among the sets of a gram with like sizes, two are drawn by hash.  Sizes fall into two
+    overlapping scales, so near sizes are alike in one of them.
+    """
+    size = F.log(F.col("size").cast("double")) / math.log(LIKE)
+    scales = F.array(F.floor(size), F.floor(size + 0.5) + 100_000)
+    rows = shared.select("gram", "node", F.explode(scales).alias("like"))
+    drawn = rows.groupBy("gram", "like").agg(F.min_by("node", F.xxhash64("node")).alias("x"), F.max_by("node", F.xxhash64("node")).alias("y")).filter("x <> y")
+    met = rows.join(drawn, ["gram", "like"]).select("node", F.explode(F.array("x", "y")).alias("star")).filter("node <> star").groupBy("node", "star").count()
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "star"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("node").alias("a"), F.col("star").alias("b"))
 
 
 class Trie:
@@ -247,28 +288,39 @@ def looked_up(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     """Links (a, b): every probe (node, block) against the trie of the block's members (node, block).
 
     A block with many probes is built in several tasks, each with a share of the probes; the
-    members come first in a task, which holds one trie at a time.
+    members come first in a task, which holds one trie at a time.  Of the links in a block only
+    those are kept that tie something new together.
     """
     many = probes.groupBy("block").agg(F.ceil(F.count("*") / probes_per_task).cast("int").alias("parts"))
     dealt = probes.join(many, "block").select("node", "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     spread = members.join(many, "block").select("node", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = spread.withColumn("kind", F.lit(0)).unionByName(dealt.withColumn("kind", F.lit(1))).join(sets, "node")
+    rows = spread.withColumn("kind", F.lit(0)).unionByName(dealt.withColumn("kind", F.lit(1))).join(sets.dropDuplicates(["node"]), "node")
     rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "node").select("block", "part", "kind", "node", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting, trie = None, [], None
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
             a, b = [], []
             for block, part, kind, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, part) != current:
                     current, waiting, trie = (block, part), [], None
+                    above.clear()
                 grams = np.frombuffer(raw, np.uint64).tolist()
                 if kind == 0:
                     waiting.append((node, grams))
                     continue
                 trie = trie or Trie(waiting)
                 for other in trie.similar(grams, percent):
-                    if other != node:
+                    if (x := root(node)) != (y := root(other)):
+                        above[x] = y
                         a.append(node)
                         b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -276,6 +328,18 @@ def looked_up(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     return rows.mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity maps don't rule out the similarity; exact, as maps never differ more than sets."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    maps = own.join(nodes, "node", "left_semi").select("node", "n_shingles", "parity").dropDuplicates(["node"])
+    a, b = (maps.select(*(F.col(c).alias(f"{c}_{x}") for c in maps.columns)) for x in "ab")
+    joined = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("n_shingles_a") + F.col("n_shingles_b")
+    need = F.ceil(total * percent / (100 + percent))
+    return joined.filter(apart <= total - 2 * need).select("a", "b")
+
+
 def crossing(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different groups that may be similar, by lengths and positions.
 
@@ -325,23 +389,22 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
     small_batches(spark)
     survey = stored(surveyed(docs, n, bits), "survey")
     often = spark.sparkContext.broadcast(bucket_counts(survey, bits))
-    own = survey.filter("bucket is null").select("doc_id", "copy", "n_shingles", "node")
+    own = survey.filter("bucket is null").select("doc_id", "copy", "n_shingles", "node", "parity")
     shared = stored(shared_rows(prefix_rows(docs, n, often, bits, percent)), "shared")
 
     def fetched(nodes: DataFrame) -> DataFrame:
         """The sets of some nodes, each from one of its documents."""
         first = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("d")).select("d.doc_id", "d.copy")
-        same = docs["doc_id"].eqNullSafe(first["doc_id"]) & (docs["copy"] == first["copy"])
-        return stored(sets_of(docs.join(first, same, "left_semi"), n, often, bits), "sets")
+        return stored(sets_of(docs, first, n, often, bits), "sets")
 
-    # 1. stars of like sizes
-    stars = stored(shared.filter("node <> star").select("node", F.col("star").alias("block")).distinct(), "stars")
+    # 1. every set with a few stars
+    stars = stored(plausible(starred(shared, STARS), own, percent).toDF("node", "block"), "stars")
     centres = stars.select("block").distinct().select(F.col("block").alias("node"), "block")
     sets = fetched(stars.select("node").union(centres.select("node")).distinct())
     near = stored(looked_up(stars, centres, sets, percent), "near")
     groups = components(near).select("node", F.col("component").alias("label"))
     # 2. pairs across groups; near copies share a trie
-    pairs = stored(crossing(shared.drop("star"), groups, percent), "pairs")
+    pairs = stored(plausible(crossing(shared, groups, percent).toDF("a", "b"), own, percent).toDF("node_a", "node_b"), "pairs")
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()
     label = nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     sizes = label.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -350,7 +413,7 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
     across = looked_up(probes, members, fetched(nodes), percent)
     links = near.union(across).distinct()
     found = components(links).select("node", F.col("component").alias("label"))
-    labelled = own.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = own.drop("parity").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min(order).alias("first"))
     alone = F.col("label").isNull()
