@@ -35,8 +35,8 @@ from quaymark.llm.components import components
 from quaymark.llm.text import LOWER, SPACES, Rolling, copies_numbered, runs_of, small_batches, stored, utf8, words
 
 N, PERCENT, BLOCK = 5, 75, 256
-#: Stars that a set is compared with at first, and the ratio of sizes that counts as alike.
-STARS, LIKE = 5, 1.15
+#: Stars that a set is compared with at first, the ratio of sizes that counts as alike, and how often.
+STARS, LIKE, ROUNDS = 5, 1.15, 2
 #: Buckets of the corpus-wide counts: a fixed size, whatever the corpus.
 BUCKET_BITS = 21
 #: Bits of a set's parity map.
@@ -225,17 +225,20 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, node long, size int, pos int")
 
 
-def starred(shared: DataFrame, most: int) -> DataFrame:
+def starred(shared: DataFrame, groups: DataFrame | None, most: int) -> DataFrame:
     """Pairs (a, b): every node with the sets, of those drawn from its grams, that it meets most often.
 
-    Among the sets of a gram with like sizes, two are drawn by hash.  Sizes fall into two
+    Among the sets of a gram with like sizes, two are drawn by a hash of their group (their own
+    node at first), and a node is paired with those of another group.  Sizes fall into two
     overlapping scales, so near sizes are alike in one of them.
     """
     size = F.log(F.col("size").cast("double")) / math.log(LIKE)
     scales = F.array(F.floor(size), F.floor(size + 0.5) + 100_000)
-    rows = shared.select("gram", "node", F.explode(scales).alias("like"))
-    drawn = rows.groupBy("gram", "like").agg(F.min_by("node", F.xxhash64("node")).alias("x"), F.max_by("node", F.xxhash64("node")).alias("y")).filter("x <> y")
-    met = rows.join(drawn, ["gram", "like"]).select("node", F.explode(F.array("x", "y")).alias("star")).filter("node <> star").groupBy("node", "star").count()
+    label = F.col("node") if groups is None else F.coalesce("label", "node")
+    rows = (shared if groups is None else shared.join(groups, "node", "left")).select("gram", "node", label.alias("label"), F.explode(scales).alias("like"))
+    drawn = rows.groupBy("gram", "like").agg(*(pick(F.struct("node", "label"), F.xxhash64("label")).alias(c) for pick, c in ((F.min_by, "x"), (F.max_by, "y"))))
+    met = rows.join(drawn.filter("x.label <> y.label"), ["gram", "like"]).select("node", "label", F.explode(F.array("x", "y")).alias("star"))
+    met = met.filter("label <> star.label").groupBy("node", F.col("star.node").alias("star")).count()
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "star"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("node").alias("a"), F.col("star").alias("b"))
 
@@ -397,12 +400,15 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
         first = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("d")).select("d.doc_id", "d.copy")
         return stored(sets_of(docs, first, n, often, bits), "sets")
 
-    # 1. every set with a few stars
-    stars = stored(plausible(starred(shared, STARS), own, percent).toDF("node", "block"), "stars")
-    centres = stars.select("block").distinct().select(F.col("block").alias("node"), "block")
-    sets = fetched(stars.select("node").union(centres.select("node")).distinct())
-    near = stored(looked_up(stars, centres, sets, percent), "near")
-    groups = components(near).select("node", F.col("component").alias("label"))
+    # 1. every set with a few stars, and once more with stars of other groups
+    near = groups = None
+    for _ in range(ROUNDS):
+        stars = stored(plausible(starred(shared, groups, STARS), own, percent).toDF("node", "block"), "stars")
+        centres = stars.select("block").distinct().select(F.col("block").alias("node"), "block")
+        sets = fetched(stars.select("node").union(centres.select("node")).distinct())
+        found = looked_up(stars, centres, sets, percent)
+        near = stored(found if near is None else near.union(found), "near")
+        groups = components(near).select("node", F.col("component").alias("label"))
     # 2. pairs across groups; near copies share a trie
     pairs = stored(plausible(crossing(shared, groups, percent).toDF("a", "b"), own, percent).toDF("node_a", "node_b"), "pairs")
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()
