@@ -34,10 +34,12 @@ from quaymark.llm.tokens import HashIndex
 FREQUENT, K, RESERVED = 65_000, 5, 0.5
 FOLDS, ADDED = 10, 0.1
 #: Tokens of a group of texts that is dealt out together, and of one table partition on average.
-GROUP_TOKENS, PART_TOKENS = 1_500_000, 4_000_000
+GROUP_TOKENS, PART_TOKENS = 750_000, 2_000_000
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), 65_535
 
 _ROWS = "part int, kind string, block long, a binary, b binary, c binary, d binary, e binary"
+#: A pair of rare words on its way to its history: text within its group, flags (training, first of its type), count.
+_RARE = np.dtype([("doc", "<u2"), ("flags", "u1"), ("seen", "<u4")])
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 _KINDS = [pa.int32(), pa.string(), pa.int64()] + [pa.binary()] * 5
 
@@ -293,12 +295,15 @@ def counted(rows: DataFrame, known, parts: int) -> DataFrame:
                 part = (mixed(rr.left) % np.uint64(parts)).astype(np.int64)
                 opens = np.zeros(len(rr.left), bool)
                 opens[rr.first] = True  # the pair's type counts once
-                order = np.lexsort((rr.row, part))
-                edge = np.flatnonzero(np.diff(part[order] * len(rr.blocks) + rr.row[order], prepend=-1, append=-1))
+                blocks = np.array(rr.blocks)[rr.row]
+                events = np.empty(len(part), _RARE)
+                events["doc"], events["seen"] = rr.doc, rr.seen
+                events["flags"] = rr.training.astype(np.uint8) | (opens.astype(np.uint8) << 1)
+                order = np.argsort(part, kind="stable")
+                edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     o = order[a:b]
-                    flags = rr.training[o].astype(np.uint8) | (opens[o].astype(np.uint8) << 1)
-                    out.append((int(part[o[0]]), "rr", rr.blocks[rr.row[o[0]]], *_bytes(rr.left[o], p[o], rr.doc[o], flags, rr.seen[o].astype(np.int64))))
+                    out.append((int(part[o[0]]), "rr", 0, *_bytes(rr.left[o], p[o], blocks[o], events[o])))
             if waiting.get("rf"):
                 rf = Pairs(waiting["rf"], np.uint64, np.uint16)
                 once += np.bincount(rf.types[(rf.types > 0) & (rf.types <= k + 1)], minlength=k + 2)[1:]
@@ -358,8 +363,8 @@ def rare_histories(rows: DataFrame, known, d: np.ndarray) -> DataFrame:
             rf = Pairs(waiting["rf"], np.uint64, np.uint16)
             rr = waiting["rr"]
             load = lambda j, t: np.concatenate([np.frombuffer(r[j], t) for r in rr] or [np.zeros(0, t)])
-            left, p_rr, doc, flags, seen_rr = load(3, np.uint64), load(4, np.float64), load(5, np.uint16), load(6, np.uint8), load(7, np.int64)
-            row = np.repeat(np.arange(len(rr)), [len(r[5]) // 2 for r in rr]) + len(rf.blocks) if rr else np.zeros(0, np.int64)
+            left, p_rr, block_rr, events = load(3, np.uint64), load(4, np.float64), load(5, np.int64), load(6, _RARE)
+            seen_rr, flags = events["seen"].astype(np.int64), events["flags"]
             p_rf = own.probability(own.counts[rf.right]) if len(rf.right) else np.zeros(0)
             opens = np.zeros(len(rf.left), bool)
             opens[rf.first] = True
@@ -373,13 +378,13 @@ def rare_histories(rows: DataFrame, known, d: np.ndarray) -> DataFrame:
             alpha = alpha_of(count, *sums, d)
             factor = d[np.where(seen <= k, seen, 0)]
             score = np.log10(np.where(seen > 0, factor * seen / (count[at] + RESERVED), alpha[at] * p))
-            where, docs = np.concatenate([rf.row, row]), np.concatenate([rf.doc, doc])
+            block_rf = np.array(rf.blocks, np.int64)[rf.row] if len(rf.row) else np.zeros(0, np.int64)
+            blocks, where = np.unique(np.concatenate([block_rf, block_rr]), return_inverse=True)
             out = []
-            blocks = [*rf.blocks, *(r[2] for r in rr)]
-            places, to = np.unique(where * 65536 + docs, return_inverse=True)
+            places, to = np.unique(where * 65536 + np.concatenate([rf.doc, events["doc"]]), return_inverse=True)
             total = np.bincount(to, score, len(places)).astype(np.float32)
             edge = np.searchsorted(places, np.arange(len(blocks) + 1) * 65536)
-            for block, a, b in zip(blocks, edge[:-1], edge[1:], strict=True):
+            for block, a, b in zip(blocks.tolist(), edge[:-1], edge[1:], strict=True):
                 if b > a:
                     out.append((0, "sum", block, *_bytes((places[a:b] % 65536).astype(np.uint16), total[a:b])))
             return _batch(out)
