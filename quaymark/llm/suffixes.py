@@ -35,6 +35,8 @@ from quaymark.llm.text import Rolling, copies_numbered, runs_of, small_batches,
 LENGTH, GRAM, BLOCK = 100, 32, 16
 #: Segments that one suffix array takes.
 CHUNK = 4096
+#: Anchors that a task compares among themselves before it sends them on.
+TOGETHER = 500_000
 _LAST = 2**63 - 1
 
 
@@ -125,10 +127,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return row[edge], own[edge], first[edge], np.diff(np.append(edge, len(own))), h, rolling
 
 
-def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row per anchor: gram, hash of its segment, document, and place (position, windows before, windows)."""
+def segments(docs: DataFrame, length: int, gram: int, together: int = TOGETHER) -> DataFrame:
+    """One row per anchor: gram, hash of its segment, document, place (position, windows before, windows), whole.
+
+    whole tells that the task itself has met the segment earlier in the order, so that of a
+    segment with many copies few rows meet in one place.
+    """
+    names = ["gram", "segment", "doc", "place", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.lexsort(columns[::-1])
+            columns = [c[order] for c in columns]
+            whole = np.zeros(len(order), bool)
+            whole[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
+            for a in range(0, len(order), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (*columns, whole)], names)
+
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             doc, at, first, count, h, rolling = anchors(data, offsets, length, gram)
@@ -140,35 +159,49 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 raise ValueError("texts of 2 GiB or more, or 262,144 rows with one id, aren't supported")
             left = at - first
             place = (copy << 45) | (position << 14) | (left << 7) | (count - 1)
-            whole = rolling.of(first, first + count - 1 + length) ^ (left * 128 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(place)], ["gram", "segment", "doc", "place"]
-            )
+            segment = rolling.of(first, first + count - 1 + length) ^ (left * 128 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            held.append((h[at].view(np.int64), segment.view(np.int64), batch.column(0).to_numpy()[doc], place))
+            size += len(doc)
+            if size >= together:
+                yield from sent()
+                held, size = [], 0
+        if held:
+            yield from sent()
 
-    return docs.select("doc", "copy", "text").mapInArrow(run, "gram long, segment long, doc long, place long")
+    return docs.select("doc", "copy", "text").mapInArrow(run, "gram long, segment long, doc long, place long, whole boolean")
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
     """gram, doc, place, whole: segments equal to an earlier one (whole), and the earliest of each
-    kind where an anchor has several kinds.  Rows stream in order; a frequent anchor takes constant memory."""
-    ordered = rows.repartition("gram").sortWithinPartitions("gram", "segment", "doc", "place")
+    kind where an anchor has several kinds.
+
+    Rows stream in order; a frequent anchor takes constant memory.  Rows that are known to repeat
+    come along wherever they lie.
+    """
+    key = F.when(F.col("whole"), F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    ordered = rows.withColumn("key", key).repartition("key").sortWithinPartitions("whole", "gram", "segment", "doc", "place")
     names = ["gram", "doc", "place", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = opener = None  # gram and segment of the last row; first row of its gram while that isn't emitted
         for batch in batches:
-            if not batch.num_rows:
+            known = batch.column(4).to_numpy(zero_copy_only=False)
+            n = int(np.searchsorted(known, True))
+            if n < batch.num_rows:
+                rest = batch.slice(n)
+                yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), rest.column(3), rest.column(4)], names)
+            if not n:
                 continue
-            gram, segment, doc, place = (c.to_numpy() for c in batch.columns)
-            new_gram, new_kind = np.ones(len(gram), bool), np.ones(len(gram), bool)
+            gram, segment, doc, place = (c.to_numpy() for c in batch.slice(0, n).columns[:4])
+            new_gram, new_kind = np.ones(n, bool), np.ones(n, bool)
             new_gram[1:] = gram[1:] != gram[:-1]
             new_kind[1:] = new_gram[1:] | (segment[1:] != segment[:-1])
             if before is not None:
                 new_gram[0] = gram[0] != before[0]
                 new_kind[0] = new_gram[0] or segment[0] != before[1]
             further = new_kind & ~new_gram
-            first = np.maximum.accumulate(np.where(new_gram, np.arange(len(gram)), -1))
-            several = np.zeros(len(gram), bool)  # openers of grams with several kinds
+            first = np.maximum.accumulate(np.where(new_gram, np.arange(n), -1))
+            several = np.zeros(n, bool)  # openers of grams with several kinds
             several[np.unique(first[further & (first >= 0)])] = True
             extra = []
             if opener is not None and (further & (first < 0)).any():
@@ -182,7 +215,8 @@ def sorted_out(rows: DataFrame) -> DataFrame:
                 opener = None if several[f] else (gram[f], doc[f], place[f])
             yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(whole)], names)
 
-    return ordered.mapInArrow(run, "gram long, doc long, place long, whole boolean")
+    selected = ordered.select("gram", "segment", "doc", "place", "whole")
+    return selected.mapInArrow(run, "gram long, doc long, place long, whole boolean")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
