@@ -34,7 +34,7 @@ from quaymark.llm.tokens import HashIndex
 FREQUENT, K, RESERVED = 65_000, 5, 0.5
 FOLDS, ADDED = 10, 0.1
 #: Tokens of a group of texts that is dealt out together, and of one table partition on average.
-GROUP_TOKENS, PART_TOKENS = 750_000, 2_000_000
+GROUP_TOKENS, PART_TOKENS = 500_000, 1_200_000
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), 65_535
 
 _ROWS = "part int, kind string, block long, a binary, b binary, c binary, d binary, e binary"
