@@ -9,9 +9,12 @@ The tables are hash partitions, and texts are scored where their entries lie, by
 above for each token: the tokens of all texts, training texts among them, are dealt to the table
 partitions once, which then hold the counts of their pairs as well as the questions.  The
 `FREQUENT` most frequent words, a fixed number, are known to every task with their counts; they
-make up most tokens and take two bytes each.  A pair
+make up most tokens and take two bytes each; held-out texts count for that too, so no word that
+any text repeats often is rare.  A pair
 
-- of frequent words is dealt by both,
+- of frequent words is dealt by both; where it makes more than one in `SHARE` tokens of a group of
+  texts, the group sends its count in one row, keeps the places and gets the score back, so no pair
+  brings a partition more than a fixed part of the tokens,
 - with a rare word is dealt by that word, so the word's count is complete where the pair is,
 - of two rare words by the second and then, with that one's probability, by the first.
 
@@ -35,6 +38,8 @@ FREQUENT, K, RESERVED = 65_000, 5, 0.5
 FOLDS, ADDED = 10, 0.1
 #: Tokens of a group of texts that is dealt out together, and of one table partition on average.
 GROUP_TOKENS, PART_TOKENS = 500_000, 1_200_000
+#: A pair of frequent words that makes more than one in so many tokens of a group is sent once, with its count.
+SHARE = 8192
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), 65_535
 
 _ROWS = "part int, kind string, block long, a binary, b binary, c binary, d binary, e binary"
@@ -72,11 +77,11 @@ def discounts(seen: np.ndarray, k: int = K) -> np.ndarray:
 class Words:
     """What every task knows: the frequent words with their counts, and the words' distribution."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, seen: np.ndarray, texts: int, k: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, seen: np.ndarray, texts: int, k: int, tokens: int):
         if _END not in hashes:
             hashes, counts = np.append(hashes, _END), np.append(counts, 0)
         self.hashes, self.counts = hashes.astype(np.uint64), counts.astype(np.int64)
-        self.total, self.types, self.k = total, types, k
+        self.total, self.types, self.k, self.tokens = total, types, k, tokens
         self.d = discounts(seen, k)
         # mass that discounts take from words seen up to k times; half a count where there is none
         small = sum(r * seen[r - 1] * (1 - self.d[r]) for r in range(1, k + 1))
@@ -114,21 +119,23 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n over the training texts; docs: doc_id, text, training."""
+    """word (hash), n over the training texts and times over all; docs: doc_id, text, training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
 
         def merged() -> pa.RecordBatch:
             word, at = np.unique(np.concatenate(held), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, np.concatenate(counts)).astype(np.int64))], ["word", "n"])
+            n, times = (np.bincount(at, np.concatenate(c), len(word)).astype(np.int64) for c in zip(*counts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(times)], ["word", "n", "times"])
 
         for batch in batches:
-            tokens, _ = _tokens(batch.column(0))
+            tokens, lengths = _tokens(batch.column(0))
             if len(tokens):
-                word, n = np.unique(tokens, return_counts=True)
+                training = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
+                word, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
                 held.append(word)
-                counts.append(n)
+                counts.append((np.bincount(at, training, len(word)), times))
                 size += len(word)
             if size > 3_000_000:
                 yield merged()
@@ -136,29 +143,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield merged()
 
-    return docs.filter("training").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", "training").mapInArrow(run, "word long, n long, times long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 def known_words(counts: DataFrame, texts: int, frequent: int, k: int) -> Words:
-    """Collects a fixed number of words: those at least as frequent as a bound that few enough reach."""
-    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(64 * F.log2(F.col("n") / 1024))).cast("long")
-    histogram = sorted((r.step, r.types, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect())
-    total, types = sum(h[2] for h in histogram), sum(h[1] for h in histogram)
+    """Collects a fixed number of words: those at least as frequent, over all texts, as a bound that few enough reach."""
+    step = F.when(F.col("times") < 1024, F.col("times")).otherwise(1024 + F.floor(64 * F.log2(F.col("times") / 1024))).cast("long")
+    few = F.least("n", F.lit(k + 2))
+    histogram = counts.groupBy(step.alias("step"), few.alias("few")).agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum("times").alias("times")).collect()
+    total, types, tokens = (sum(h) for h in zip(*((r.n, r.types if r.few else 0, r.times) for r in histogram), strict=True)) if histogram else (0, 0, 0)
     seen = np.zeros(k + 1, np.int64)
-    for s, t, _ in histogram:
-        if s <= k + 1:
-            seen[s - 1] = t
+    reach: dict[int, int] = {}
+    for r in histogram:
+        reach[r.step] = reach.get(r.step, 0) + r.types
+        if 1 <= r.few <= k + 1:
+            seen[r.few - 1] += r.types
     room, bound = frequent, 1 << 40
-    for s, t, _ in reversed(histogram):
-        if t > room:
+    for s in sorted(reach, reverse=True):
+        if reach[s] > room:
             break
-        room, bound = room - t, s
+        room, bound = room - reach[s], s
     table = counts.filter(step >= bound).toArrow()
-    return Words(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), total, types, seen, texts, k)
+    return Words(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), total, types, seen, texts, k, tokens)
 
 
-def dealt(docs: DataFrame, known, parts: int, group_tokens: int) -> DataFrame:
-    """Pairs of all texts by table partition, and per group of texts what is known at once."""
+def dealt(docs: DataFrame, known, parts: int, group_tokens: int, share: int = SHARE) -> DataFrame:
+    """Pairs of all texts by table partition, and per group of texts what is known at once and where its own frequent pairs are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,8 +195,27 @@ def dealt(docs: DataFrame, known, parts: int, group_tokens: int) -> DataFrame:
             base = np.bincount(doc[~rare], own.base(c), len(lengths))
             yield _batch([(int(block % parts), "text", block, *_bytes(ids, training, lengths, known_here.astype(np.int64), base))])
             h_rare = h_code < 0
+            one_by_one = ~h_rare & ~rare
+            at = np.flatnonzero(one_by_one)
+            pair, number, times = np.unique(h_code[at].astype(np.uint32) << np.uint32(16) | code[at].astype(np.uint32), return_inverse=True, return_counts=True)
+            hot = times > len(tokens) // share + 1
+            if hot.any():
+                among = hot[number]
+                one_by_one[at[among]] = False
+                pair, number, at = pair[hot], (np.cumsum(hot) - 1)[number[among]], at[among]
+                # a text is one entry of a pair however often it repeats it
+                entry, repeats = np.unique(number << 16 | doc[at], return_counts=True)
+                left, right = (pair >> np.uint32(16)).astype(np.uint16), (pair & np.uint32(65535)).astype(np.uint16)
+                yield _batch([(int(block % parts), "places", block, *_bytes(left, (entry >> 16).astype(np.uint16), (entry & 65535).astype(np.uint16), repeats.astype(np.uint32)))])
+                learnt = np.bincount(number, training[doc[at]] & 1, len(pair)).astype(np.uint32)
+                part = (mixed(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                rows = [(int(part[o[0]]), "hot", block, *_bytes(left[o], right[o], o.astype(np.uint16), learnt[o])) for o in (order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True))]
+                for k in range(0, len(rows), 64):
+                    yield _batch(rows[k : k + 64])
             for kind, pick, key in (
-                ("ff", ~h_rare & ~rare, lambda p: mixed(h_code[p].astype(np.uint64) << np.uint64(16) | code[p].astype(np.uint64))),
+                ("ff", one_by_one, lambda p: mixed(h_code[p].astype(np.uint64) << np.uint64(16) | code[p].astype(np.uint64))),
                 ("fr", ~h_rare & rare, lambda p: mixed(tokens[p])),
                 ("rf", h_rare & ~rare, lambda p: mixed(h[p])),
                 ("rr", h_rare & rare, lambda p: mixed(tokens[p])),
@@ -218,28 +248,31 @@ def dealt(docs: DataFrame, known, parts: int, group_tokens: int) -> DataFrame:
 
 
 class Pairs:
-    """The pairs of one kind in one partition, from the groups' rows."""
+    """The pairs of one kind in one partition, from the groups' rows; `hot` rows have counts instead of places."""
 
-    def __init__(self, rows: list[tuple], left, right):
+    def __init__(self, rows: list[tuple], left, right, hot: list[tuple] = ()):
         self.blocks = [r[2] for r in rows]
         self.left, self.right, self.doc, flags = (np.concatenate([np.frombuffer(r[k], t) for r in rows] or [np.zeros(0, t)]) for k, t in ((3, left), (4, right), (5, np.uint16), (6, np.uint8)))
         self.training = (flags & 1).astype(bool)
         sizes = [len(r[5]) // 2 for r in rows]
         self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.placed, learnt = len(self.left), self.training
+        if hot:
+            self.left, self.right, learnt = (np.concatenate([x, *(np.frombuffer(r[k], t) for r in hot)]) for x, k, t in ((self.left, 3, left), (self.right, 4, right), (learnt, 6, np.uint32)))
         if left == right == np.uint16:
             key = self.left.astype(np.uint32) << np.uint32(16) | self.right
         else:
             key = mixed(self.left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + mixed(self.right.astype(np.uint64))
         _, self.first, self.pair = np.unique(key, return_index=True, return_inverse=True)
-        self.types = np.bincount(self.pair, self.training, len(self.first)).astype(np.int64)
+        self.types = np.bincount(self.pair, learnt, len(self.first)).astype(np.int64)
         self.seen = self.types[self.pair] if len(self.pair) else np.zeros(0, np.int64)
 
     def partial(self, kind: str, score: np.ndarray, k: int, base: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple]:
         """Per group of texts: sums of scores, of pairs by small count, and of what rare words add to the base."""
         places, where = np.unique(self.row * 65536 + self.doc, return_inverse=True)
-        n = len(places)
-        sums = np.bincount(where, score, n)
-        small = np.stack([np.bincount(where, self.seen == r, n) for r in range(1, k + 1)], axis=1).astype(np.uint16) if k else np.zeros((n, 0), np.uint16)
+        n, seen = len(places), self.seen[: self.placed]
+        sums = np.bincount(where, score[: self.placed], n)
+        small = np.stack([np.bincount(where, seen == r, n) for r in range(1, k + 1)], axis=1).astype(np.uint16) if k else np.zeros((n, 0), np.uint16)
         extra = (np.bincount(where, base, n), np.bincount(where, known, n).astype(np.uint32)) if base is not None else ()
         edge = np.searchsorted(places, np.arange(len(self.blocks) + 1) * 65536)
         return [
@@ -275,7 +308,8 @@ def counted(rows: DataFrame, known, parts: int) -> DataFrame:
             word, at = np.unique(np.concatenate([rare["fr"].right, rare["rr"].right]), return_inverse=True)
             count = np.bincount(at, np.concatenate([rare["fr"].training, rare["rr"].training]), len(word)).astype(np.int64)
             c_of = {"fr": count[at[: len(rare["fr"].right)]], "rr": count[at[len(rare["fr"].right) :]]}
-            ff = Pairs(waiting.get("ff", []), np.uint16, np.uint16)
+            hot = waiting.get("hot", [])
+            ff = Pairs(waiting.get("ff", []), np.uint16, np.uint16, hot)
             for kind, pairs, c in (("ff", ff, own.counts[ff.right] if len(ff.right) else np.zeros(0, np.int64)), ("fr", rare["fr"], c_of["fr"])):
                 once += np.bincount(pairs.types[(pairs.types > 0) & (pairs.types <= k + 1)], minlength=k + 2)[1:]
                 if not len(pairs.right):
@@ -284,7 +318,13 @@ def counted(rows: DataFrame, known, parts: int) -> DataFrame:
                 score = np.where(pairs.seen > 0, np.log10(np.maximum(pairs.seen, 1) / (own.history[pairs.left] + RESERVED)), np.log10(p))
                 out += pairs.partial("sum", score, k, *((own.base(c), c > 0) if kind == "fr" else ()))
                 histories.append(history_sums(pairs.left[pairs.first].astype(np.int64), pairs.types, p[pairs.first], k))
-                new = np.flatnonzero(pairs.seen == 0)  # held-out texts' pairs: they still lack alpha
+                if kind == "ff":  # what groups asked for: count up to k + 1 (0: alpha is lacking) and the rest of the score
+                    a = pairs.placed
+                    for r in hot:
+                        b = a + len(r[3]) // 2
+                        out.append((0, "told", r[2], *_bytes(np.frombuffer(r[5], np.uint16), np.minimum(pairs.seen[a:b], k + 1).astype(np.uint16), score[a:b])))
+                        a = b
+                new = np.flatnonzero(pairs.seen[: pairs.placed] == 0)  # held-out texts' pairs: they still lack alpha
                 edge = np.searchsorted(pairs.row[new], np.arange(len(pairs.blocks) + 1))
                 out += [(0, "back", block, *_bytes(pairs.doc[new[a:b]], pairs.left[new[a:b]])) for block, a, b in zip(pairs.blocks, edge[:-1], edge[1:], strict=True) if b > a]
             rr, c = rare["rr"], c_of["rr"]
@@ -312,7 +352,7 @@ def counted(rows: DataFrame, known, parts: int) -> DataFrame:
                 at = np.flatnonzero(big + small.sum(axis=1) > 0)
                 out.append((0, "history", 0, *_bytes(at.astype(np.int64), big[at], small[at].astype(np.int64), mass[at])))
             out.append((0, "seen", 0, *_bytes(once)))
-            out += waiting.get("text", [])
+            out += waiting.get("text", []) + waiting.get("places", [])
             for a in range(0, len(out), 32):
                 yield _batch(out[a : a + 32])
 
@@ -412,11 +452,15 @@ def gathered(rows: DataFrame, known, d: np.ndarray, alpha: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Words = known.value
         log_d, log_alpha = shared.value
-        current, text = None, None
+        current, text, places = None, None, None
+        log_count = np.concatenate([[0.0], log_d, [0.0]])
         names = [x.split()[0] for x in SCORES.split(", ")]
 
         def closed() -> pa.RecordBatch:
             ids, flags, tokens, n_known, base, score = text
+            if places:
+                _, number, doc, times, value = places
+                score += np.bincount(doc, value[number] * times, len(score))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=flags & 2 > 0), pa.array(flags & 1 == 0), pa.array(tokens), pa.array(n_known), pa.array(np.full(len(ids), own.total)), pa.array(base), pa.array(score)], names
             )
@@ -425,8 +469,15 @@ def gathered(rows: DataFrame, known, d: np.ndarray, alpha: np.ndarray) -> DataFr
             for _, kind, block, _, a, b, c, e, f in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if block != current and current is not None:
                     yield closed()
+                    places = None
                 current = block
-                if kind == "text":
+                if kind == "places":
+                    left = np.frombuffer(a, np.uint16)
+                    places = (left, np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint16), np.frombuffer(e, np.uint32), np.zeros(len(left)))
+                elif kind == "told":
+                    at, few = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+                    places[4][at] = np.frombuffer(c, np.float64) + log_count[few] + np.where(few == 0, log_alpha[places[0][at]], 0.0)
+                elif kind == "text":
                     ids, flags = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint8)
                     text = [ids, flags, np.frombuffer(c, np.int64), np.frombuffer(e, np.int64).copy(), np.frombuffer(f, np.float64).copy(), np.zeros(len(ids))]
                 elif kind == "back":
@@ -442,11 +493,11 @@ def gathered(rows: DataFrame, known, d: np.ndarray, alpha: np.ndarray) -> DataFr
         if current is not None:
             yield closed()
 
-    ordered = rows.withColumn("late", (F.col("kind") != "text").cast("int")).repartition("block").sortWithinPartitions("block", "late")
+    ordered = rows.withColumn("late", F.when(F.col("kind") == "text", 0).when(F.col("kind") == "places", 1).otherwise(2)).repartition("block").sortWithinPartitions("block", "late")
     return ordered.select("part", "kind", "block", "late", "a", "b", "c", "d", "e").mapInArrow(run, SCORES)
 
 
-def scored(docs: DataFrame, k: int = K, frequent: int = FREQUENT, part_tokens: int = PART_TOKENS, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, k: int = K, frequent: int = FREQUENT, part_tokens: int = PART_TOKENS, group_tokens: int = GROUP_TOKENS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns from the rows that aren't held out.
 
     Words are lower-cased (A-Z) runs without white space, and an end closes each text; null text is
@@ -460,9 +511,9 @@ def scored(docs: DataFrame, k: int = K, frequent: int = FREQUENT, part_tokens: i
     counts = stored(word_counts(rows), "words")
     texts = rows.filter("training").count()
     words_ = known_words(counts, texts, frequent, k)
-    parts = max(8, -(-words_.total // part_tokens))
+    parts = max(8, -(-words_.tokens // part_tokens))
     known = spark.sparkContext.broadcast(words_)
-    first = stored(counted(dealt(rows, known, parts, group_tokens), known, parts), "pairs")
+    first = stored(counted(dealt(rows, known, parts, group_tokens, share), known, parts), "pairs")
     once = np.zeros(k + 1, np.int64)
     for r in first.filter("kind = 'seen'").select("a").toLocalIterator():
         once += np.frombuffer(r.a, np.int64)
@@ -472,5 +523,5 @@ def scored(docs: DataFrame, k: int = K, frequent: int = FREQUENT, part_tokens: i
     alpha = np.ones(1 << 16)
     small = np.stack([table[f"s{r}"].to_numpy() for r in range(1, k + 1)], axis=1)
     alpha[at] = alpha_of(words_.history[at], table["big"].to_numpy(), small, table["mass"].to_numpy(), d)
-    sums = first.filter("kind in ('text', 'sum', 'back')").unionByName(rare_histories(first, known, d))
+    sums = first.filter("kind in ('text', 'places', 'told', 'sum', 'back')").unionByName(rare_histories(first, known, d))
     return gathered(sums, known, d, alpha)

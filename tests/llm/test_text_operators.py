@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -144,6 +145,27 @@ def test_scores_match_brute_force(spark, tmp_path):
             assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("junk_id", [range(1000, 1040), [None]])
+def test_scores_of_a_junk_source_that_repeats_one_pair(spark, tmp_path, junk_id):
+    docs = [*corpus(6, 80), *((i, "buy " * (80 if i else 3200)) for i in junk_id)]
+    path = str(tmp_path / "docs")
+    frame(spark, docs).repartition(3).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("training", katz.is_training())
+    words = katz.known_words(katz.word_counts(rows), rows.filter("training").count(), 100, katz.K)
+    dealt = katz.dealt(rows, spark.sparkContext.broadcast(words), 8, 500).filter("kind in ('ff', 'fr', 'rf', 'rr')").collect()
+    placed = Counter()
+    for r in dealt:
+        placed[r.part] += len(r.c) // 2
+    # a third of all tokens is one pair: not one partition has more of them than of anything else
+    assert max(placed.values()) < sum(placed.values()) / 3 and sum(placed.values()) > 2000
+    want = brute.katz(docs, katz.discounts)
+    got = {r.doc_id: r for r in katz.scored(spark.read.parquet(path), frequent=100, group_tokens=500, part_tokens=700).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, known, total, base, score) in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score, rel=1e-5, abs=1e-4)
+
+
 def test_scores_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     rows = katz.scored(frame(spark, [(held, "a b"), (None, None)])).collect()
