@@ -128,12 +128,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 def segments(docs: DataFrame, length: int, gram: int, together: int = TOGETHER) -> DataFrame:
-    """One row per anchor: gram, hash of its segment, document, place (position, windows before, windows), whole.
+    """One row per anchor: gram, hash of its segment, document, copy, place (position, windows before, windows), whole.
 
     whole tells that the task itself has met the segment earlier in the order, so that of a
     segment with many copies few rows meet in one place.
     """
-    names = ["gram", "segment", "doc", "place", "whole"]
+    names = ["gram", "segment", "doc", "copy", "place", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -155,12 +155,12 @@ def segments(docs: DataFrame, length: int, gram: int, together: int = TOGETHER)
                 continue
             copy = batch.column(1).to_numpy().astype(np.int64)[doc]
             position = at - offsets[doc]
-            if copy.max() >= 1 << 18 or position.max() >= 1 << 31:
-                raise ValueError("texts of 2 GiB or more, or 262,144 rows with one id, aren't supported")
+            if position.max() >= 1 << 31:
+                raise ValueError("texts of 2 GiB or more aren't supported")
             left = at - first
-            place = (copy << 45) | (position << 14) | (left << 7) | (count - 1)
+            place = (position << 14) | (left << 7) | (count - 1)
             segment = rolling.of(first, first + count - 1 + length) ^ (left * 128 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            held.append((h[at].view(np.int64), segment.view(np.int64), batch.column(0).to_numpy()[doc], place))
+            held.append((h[at].view(np.int64), segment.view(np.int64), batch.column(0).to_numpy()[doc], copy, place))
             size += len(doc)
             if size >= together:
                 yield from sent()
@@ -168,31 +168,31 @@ def segments(docs: DataFrame, length: int, gram: int, together: int = TOGETHER)
         if held:
             yield from sent()
 
-    return docs.select("doc", "copy", "text").mapInArrow(run, "gram long, segment long, doc long, place long, whole boolean")
+    return docs.select("doc", "copy", "text").mapInArrow(run, "gram long, segment long, doc long, copy long, place long, whole boolean")
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
-    """gram, doc, place, whole: segments equal to an earlier one (whole), and the earliest of each
+    """gram, doc, copy, place, whole: segments equal to an earlier one (whole), and the earliest of each
     kind where an anchor has several kinds.
 
     Rows stream in order; a frequent anchor takes constant memory.  Rows that are known to repeat
     come along wherever they lie.
     """
-    key = F.when(F.col("whole"), F.xxhash64("doc", "place")).otherwise(F.col("gram"))
-    ordered = rows.withColumn("key", key).repartition("key").sortWithinPartitions("whole", "gram", "segment", "doc", "place")
-    names = ["gram", "doc", "place", "whole"]
+    key = F.when(F.col("whole"), F.xxhash64("doc", "copy", "place")).otherwise(F.col("gram"))
+    ordered = rows.withColumn("key", key).repartition("key").sortWithinPartitions("whole", "gram", "segment", "doc", "copy", "place")
+    names = ["gram", "doc", "copy", "place", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = opener = None  # gram and segment of the last row; first row of its gram while that isn't emitted
         for batch in batches:
-            known = batch.column(4).to_numpy(zero_copy_only=False)
+            known = batch.column(5).to_numpy(zero_copy_only=False)
             n = int(np.searchsorted(known, True))
             if n < batch.num_rows:
                 rest = batch.slice(n)
-                yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(2), rest.column(3), rest.column(4)], names)
+                yield pa.RecordBatch.from_arrays([rest.column(0), *rest.columns[2:]], names)
             if not n:
                 continue
-            gram, segment, doc, place = (c.to_numpy() for c in batch.slice(0, n).columns[:4])
+            gram, segment, doc, copy, place = (c.to_numpy() for c in batch.slice(0, n).columns[:5])
             new_gram, new_kind = np.ones(n, bool), np.ones(n, bool)
             new_gram[1:] = gram[1:] != gram[:-1]
             new_kind[1:] = new_gram[1:] | (segment[1:] != segment[:-1])
@@ -207,26 +207,26 @@ def sorted_out(rows: DataFrame) -> DataFrame:
             if opener is not None and (further & (first < 0)).any():
                 extra, opener = [opener], None
             pick = np.flatnonzero(further | several | ~new_kind)
-            out = [np.concatenate([np.array([x[k] for x in extra], np.int64), c[pick]]) for k, c in enumerate((gram, doc, place))]
+            out = [np.concatenate([np.array([x[k] for x in extra], np.int64), c[pick]]) for k, c in enumerate((gram, doc, copy, place))]
             whole = np.concatenate([np.zeros(len(extra), bool), ~new_kind[pick]])
             before = (gram[-1], segment[-1])
             if first[-1] >= 0:
                 f = first[-1]
-                opener = None if several[f] else (gram[f], doc[f], place[f])
+                opener = None if several[f] else (gram[f], doc[f], copy[f], place[f])
             yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(whole)], names)
 
-    selected = ordered.select("gram", "segment", "doc", "place", "whole")
-    return selected.mapInArrow(run, "gram long, doc long, place long, whole boolean")
+    selected = ordered.select("gram", "segment", "doc", "copy", "place", "whole")
+    return selected.mapInArrow(run, "gram long, doc long, copy long, place long, whole boolean")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """gram, doc, place and the bytes of the wanted segments."""
-    lists = wanted.select("gram", "doc", "place", F.shiftright("place", 45).cast("int").alias("copy")).groupBy("doc", "copy").agg(F.collect_list(F.struct("place", "gram")).alias("wanted"))
+    """gram, doc, copy, place and the bytes of the wanted segments."""
+    lists = wanted.groupBy("doc", "copy").agg(F.collect_list(F.struct("place", "gram")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            asked = batch.column(2)
+            data, offsets = utf8(batch.column(2))
+            asked = batch.column(3)
             row, _ = runs_of(asked.value_lengths().to_numpy())
             place, gram = (asked.flatten().field(k).to_numpy() for k in (0, 1))
             position, left, count = (place >> 14) & (2**31 - 1), (place >> 7) & 127, (place & 127) + 1
@@ -236,10 +236,10 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for a in range(0, len(texts), 8192):
                 s = slice(a, a + 8192)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[s]), batch.column(0).take(pa.array(row[s])), pa.array(place[s]), pa.array(texts[s], pa.binary())], ["gram", "doc", "place", "bytes"]
+                    [pa.array(gram[s]), *(batch.column(k).take(pa.array(row[s])) for k in range(2)), pa.array(place[s]), pa.array(texts[s], pa.binary())], ["gram", "doc", "copy", "place", "bytes"]
                 )
 
-    return docs.join(lists, ["doc", "copy"]).select("doc", "text", "wanted").mapInArrow(run, "gram long, doc long, place long, bytes binary")
+    return docs.join(lists, ["doc", "copy"]).select("doc", "copy", "text", "wanted").mapInArrow(run, "gram long, doc long, copy long, place long, bytes binary")
 
 
 def repeated_windows(gram: np.ndarray, left: np.ndarray, count: np.ndarray, texts: list[bytes], length: int, block: int) -> tuple[np.ndarray, ...]:
@@ -299,7 +299,7 @@ def repeats(rows: DataFrame, length: int, block: int, chunk: int) -> DataFrame:
     A task takes anchors in turns of `chunk` segments.  Of an anchor with more, it keeps
     one 8-byte key per different window between turns.
     """
-    ordered = rows.repartition("gram").sortWithinPartitions("gram", "doc", "place").select("gram", "doc", "place", "bytes")
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "doc", "copy", "place").select("gram", "doc", "copy", "place", "bytes")
     names = ["doc", "copy", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +308,9 @@ def repeats(rows: DataFrame, length: int, block: int, chunk: int) -> DataFrame:
 
         def turn(table: pa.Table) -> pa.RecordBatch:
             nonlocal seen_gram, seen
-            gram, doc, place = (table.column(k).to_numpy() for k in range(3))
+            gram, doc, copy, place = (table.column(k).to_numpy() for k in range(4))
             position, left, count = (place >> 14) & (2**31 - 1), (place >> 7) & 127, (place & 127) + 1
-            seg, w, again, keys = repeated_windows(gram, left, count, table.column(3).to_pylist(), length, block)
+            seg, w, again, keys = repeated_windows(gram, left, count, table.column(4).to_pylist(), length, block)
             if seen_gram is not None and gram[0] == seen_gram:
                 mine = gram[seg] == seen_gram
                 again[mine] |= np.isin(keys[mine], seen)
@@ -324,7 +324,7 @@ def repeats(rows: DataFrame, length: int, block: int, chunk: int) -> DataFrame:
             n = np.diff(np.append(edge, len(seg)))
             s = seg[edge]
             start = position[s] - left[s] + w[edge]
-            return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array((place[s] >> 45).astype(np.int32)), pa.array(start), pa.array(start + n - 1 + length)], names)
+            return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(copy[s]), pa.array(start), pa.array(start + n - 1 + length)], names)
 
         rows_waiting = 0
         for batch in batches:
@@ -344,7 +344,7 @@ def repeats(rows: DataFrame, length: int, block: int, chunk: int) -> DataFrame:
             for a in range(0, rows_waiting, chunk):
                 yield turn(table.slice(a, chunk))
 
-    return ordered.mapInArrow(run, "doc long, copy int, first long, last long")
+    return ordered.mapInArrow(run, "doc long, copy long, first long, last long")
 
 
 def repeated_ranges(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -353,7 +353,7 @@ def repeated_ranges(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM,
     kinds = repeats(with_bytes(numbered, found.filter("not whole"), length), length, block, chunk)
     start = (F.shiftright("place", 14).bitwiseAND(2**31 - 1) - F.shiftright("place", 7).bitwiseAND(127)).alias("first")
     count = F.col("place").bitwiseAND(127)
-    whole = found.filter("whole").select("doc", F.shiftright("place", 45).cast("int").alias("copy"), start, (start + count + length).alias("last"))
+    whole = found.filter("whole").select("doc", "copy", start, (start + count + length).alias("last"))
     return whole.unionByName(kinds).groupBy("doc", "copy").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
@@ -386,7 +386,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     """Per row: bytes, bytes removed, maximal removed runs, checksum of the rest, and the rest (with_kept).
 
     Null text is empty; matches never cross rows.  Rows are ordered by id (null last) and, where an
-    id repeats, by text; equal rows are a text and its repetition.  An empty table gives no rows.
+    id repeats, as copies_numbered does; equal rows are a text and its repetition.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = _numbered(docs, id_col, text_col)

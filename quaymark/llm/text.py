@@ -125,17 +125,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters of a text that rows of one id are ordered by, before the text's checksum.
+HEAD = 256
+
+
 def copies_numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Columns doc_id, text and copy (whole: all columns and __copy) that make (id, copy) a key of rows.
 
-    copy is 0, or the number among rows that share an id, ordered by text.  Ids are unique in
-    sound tables, and then no text is shuffled.  Null ids count as one repeated id.
+    copy is 0, or the number among rows that share an id, ordered by the text's first `HEAD`
+    characters and then by its checksum.  Ids are unique in sound tables, and then no text is
+    shuffled.  Null ids count as one repeated id.  Rows are numbered in blocks of a range
+    partitioning that cuts groups anywhere, equal rows too, so no task takes a whole group.
     """
     ident = F.col(id_col).cast("long")
     repeated = docs.groupBy(ident.alias("i")).count().filter("count > 1").limit(1).count()
-    copy = (F.row_number().over(Window.partitionBy(ident).orderBy(text_col)) - 1) if repeated else F.lit(0)
-    if whole:
-        docs = docs.withColumn("__copy", copy)
-    else:
-        docs = docs.select(ident.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), copy.alias("copy"))
-    return stored(docs, "numbered") if repeated else docs
+    columns = [F.col(f"`{c}`") for c in docs.columns] if whole else [ident.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    name = "__copy" if whole else "copy"
+    if not repeated:
+        return docs.select(*columns, F.lit(0).cast("long").alias(name))
+    order = ["__head", "__sum", "__row"]
+    rows = docs if whole else docs.select(id_col, text_col)
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")  # from here on a row keeps its number
+    keys = rows.select(ident.alias("__i"), F.substring(text_col, 1, HEAD).alias("__head"), F.xxhash64(text_col).alias("__sum"), "__row")
+    keys = stored(keys.repartitionByRange("__i", *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    before = Window.partitionBy("__i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = keys.groupBy("__i", "__part").agg(F.count("*").alias("n")).select(F.col("__i").alias("__bi"), F.col("__part").alias("__bp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    placed = keys.withColumn("__place", F.row_number().over(Window.partitionBy("__i", "__part").orderBy(*order)) - 1)
+    numbers = placed.join(blocks, placed["__i"].eqNullSafe(blocks["__bi"]) & (placed["__part"] == blocks["__bp"]))
+    out = rows.join(numbers.select("__row", (F.col("__before") + F.col("__place")).alias("__copy")), "__row")
+    return stored(out.select(*columns, F.col("__copy").alias(name)), "numbered")

@@ -90,7 +90,7 @@ def surveyed(docs: DataFrame, n: int, bits: int) -> DataFrame:
     evenly, with counts.  The counts only order the elements, and any order that is the same
     everywhere is right, so rare buckets needn't be sent.
     """
-    schema = "doc_id long, copy int, n_shingles long, node long, parity array<long>, bucket int, n long"
+    schema = "doc_id long, copy long, n_shingles long, node long, parity array<long>, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in schema.split(", ")]
@@ -107,7 +107,7 @@ def surveyed(docs: DataFrame, n: int, bits: int) -> DataFrame:
             )
         at = np.flatnonzero(total > 2 + 2 * total.mean())
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names)
 
     return docs.select("doc_id", "copy", "text").mapInArrow(run, schema)
 

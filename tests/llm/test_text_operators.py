@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from quaymark.llm import convnet, decontaminate, katz, suffixes, trie_join
 from quaymark.llm.suffixes import suffix_array
+from quaymark.llm.text import copies_numbered
 from quaymark.llm.trie_join import Trie
 
 DOCS = "doc_id long, text string, lang string, n_chars long, copy string, node string, score string, item_ids string"
@@ -202,6 +203,20 @@ def test_very_long_text(spark):
     assert {x.doc_id: x.n_removed for x in suffixes.removed(frame(spark, docs)).collect()} == {1: 0, 2: 200_000}
 
 
+def test_many_rows_with_one_id(spark):
+    text = "a string of a hundred bytes that all rows share, so that it is cut from every row but the first one.."
+    rows = spark.createDataFrame([(None, 300_000, text), (5, 0, text)], "doc int, copy long, text string")
+    far = rows.selectExpr("cast(coalesce(doc, 9) as long) doc", "copy", "text")
+    assert [(r.doc, r.copy) for r in suffixes.repeated_ranges(far).collect()] == [(9, 300_000)]
+    docs = spark.range(6000).selectExpr("cast(null as long) doc_id", "concat('same head ', id div 3 % 500) text").unionByName(frame(spark, [(1, "b"), (2, "c"), (2, "a")]).select("doc_id", "text"))
+    got = copies_numbered(docs).collect()
+    assert sorted(r.copy for r in got if r.doc_id is None) == list(range(6000))
+    assert {(r.doc_id, r.text, r.copy) for r in got if r.doc_id} == {(1, "b", 0), (2, "a", 0), (2, "c", 1)}
+    # as by the text itself, though no task orders the whole group
+    texts = [r.text for r in sorted((r for r in got if r.doc_id is None), key=lambda r: r.copy)]
+    assert texts == sorted(texts)
+
+
 @pytest.mark.parametrize("run", [trie_join.similar_groups, trie_join.one_per_group, suffixes.removed, suffixes.deduplicated, katz.scored])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
