@@ -7,9 +7,12 @@ rewrites history; such conversations are marked, and their later spans aren't us
 Where the text lies inside a span is found the same way: the turn is rendered with two other
 texts, and what all renderings share at both ends is the turn's frame.
 
-Turns arrive sorted and are streamed, so a worker holds at most `window` turns however long the
-conversation; the older half is dropped when the window is full.  A template whose next span
-changes by that depends on more history than the window holds: this is detected, and raises.
+Turns arrive sorted and are streamed.  What a turn adds is what the whole prefix before it and the
+whole prefix with it say, so a worker holds the turns and the last output of one conversation.  A
+turn that comes out otherwise with the last `window` turns alone depends on more history than the
+window holds: this is compared at every turn, and raises; without a window nothing is compared
+and any template goes.  Only of a template declared `additive` (every turn is rendered alone, as by
+the default one) a worker holds at most `window` turns however long the conversation.
 """
 
 from __future__ import annotations
@@ -52,6 +55,13 @@ def unescaped_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
+def additive(template: Template) -> Template:
+    """Declare that a template renders every turn alone: the output is the turns' outputs one after the other."""
+    template.additive = True
+    return template
+
+
+@additive
 def marked_turns(turns: Turns) -> str:
     """The default template: every turn between control strings, its text escaped reversibly."""
     return "".join(f"{OPEN}{escaped_role(role)}\n{escaped(text)}{CLOSE}\n" for role, text in turns)
@@ -84,8 +94,9 @@ def frame(template: Template, before: Turns, role: str) -> tuple[int, int]:
 class Renderer:
     """Spans of one conversation's turns, in order."""
 
-    def __init__(self, template: Template, window: int, learn: frozenset[str]):
+    def __init__(self, template: Template, window: int | None, learn: frozenset[str]):
         self.template, self.window, self.learn = template, window, learn
+        self.additive = window is not None and getattr(template, "additive", False)
         self.turns: Turns = []
         self.output = ""
         self.first, self.seq, self.rewrites = 0, 0, False
@@ -93,13 +104,14 @@ class Renderer:
     def add(self, role: str, text: str) -> tuple:
         turn, output = (role, text), self.output
         now = self.template([*self.turns, turn])
-        if len(self.turns) >= self.window:
-            kept = self.turns[self.window // 2 :]
+        if self.window is not None and len(self.turns) >= self.window:
+            kept = self.turns[len(self.turns) - (self.window // 2 if self.additive else self.window) :]
             shorter = self.template(kept)
             after = self.template([*kept, turn])
             if now.startswith(output) and after[len(shorter) :] != now[len(output) :]:
-                raise ValueError("the template looks further back than the window; give a larger one")
-            self.turns, output, now = kept, shorter, after
+                raise ValueError("the template looks further back than the window; give a larger one, or None")
+            if self.additive:
+                self.turns, output, now = kept, shorter, after
         self.rewrites |= not now.startswith(output)
         piece = now[_shared(now, output) :]
         loss, head, n = role in self.learn and not self.rewrites, 0, 0
@@ -113,14 +125,14 @@ class Renderer:
 
 
 def format_chats(
-    conversations: DataFrame, template: Template = marked_turns, learn: tuple[str, ...] = ("assistant",), window: int = WINDOW
+    conversations: DataFrame, template: Template = marked_turns, learn: tuple[str, ...] = ("assistant",), window: int | None = WINDOW
 ) -> DataFrame:
     """One row per turn, in order within a task: the piece it adds to the output and where its text lies.
 
     first and text_first count characters of the conversation's output; loss tells that the text
     [text_first, text_first + text_length) is learnt.  Null text and null role are empty; null
     conv_id is one conversation, null turns come first, equal turns are ordered by role and
-    text, repeated rows are repeated turns.  Other columns are ignored; no rows give no rows.
+    text, repeated rows are repeated turns.  window: see above; None takes any template.  Other columns are ignored; no rows give no rows.
     """
     small_batches(conversations.sparkSession)
     names = [part.split()[0] for part in SPANS.split(", ")]

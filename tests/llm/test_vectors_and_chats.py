@@ -94,3 +94,28 @@ def test_templates_that_look_too_far_back_raise(spark):
         chat.format_chats(table, counted).collect()
     assert chat.format_chats(table, counted, window=100).count() == 40
     assert chat.digests(chat.format_chats(table.limit(0))).count() == 0
+
+
+def test_long_conversations_are_rendered_whole(spark):
+    def trimmed(turns):
+        return "".join(f"{r}:{t};" for r, t in turns[-33:])
+
+    def old_ones_marked(turns):
+        return "".join(f"{r}:{'' if len(turns) - k > 35 else t};" for k, (r, t) in enumerate(turns))
+
+    def first_user(turns):
+        return "".join(f"{r}:{t}{turns[0][1] if r == 'assistant' else ''};" for r, t in turns)
+
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(45)]
+    turns = [(r[2], r[3]) for r in rows]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (trimmed, old_ones_marked):
+        got = sorted(chat.format_chats(table, template).collect(), key=lambda r: r.seq)
+        want = [not template(turns[: k + 1]).startswith(template(turns[:k])) for k in range(45)]
+        assert any(want) and [r.rewrites for r in got] == [any(want[: k + 1]) for k in range(45)]
+        assert [r.loss for r in got] == [r.seq % 2 == 1 and not r.rewrites for r in got]
+    with pytest.raises(Exception, match="further back"):
+        chat.format_chats(table, first_user).collect()
+    got = sorted(chat.format_chats(table, first_user, window=None).collect(), key=lambda r: r.seq)
+    assert "".join(r.piece for r in got) == first_user(turns) and not any(r.rewrites for r in got)
+    assert all(first_user(turns)[r.text_first : r.text_first + r.text_length] == f"t{r.seq}" for r in got if r.loss)
