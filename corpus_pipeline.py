@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm import convnet, decontaminate, packing, suffixes, trie_join
+from quaymark.llm.text import set_aside
 from quaymark.session import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality network rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    own = [f"`{c}`" for c in docs.columns]
+    docs, own = set_aside(docs, {"score", "held_out", "predicted"})
     return convnet.classified(docs, labels).filter("predicted = 1").select(*own)
 
 

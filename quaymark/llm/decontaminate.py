@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.text import LOWER, NOT_ALNUM, Rolling, runs_of, small_batches, utf8, words
+from quaymark.llm.text import LOWER, NOT_ALNUM, Rolling, runs_of, set_aside, small_batches, utf8, words
 from quaymark.llm.tokens import HashIndex
 
 WINDOW, BLOCK_WORDS = 13, 1_000_000
@@ -228,7 +228,8 @@ def items_digest() -> F.Column:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
     share = options.pop("share", SHARE)
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    names = {part.split()[0] for part in FOUND.split(", ")} | {"n_hit", "n_items", "contaminated"}
+    docs, own = set_aside(docs, names)
     return verdicts(found(docs, benchmark, **options), share).filter(~F.col("contaminated")).select(*own)
 
 

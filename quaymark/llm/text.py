@@ -125,6 +125,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, list[F.Column]]:
+    """docs with columns of these names renamed, and what selects the original columns afterwards."""
+    new = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 #: Characters of a text that rows of one id are ordered by, before the text's checksum.
 HEAD = 256
 

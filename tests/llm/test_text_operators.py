@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -217,6 +218,16 @@ def test_many_rows_with_one_id(spark):
     assert texts == sorted(texts)
 
 
+def test_stages_keep_columns_with_their_own_names(spark, tmp_path):
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "other words altogether")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = ["score", "held_out", "Predicted", "n_words", "hit_starts", "hit_ends", "item_ids", "n_hit", "n_items", "contaminated"]
+    docs = spark.createDataFrame([(i, f"text {i}", *extra) for i in range(10)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    for stage in (corpus_pipeline.good_quality, corpus_pipeline.uncontaminated):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
 @pytest.mark.parametrize("run", [trie_join.similar_groups, trie_join.one_per_group, suffixes.removed, suffixes.deduplicated, katz.scored])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
