@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, convnet, decontaminate, katz, packing, sharding, spherical_caps, suffixes, token_counts, trie_join
+from quaymark.llm import chat, convnet, decontaminate, katz, packing, radix_trie, sharding, sliced_signatures, spherical_caps, suffixes, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -63,6 +63,17 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op12_lexical_search(spark: SparkSession, root: str) -> DataFrame:
+    return sliced_signatures.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    """The trie of conversations that begin with up to eight turns of the first of their five ids."""
+    return radix_trie.prefix_trie(
+        table(spark, root, "conversations"), base=lambda c: c - F.pmod(c, F.lit(5)), borrowed=lambda c: F.crc32(c.cast("string")) % 9
+    ).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -74,6 +85,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TERMS = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, unnest({_TERMS.format("text")}) AS term FROM documents),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM docs GROUP BY r, term),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term, big_n),
+asked AS (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, any_value(tf.doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (r), corpus GROUP BY item_id, tf.r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS r FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT conv_id, s, i + 1, CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(r, ascii(s[i // 8 + 1])::BIGINT) ELSE r END AS b FROM crc WHERE i < 8 * length(s))),
+heads AS (SELECT conv_id, xor(r, 4294967295) % 9 AS h FROM crc WHERE i = 8 * length(s)),
+turns AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT h.conv_id, 0 AS own, i, id, size FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 5 AND i <= h
+  UNION ALL
+  SELECT h.conv_id, 1, i, id, size FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND i > h),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY own, i ROWS UNBOUNDED PRECEDING) AS path, size
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM paths GROUP BY path, depth),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT path, sum(saved) AS saved, sum(leaf) AS leaves FROM (
+    SELECT left(m.path, 32 * unnest(range(m.depth + 1))) AS path, (m.n - 1) * m.size AS saved, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf
+    FROM nodes m LEFT JOIN kids k ON k.path = m.path) GROUP BY path),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS digest FROM (SELECT * FROM paths QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY path)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n AS n_convs, coalesce(k.n, 0) AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes m JOIN sums USING (path) LEFT JOIN kids k USING (path) LEFT JOIN ends e USING (path)
+LEFT JOIN nodes p ON m.depth > 0 AND p.path = left(m.path, 32 * (m.depth - 1))
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_lexical_search": OP12_SQL, "op13_prefix_trie": OP13_SQL}
