@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import chat, convnet, decontaminate, katz, packing, radix_trie, sharding, sliced_signatures, spherical_caps, suffixes, token_counts, trie_join
+from quaymark.llm import chat, convnet, decontaminate, katz, packing, prefix_forest, radix_trie, sharding, sliced_signatures, spherical_caps, suffixes, token_counts, trie_join
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_chat_format(spark: SparkSession, root: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op11_nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_lexical_search(spark: SparkSession, root: str) -> DataFrame:
     return sliced_signatures.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_lexical_search": op12_lexical_search,
     "op13_prefix_trie": op13_prefix_trie,
 }

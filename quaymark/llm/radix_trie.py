@@ -254,7 +254,6 @@ def sequences(conversations: DataFrame, base: Column | None = None, borrowed: Co
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = conv = None
         head: list[tuple[bytes, int]] = []  # first turns of the base
-        most = 0
         ids, sizes, seen = bytearray(), [], 0
 
         def start(c: int, n: int) -> None:
@@ -331,7 +330,7 @@ def _ends(strings: DataFrame) -> DataFrame:
     return chunks.repartition("class").sortWithinPartitions("class", "first").mapInArrow(hashed, "class binary, ends string")
 
 
-def _cut(classes: DataFrame) -> DataFrame:
+def _cut(classes: DataFrame, most: int) -> DataFrame:
     """The classes sorted by key, with block, and whether a row opens or closes its block."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +346,7 @@ def _cut(classes: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                full = rows == BLOCK_ROWS or held > BLOCK_BYTES
+                full = rows == most or held > BLOCK_BYTES
                 if waiting is not None:
                     out.append((*waiting, full))
                 if full:
@@ -364,7 +363,9 @@ def _cut(classes: DataFrame) -> DataFrame:
     )
 
 
-def prefix_trie(conversations: DataFrame, base: Callable[[Column], Column] | None = None, borrowed: Callable[[Column], Column] | None = None) -> DataFrame:
+def prefix_trie(
+    conversations: DataFrame, base: Callable[[Column], Column] | None = None, borrowed: Callable[[Column], Column] | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The nodes of the trie of all conversations, root included.
 
     conv_id is the smallest member; parent_conv_id the parent's (null for the root); n_convs counts
@@ -380,7 +381,7 @@ def prefix_trie(conversations: DataFrame, base: Callable[[Column], Column] | Non
     strings = stored(sequences(conversations, base and base(conv), borrowed and borrowed(conv)).withColumn("class", F.unhex(F.sha2("key", 256))), "strings")
     classes = strings.groupBy("key", "sizes", "class").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
     classes = stored(classes.join(_ends(strings), "class"), "classes")
-    blocks = stored(_cut(classes.repartitionByRange("key").sortWithinPartitions("key")), "blocks")
+    blocks = stored(_cut(classes.repartitionByRange("key").sortWithinPartitions("key"), block_rows), "blocks")
 
     by_key = Window.orderBy("key")  # a row for each block
     after = blocks.filter("opens").select("block", F.lead("key").over(by_key).alias("key"), F.lit(1).alias("kind"))

@@ -265,11 +265,11 @@ def _weighted(items: DataFrame, index: Index) -> DataFrame:
     return rows.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("asked"))
 
 
-def _blocks_of(rows: Iterator[Row]) -> Iterator[list[Row]]:
+def _blocks_of(rows: Iterator[Row], most: int) -> Iterator[list[Row]]:
     block: list[Row] = []
     held = 0
     for row in rows:
-        if block and held + len(row["asked"]) > QUERY_TERMS:
+        if block and held + len(row["asked"]) > most:
             yield block
             block, held = [], 0
         block.append(row)
@@ -348,7 +348,15 @@ def _rescored(docs: DataFrame, candidates: DataFrame, shared) -> DataFrame:
 
 
 def search(
-    docs: DataFrame, items: DataFrame, k: int = 20, index: Index | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    k: int = 20,
+    index: Index | None = None,
+    query_terms: int = QUERY_TERMS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
 ) -> DataFrame:
     """item_id, rank, doc_id and score of the k best documents with a score above 0, for every row of items.
 
@@ -368,7 +376,7 @@ def search(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
     best = lambda order: F.row_number().over(Window.partitionBy("item").orderBy(*order))
     found = None
-    for rows in _blocks_of(queries.toLocalIterator()):
+    for rows in _blocks_of(queries.toLocalIterator(), query_terms):
         asked = Asked.of(rows, index)
         shared = spark.sparkContext.broadcast(asked)
         first = _candidates(index, shared, None).withColumn("n", best([F.desc("bound"), F.asc_nulls_last("doc_id")])).filter(F.col("n") <= max(k, FIRST))
