@@ -29,6 +29,8 @@ from quaymark.llm.text import mixed, small_batches, stored
 TREES, BITS, SEED = 8, 64, 11
 #: Rows of a block, and queries that meet them in a task; queries that are scored at a time.
 BLOCK_ROWS, BLOCK_QUERIES, STRIPE = 4096, 2048, 128
+#: Cells next to each other that go to one task, and queries whose best rows a task holds.
+NEIGHBOURS, MOST_HELD = 4, 50_000
 #: Leading bits that cells are cut by at most: bounds the tables of cells that tasks are given.
 MOST_BITS = 16
 #: Sampled queries, and the recall that the budget is fitted to.
@@ -349,33 +351,48 @@ def found(forest: Forest, budget: int, block: tuple[int, int] = (BLOCK_ROWS, BLO
     blocks = _dealt(asking, cells, trees, True, forest.kind).unionByName(_dealt(held, cells, trees, False, forest.kind))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for part in itertools.batched(best, 2000):
+                columns = [np.repeat(part, [len(best[q][0]) for q in part]), *(np.concatenate([best[q][c] for q in part]) for c in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["number", "other", "first", "score"])
+            best.clear()
+
         for (number, asked, stop, vector), (other, string, smallest, rows) in _blocks(batches, dimensions):
             if not len(number) or not len(other):
                 continue
             lo, hi = _range(string, asked, np.where(stop > bits, stop, 0))
             reach = np.abs(rows).max() * dimensions * 1e-12
-            out: list[tuple[np.ndarray, ...]] = []
             for a in range(0, len(number), STRIPE):
                 q = slice(a, min(a + STRIPE, len(number)))
                 low, high = int(lo[q].min()), int(hi[q].max())
                 with np.errstate(all="ignore"):
                     product = vector[q] @ rows[low:high].T
-                    for i in range(q.start, q.stop):
+                    for i, query in enumerate(number[q].tolist(), a):
                         own = product[i - a, lo[i] - low : hi[i] - low]
-                        take = np.arange(len(own))
+                        had = best.get(query)
+                        # whatever ties with the last place but for rounding stays in
+                        least = had[2][-1] if had is not None and len(had[0]) > k else -np.inf
                         if len(own) > k + 1:
-                            # whatever ties with the last place but for rounding stays in
-                            least = -np.partition(-own, k)[k] - reach * np.abs(vector[i]).max()
-                            take = take if np.isnan(least) else np.flatnonzero(own >= least)
-                        take = take + lo[i]
+                            least = np.fmax(least, -np.partition(-own, k)[k])
+                        take = np.flatnonzero(~(own < least - reach * np.abs(vector[i]).max())) + lo[i]
                         score = np.add.reduce(vector[i] * rows[take], axis=1)  # in one order, whatever else is in the block
-                        take, score = (x[np.lexsort((smallest[take], -score))[: k + 1]] for x in (take, score))
-                        out.append((np.full(len(take), number[i]), other[take], smallest[take], score))
-                if len(out) > 500 or q.stop == len(number):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["number", "other", "first", "score"])
-                    out = []
-
-    near = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(scored, "number long, other long, first long, score double")
+                        near = other[take], smallest[take], score
+                        if had is not None:
+                            near = tuple(map(np.concatenate, zip(had, near, strict=True)))
+                            _, once = np.unique(near[0], return_index=True)  # other trees find the same rows
+                            near = tuple(c[once] for c in near)
+                        order = np.lexsort((near[0], near[1], -near[2]))[: k + 1]
+                        best[query] = tuple(c[order] for c in near)
+            if len(best) > MOST_HELD:
+                yield from kept()
+        yield from kept()
+
+    # neighbouring cells go to one task, where a query's best rows of all of them are kept
+    blocks = blocks.withColumn("near", F.expr(f"cell div {NEIGHBOURS}"))
+    dealt = blocks.repartition("tree", "near", "part", "share").sortWithinPartitions("tree", "near", "part", "share", "cell").drop("near")
+    near = dealt.mapInArrow(scored, "number long, other long, first long, score double")
     place = F.row_number().over(Window.partitionBy("number").orderBy(F.isnan("score"), F.desc("score"), "first", "other"))
     return near.distinct().withColumn("n", place).filter(F.col("n") <= k + 1).select("number", "other", "score")
 
