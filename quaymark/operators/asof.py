@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaymark.operators.ranged import Last, Stage, scanned
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join where null equals null; the columns of `on` come from the left side."""
@@ -23,59 +25,39 @@ def backward_asof(
     keys: Sequence[str],
     values: Sequence[str],
     ts: str = "ts",
-    block: str | None = "day",
-    spread: int = 1,
+    long: bool = True,
 ) -> DataFrame:
     """Give each left row the values of the latest right row at or before its ts.
 
-    The latest row counts even where its value is null: values travel inside a
-    struct, and only a missing row leaves null.  Left rows with a null key or ts
-    stay and find nothing; right rows with one are never found.  Both sides go through one
-    shuffle; nothing is multiplied.  `block` is the time unit that cuts hot keys:
-    inside a block a window fills forward, and what enters a block comes from a
-    scan over one row per (key, block).  None uses one plain window per key, for
-    keys whose rows have a bound.  Where many left rows share both key and block
-    (all accounts look up one price series), `spread` deals them over that many
-    copies of the right side, which must be a small series then.
+    The latest row counts even where its value is null; only a missing row leaves null.  Left
+    rows with a null key or ts stay and find nothing; right rows with one are never found.  Both
+    sides go through one shuffle; nothing is multiplied.  Keys may be long on either side (all
+    accounts look up one price series): the rows are partitioned by range of (key, ts), and a
+    partition takes over the last row before it.  `long=False` uses one plain window per key,
+    for keys whose rows have a bound.
     """
     keys, values = list(keys), list(values)
-    if spread > 1:
-        others = [c for c in left.columns if c not in keys]
-        left = left.withColumn("__deal", F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int"))
-        right = right.select(
-            *keys, ts, *[v for v in values if v != ts], F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__deal")
-        )
-        return backward_asof(left, right, [*keys, "__deal"], values, ts, block).drop("__deal")
     lcols = [c for c in left.columns if c not in keys and c != ts]
-    slot = F.lit(0) if block is None else F.date_trunc(block, F.col("__ts"))
     l_side = left.select(
         *keys, F.col(ts).alias("__ts"), F.lit(1).alias("__side"), *[F.col(c).alias(f"__l_{c}") for c in lcols]
     )
     r_side = right.dropna(subset=[*keys, ts]).select(
         *keys, F.col(ts).alias("__ts"), F.lit(0).alias("__side"), *[F.col(v).alias(f"__r_{v}") for v in values]
     )
-    both = l_side.unionByName(r_side, allowMissingColumns=True).withColumn("__block", slot)
+    both = l_side.unionByName(r_side, allowMissingColumns=True)
     is_right = F.col("__side") == 0
-    row = F.when(is_right, F.struct(*[F.col(f"__r_{v}").alias(v) for v in values]))
-    inside = W.partitionBy(*keys, "__block").orderBy("__ts", "__side").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(row, ignorenulls=True).over(inside)
-    filled = both.withColumn("__seen", seen).filter(~is_right)
-    if block is not None:
-        # Column by column, so that fixed-width values keep a hash aggregate.
-        at = F.when(is_right, F.col("__ts"))
-        totals = both.groupBy(*keys, "__block").agg(
-            F.max(at).alias("__at"), *[F.max_by(f"__r_{v}", at).alias(v) for v in values]
-        )
-        earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-        last = F.when(F.col("__at").isNotNull(), F.struct(*values))
-        entry = totals.select(*keys, "__block", F.last(last, ignorenulls=True).over(earlier).alias("__entry"))
-        filled = join_null_safe(filled, entry, [*keys, "__block"]).withColumn("__seen", F.coalesce("__seen", "__entry"))
-    return filled.select(
-        *keys,
-        F.col("__ts").alias(ts),
-        *[F.col(f"__l_{c}").alias(c) for c in lcols],
-        *[F.col(f"__seen.{v}").alias(v) for v in values],
-    )
+    if long:
+        found = [f"__f_{v}" for v in values]
+        stage = Stage((Last("__right", tuple(f"__r_{v}" for v in values), tuple(found)),))
+        kinds = dict(both.dtypes)
+        rows = scanned(both.withColumn("__right", is_right), keys, ["__ts", "__side"], [stage], {f: kinds[f"__r_{v}"] for f, v in zip(found, values)})
+        seen = [F.col(f).alias(v) for f, v in zip(found, values)]
+    else:
+        row = F.when(is_right, F.struct(*[F.col(f"__r_{v}").alias(v) for v in values]))
+        inside = W.partitionBy(*keys).orderBy("__ts", "__side").rowsBetween(W.unboundedPreceding, 0)
+        rows = both.withColumn("__seen", F.last(row, ignorenulls=True).over(inside))
+        seen = [F.col(f"__seen.{v}").alias(v) for v in values]
+    return rows.filter(~is_right).select(*keys, F.col("__ts").alias(ts), *[F.col(f"__l_{c}").alias(c) for c in lcols], *seen)
 
 
 def align_symbols(bars: DataFrame, symbols: Sequence[str]) -> DataFrame:

@@ -1,21 +1,23 @@
 """Ledgers replayed from action tables.
 
-Actions are raw-volume data and one account may own a third of them, so every
-running value here takes a time `block` and goes through the two-level scans.
+Actions are raw-volume data and one account may own a third of them, so running values here go
+over a range partitioning of (key, time), in one pass each, dependent recurrences included.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import ratio
 from quaymark.operators.asof import backward_asof, enrich
+from quaymark.operators.ranged import Affine, Floored, Frame, Last, Spent, Stage, Sum, Values, scanned
 from quaymark.operators.risk import report_columns, signed_amount, verb_side
-from quaymark.operators.scan import affine, cut, floored, running, time_block
+from quaymark.operators.scan import floored, running
 
 ORDER = ("ts", "action_no")
 HOURS_PER_YEAR = 8760.0
@@ -23,25 +25,26 @@ HOURS_PER_YEAR = 8760.0
 DUST = 1e-12
 
 
-def _day() -> Column:
-    return time_block("ts", "day")
-
-
 def _snap(c: Column, gross: str) -> Column:
     """Zero where nothing but rounding is left of the amounts moved so far."""
     return F.when(F.abs(c) <= DUST * F.col(gross), 0.0).otherwise(c)
 
 
-def balances(actions: DataFrame, block: Column | None = None) -> DataFrame:
+def _snapped(x: np.ndarray, gross: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) <= DUST * gross, 0.0, x)
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, and 0 over 0."""
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
+
+
+def balances(actions: DataFrame) -> DataFrame:
     """Amount of each (account, side, symbol) after every action."""
-    return running(
-        signed_deltas(actions), ["account_id", "side", "symbol"], ORDER, {"balance": ("sum", F.col("delta"))},
-        _day() if block is None else block,
-    )
+    return running(signed_deltas(actions), ["account_id", "side", "symbol"], ORDER, {"balance": ("sum", F.col("delta"))}, long=True)
 
 
-def interest_balances(deltas: DataFrame, apy: Column, hours_per_bar: float = 1.0,
-                      block: Column | None = None) -> DataFrame:
+def interest_balances(deltas: DataFrame, apy: Column, hours_per_bar: float = 1.0) -> DataFrame:
     """Debt that grows by apy/8760 per bar before the bar's own change.
 
     `deltas`: (account_id, symbol, bar BIGINT, ts, delta, price), `bar` counted in
@@ -51,10 +54,7 @@ def interest_balances(deltas: DataFrame, apy: Column, hours_per_bar: float = 1.0
     r = apy / HOURS_PER_YEAR * hours_per_bar
     index = F.pow(1.0 + r, F.col("bar").cast("double"))
     rows = deltas.withColumn("__scaled", F.col("delta") / index)
-    rows = running(
-        rows, ["account_id", "symbol"], ["bar"], {"__before": ("sum", F.col("__scaled"))},
-        _day() if block is None else block, exclusive=True,
-    )
+    rows = running(rows, ["account_id", "symbol"], ["bar"], {"__before": ("sum", F.col("__scaled"))}, long=True, exclusive=True)
     opening = F.col("__before") * index / (1.0 + r)
     return rows.withColumns(
         {
@@ -71,94 +71,127 @@ def staking_yield(rows: DataFrame, keys: Sequence[str], apy: Column, hours_per_b
     return rows.withColumn("lst_yield", F.coalesce(earned, F.lit(0.0)))
 
 
-def floored_cash(flows: DataFrame, keys: Sequence[str], flow: str, out: str = "cash_reserve",
-                 block: Column | None = None) -> DataFrame:
+def floored_cash(flows: DataFrame, keys: Sequence[str], flow: str, out: str = "cash_reserve") -> DataFrame:
     """Running cash that never falls below zero."""
-    rows = floored(flows, keys, ORDER, F.col(flow), "__level", block=_day() if block is None else block, gross="__gross")
-    return rows.withColumn(out, _snap(F.col("__level"), "__gross")).drop("__level", "__gross")
+    rows = floored(flows, keys, ORDER, F.col(flow), "__level", gross="__gross")
+    return rows.withColumn(out, _snap(F.col("__level"), "__gross")).select(*flows.columns, out)
 
 
-def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], need: str, budget: Column,
-              block: Column | None = None) -> DataFrame:
+def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], need: str, budget: Column, long: bool = False) -> DataFrame:
     """Each row takes min(need, what the earlier rows left of the budget)."""
-    out = running(rows, keys, order, {"__used": ("sum", F.col(need))}, block, exclusive=True)
+    out = running(rows, keys, order, {"__used": ("sum", F.col(need))}, long, exclusive=True)
     left = F.greatest(F.lit(0.0), budget - F.col("__used"))
     return out.withColumn("taken", F.least(F.col(need), left)).drop("__used")
 
 
-def short_ledger(trades: DataFrame, protected: float = 0.25, block: Column | None = None) -> DataFrame:
-    """Average-cost short ledger with realised, protected and spendable profit.
+def _covers(f: Frame) -> Values:
+    """What a cover covers, and how the cost basis follows from the one before."""
+    opens = f["is_open"].astype(bool)
+    f.made["open_amount"] = _snapped(f["open_amount"], f["__moved"])
+    f.made["__open0"] = _snapped(f["__open0"], f["__moved"])
+    return {
+        "covered": np.where(opens, 0.0, np.minimum(f["amount"], f["__open0"])),
+        "__keep": np.where(opens, 1.0, _share(f["open_amount"], f["__open0"])),
+        "__add": np.where(opens, f["usdc"], 0.0),
+    }
+
+
+def _profits(f: Frame) -> Values:
+    """Profit of each cover, what of it is protected, and what is left to spend from."""
+    covered = f["covered"]
+    profit = np.where(covered > 0, covered * _share(f["__cost0"], f["__open0"]) - _share(f["usdc"] * covered, f["amount"]), 0.0)
+    return {
+        "realized_pnl": profit,
+        "__kept": np.maximum(profit, 0.0) * f["__fraction"],
+        "average_basis": _share(f["cost_basis"], f["open_amount"]),
+    }
+
+
+def _earned(f: Frame) -> Values:
+    return {"__earned": f["lifetime_realized"] - f["protected_book"]}
+
+
+def _left(f: Frame) -> Values:
+    return {"spendable": np.maximum(0.0, f["__earned"] - f["consumed"])}
+
+
+def short_ledger(trades: DataFrame, protected: float | Column = 0.25, wanted: Column | None = None) -> DataFrame:
+    """Average-cost short ledger with realised, protected, consumed and spendable profit.
 
     `trades`: (account_id, symbol, ts, action_no, is_open, amount, usdc) with
-    proceeds on opens and cost on covers.  The open amount is a floored running
-    sum; the cost basis is affine in its predecessor (opens add, covers scale).
-    Both are blocked scans, with a cut between dependent scans.
+    proceeds on opens and cost on covers.  `protected` is the share of a positive profit that is put
+    aside, a number or a column (see `protected_fraction`); `wanted` is what a row asks to spend of the
+    profit that is left, after its own trade.  The open amount is a floored running
+    sum; the cost basis is affine in its predecessor (opens add, covers scale); spending takes what is
+    asked for as far as it is there.  All are stages of one scan over one exchange.
     """
-    keys = ["account_id", "symbol"]
-    block = _day() if block is None else block
     amount = F.col("amount")
     change = F.when(F.col("is_open"), amount).otherwise(-amount)
-    rows = floored(trades, keys, ORDER, change, "open_amount", "__open0", block, "__gross")
-    rows = rows.withColumns({c: _snap(F.col(c), "__gross") for c in ("open_amount", "__open0")}).drop("__gross")
-    covered = F.when(F.col("is_open"), 0.0).otherwise(F.least(amount, F.col("__open0")))
-    rows = cut(rows.withColumn("covered", covered))
-    keep = ratio(F.col("open_amount"), F.col("__open0"), 0.0)
-    rows = affine(
-        rows, keys, ORDER,
-        a=F.when(F.col("is_open"), 1.0).otherwise(keep),
-        b=F.when(F.col("is_open"), F.col("usdc")).otherwise(0.0),
-        out="cost_basis", block=block, prev="__cost0",
-    )
-    basis = ratio(F.col("__cost0"), F.col("__open0"), 0.0)
-    realized = F.when(
-        F.col("covered") > 0, F.col("covered") * basis - F.col("usdc") * F.col("covered") / amount
-    ).otherwise(0.0)
-    rows = rows.withColumns(
-        {"average_basis": ratio(F.col("cost_basis"), F.col("open_amount"), 0.0), "realized_pnl": realized}
-    )
-    kept = F.greatest(F.col("realized_pnl"), F.lit(0.0)) * protected
-    rows = running(
-        cut(rows), keys, ORDER,
-        {"lifetime_realized": ("sum", F.col("realized_pnl")), "protected_book": ("sum", kept)}, block,
+    rows = trades.withColumns(
+        {
+            "__change": change, "__size": F.abs(change),
+            "__fraction": protected if isinstance(protected, Column) else F.lit(float(protected)),
+            "__wanted": F.greatest(F.lit(0.0), F.coalesce(wanted, F.lit(0.0))) if wanted is not None else F.lit(0.0),
+        }
     )
-    return rows.drop("__open0", "__cost0")
+    stages = [
+        Stage((Floored("__change", "open_amount", "__open0"), Sum("__size", "__moved"))),
+        Stage((Affine("__keep", "__add", "cost_basis", "__cost0"),), _covers),
+        Stage((Sum("realized_pnl", "lifetime_realized"), Sum("__kept", "protected_book")), _profits),
+        Stage((Spent("__wanted", "__earned", "consumed", "spent"),), _earned),
+        Stage((), _left),
+    ]
+    outs = ["open_amount", "covered", "cost_basis", "average_basis", "realized_pnl", "lifetime_realized", "protected_book", "consumed", "spent", "spendable"]
+    out = scanned(rows, ["account_id", "symbol"], ORDER, stages, dict.fromkeys(outs, "double"))
+    return out.select(*trades.columns, *outs)
+
+
+def protected_fraction(green: Column, fractions: dict[int, float]) -> Column:
+    """The protected share of profit by green votes; votes that the table lacks, or no vote, protect nothing."""
+    table = F.create_map(*[F.lit(x) for k, v in fractions.items() for x in (int(k), float(v))])
+    return F.coalesce(F.try_element_at(table, green.cast("int")), F.lit(0.0))
 
 
 def spendable(lifetime: Column, consumed: Column, protected: Column) -> Column:
     return F.greatest(F.lit(0.0), lifetime - consumed - protected)
 
 
-def perp_entries(trades: DataFrame, block: Column | None = None) -> DataFrame:
+def _positions(f: Frame) -> Values:
+    """Quantities before and after a trade, its price profit, and how the entry's cost follows from the one before."""
+    dq, price = f["delta_quantity"].astype(float), f["price"].astype(float)
+    q0 = _snapped(f["__q"] - dq, f["__gross"] - np.abs(dq))
+    q = _snapped(q0 + dq, f["__gross"])
+    fresh, adding = q0 * q <= 0, np.sign(q0) == np.sign(dq)
+    moved = np.abs(q), np.abs(q0)
+    return {
+        "previous_quantity": q0,
+        "quantity": q,
+        "pnl": np.nan_to_num(q0 * (price - f["__last"].to_numpy(zero_copy_only=False).astype(float))),
+        "__keep": np.where(fresh, 0.0, np.where(adding, 1.0, _share(*moved))),
+        "__add": np.where(fresh, moved[0] * price, np.where(adding, np.abs(dq) * price, 0.0)),
+    }
+
+
+def _entry(f: Frame) -> Values:
+    return {"average_entry": _share(f["__basis"], np.abs(f["quantity"]))}
+
+
+def perp_entries(trades: DataFrame) -> DataFrame:
     """Signed quantity, average entry and price PnL of each trade: (…, delta_quantity, price).
 
     Adding averages, reducing keeps the entry, opening or flipping restarts it at
     the trade price.  `pnl` is the quantity before the trade times the price move
     since the previous one.
     """
-    keys = ["account_id", "symbol"]
-    block = _day() if block is None else block
-    dq, price = F.col("delta_quantity"), F.col("price")
-    rows = running(
-        trades, keys, ORDER, {"__q0": ("sum", dq), "__g0": ("sum", F.abs(dq)), "__p0": ("last", price)}, block, exclusive=True
-    )
-    rows = rows.withColumn("__q0", _snap(F.col("__q0"), "__g0")).withColumn("__g1", F.col("__g0") + F.abs(dq))
-    rows = cut(
-        rows.withColumns(
-            {
-                "quantity": _snap(F.col("__q0") + dq, "__g1"),
-                "pnl": F.coalesce(F.col("__q0") * (price - F.col("__p0")), F.lit(0.0)),
-            }
-        ).drop("__p0", "__g0", "__g1")
-    )
-    q0, q = F.col("__q0"), F.col("quantity")
-    fresh = (q0 * q) <= 0
-    adding = F.signum(q0) == F.signum(dq)
-    a = F.when(fresh, 0.0).when(adding, 1.0).otherwise(ratio(F.abs(q), F.abs(q0), 0.0))
-    b = F.when(fresh, F.abs(q) * price).when(adding, F.abs(dq) * price).otherwise(0.0)
-    rows = affine(rows, keys, ORDER, a, b, "__basis", block=block)
-    return rows.withColumns(
-        {"previous_quantity": q0, "average_entry": ratio(F.col("__basis"), F.abs(q), 0.0)}
-    ).drop("__q0", "__basis")
+    rows = trades.withColumns({"__price": F.col("price").cast("double"), "__size": F.abs("delta_quantity"), "__priced": F.col("price").isNotNull()})
+    stages = [
+        Stage((Sum("delta_quantity", "__q"), Sum("__size", "__gross"), Last("__priced", ("__price",), ("__last",), before=True))),
+        Stage((Affine("__keep", "__add", "__basis", "__basis0"),), _positions),
+        Stage((), _entry),
+    ]
+    outs = ["quantity", "pnl", "previous_quantity", "average_entry"]
+    out = scanned(rows, ["account_id", "symbol"], ORDER, stages, dict.fromkeys(outs, "double"))
+    return out.select(*trades.columns, *outs)
 
 
 def signed_deltas(actions: DataFrame) -> DataFrame:
@@ -166,15 +199,13 @@ def signed_deltas(actions: DataFrame) -> DataFrame:
     return actions.withColumns({"side": verb_side(), "delta": signed_amount()}).filter("side IS NOT NULL")
 
 
-def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame,
-                   spread: int = 8) -> DataFrame:
+def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, market: DataFrame) -> DataFrame:
     """Account report at each mark time from replayed balances and as-of prices.
 
     `marks`: (account_id, ts).  Each mark joins the ledger of every asset side
     that its account ever moved as a zero change, so one running sum replays and
     looks up at once.  Assets that the market lacks have no loan value, no
     threshold and a borrow factor of 1; without a price they are worth nothing.
-    All accounts then look up the same price series, dealt over `spread` copies.
     """
     keys = ["account_id", "side", "symbol"]
     slots = deltas.select(*keys).distinct()
@@ -182,10 +213,10 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
     moves = deltas.select(*keys, "ts", F.lit(0).alias("__mark"), "delta")
     held = running(
         moves.unionByName(grid), keys, ["ts", "__mark"],
-        {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark"))}, _day(),
+        {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark"))}, long=True,
     )
-    held = cut(held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance"))
-    priced = backward_asof(held, prices, ["symbol"], ["price"], spread=spread)
+    held = held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance")
+    priced = backward_asof(held, prices, ["symbol"], ["price"])
     coll = F.col("side") == "collateral"
     unknown = {"m_ltv": 0.0, "m_threshold": 0.0, "m_borrow_factor": 1.0}
     terms = enrich(priced, market, "symbol", unknown).withColumn("value", F.col("balance") * F.col("price"))
@@ -204,10 +235,10 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
 
 
 def latch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], enter: Column, leave: Column,
-          out: str = "active", block: Column | None = None) -> DataFrame:
+          out: str = "active", long: bool = True) -> DataFrame:
     """On at `enter`, off at `leave`, else unchanged; entering wins."""
     event = F.when(enter, 1).when(leave, 0)
-    done = running(rows.withColumn("__e", event), keys, order, {"__on": ("last", F.col("__e"))}, block)
+    done = running(rows.withColumn("__e", event), keys, order, {"__on": ("last", F.col("__e"))}, long)
     return done.withColumn(out, F.coalesce(F.col("__on") == 1, F.lit(False))).drop("__e", "__on")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import INF, ratio
 from quaymark.operators.asof import enrich
-from quaymark.operators.scan import price_block, running
+from quaymark.operators.scan import running
 
 PAIR_KEY = ("pair", "bid_ex", "ask_ex")
 #: Of exchanges that the fee table lacks.
@@ -77,15 +77,12 @@ def opportunities(tops: DataFrame) -> DataFrame:
 def ladder(merged: DataFrame, fees: DataFrame) -> DataFrame:
     """Price levels with the volume that ranks before each of them.
 
-    `merged` has one row per price; the running volume is scanned in blocks of
-    equal relative price width.
+    `merged` has one row per price.
     """
     rank = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
-    width = price_block("price")
-    block = F.when(F.col("side") == "ask", width).otherwise(-width)
     ranked = running(
         merged.withColumn("__rank", rank), ["pair", "exchange", "side"], ["__rank"],
-        {"before": ("sum", F.col("vol"))}, block, exclusive=True,
+        {"before": ("sum", F.col("vol"))}, long=True, exclusive=True,
     )
     return with_fees(ranked.drop("__rank"), fees)
 

@@ -91,7 +91,7 @@ def buy_and_hold_values(history: DataFrame, base_run: str, prices: DataFrame, sy
     rows = history.filter(F.col("run_id") == base_run).select(
         "ts", "portfolio_value", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("symbol")
     )
-    aligned = backward_asof(rows, prices, ["symbol"], ["price"], block=None)
+    aligned = backward_asof(rows, prices, ["symbol"], ["price"], long=False)
     upto = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     aligned = aligned.withColumns(
         {"__p0": F.first("price").over(upto), "__v0": F.first("portfolio_value").over(upto)}
@@ -101,14 +101,11 @@ def buy_and_hold_values(history: DataFrame, base_run: str, prices: DataFrame, sy
     )
 
 
-def with_price(history: DataFrame, prices: DataFrame, symbol: str, spread: int = 8) -> DataFrame:
-    """Attach the as-of price of one symbol as `sol_price`.
-
-    All runs look up the same short series, so they are dealt over copies of it.
-    """
+def with_price(history: DataFrame, prices: DataFrame, symbol: str) -> DataFrame:
+    """Attach the as-of price of one symbol as `sol_price`; all runs look up the same series."""
     one = prices.filter(F.col("symbol") == symbol).select("symbol", "ts", F.col("price").alias("sol_price"))
     keyed = history.withColumn("symbol", F.lit(symbol))
-    return backward_asof(keyed, one, ["symbol"], ["sol_price"], spread=spread).drop("symbol")
+    return backward_asof(keyed, one, ["symbol"], ["sol_price"]).drop("symbol")
 
 
 def temperature(priced: DataFrame) -> DataFrame:

@@ -1,16 +1,13 @@
-"""Running values over long keys without putting a key into one task.
+"""Running values along keys.
 
-A plain window over `partitionBy(key)` sends every row of a key to one task, and
-one key may own a third of the table.  `running` cuts each key into ordered
-blocks.  Inside a block it uses a window over (key, block); block totals come
-from a map-side combined aggregate, and only those totals (one row per key and
-block) are scanned along the key.  `affine` does the same for recurrences of the
-form y = a*y + b, whose steps compose.
+With `long=False` a plain window takes each key in one task, which is right where the rows per key
+have a bound (bars per symbol, bars per run).  With `long=True` keys may be of any length, and one may own
+a third of the table: the scan goes over a range partitioning (`ranged`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,20 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaymark.operators.asof import join_null_safe
-
-BLOCK = "__block"
-
-
-def time_block(ts: str | Column, unit: str = "day") -> Column:
-    return F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts)
-
-
-def price_block(price: str | Column, per_factor: float = 20.0) -> Column:
-    """Blocks of equal relative width, ascending with the price."""
-    c = F.col(price) if isinstance(price, str) else price
-    return F.floor(F.log(c) * F.lit(per_factor))
-
+from quaymark.operators.ranged import Affine, Extreme, Floored, Last, Stage, Sum, scanned
 
 _LOCAL = {
     "sum": F.sum,
@@ -42,141 +26,51 @@ _LOCAL = {
 }
 
 
-def _join(kind: str, local: Column, carry: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(local, F.lit(0.0)) + F.coalesce(carry, F.lit(0.0))
-    if kind == "min":
-        return F.least(local, carry)
-    if kind == "max":
-        return F.greatest(local, carry)
-    return F.coalesce(local, carry)
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
-    block: Column | None = None,
+    long: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:
     """Add running `sum`/`min`/`max`/`last` columns in ascending `order` per key.
 
-    `values` maps a new column to (kind, expression).  `block` must not decrease
-    along the order; without it a plain window is used, which is right where the
-    rows per key have a bound (bars per symbol, bars per run).  `exclusive`
-    leaves the current row out.  A running sum over nothing is 0.
+    `values` maps a new column to (kind, expression).  `exclusive` leaves the current row out.
+    A running sum over nothing is 0.
     """
     keys, order = list(keys), list(order)
-    end = -1 if exclusive else 0
-    if block is None:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
+    if not long:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
         out = df
         for name, (kind, expr) in values.items():
             v = _LOCAL[kind](expr).over(w)
             out = out.withColumn(name, F.coalesce(v, F.lit(0.0)) if kind == "sum" else v)
         return out
-
-    blocked = df.withColumn(BLOCK, block)
-    rank = F.struct(*order)  # not null where the order is
-    totals = []
-    for name, (kind, expr) in values.items():
+    rows, scans, kinds = df, [], {}
+    for i, (name, (kind, expr)) in enumerate(values.items()):
+        value = f"__in{i}"
+        rows = rows.withColumn(value, expr if kind == "last" else expr.cast("double"))
         if kind == "last":
-            totals.append(F.max_by(expr, F.when(expr.isNotNull(), rank)).alias(f"__t_{name}"))
+            rows = rows.withColumn(f"__at{i}", F.col(value).isNotNull())
+            scans.append(Last(f"__at{i}", (value,), (name,), exclusive))
         else:
-            totals.append(_LOCAL[kind](expr).alias(f"__t_{name}"))
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(*totals)
-        .select(
-            *keys,
-            BLOCK,
-            *[
-                _LOCAL[kind](F.col(f"__t_{name}")).over(before).alias(f"__c_{name}")
-                for name, (kind, _) in values.items()
-            ],
-        )
-    )
-    inside = (
-        W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    )
-    local = blocked.select(
-        "*",
-        *[_LOCAL[kind](expr).over(inside).alias(f"__l_{name}") for name, (kind, expr) in values.items()],
-    )
-    joined = join_null_safe(local, carry, [*keys, BLOCK])
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[
-            _join(kind, F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name)
-            for name, (kind, _) in values.items()
-        ],
-    )
+            scans.append(Sum(value, name, exclusive) if kind == "sum" else Extreme(value, name, kind == "max", exclusive))
+        kinds[name] = dict(rows.dtypes)[value]
+    return scanned(rows, keys, order, [Stage(tuple(scans))], kinds).select(*df.columns, *values)
 
 
-def floored(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    flow: Column,
-    out: str,
-    prev: str | None = None,
-    block: Column | None = None,
-    gross: str | None = None,
-) -> DataFrame:
-    """Add the running level max(level + flow, 0) along each key; `prev` is the level before.
+def floored(df: DataFrame, keys: Sequence[str], order: Sequence[str], flow: Column, out: str, prev: str = "__before", gross: str = "__moved") -> DataFrame:
+    """Add the running level max(level + flow, 0) along each key, `prev`, the level before, and `gross`, the running sum of the flows' sizes."""
+    rows = df.withColumn("__in", flow.cast("double")).withColumn("__size", F.abs("__in"))
+    stage = Stage((Floored("__in", out, prev), Sum("__size", gross)))
+    return scanned(rows, keys, order, [stage], {out: "double", prev: "double", gross: "double"}).select(*df.columns, out, prev, gross)
 
-    `gross` names a column for the running sum of the flows' sizes.
 
-    The level is the running sum minus its lowest point so far (at most 0).  A
-    block is summed up by its total and its lowest prefix, which compose, so this
-    is one blocked scan and not a sum followed by a minimum.
-    """
-    keys, order = list(keys), list(order)
-    rows = df.withColumns({"__x": flow, BLOCK: F.lit(0) if block is None else block})
-    inside = W.partitionBy(*keys, BLOCK).orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    size = F.abs("__x")
-    rows = rows.withColumns({"__s": F.sum("__x").over(upto), "__g": F.sum(size).over(upto)})
-    totals = rows.groupBy(*keys, BLOCK).agg(F.sum("__x").alias("__total"), F.sum(size).alias("__size"), F.min("__s").alias("__low"))
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    entry = totals.withColumns(
-        {f"__{n}0": F.coalesce(F.sum(c).over(before), F.lit(0.0)) for n, c in (("p", "__total"), ("g", "__size"))}
-    )
-    entry = entry.select(
-        *keys, BLOCK, "__p0", "__g0", F.min(F.col("__p0") + F.col("__low")).over(before).alias("__m0")
-    )
-    local = rows.withColumns(
-        {
-            "__m": F.min("__s").over(upto),
-            "__mp": F.min("__s").over(inside.rowsBetween(W.unboundedPreceding, -1)),
-        }
-    )
-    local = join_null_safe(local, entry, [*keys, BLOCK])
-    zero = F.lit(0.0)
-    now = F.col("__p0") + F.col("__s")
-    low = F.least(zero, F.col("__m0"), F.col("__p0") + F.col("__m"))
-    low_before = F.least(zero, F.col("__m0"), F.col("__p0") + F.col("__mp"))
-    cols = [(now - low).alias(out)]
-    if prev is not None:
-        cols.append((now - F.col("__x") - low_before).alias(prev))
-    if gross is not None:
-        cols.append((F.col("__g0") + F.col("__g")).alias(gross))
-    return local.select(*df.columns, *cols)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result so that what follows does not recompute it.
-
-    A blocked scan reads its input twice; without a cut, k chained scans would
-    read the source 2^k times.  Goes to the cluster's shared checkpoint folder,
-    so losing executors costs no recomputation either.
-    """
-    from quaymark.session import checkpoint_folder
-
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: Column, b: Column, out: str, prev: str = "__before") -> DataFrame:
+    """Add y = a * y_prev + b along each key (y before the first row is 0), and y_prev."""
+    rows = df.withColumns({"__a": a.cast("double"), "__b": b.cast("double")})
+    return scanned(rows, keys, order, [Stage((Affine("__a", "__b", out, prev),))], {out: "double", prev: "double"}).select(*df.columns, out, prev)
 
 
 def _starts(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple[list[bool], tuple]:
@@ -206,80 +100,3 @@ def _extended(df: DataFrame, *fields: tuple[str, str | T.DataType]) -> T.StructT
     for name, kind in fields:
         schema = schema.add(name, kind)
     return schema
-
-
-def affine(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    a: Column,
-    b: Column,
-    out: str,
-    block: Column | None = None,
-    prev: str | None = None,
-) -> DataFrame:
-    """Add y = a*y_prev + b along each key (y before the first row is 0).
-
-    `prev` names a column for y_prev.  With a `block`, every block is first
-    composed to one (a, b) step, the steps are scanned along the key, and then
-    all blocks evaluate in parallel from their entry values.
-    """
-    keys, order = list(keys), list(order)
-    base = df.withColumns({"__a": a.cast("double"), "__b": b.cast("double")})
-    if block is None:
-        start = base.withColumn("__y0", F.lit(0.0))
-        group = keys
-    else:
-        base = base.withColumn(BLOCK, block)
-        group = [*keys, BLOCK]
-        steps = base.select(*group, *order, "__a", "__b")
-        summary_schema = T.StructType([f for f in steps.schema.fields if f.name in group])
-        summary_schema = summary_schema.add("__a", "double").add("__b", "double")
-
-        def compose(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, scale, shift = None, 1.0, 0.0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                flags, _ = _starts(pdf, group, current)
-                empty = {k: pdf[k].isna().tolist() for k in group}
-                done = []
-                for i, (new, av, bv) in enumerate(zip(flags, pdf["__a"].tolist(), pdf["__b"].tolist())):
-                    if new:
-                        if current is not None:
-                            done.append((*current, scale, shift))
-                        current = tuple(None if empty[k][i] else pdf[k].iloc[i] for k in group)
-                        scale, shift = 1.0, 0.0
-                    scale, shift = av * scale, av * shift + bv
-                if done:
-                    yield pd.DataFrame(done, columns=[*group, "__a", "__b"])
-            if current is not None:
-                yield pd.DataFrame([(*current, scale, shift)], columns=[*group, "__a", "__b"])
-
-        summary = sorted_batches(steps, group, order).mapInPandas(compose, summary_schema)
-        carry = affine(summary, keys, [BLOCK], F.col("__a"), F.col("__b"), "__end")
-        entry = W.partitionBy(*keys).orderBy(BLOCK)
-        carry = carry.select(*group, F.coalesce(F.lag("__end").over(entry), F.lit(0.0)).alias("__y0"))
-        start = join_null_safe(base, carry, group)
-
-    def evaluate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, y = None, 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            flags, last = _starts(pdf, group, last)
-            ys, entries = [], []
-            for new, av, bv, y0 in zip(
-                flags, pdf["__a"].tolist(), pdf["__b"].tolist(), pdf["__y0"].tolist()
-            ):
-                if new:
-                    y = y0
-                entries.append(y)
-                y = av * y + bv
-                ys.append(y)
-            yield pdf.assign(**{"__y": ys, "__e": entries})
-
-    ordered = sorted_batches(start, group, order)
-    result = ordered.mapInPandas(evaluate, _extended(ordered, ("__y", "double"), ("__e", "double")))
-    extra = [] if prev is None else [F.col("__e").alias(prev)]
-    return result.select(*df.columns, F.col("__y").alias(out), *extra)

@@ -91,43 +91,50 @@ define("fills", """/* RECURSIVE */ SELECT account_id, ts, action_no, need, i, le
 @query("budget_waterfall", "O-L5", "SELECT account_id, ts, action_no, need, taken FROM fills", doubles="need taken")
 def _waterfall(t: Tables):
     needs = t.actions.filter("type = 'borrow'").select("account_id", "ts", "action_no", F.col("amount").alias("need"))
-    return ledger.waterfall(needs, ["account_id"], ledger.ORDER, "need", F.lit(40.0), ledger.time_block("ts"))
+    return ledger.waterfall(needs, ["account_id"], ledger.ORDER, "need", F.lit(40.0), long=True)
 
 
 def short_trades(t: Tables) -> DataFrame:
     is_open = F.col("type") == "borrow"
     usdc = F.col("amount") * F.col("price") * F.when(is_open, 0.999).otherwise(1.001)
     return t.actions.filter(F.col("type").isin("borrow", "repay")).select(
-        "account_id", "symbol", "ts", "action_no", is_open.alias("is_open"), "amount", usdc.alias("usdc")
+        "account_id", "symbol", "ts", "action_no", is_open.alias("is_open"), "amount", usdc.alias("usdc"),
+        (F.col("action_no") % 5).alias("green"), F.when(F.col("action_no") % 3 == 0, F.col("amount") * 3.0).alias("wanted"),
     )
 
 
+#: Protected share of profit by green votes; no vote is not in the table.
+PROTECTED = {4: 0.1, 3: 0.2, 2: 0.35, 1: 0.5}
+
+
 define("short_rows", """SELECT account_id, symbol, ts, action_no, type = 'borrow' AS is_open, amount,
         amount * price * CASE type WHEN 'borrow' THEN 0.999 ELSE 1.001 END::DOUBLE AS usdc,
+        CASE action_no % 5 WHEN 4 THEN 0.1 WHEN 3 THEN 0.2 WHEN 2 THEN 0.35 WHEN 1 THEN 0.5 ELSE 0 END::DOUBLE AS fraction,
+        CASE WHEN action_no % 3 = 0 THEN amount * 3 ELSE 0 END AS wanted,
         row_number() OVER (PARTITION BY account_id, symbol ORDER BY ts, action_no) AS i
     FROM actions WHERE type IN ('borrow', 'repay')""")
 define("shorts", """/* RECURSIVE */ SELECT account_id, symbol, ts, action_no, i, is_open,
         CASE WHEN is_open THEN amount ELSE 0 END AS open_amount, CASE WHEN is_open THEN usdc / amount ELSE 0 END AS average_basis,
-        0.0::DOUBLE AS realized_pnl, 0.0::DOUBLE AS lifetime_realized, 0.0::DOUBLE AS protected_book FROM short_rows WHERE i = 1
+        0.0::DOUBLE AS realized_pnl, 0.0::DOUBLE AS lifetime_realized, 0.0::DOUBLE AS protected_book, 0.0::DOUBLE AS consumed FROM short_rows WHERE i = 1
     UNION ALL SELECT account_id, symbol, ts, action_no, i, is_open,
         CASE WHEN is_open THEN o0 + amount ELSE o0 - cov END,
         CASE WHEN is_open THEN (o0 * b0 + usdc) / (o0 + amount) WHEN o0 - cov > 0 THEN b0 ELSE 0 END,
-        pnl, life0 + pnl, book0 + greatest(pnl, 0) * 0.25
+        pnl, life0 + pnl, book0 + greatest(pnl, 0) * fraction,
+        used0 + least(wanted, greatest(0, life0 + pnl - (book0 + greatest(pnl, 0) * fraction) - used0))
     FROM (SELECT *, CASE WHEN NOT is_open AND o0 > 0 THEN cov * b0 - usdc * cov / amount ELSE 0 END AS pnl FROM (
-        SELECT r.*, s.open_amount AS o0, s.average_basis AS b0, s.lifetime_realized AS life0, s.protected_book AS book0,
+        SELECT r.*, s.open_amount AS o0, s.average_basis AS b0, s.lifetime_realized AS life0, s.protected_book AS book0, s.consumed AS used0,
             CASE WHEN r.is_open THEN 0 ELSE least(r.amount, s.open_amount) END AS cov
         FROM shorts s JOIN short_rows r ON r.account_id = s.account_id AND r.symbol = s.symbol AND r.i = s.i + 1))""")
 
 
 @query("short_ledger", "O-L6 O-L7", """
-    SELECT account_id, symbol, action_no, open_amount, average_basis, realized_pnl, lifetime_realized, protected_book,
-        greatest(0, lifetime_realized - protected_book) AS spendable FROM shorts""",
-       doubles="open_amount average_basis realized_pnl lifetime_realized protected_book spendable")
+    SELECT account_id, symbol, action_no, open_amount, average_basis, realized_pnl, lifetime_realized, protected_book, consumed,
+        greatest(0, lifetime_realized - consumed - protected_book) AS spendable FROM shorts""",
+       doubles="open_amount average_basis realized_pnl lifetime_realized protected_book consumed spendable")
 def _shorts(t: Tables):
-    rows = ledger.short_ledger(short_trades(t))
+    rows = ledger.short_ledger(short_trades(t), ledger.protected_fraction(F.col("green"), PROTECTED), F.col("wanted"))
     return rows.select(
-        "account_id", "symbol", "action_no", "open_amount", "average_basis", "realized_pnl", "lifetime_realized", "protected_book",
-        ledger.spendable(F.col("lifetime_realized"), F.lit(0.0), F.col("protected_book")).alias("spendable"),
+        "account_id", "symbol", "action_no", "open_amount", "average_basis", "realized_pnl", "lifetime_realized", "protected_book", "consumed", "spendable",
     )
 
 

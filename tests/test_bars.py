@@ -91,13 +91,13 @@ def test_alignment_fills_forward_from_the_first_common_bar(spark):
     assert [(r["symbol"], r["close"]) for r in got] == [("A", 1.0), ("B", 10.0), ("A", 3.0), ("B", 10.0)]
 
 
-@pytest.mark.parametrize("block, spread", [("day", 1), ("hour", 1), (None, 1), ("day", 3)])
-def test_asof_takes_the_latest_row_even_if_null(spark, block, spread):
+@pytest.mark.parametrize("long", [True, False])
+def test_asof_takes_the_latest_row_even_if_null(spark, long):
     left = spark.createDataFrame([("k", hour(h), h) for h in (0, 1, 30, 31, 60)], "k string, ts timestamp, n int")
     right = spark.createDataFrame(
         [("k", hour(1), 5.0, "x"), ("k", hour(31), None, "y"), ("z", hour(0), 9.0, "z")], "k string, ts timestamp, v double, s string"
     )
-    got = rows(asof.backward_asof(left, right, ["k"], ["v", "s"], block=block, spread=spread), "n")
+    got = rows(asof.backward_asof(left, right, ["k"], ["v", "s"], long=long), "n")
     assert [(r["n"], r["v"], r["s"]) for r in got] == [
         (0, None, None), (1, 5.0, "x"), (30, 5.0, "x"), (31, None, "y"), (60, None, "y")
     ]

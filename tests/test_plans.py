@@ -3,9 +3,7 @@
 import pathlib
 
 import pytest
-from pyspark.sql import functions as F
 
-from quaymark.operators.scan import running
 from quaymark.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -16,14 +14,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_blocked_scans_window_over_key_and_block(spark):
-    df = spark.range(100).select((F.col("id") % 2).alias("k"), F.col("id").alias("i"), F.rand(1).alias("x"))
-    out = plan(running(df, ["k"], ["i"], {"s": ("sum", F.col("x"))}, F.floor(F.col("i") / 10)))
-    exchanges = [line for line in out.splitlines() if "Exchange hashpartitioning(k#" in line]
-    raw = [line for line in exchanges if "__block" in line]
-    assert raw, "rows are not shuffled by key and block"
-    # The only shuffle by key alone carries block totals.
-    assert len(exchanges) - len(raw) == 1
+@needs_data
+@pytest.mark.parametrize("name", ["balance_replay", "short_ledger", "perp_entries", "mark_price_asof"])
+def test_long_keys_are_partitioned_by_range_only(spark, name):
+    text = plan(QUERIES[name].run(spark, DATA))
+    assert "rangepartitioning" in text and "hashpartitioning" not in text and "Window" not in text
 
 
 @needs_data
