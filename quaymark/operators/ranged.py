@@ -274,7 +274,7 @@ def _keys_of(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> str:
     return repr(tuple(batch.column(k)[row].as_py() for k in keys))
 
 
-def _runs(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+def runs_of_keys(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """Numbers of runs of equal keys; nulls are equal."""
     new = np.zeros(batch.num_rows, bool)
     for k in keys:
@@ -318,7 +318,7 @@ class Walk:
             self.first = self.last = head
             self.states = self._entered(batch)
             self.summary = self._identity()
-        run = _runs(batch, self.keys)
+        run = runs_of_keys(batch, self.keys)
         if head != self.last:
             self.states, self.single, self.summary = self._zero(), False, self._identity()
         frame = Frame(batch)
