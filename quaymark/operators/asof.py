@@ -92,23 +92,68 @@ def join_overlap(prices: DataFrame, signals: DataFrame, on: Sequence[str] = ("ts
     return both
 
 
-def interval_rows(df: DataFrame, ts: str, intervals: Sequence[tuple[str, str | None, str | None]],
-                  name: str) -> DataFrame:
-    """Repeat each row for every named interval that holds its ts.
+#: Hours of a bin on each level, and how many bins make one of the next.
+_FANOUT, _LEVELS = 32, 5
+#: Years that open ends reach to, in hours from 1970.
+_EARLIEST, _LATEST = -24 * 366 * 1970, 24 * 366 * 8030
 
-    Intervals are configuration (a handful); both ends are inclusive, None is
-    open.  The lookup is row-local, so there is no join and no shuffle.
+
+def _bins(first: Column, end: Column) -> Column:
+    """Bins (level, number) that together cover the hours from first up to, not including, end.
+
+    Wide bins in the middle and narrow ones at both ends: a logarithmic number.
+    """
+    out = []
+    low = [F.ceil(first / _FANOUT**k).cast("long") for k in range(_LEVELS)]  # whole bins of a level begin here
+    high = [F.floor(end / _FANOUT**k).cast("long") for k in range(_LEVELS)]
+    for k in range(_LEVELS):
+        used, wider = low[k] <= high[k], low[k + 1] <= high[k + 1] if k + 1 < _LEVELS else F.lit(False)
+        rest = (low[k + 1] * _FANOUT, high[k + 1] * _FANOUT) if k + 1 < _LEVELS else (high[k], high[k])
+        runs = (low[k], F.when(wider, rest[0]).otherwise(high[k])), (F.when(wider, rest[1]).otherwise(high[k]), high[k])
+        for a, b in runs:
+            numbers = F.when(used & (a < b), F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            level = F.lit(k).alias("level")
+            out.append(F.transform(numbers, lambda n: F.struct(level, n.alias("bin"))))  # noqa: B023
+    return F.concat(*out)
+
+
+def _hour(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+
+
+def interval_rows(df: DataFrame, ts: str, intervals: DataFrame, name: str) -> DataFrame:
+    """Repeat each row for every interval that holds its ts, with the interval's columns other than its bounds.
+
+    `intervals`: (`name`, start, end) and more; any number of rows.  Both ends are inclusive, null is open; an
+    interval that ends before it starts holds nothing, and a row without ts lies in none.  Rows meet
+    intervals by equality on time bins of several widths: an interval is covered by a logarithmic number of
+    bins, and a row lies in one of each width, so an interval is found once.  Exact bounds decide.
     """
-    tests = []
-    for key, start, end in intervals:
-        inside = F.lit(True)
-        if start is not None:
-            inside = inside & (F.col(ts) >= F.lit(start).cast("timestamp"))
-        if end is not None:
-            inside = inside & (F.col(ts) <= F.lit(end).cast("timestamp"))
-        tests.append(F.when(inside, F.lit(key)))
-    hits = F.filter(F.array(*tests), lambda k: k.isNotNull())
-    return df.select("*", F.explode(hits).alias(name))
+    others = [c for c in intervals.columns if c not in ("start", "end")]
+    bounds = intervals.select(
+        *[F.col(c).alias(c if c == name else f"__i_{c}") for c in others], F.col("start").cast("timestamp").alias("__start"), F.col("end").cast("timestamp").alias("__end")
+    )
+    first = F.coalesce(_hour(F.col("__start")), F.lit(_EARLIEST).cast("long"))
+    after = F.coalesce(_hour(F.col("__end")), F.lit(_LATEST).cast("long")) + 1
+    covered = bounds.withColumns({"__first": first, "__after": after}).filter("__first < __after")
+    pieces = covered.select("*", F.inline(_bins(F.col("__first"), F.col("__after")))).drop("__first", "__after")
+    hour = _hour(F.col(ts))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(hour / _FANOUT**k).cast("long").alias("bin")) for k in range(_LEVELS)])
+    placed = df.filter(F.col(ts).isNotNull()).select("*", F.inline(levels))
+    inside = (F.col("__start").isNull() | (F.col(ts) >= F.col("__start"))) & (F.col("__end").isNull() | (F.col(ts) <= F.col("__end")))
+    found = placed.join(pieces, ["level", "bin"]).filter(inside)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(c if c == name else f"__i_{c}").alias(c) for c in others])
+
+
+def named_intervals(labels: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """(name, start, end) of every label that occurs, once: the known bounds, or open ones; and a `full` one."""
+    used = labels.select(name).filter(F.col(name).isNotNull()).distinct()
+    open_ = F.lit(None).cast("timestamp")
+    full = used.sparkSession.range(1).select(F.lit("full").alias(name))
+    every = used.union(full).distinct()
+    return every.join(known.select(name, F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end")), name, "left").select(
+        name, F.coalesce("start", open_).alias("start"), F.coalesce("end", open_).alias("end")
+    )
 
 
 def tier_array(tiers: DataFrame, key: str) -> DataFrame:

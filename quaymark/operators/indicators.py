@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaymark.functions.numeric import is_finite, ratio, significant
+from quaymark.operators.ranged import Stage, Trailing, scanned
 from quaymark.operators.scan import _extended, _starts
 
 CANDLE_KEYS = ("symbol", "tf")
@@ -193,19 +194,25 @@ def population_vol(c: Column, n: int, keys: Sequence[str] = ("symbol",), order:
     return F.when(F.count(c).over(w) == n, F.stddev_pop(c).over(w))
 
 
-def percentile_rank(value: str, n: int, least: int, keys: Sequence[str] = ("symbol",),
-                    order: str = "ts") -> Column:
-    """Share of the last n values at or below this one, ties at their mean rank.
+def _trailing(df: DataFrame, value: Column, out: str, n: int, least: int, stat: str, keys: Sequence[str], order: str) -> DataFrame:
+    rows = df.withColumn("__value", value)
+    return scanned(rows, keys, [order], [Stage((Trailing("__value", out, n, least, stat),))], {out: "double"}).drop("__value")
+
+
+def with_percentile_rank(df: DataFrame, value: str, out: str, n: int, least: int, keys: Sequence[str] = ("symbol",),
+                         order: str = "ts") -> DataFrame:
+    """Add the share of the last n values at or below this one, ties at their mean rank.
 
     Values are compared at 12 significant digits, so that equal windows tie
     whatever the order their deviations were summed in, and small values stay apart.
+    A series is cut by range of time, and each part starts from the last n - 1 values before it.
     """
-    own = significant(F.col(value), 12)
-    seen = F.collect_list(own).over(_tail(keys, order, n))
-    below = F.size(F.filter(seen, lambda x: x < own))
-    same = F.size(F.filter(seen, lambda x: x == own))
-    rank = (below + (same + 1) / F.lit(2.0)) / F.size(seen)
-    return F.when(F.col(value).isNotNull() & (F.size(seen) >= least), rank)
+    return _trailing(df, significant(F.col(value), 12), out, n, least, "rank", keys, order)
+
+
+def with_rolling_median(df: DataFrame, value: str, out: str, n: int, keys: Sequence[str] = ("symbol",), order: str = "ts") -> DataFrame:
+    """Add the median of the last n values, nulls left out; cut like the rank."""
+    return _trailing(df, F.col(value), out, n, 1, "median", keys, order)
 
 
 def vol_flattening(
@@ -221,7 +228,7 @@ def vol_flattening(
     keys, order = ("symbol",), "ts"
     out = bars.withColumn("__r", returns())
     out = out.withColumn("__v", rolling_std(F.col("__r"), vol_window, max(8, vol_window // 4)))
-    out = out.withColumn("vol_percentile", percentile_rank("__v", lookback, max(48, lookback // 4)))
+    out = with_percentile_rank(out, "__v", "vol_percentile", lookback, max(48, lookback // 4))
     top = F.max("vol_percentile").over(_tail(keys, order, recent))
     change = F.col("vol_percentile") - F.lag("vol_percentile", slope).over(_series(keys, order))
     setup = (top >= high) & (F.col("vol_percentile") <= top - drop) & (change <= 0)
@@ -251,7 +258,7 @@ def vol_expansion(bars: DataFrame, n: int = 24, baseline: int = 720, factor: flo
     keys, order = ("symbol",), "ts"
     out = bars.withColumn("__r", returns())
     out = out.withColumn("vol_now", rolling_std(F.col("__r"), n, n))
-    out = out.withColumn("vol_median", F.percentile("vol_now", F.lit(0.5)).over(_tail(keys, order, baseline)))
+    out = with_rolling_median(out, "vol_now", "vol_median", baseline)
     enough = F.count("__r").over(_series(keys, order)) >= 2 * n
     flag = enough & (F.col("vol_median") > 0) & (F.col("vol_now") >= factor * F.col("vol_median"))
     return out.withColumn("vol_expanded", F.coalesce(flag, F.lit(False))).drop("__r")

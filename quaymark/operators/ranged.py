@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -259,7 +260,60 @@ class Spent:
         return ys[k] if ys[k + 1] == ys[k] else ys[k] + state - xs[k]
 
 
-Scan = Sum | Extreme | Last | Floored | Affine | Spent
+@dataclass(frozen=True)
+class Trailing:
+    """Percentile rank of a row's value, or the median, among the last `n` rows, nulls left out.
+
+    The window is kept sorted: a row enters and one leaves.  `least` is how many values it must hold.
+    Ties share their mean rank.  A state is the last n - 1 values.
+    """
+
+    value: str
+    out: str
+    n: int
+    least: int
+    stat: str
+    zero = ()
+    identity = ()
+
+    def rows(self, f: Frame, run: np.ndarray, entry: tuple) -> tuple[Values, tuple]:
+        x = f[self.value].astype(float)
+        values, missing = x.tolist(), np.isnan(x).tolist()
+        seen, last, out = deque(entry), 0, []
+        window = sorted(v for v in seen if v == v)
+        for r, v, gone in zip(run.tolist(), values, missing, strict=True):
+            if r != last:
+                seen.clear()
+                window.clear()
+                last = r
+            if len(seen) == self.n:
+                old = seen.popleft()
+                if old == old:
+                    del window[bisect.bisect_left(window, old)]
+            seen.append(v)
+            if not gone:
+                bisect.insort(window, v)
+            m = len(window)
+            if m < max(1, self.least) or gone and self.stat == "rank":
+                out.append(None)
+            elif self.stat == "rank":
+                below = bisect.bisect_left(window, v)
+                out.append((below + (bisect.bisect_right(window, v) - below + 1) / 2.0) / m)
+            else:
+                out.append((window[(m - 1) // 2] + window[m // 2]) / 2.0)
+        return {self.out: pa.array(out, pa.float64())}, self._tail(tuple(seen))
+
+    def _tail(self, values: tuple) -> tuple:
+        return values[max(0, len(values) - self.n + 1) :]
+
+    def extend(self, summary: tuple, f: Frame, a: int) -> tuple:
+        return self._tail(summary + tuple(f[self.value][a:].astype(float).tolist()[-self.n :]))
+
+    def apply(self, summary: tuple, state: tuple) -> tuple:
+        return self._tail(state + summary)
+
+
+Scan = Sum | Extreme | Last | Floored | Affine | Spent | Trailing
 
 
 @dataclass(frozen=True)

@@ -384,18 +384,26 @@ def _robust(t: Tables):
 
 
 REGIMES = [
-    ("full", None, None), ("first_week", "2024-01-01", "2024-01-07 23:59:59"), ("middle", "2024-01-08", "2024-01-20"),
+    ("first_week", "2024-01-01", "2024-01-07 23:59:59"), ("middle", "2024-01-08", "2024-01-20"),
     ("since_15", "2024-01-15", None), ("empty_2023", "2023-01-01", "2023-12-31"),
 ]
+
+
+def regimes(t: Tables) -> DataFrame:
+    """Bounds of the named regimes; a label without known bounds is open."""
+    known = t.spark.createDataFrame(REGIMES, "regime string, start string, end string")
+    return asof.named_intervals(known.select("regime").union(t.spark.range(1).select(F.lit("unknown"))), known, "regime")
+
+
 define("regime_rows", """SELECT h.*, r.regime FROM history h JOIN (VALUES ('full', TIMESTAMP '1900-01-01', TIMESTAMP '2900-01-01'),
         ('first_week', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-07 23:59:59'), ('middle', TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-20'),
-        ('since_15', TIMESTAMP '2024-01-15', TIMESTAMP '2900-01-01'), ('empty_2023', TIMESTAMP '2023-01-01', TIMESTAMP '2023-12-31')) r(regime, a, b)
+        ('since_15', TIMESTAMP '2024-01-15', TIMESTAMP '2900-01-01'), ('unknown', TIMESTAMP '1900-01-01', TIMESTAMP '2900-01-01'), ('empty_2023', TIMESTAMP '2023-01-01', TIMESTAMP '2023-12-31')) r(regime, a, b)
     ON h.ts BETWEEN r.a AND r.b""")
 
 
 @query("regime_slices", "O-P1 O-P2 O-J3", "SELECT run_id, regime, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts FROM regime_rows GROUP BY ALL")
 def _slices(t: Tables):
-    return asof.interval_rows(t.history, "ts", REGIMES, "regime").groupBy("run_id", "regime").agg(
+    return asof.interval_rows(t.history, "ts", regimes(t), "regime").groupBy("run_id", "regime").agg(
         F.count(F.lit(1)).alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
@@ -408,7 +416,7 @@ def _slices(t: Tables):
     FROM (SELECT *, max(portfolio_value) OVER (PARTITION BY run_id, regime ORDER BY ts) AS p FROM regime_rows) GROUP BY ALL""",
        doubles="start_value end_value return_pct drawdown_pct avg_target_long_fraction avg_target_short_fraction min_health_factor boost_share")
 def _regimes(t: Tables):
-    rows = asof.interval_rows(t.history, "ts", REGIMES, "regime").withColumn("boost", F.col("long_green") == 4)
+    rows = asof.interval_rows(t.history, "ts", regimes(t), "regime").withColumn("boost", F.col("long_green") == 4)
     return sweep.regime_table(rows)
 
 

@@ -115,10 +115,40 @@ def test_tiers_are_inclusive_and_open_above(spark):
 
 def test_interval_rows_repeat_for_overlapping_intervals(spark):
     df = spark.createDataFrame([(hour(0),), (hour(48),)], "ts timestamp")
-    out = asof.interval_rows(df, "ts", [("all", None, None), ("day", "2024-01-01", "2024-01-01 23:59:59"), ("none", "2020-01-01", "2020-02-01")], "r")
+    intervals = [("all", None, None), ("day", "2024-01-01", "2024-01-01 23:59:59"), ("none", "2020-01-01", "2020-02-01")]
+    out = asof.interval_rows(df, "ts", spark.createDataFrame(intervals, "r string, start string, end string"), "r")
     assert sorted((r["ts"].day, r["r"]) for r in out.collect()) == [(1, "all"), (1, "day"), (3, "all")]
 
 
+def test_interval_join_finds_each_of_many_intervals_once(spark):
+    """Intervals of minutes to centuries, open ones, points, empty ones and repeated ones, against a filter per row."""
+    import random
+    from datetime import timedelta
+
+    rng = random.Random(8)
+    at = lambda: hour(0) + timedelta(minutes=rng.randint(-2_000_000, 2_000_000))
+    points = [(i, at()) for i in range(60)] + [(60, None)]
+    spans = []
+    for i in range(150):
+        a = at()
+        spans.append((f"r{i}", a, a + timedelta(minutes=rng.choice([0, 1, 45, 3000, 100_000, 3_000_000, -5])), i))
+    spans += [("open", None, None, 1), ("from", hour(0), None, 2), ("to", None, hour(0), 3), ("point", points[0][1], points[0][1], 4), ("r1", *spans[1][1:3], 5)]
+    df = spark.createDataFrame(points, "n int, ts timestamp")
+    table = spark.createDataFrame(spans, "r string, start timestamp, end timestamp, w int")
+    out = asof.interval_rows(df, "ts", table, "r")
+    want = [(n, r, w) for n, t in points for r, a, b, w in spans if t is not None and (a is None or a <= t) and (b is None or t <= b)]
+    assert sorted((x["n"], x["r"], x["w"]) for x in out.collect()) == sorted(want)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_labels_without_known_bounds_are_open(spark):
+    labels = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "regime string")
+    known = spark.createDataFrame([("a", "2024-01-01", None), ("c", None, None)], "regime string, start string, end string")
+    got = {r["regime"]: (r["start"], r["end"]) for r in asof.named_intervals(labels, known, "regime").collect()}
+    assert got.keys() == {"a", "b", "full"} and got["b"] == got["full"] == (None, None) and got["a"][0] is not None
+
+
 def test_period_last_takes_the_last_row(spark):
     df = spark.createDataFrame([("r", hour(h), float(h)) for h in (0, 11, 12, 13)], "run_id string, ts timestamp, v double")
     got = rows(period_last(df, ["run_id"], 12, ["v"]), "period")

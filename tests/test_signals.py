@@ -126,5 +126,32 @@ def test_overlay_reasons(spark):
 def test_percentile_rank_averages_ties(spark):
     values = [3.0, 1.0, 3.0, 2.0, 3.0]
     df = spark.createDataFrame([("A", hour(i), v) for i, v in enumerate(values)], "symbol string, ts timestamp, v double")
-    got = [r["p"] for r in rows(df.withColumn("p", ind.percentile_rank("v", 4, 2)), "ts")]
+    got = [r["p"] for r in rows(ind.with_percentile_rank(df, "v", "p", 4, 2), "ts")]
     assert got == [None, pytest.approx(0.5), pytest.approx(2.5 / 3), pytest.approx(0.5), pytest.approx(3.5 / 4)]
+
+
+@pytest.mark.parametrize("parts", ["1", "16"])
+def test_sliding_order_statistics_over_cuts(spark, parts):
+    """Windows wider than a part, nulls, ties and two series, against pandas."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    data = [(s, hour(i), None if r.random() < 0.1 else float(r.integers(0, 40))) for s in "AB" for i in range(150)]
+    df = spark.createDataFrame(data, "symbol string, ts timestamp, v double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = ind.with_rolling_median(ind.with_percentile_rank(df, "v", "p", 60, 5), "v", "m", 37)
+        got = {(x["symbol"], x["ts"]): (x["p"], x["m"]) for x in rows(out)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for s in "AB":
+        own = [(t, v) for k, t, v in data if k == s]
+        v = pd.Series([np.nan if x is None else x for _, x in own], dtype=float)
+        rank = v.rolling(60, min_periods=5).rank(pct=True)
+        median = v.rolling(37, min_periods=1).median()
+        for i, (t, x) in enumerate(own):
+            p, m = got[s, t.replace(tzinfo=None)]
+            assert (p is None) == (x is None or np.isnan(rank[i])) and (p is None or p == pytest.approx(rank[i]))
+            assert (m is None) == np.isnan(median[i]) and (m is None or m == pytest.approx(median[i]))
