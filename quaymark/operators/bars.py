@@ -118,32 +118,24 @@ def on_base_bars(
 
     `candles` holds the candles of the same bars with their computed columns and
     `values` maps a column to the default used before any candle is closed.  A
-    candle closes at the label of the next one.  So a base bar sees the candle
-    before its own, or the one before that while its own label still lies ahead
-    (weeks) or its own candle was dropped as incomplete.  That makes the as-of
-    lookup an equality on (symbol, tf, label), once dropped candles have a slot.
-    `by` names further series keys of the candles (a parameter set); each base
-    bar then repeats per key.
+    candle closes at the label of the next one, so what a bar sees is the candle before the latest
+    one whose label it has reached; a candle that was dropped as incomplete counts for neither.
+    Candles carry their predecessor, and one window fills it forward to the bars; rows per series are
+    bounded by span / bar length.  `by` names further series keys of the candles (a parameter set);
+    each base bar then repeats per key.
     """
     series = ["symbol", "tf", *by]
     w = W.partitionBy(*series).orderBy("label")
-    now = candles.select(*series, "label", F.struct(*values).alias("__now"))
-    base = _slotted(bars.select("symbol", "ts", *carry), frames)
-    dropped = base.select("symbol", "tf", "label").distinct().join(now, ["symbol", "tf", "label"], "left_anti")
+    before = F.struct(F.lag(F.struct(*values)).over(w).alias("v"))  # the first candle has none, which is not no candle
+    shown = candles.select(*series, F.col("label").alias("ts"), before.alias("__before"), F.lit(0).alias("__side"))
+    frames_of = F.explode(F.array(*[F.lit(f) for f in frames])).alias("tf")
+    base = bars.select("symbol", "ts", *carry, frames_of, F.lit(1).alias("__side"))
     if by:
-        dropped = dropped.join(candles.select(*series).distinct(), ["symbol", "tf"])
-    held = now.withColumn("__held", F.struct("__now", F.lag("__now").over(w).alias("__before"))).drop("__now")
-    upto = w.rowsBetween(W.unboundedPreceding, -1)
-    slots = held.unionByName(dropped, allowMissingColumns=True).select(
-        *series, "label", F.col("__held").isNotNull().alias("__whole"), F.last("__held", ignorenulls=True).over(upto).alias("__seen")
-    )
-    closed = F.col("__whole") & (F.col("label") <= F.col("ts"))
-    return base.join(slots, ["symbol", "tf", "label"], "left").select(
-        "symbol", "ts", "tf", *by, *carry,
-        *[
-            F.coalesce(F.when(closed, F.col(f"__seen.__now.{c}")).otherwise(F.col(f"__seen.__before.{c}")), d).alias(c)
-            for c, d in values.items()
-        ],
+        base = base.join(candles.select(*series).distinct(), ["symbol", "tf"])
+    upto = W.partitionBy(*series).orderBy("ts", "__side").rowsBetween(W.unboundedPreceding, 0)
+    filled = shown.unionByName(base, allowMissingColumns=True).withColumn("__seen", F.last("__before", ignorenulls=True).over(upto))
+    return filled.filter("__side = 1").select(
+        "symbol", "ts", "tf", *by, *carry, *[F.coalesce(F.col(f"__seen.v.{c}"), d).alias(c) for c, d in values.items()]
     )
 
 
