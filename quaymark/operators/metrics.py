@@ -1,7 +1,7 @@
 """Performance metrics per run over equity histories.
 
-A history holds one row per run and bar, so a run is bounded by span / bar
-length and its running peak is a plain window.  Everything else is one
+A history holds one row per run and bar.  Running peaks, drawdowns and episodes go over a range
+partitioning of (run, time), so a run of any length is spread over tasks.  Everything else is one
 aggregate per run.
 """
 
@@ -10,11 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import INF, bool_share, is_finite, ratio
+from quaymark.operators.ranged import Extreme, FirstSince, Frame, Last, LowestSince, Stage, Sum, Values, scanned
 
 RUN = ("run_id",)
 
@@ -27,19 +30,53 @@ def _last(value: str, order: str = "ts") -> Column:
     return F.max_by(value, order)
 
 
-def with_drawdown(history: DataFrame, value: str = "portfolio_value", keys: Sequence[str] = RUN) -> DataFrame:
-    """Add pnl, return (first row 0), peak, drawdown fraction and bars below peak."""
+def _falls(f: Frame) -> Values:
+    """Distance to the peak, and the row's number where it is at it."""
+    v, peak = f["__v"].astype(float), f["peak"].astype(float)
+    off = np.isnan(v) | np.isnan(peak) | (peak == 0)
+    fall = np.divide(v - peak, peak, out=np.zeros(len(v)), where=~off)
+    return {"drawdown": np.where(np.isnan(v) | np.isnan(peak), np.nan, fall), "__high": np.where(v >= peak, f["__rn"], np.nan)}
+
+
+def _below(f: Frame) -> Values:
+    return {"bars_below": pa.array(f["__rn"] - f["__at"], from_pandas=True).cast(pa.int64())}
+
+
+def with_drawdown(history: DataFrame, value: str = "portfolio_value", keys: Sequence[str] = RUN, before: Sequence[str] = (), long: bool = True) -> DataFrame:
+    """Add pnl, return (first row 0), peak, drawdown fraction and bars below peak; and `__before_<c>`, the last value of c.
+
+    `long=False` takes each run in one task by plain windows: for many runs of bounded length.
+    """
+    if not long:
+        return _short_drawdown(history, value, keys, before)
+    held = [value, *[c for c in before if c != value]]
+    rows = history.withColumns({"__v": F.col(value).cast("double"), "__one": F.lit(1.0), "__all": F.lit(True)})
+    stages = [
+        Stage((Extreme("__v", "peak", True), Sum("__one", "__rn"), Last("__all", tuple(held), tuple(f"__before_{c}" for c in held), before=True))),
+        Stage((Extreme("__high", "__at", True),), _falls),
+        Stage((), _below),
+    ]
+    kinds = dict(history.dtypes)
+    outs = {"peak": "double", "drawdown": "double", "bars_below": "bigint", "__rn": "double"} | {f"__before_{c}": kinds[c] for c in held}
+    out = scanned(rows, keys, ["ts"], stages, outs)
+    v, last = F.col(value), F.col(f"__before_{value}")
+    out = out.withColumns({"pnl": F.coalesce(v - last, F.lit(0.0)), "ret": F.coalesce(ratio(v, last) - 1.0, F.lit(0.0)), "first_row": last.isNull()})
+    return out.select(*history.columns, "pnl", "ret", "first_row", "peak", "drawdown", "bars_below", *[f"__before_{c}" for c in before])
+
+
+def _short_drawdown(history: DataFrame, value: str, keys: Sequence[str], before: Sequence[str]) -> DataFrame:
     path = _path(keys)
-    v, before = F.col(value), F.lag(value).over(path)
+    v, last = F.col(value), F.lag(value).over(path)
     # Same frame for every running column, so one sort and one pass serve all.
     upto = path.rowsBetween(W.unboundedPreceding, 0)
     out = history.withColumns(
         {
-            "pnl": F.coalesce(v - before, F.lit(0.0)),
-            "ret": F.coalesce(ratio(v, before) - 1.0, F.lit(0.0)),
-            "first_row": before.isNull(),
+            "pnl": F.coalesce(v - last, F.lit(0.0)),
+            "ret": F.coalesce(ratio(v, last) - 1.0, F.lit(0.0)),
+            "first_row": last.isNull(),
             "peak": F.max(v).over(upto),
             "__rn": F.row_number().over(path),
+            **{f"__before_{c}": F.lag(c).over(path) for c in before},
         }
     )
     at_peak = F.when(v >= F.col("peak"), F.col("__rn"))
@@ -53,7 +90,7 @@ def with_drawdown(history: DataFrame, value: str = "portfolio_value", keys: Sequ
 
 def performance(history: DataFrame, periods_per_year: float = 8760.0) -> DataFrame:
     """One row per run.  The zero return of the first bar counts; sample deviations."""
-    rows = with_drawdown(history).withColumn("__cash_up", F.col("cash_reserve") - F.lag("cash_reserve").over(_path()))
+    rows = with_drawdown(history, before=("cash_reserve",)).withColumn("__cash_up", F.col("cash_reserve") - F.col("__before_cash_reserve"))
     hf = F.when(is_finite(F.col("health_factor")), F.col("health_factor"))
     agg = rows.groupBy("run_id").agg(
         F.min_by("portfolio_value", "ts").alias("initial_value"),
@@ -152,6 +189,19 @@ def perp_summary(history: DataFrame, starting_equity: float | None = None) -> Da
     ).drop("__n", "__gap", "__mean", "__std", "__down", "__downs", "__ppy")
 
 
+def _highs(f: Frame) -> Values:
+    """Where a strict new high starts an episode."""
+    v, peak = f["__v"], f["__peak"].astype(float)
+    start = np.isnan(peak) | (v > peak)
+    return {"__start": start, "__new": start.astype(float), "peak_value": np.where(start, v, peak)}
+
+
+def _halves(f: Frame) -> Values:
+    """Where half of the fall so far is made up, and where a lower low begins it anew."""
+    low, peak = f["trough_value"], f["peak_value"]
+    return {"__half_way": f["__v"] >= low + (peak - low) * 0.5, "__lower": f["__trough"] == f["__i"]}
+
+
 def drawdown_episodes(values: DataFrame, min_drawdown_pct: float = 30.0) -> DataFrame:
     """Peak, trough and recovery bars of each deep drawdown: (run_id, idx, value) in.
 
@@ -159,26 +209,26 @@ def drawdown_episodes(values: DataFrame, min_drawdown_pct: float = 30.0) -> Data
     before, so both recoveries lie inside the episode or on the first row of the
     next: no forward search and no self-join.
     """
-    order = W.partitionBy("run_id").orderBy("idx")
-    v, idx = F.col("value"), F.col("idx")
-    before = F.max("value").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = values.withColumn("__new", (before.isNull() | (v > before)).cast("int"))
-    rows = rows.withColumn("episode", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    inside = W.partitionBy("run_id", "episode")
-    rows = rows.withColumns(
-        {"peak_value": F.max("value").over(inside), "trough_value": F.min("value").over(inside)}
-    )
-    rows = rows.withColumn("trough_index", F.min(F.when(v == F.col("trough_value"), idx)).over(inside))
-    half = F.col("trough_value") + (F.col("peak_value") - F.col("trough_value")) * 0.5
-    episodes = rows.groupBy("run_id", "episode").agg(
-        F.min("idx").alias("peak_index"),
-        F.first("trough_index").alias("trough_index"),
-        F.first("peak_value").alias("peak_value"),
-        F.first("trough_value").alias("trough_value"),
-        F.min(F.when((idx > F.col("trough_index")) & (v >= half), idx)).alias("__half"),
-    )
-    following = F.lead("peak_index").over(W.partitionBy("run_id").orderBy("episode"))
-    out = episodes.withColumn("__next", following)
+    rows = values.withColumns({"__v": F.col("value").cast("double"), "__i": F.col("idx").cast("double")})
+    stages = [
+        Stage((Extreme("__v", "__peak", True, before=True),)),
+        Stage((Sum("__new", "episode"), LowestSince("__v", "__i", "__start", "trough_value", "__trough")), _highs),
+        Stage((FirstSince("__i", "__half_way", "__lower", "__half"),), _halves),
+    ]
+    outs = dict.fromkeys(("episode", "peak_value", "trough_value", "__trough", "__half"), "double")
+    rows = scanned(rows, ["run_id"], ["idx"], stages, outs)
+    idx, before = F.col("idx"), F.col("episode") - 1.0
+    # a row counts for its episode, and an episode's first row is also the new high of the one before
+    own = F.struct("episode", idx.alias("i"), "peak_value", "trough_value", F.col("__trough").cast("bigint").alias("t"), F.col("__half").cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("next"))
+    none = F.lit(None).cast("double")
+    ends = F.struct(before.alias("episode"), F.lit(None).cast("bigint").alias("i"), none.alias("peak_value"), none.alias("trough_value"), *[F.lit(None).cast("bigint").alias(c) for c in "th"], idx.cast("bigint").alias("next"))
+    parts = rows.select("run_id", F.inline(F.array_compact(F.array(own, F.when(F.col("value") == F.col("peak_value"), F.when(idx == F.col("__trough"), ends))))))
+    # troughs and what follows them only move on, so the last is the largest
+    episodes = parts.groupBy("run_id", "episode").agg(
+        F.min("i").alias("peak_index"), F.max("t").alias("trough_index"), F.max("peak_value").alias("peak_value"), F.min("trough_value").alias("trough_value"),
+        F.max("h").alias("__half"), F.min("next").alias("__next"),
+    ).filter("peak_index IS NOT NULL")
+    out = episodes.withColumn("__half", F.when(F.col("__half") > F.col("trough_index"), F.col("__half")))
     depth = ratio(F.col("peak_value") - F.col("trough_value"), F.col("peak_value")) * 100.0
     return out.withColumns(
         {

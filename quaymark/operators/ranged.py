@@ -313,7 +313,76 @@ class Trailing:
         return self._tail(state + summary)
 
 
-Scan = Sum | Extreme | Last | Floored | Affine | Spent | Trailing
+@dataclass(frozen=True)
+class LowestSince:
+    """Lowest value since the last row where `reset` holds, that row included, and its place; ties go to the first."""
+
+    value: str
+    place: str
+    reset: str
+    out: str
+    at: str
+    zero = None
+    identity = (False, None)
+
+    def _walk(self, f: Frame, a: int, state: tuple | None, run: list[int]) -> Iterator[tuple | None]:
+        last = run[0]
+        for r, v, p, new in zip(run, f[self.value][a:].tolist(), f[self.place][a:].tolist(), f[self.reset][a:].tolist(), strict=True):
+            if r != last:
+                state, last = None, r
+            if new or state is None or v < state[0]:
+                state = (v, p)
+            yield state
+
+    def rows(self, f: Frame, run: np.ndarray, entry: tuple | None) -> tuple[Values, tuple | None]:
+        seen = list(self._walk(f, 0, entry if run[0] == 0 else None, run.tolist()))
+        return {self.out: np.array([s[0] for s in seen]), self.at: np.array([s[1] for s in seen])}, seen[-1]
+
+    def extend(self, summary: tuple, f: Frame, a: int) -> tuple:
+        cut, state = summary
+        *_, state = self._walk(f, a, state, [0] * (len(f[self.value]) - a))
+        return cut or bool(f[self.reset][a:].any()), state
+
+    def apply(self, summary: tuple, state: tuple | None) -> tuple | None:
+        cut, low = summary
+        return low if cut or state is None or low is not None and low[0] < state[0] else state
+
+
+@dataclass(frozen=True)
+class FirstSince:
+    """Place of the first row where `hit` holds after the last where `reset` does; null where none is."""
+
+    place: str
+    hit: str
+    reset: str
+    out: str
+    zero = None
+    identity = (False, None)
+
+    def _walk(self, f: Frame, a: int, state: float | None, run: list[int]) -> Iterator[float | None]:
+        last = run[0]
+        for r, p, hit, new in zip(run, f[self.place][a:].tolist(), f[self.hit][a:].tolist(), f[self.reset][a:].tolist(), strict=True):
+            if r != last or new:
+                state, last = None, r
+            if hit and not new and state is None:
+                state = p
+            yield state
+
+    def rows(self, f: Frame, run: np.ndarray, entry: float | None) -> tuple[Values, float | None]:
+        seen = list(self._walk(f, 0, entry, run.tolist()))
+        return {self.out: np.array([np.nan if s is None else s for s in seen])}, seen[-1]
+
+    def extend(self, summary: tuple, f: Frame, a: int) -> tuple:
+        cut, state = summary
+        *_, state = self._walk(f, a, state, [0] * (len(f[self.place]) - a))
+        return cut or bool(f[self.reset][a:].any()), state
+
+    def apply(self, summary: tuple, state: float | None) -> float | None:
+        cut, place = summary
+        return place if cut or state is None else state
+
+
+Scan = Sum | Extreme | Last | Floored | Affine | Spent | Trailing | LowestSince | FirstSince
 
 
 @dataclass(frozen=True)

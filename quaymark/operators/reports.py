@@ -162,6 +162,11 @@ def timeline(priced: DataFrame) -> DataFrame:
     ).select("*", "__e.*").drop("__e", "__first", "__l", "__s", "__sel", "__liq")
 
 
+def timeline_frame(priced: DataFrame, shots: DataFrame) -> DataFrame:
+    """The timeline's events with price, targets, health, drawdown and the account's snapshot of their bar."""
+    return timeline(priced).join(shots, ["run_id", "ts"], "left")
+
+
 def money(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(c, 2))
 
@@ -226,17 +231,28 @@ def match_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
     return found.groupBy("report_id", "summary_name").agg(F.min_by("history_name", order).alias("history_name"))
 
 
+#: Series of hedge levels and hedge profit.
+HEDGE_SERIES = ("target_ratio", "actual_ratio", "marked_ratio", "lifetime_realized_pnl", "spendable_profit", "open_short_basis")
+
+
 def hedge_levels(events: DataFrame, ratios: DataFrame) -> DataFrame:
     """Target, actual and marked hedge ratio and PnL series at each event.
 
+    `events`: (run_id, ts) and, as far as they are there, target_ratio, current_short_ratio,
+    lifetime_realized, spendable, open_short_amount and average_basis; what is missing is null.
     `ratios`: (run_id, ts, debt_value, collateral_value); an infinite or missing
     mark is 0.
     """
+    wanted = ("target_ratio", "current_short_ratio", "lifetime_realized", "spendable", "open_short_amount", "average_basis")
+    events = events.withColumns({c: F.lit(None).cast("double") for c in wanted if c not in events.columns})
     marked = backward_asof(events, ratios, ["run_id"], ["debt_value", "collateral_value"])
     mark = ratio(F.col("debt_value"), F.col("collateral_value"), 0.0)
     return marked.select(
         *events.columns,
+        F.col("current_short_ratio").cast("double").alias("actual_ratio"),
         F.when(F.abs(mark) < F.lit(INF), mark).otherwise(0.0).alias("marked_ratio"),
+        F.col("lifetime_realized").cast("double").alias("lifetime_realized_pnl"),
+        F.col("spendable").cast("double").alias("spendable_profit"),
         (F.col("open_short_amount") * F.col("average_basis")).alias("open_short_basis"),
     )
 

@@ -22,11 +22,21 @@ def param_grid(spark, grid: Mapping[str, Sequence]) -> DataFrame:
 
     Built by exploding literal arrays from one row, so nothing is joined.
     """
-    df = spark.range(1).select(F.lit(0).cast("bigint").alias("run_id"))
+    return with_params(spark.range(1).select(), grid, "run_id")
+
+
+def strategy_grid(grid: Mapping[str, Sequence]) -> dict[str, Sequence]:
+    """The grid of a strategy search: crisis mode is tried on and off where the grid does not set it."""
+    return dict(grid) if "enable_crisis_mode" in grid else {**grid, "enable_crisis_mode": [True, False]}
+
+
+def with_params(rows: DataFrame, grid: Mapping[str, Sequence], number: str = "combination") -> DataFrame:
+    """Each row once per combination of parameters, which `number` counts in mixed radix; first names change slowest."""
+    df = rows.withColumn(number, F.lit(0).cast("bigint"))
     for name, values in grid.items():
         df = df.select(
             "*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("__i", name)
-        ).withColumn("run_id", F.col("run_id") * len(values) + F.col("__i")).drop("__i")
+        ).withColumn(number, F.col(number) * len(values) + F.col("__i")).drop("__i")
     return df
 
 
@@ -49,7 +59,7 @@ def signal_sweep(bars: DataFrame, specs: Sequence[TrendSpec], frames: Sequence[s
         F.avg(F.when(F.col("bull"), 1.0).otherwise(-1.0)).alias("exposure"),
     )
     keys = ("symbol", "spec")
-    rows = with_drawdown(exposure_curve(scored, keys=keys), "equity", keys)
+    rows = with_drawdown(exposure_curve(scored, keys=keys), "equity", keys, long=False)
     agg = rows.groupBy(*keys).agg(
         F.max_by("equity", "ts").alias("final_equity"),
         (F.abs(F.min("drawdown")) * 100.0).alias("max_drawdown_pct"),

@@ -264,6 +264,23 @@ def _sweep(t: Tables) -> DataFrame:
     return sweep.signal_sweep(price_like(t), sweep.trend_specs(ATRS, MULTS), ["4h", "1d"])
 
 
+GRID = {"scale": [0.5, 1.0, 1.5], "floor": [0.0, 0.2]}
+
+
+@query("strategy_grid", "O-J8 D15", """
+    WITH g AS (SELECT si * 4 + fi * 2 + ci AS combination, scale, floor, crisis FROM
+            (VALUES (0, 0.5::DOUBLE), (1, 1.0), (2, 1.5)) s(si, scale), (VALUES (0, 0.0::DOUBLE), (1, 0.2)) f(fi, floor), (VALUES (0, TRUE), (1, FALSE)) c(ci, crisis)),
+    r AS (SELECT run_id, avg(target_long_fraction) AS l, avg((long_green = 0)::INT) AS weak FROM history GROUP BY 1)
+    SELECT run_id, combination::BIGINT AS combination, scale, floor, crisis AS enable_crisis_mode,
+        greatest(floor, l * scale * CASE WHEN crisis THEN 1 - weak ELSE 1 END) AS mean_target FROM r, g""", doubles="scale floor mean_target")
+def _strategy_grid(t: Tables):
+    runs = t.history.groupBy("run_id").agg(F.avg("target_long_fraction").alias("l"), F.avg((F.col("long_green") == 0).cast("double")).alias("weak"))
+    calm = F.when(F.col("enable_crisis_mode"), 1.0 - F.col("weak")).otherwise(1.0)
+    return sweep.with_params(runs, sweep.strategy_grid(GRID)).select(
+        "run_id", "combination", "scale", "floor", "enable_crisis_mode", F.greatest("floor", F.col("l") * F.col("scale") * calm).alias("mean_target")
+    )
+
+
 @query("signal_sweep", "O-K1 O-J8 D15", "SELECT * FROM sweep_result", doubles=SWEEP)
 def _signal_sweep(t: Tables):
     return _sweep(t)
@@ -510,14 +527,31 @@ def _temperature(t: Tables):
     WITH p AS (SELECT *, row_number() OVER w AS i, lag(target_long_fraction) OVER w AS l0, lag(target_short_fraction) OVER w AS s0, lag(selected_long) OVER w AS sel0,
             coalesce(last_value(CASE WHEN sol_price IS NOT NULL THEN liquidation_count END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0
         FROM priced WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
-    v AS (SELECT *, target_long_fraction AS l, target_short_fraction AS s FROM p WHERE sol_price IS NOT NULL)
-    SELECT run_id, ts, 'start' AS event_family, 'Started with ' || CASE selected_long WHEN '' THEN 'no' ELSE selected_long END || ' long target ' || printf('%.3f', l) AS event FROM v WHERE i = 1
+    v AS (SELECT *, target_long_fraction AS l, target_short_fraction AS s FROM p WHERE sol_price IS NOT NULL),
+    m AS (SELECT run_id, ts, max(value) FILTER (side = 'collateral' AND symbol = 'SOL') AS cs, max(value) FILTER (side = 'collateral' AND symbol = 'USDC') AS cu,
+        max(value) FILTER (side = 'debt' AND symbol = 'ETH') AS de, max(value) FILTER (side = 'debt' AND symbol = 'USDC') AS du
+        FROM (SELECT * REPLACE (CASE WHEN value > 0 THEN value + 0.0000137 ELSE 0 END AS value) FROM history_positions) GROUP BY ALL),
+    d AS (SELECT run_id, ts, portfolio_value, (peak - portfolio_value) / peak * 100 AS drawdown_pct FROM hist),
+    e AS (SELECT run_id, ts, 'start' AS event_family, 'Started with ' || CASE selected_long WHEN '' THEN 'no' ELSE selected_long END || ' long target ' || printf('%.3f', l) AS event FROM v WHERE i = 1
     UNION ALL SELECT run_id, ts, 'rotation', 'Long asset changed from ' || CASE sel0 WHEN '' THEN 'none' ELSE sel0 END || ' to ' || CASE selected_long WHEN '' THEN 'none' ELSE selected_long END FROM v WHERE i > 1 AND selected_long <> sel0
     UNION ALL SELECT run_id, ts, CASE WHEN l > l0 THEN 'buy' ELSE 'sell' END, 'Long target ' || CASE WHEN l > l0 THEN 'raised' ELSE 'cut' END || printf(' from %.3f to %.3f', l0, l) FROM v WHERE i > 1 AND abs(l - l0) >= 0.05
     UNION ALL SELECT run_id, ts, CASE WHEN s > s0 THEN 'short' ELSE 'cover' END, 'Hedge/short target ' || CASE WHEN s > s0 THEN 'raised' ELSE 'cut' END || printf(' from %.3f to %.3f', s0, s) FROM v WHERE i > 1 AND abs(s - s0) >= 0.01
-    UNION ALL SELECT run_id, ts, 'liquidation', 'Liquidations increased from ' || q0 || ' to ' || liquidation_count FROM v WHERE i > 1 AND liquidation_count > q0""")
+    UNION ALL SELECT run_id, ts, 'liquidation', 'Liquidations increased from ' || q0 || ' to ' || liquidation_count FROM v WHERE i > 1 AND liquidation_count > q0)
+    SELECT e.*, sol_price, selected_long, l AS target_long_fraction, s AS target_short_fraction, health_factor, drawdown_pct,
+        concat_ws(' | ', format('portfolio=${:,.2f}', pv), CASE WHEN cs > 0 THEN format('collateral SOL=${:,.2f}', cs) END, CASE WHEN cu > 0 THEN format('collateral USDC=${:,.2f}', cu) END,
+            CASE WHEN de > 0 THEN format('debt ETH=${:,.2f}', de) END, CASE WHEN du > 0 THEN format('debt USDC=${:,.2f}', du) END) AS portfolio_snapshot,
+        format('${:,.2f}', pv) AS snapshot_portfolio, CASE WHEN cs > 0 THEN format('${:,.2f}', cs) ELSE '' END AS snapshot_collateral_SOL,
+        CASE WHEN du > 0 THEN format('${:,.2f}', du) ELSE '' END AS snapshot_debt_USDC
+    FROM e JOIN v USING (run_id, ts) JOIN (SELECT run_id, ts, portfolio_value + 0.0000137 AS pv, drawdown_pct FROM d) USING (run_id, ts) JOIN m USING (run_id, ts)""",
+       doubles="sol_price target_long_fraction target_short_fraction health_factor drawdown_pct", digits=6)
 def _timeline(t: Tables):
-    return reports.timeline(priced(t)).select("run_id", "ts", "event_family", "event")
+    nudged = lambda df, c: df.withColumn(c, F.when(F.col(c) > 0, F.col(c) + 0.0000137).otherwise(0.0))
+    falls = metrics.with_drawdown(t.history).select("run_id", "ts", (-F.col("drawdown") * 100.0).alias("drawdown_pct"))
+    shots = reports.snapshots(nudged(t.history, "portfolio_value"), nudged(t.history_positions, "value"))
+    return reports.timeline_frame(priced(t).join(falls, ["run_id", "ts"]), shots).select(
+        "run_id", "ts", "event_family", "event", "sol_price", "selected_long", "target_long_fraction", "target_short_fraction", "health_factor", "drawdown_pct",
+        "portfolio_snapshot", "snapshot_portfolio", "snapshot_collateral_SOL", "snapshot_debt_USDC",
+    )
 
 
 @query("portfolio_snapshots", "O-E5", """
@@ -577,21 +611,26 @@ def _matching(t: Tables):
 
 
 @query("hedge_levels", "O-E8", """
-    WITH e AS (SELECT event_id, event_type AS run_id, ts, value / 100 AS target_ratio, user_id * 0.5 AS open_short_amount, value AS average_basis FROM events),
+    WITH e AS (SELECT event_id, event_type AS run_id, ts, value / 100 AS target_ratio, user_id * 0.5 AS open_short_amount, value AS average_basis,
+            CASE WHEN event_id % 3 > 0 THEN CAST(props->>'$.k' AS DOUBLE) / 100 END AS current_short_ratio, value - 40 AS lifetime_realized, greatest(0, value - 60) AS spendable FROM events),
     r AS (SELECT run_id, ts + INTERVAL 1 HOUR AS ts, portfolio_value * target_short_fraction AS d, CASE WHEN long_green = 0 THEN 0 ELSE portfolio_value END AS c FROM history)
-    SELECT e.event_id, e.run_id, e.ts, e.target_ratio, CASE WHEN c IS NULL OR c = 0 THEN 0 ELSE d / c END AS marked_ratio, open_short_amount * average_basis AS open_short_basis
-    FROM e ASOF LEFT JOIN r ON e.run_id = r.run_id AND e.ts >= r.ts""", doubles="target_ratio marked_ratio open_short_basis")
+    SELECT e.event_id, e.run_id, e.ts, e.target_ratio, current_short_ratio AS actual_ratio, CASE WHEN c IS NULL OR c = 0 THEN 0 ELSE d / c END AS marked_ratio,
+        lifetime_realized AS lifetime_realized_pnl, spendable AS spendable_profit, open_short_amount * average_basis AS open_short_basis
+    FROM e ASOF LEFT JOIN r ON e.run_id = r.run_id AND e.ts >= r.ts""",
+       doubles="target_ratio actual_ratio marked_ratio lifetime_realized_pnl spendable_profit open_short_basis")
 def _levels(t: Tables):
     events = t.events.select(
         "event_id", F.col("event_type").alias("run_id"), "ts", (F.col("value") / 100.0).alias("target_ratio"),
         (F.col("user_id") * 0.5).alias("open_short_amount"), F.col("value").alias("average_basis"),
+        F.when(F.col("event_id") % 3 > 0, F.get_json_object("props", "$.k").cast("double") / 100.0).alias("current_short_ratio"),
+        (F.col("value") - 40.0).alias("lifetime_realized"), F.greatest(F.lit(0.0), F.col("value") - 60.0).alias("spendable"),
     )
     pv = F.col("portfolio_value")
     ratios = t.history.select(
         "run_id", F.timestamp_add("HOUR", F.lit(1), F.col("ts")).alias("ts"), (pv * F.col("target_short_fraction")).alias("debt_value"),
         F.when(F.col("long_green") == 0, 0.0).otherwise(pv).alias("collateral_value"),
     )
-    return reports.hedge_levels(events, ratios).select("event_id", "run_id", "ts", "target_ratio", "marked_ratio", "open_short_basis")
+    return reports.hedge_levels(events, ratios).select("event_id", "run_id", "ts", *reports.HEDGE_SERIES)
 
 
 @query("kpi_deltas", "O-E9 O-P9", """

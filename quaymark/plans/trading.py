@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.operators import onchain, orderbook, universe
 from quaymark.plans.ctes import define
 from quaymark.plans.registry import query
+from quaymark.sources import files
 from quaymark.sources.tables import Tables
 
 define("tops", """SELECT pair, exchange, bid, ask, bid * (1 - taker) AS net_bid, ask * (1 + maker) AS net_ask FROM (
@@ -188,6 +189,26 @@ def _violations(t: Tables):
     return universe.violations(_universe(t), market)
 
 
+def account_json(t: Tables) -> DataFrame:
+    """One JSON document per account, positions in order."""
+    coll = F.col("side") == "collateral"
+    item = F.struct("pos_no", "symbol", "amount", "price", F.when(coll, F.col("ltv")).alias("ltv"), F.when(coll, F.col("liq_threshold")).alias("liquidation_threshold"))
+    of = lambda test, name: F.sort_array(F.collect_list(F.when(test, item))).alias(name)
+    docs = t.positions.groupBy("account_id").agg(of(coll, "collateral"), of(~coll, "debt"))
+    return docs.select(F.to_json(F.struct(F.col("account_id").cast("string").alias("account_id"), "collateral", "debt")).alias("json"))
+
+
+@query("json_accounts", "O-S3 D9", """
+    SELECT account_id::VARCHAR AS account_id, side, row_number() OVER (PARTITION BY account_id, side ORDER BY pos_no, symbol, amount, price) - 1 AS pos_no,
+        symbol, amount, price, CASE side WHEN 'collateral' THEN ltv END AS ltv, CASE side WHEN 'collateral' THEN liq_threshold END AS liq_threshold,
+        1.0::DOUBLE AS borrow_factor FROM positions""", doubles="amount price ltv liq_threshold borrow_factor")
+def _json_accounts(t: Tables):
+    positions, _ = files.parsed_accounts(account_json(t), "json")
+    return positions.select(
+        "account_id", "side", F.col("pos_no").cast("bigint").alias("pos_no"), "symbol", "amount", "price", "ltv", "liq_threshold", "borrow_factor"
+    )
+
+
 @query("json_actions", "O-S3", """
     SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CASE WHEN CAST(props->>'$.k' AS BIGINT) % 2 = 0 THEN 'borrow' ELSE 'repay' END AS type FROM events""")
 def _json(t: Tables):

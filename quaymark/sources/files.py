@@ -108,7 +108,16 @@ def read_accounts(spark: SparkSession, path: str, multi_line: bool = False) -> t
     """
     docs = spark.read.schema(POSITION_SCHEMA).option("multiLine", multi_line).json(path)
     stem = F.regexp_extract(F.col(_path()), r"([^/]+?)(\.[^./]*)?$", 1)
-    docs = docs.withColumn("account_id", F.coalesce("account_id", stem))
+    return account_tables(docs.withColumn("account_id", F.coalesce("account_id", stem)))
+
+
+def parsed_accounts(texts: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Account JSON held in a string column, as `read_accounts` takes it from files; text that is none gives no rows."""
+    return account_tables(texts.select(F.from_json(column, POSITION_SCHEMA).alias("d")).select("d.*"))
+
+
+def account_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions, actions) of account documents."""
     one = F.lit(1.0)
     none = F.lit(None).cast("double")
 

@@ -129,3 +129,41 @@ def test_robustness_ranking(spark):
     got = [r.asDict() for r in sweep.robustness(df).collect()]
     assert [(r["name"], r["strict_wins"]) for r in got] == [("n1", 2), ("n2", 1)]
     assert got[0]["avg_usd_gap"] == 4.0 and got[1]["max_dd_gap"] == 4.0
+
+
+@pytest.mark.parametrize("parts", ["1", "24"])
+def test_runs_over_many_cuts_have_the_same_drawdowns_and_episodes(spark, parts):
+    """One run with nearly all rows: against plain windows and a forward search."""
+    import random
+
+    rng = random.Random(11)
+    data, v = [], 100.0
+    for i in range(700):
+        v = round(max(5.0, v * (1 + rng.choice([-0.08, -0.03, 0.0, 0.04, 0.09]))), 2)
+        data.append(("a" if i % 60 else "b", hour(i), v, float(i % 7)))
+    df = spark.createDataFrame(data, "run_id string, ts timestamp, portfolio_value double, cash double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        long, short = (rows(m.with_drawdown(df, before=("cash",), long=x), "run_id", "ts") for x in (True, False))
+        episodes = {(r["run_id"], r["peak_index"]): r for r in rows(m.drawdown_episodes(m.indexed(df), 8.0))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for x, y in zip(long, short, strict=True):
+        assert x.keys() == y.keys() and all(x[k] == (pytest.approx(y[k], abs=1e-12) if isinstance(y[k], float) else y[k]) for k in y)
+    want = {}
+    for run in "ab":
+        values = [p for r, _, p, _ in data if r == run]
+        peak = 0
+        for i in range(1, len(values) + 1):
+            if i < len(values) and values[i] <= values[peak]:
+                continue
+            trough = min(range(peak, i), key=lambda j: (values[j], j))
+            fall = (values[peak] - values[trough]) / values[peak] * 100
+            if values[trough] < values[peak] and fall >= 8.0:
+                half = values[trough] + (values[peak] - values[trough]) / 2
+                crossed = next((j for j in range(trough + 1, len(values)) if values[j] >= half), None)
+                want[run, peak] = (trough, values[peak], values[trough], None if crossed is None else crossed - trough, None if i == len(values) else i - trough)
+            peak = i
+    names = ("trough_index", "peak_value", "trough_value", "half_recovery_bars", "new_high_bars")
+    assert {k: tuple(r[n] for n in names) for k, r in episodes.items()} == want and len(want) > 3
