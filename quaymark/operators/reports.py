@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,31 +205,103 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[_.]", "")
 
 
-def match_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
-    """Best history name per (report_id, summary name).
+#: Characters of the pieces that names are looked up by.
+_PIECE = 3
+
+
+def _pieces(c: Column) -> Column:
+    """All pieces of a compact name, down to the empty one, so that short names are found too."""
+    parts = [F.when(F.length(c) >= n, _pieces_of(c, n)).otherwise(F.array().cast("array<string>")) for n in range(1, _PIECE + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
 
-    Exact names come first, then the aliases of known roles, then containment of
-    the compact names.  Among equals a history that no summary row names exactly
-    is preferred, then name order: a stateless stand-in for a greedy pass.
-    Reports hold a handful of distinct names, which are reduced before they meet.
+def _pieces_of(c: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (report_id, inner, outer) of numbered names of a report where the inner compact name is part of the outer.
+
+    An outer name is listed under all its pieces; an inner one is looked up by the one of its own pieces that
+    fewest outer names of the report have, and compared with what is found.
     """
-    s = summary.select("report_id", F.col("name").alias("summary_name")).distinct()
-    h = histories.select("report_id", F.col("name").alias("history_name")).distinct()
-    claimed = s.select("report_id", F.col("summary_name").alias("history_name"), F.lit(1).alias("__taken"))
-    h = h.join(claimed, ["report_id", "history_name"], "left")
-    low = F.lower("summary_name")
-    role = F.when(low.contains("static") | low.contains("highest_return"), "highest_return").when(
-        low.contains("sortino") | low.startswith("rv"), "high_sortino"
+    listed = outer.select("report_id", F.col("no").alias("outer"), F.col("compact").alias("whole"), F.explode(_pieces(F.col("compact"))).alias("piece"))
+    known = listed.groupBy("report_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("compact") >= _PIECE, _pieces_of(F.col("compact"), _PIECE)).otherwise(F.array("compact"))
+    asked = inner.select("report_id", F.col("no").alias("inner"), F.col("compact").alias("part"), F.explode(F.array_distinct(own)).alias("piece"))
+    rarest = (
+        asked.join(known, ["report_id", "piece"], "left")
+        .groupBy("report_id", "inner", "part")
+        .agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
     )
-    a, b = compact(F.col("summary_name")), compact(F.col("history_name"))
-    priority = (
-        F.when(F.col("summary_name") == F.col("history_name"), 0)
-        .when(F.col("history_name") == role, 1)
-        .when(a.contains(b) | b.contains(a), 2)
+    return rarest.join(listed, ["report_id", "piece"]).filter(F.col("whole").contains(F.col("part"))).select("report_id", "inner", "outer")
+
+
+def claimed_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
+    """(report_id, no, summary_name, history_name) of every summary row that finds a history, handed out in order.
+
+    `summary` and `histories`: (report_id, name, place); places order the rows of a report, names break ties.
+    A row takes its own name, or the history of its known role, or the first whose
+    compact name holds its own or is held by it; from those that are still free, or, where none is,
+    from all.  A report is walked through in order with the set of its taken histories as state.
+    """
+    number = lambda df: df.withColumn("no", F.row_number().over(W.partitionBy("report_id").orderBy("place", "name"))).withColumn("compact", compact(F.col("name")))
+    s = number(summary.filter("name IS NOT NULL").select("report_id", "name", "place"))
+    h = number(histories.filter("name IS NOT NULL").groupBy("report_id", "name").agg(F.min("place").alias("place")))
+    low = F.lower("name")
+    first = low.contains("static") | low.contains("highest_return")
+    second = low.contains("sortino") | low.startswith("rv")
+    wishes = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("name").alias("wish")),
+        F.when(first, F.struct(F.lit(1).alias("kind"), F.lit("highest_return").alias("wish"))),
+        F.when(second, F.struct(F.lit(2).alias("kind"), F.lit("high_sortino").alias("wish"))),
+    ))
+    named = s.select("report_id", "no", F.inline(wishes)).join(h.select("report_id", F.col("name").alias("wish"), F.col("no").alias("h")), ["report_id", "wish"])
+    parts = _contained(h, s).select("report_id", F.col("outer").alias("no"), F.col("inner").alias("h")).union(
+        _contained(s, h).select("report_id", F.col("inner").alias("no"), F.col("outer").alias("h"))
     )
-    found = s.join(h, "report_id").withColumn("__p", priority).filter("__p IS NOT NULL")
-    order = F.struct("__p", F.coalesce("__taken", F.lit(0)), "history_name")
-    return found.groupBy("report_id", "summary_name").agg(F.min_by("history_name", order).alias("history_name"))
+    found = named.select("report_id", "no", "kind", "h").unionByName(parts.select("report_id", "no", F.lit(3).alias("kind"), "h"))
+    ordered = found.repartition("report_id").sortWithinPartitions("report_id", "no", "kind", "h").select("report_id", "no", "h")
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        report, row, taken = None, None, set()
+        choice = fallback = None
+
+        for batch in batches:
+            out: list[tuple] = []
+            for r, no, history in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (r, no) != (report, row):
+                    if row is not None:
+                        taken.add(choice if choice is not None else fallback)
+                        out.append((report, row, choice if choice is not None else fallback))
+                    if r != report:
+                        taken = set()
+                    report, row, choice, fallback = r, no, None, history
+                if choice is None and history not in taken:
+                    choice = history
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [batch.schema.field(0).type, pa.int32(), pa.int32()], strict=True)], ["report_id", "no", "h"])
+            kind = batch.schema.field(0).type
+        if row is not None:
+            last = choice if choice is not None else fallback
+            yield pa.RecordBatch.from_arrays([pa.array([report], kind), pa.array([row], pa.int32()), pa.array([last], pa.int32())], ["report_id", "no", "h"])
+
+    handed = ordered.mapInArrow(claim, f"report_id {dict(ordered.dtypes)['report_id']}, no int, h int")
+    return handed.join(s.select("report_id", "no", F.col("name").alias("summary_name")), ["report_id", "no"]).join(
+        h.select("report_id", F.col("no").alias("h"), F.col("name").alias("history_name")), ["report_id", "h"]
+    ).select("report_id", "no", "summary_name", "history_name")
+
+
+def match_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
+    """(report_id, label, history_name): summary names with the history their last row got, and histories that no label names.
+
+    Rows without a place go by name.
+    """
+    placed = lambda df: df if "place" in df.columns else df.withColumn("place", F.lit(0))
+    summary, histories = placed(summary), placed(histories)
+    got = claimed_histories(summary, histories).groupBy("report_id", F.col("summary_name").alias("label")).agg(F.max_by("history_name", "no").alias("history_name"))
+    every = histories.filter("name IS NOT NULL").select("report_id", F.col("name").alias("label")).distinct()
+    return got.unionByName(every.join(got, ["report_id", "label"], "left_anti").withColumn("history_name", F.col("label")))
 
 
 #: Series of hedge levels and hedge profit.

@@ -585,27 +585,36 @@ def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
     s = part.select(
         F.col("p_brand").alias("report_id"),
         F.when(odd == 0, F.concat(F.lit("static_"), label)).when(odd == 1, F.concat(F.lit("rv_"), label))
-        .when(odd == 2, F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")))).otherwise(label).alias("name"),
+        .when(odd == 2, F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")))).otherwise(label).alias("name"), F.col("p_partkey").alias("place"),
     )
     h = part.filter(odd > 1).select(
         F.col("p_brand").alias("report_id"),
-        F.when(odd == 2, "highest_return").when(odd == 3, "high_sortino").otherwise(label).alias("name"),
+        F.when(odd == 2, "highest_return").when(odd == 3, "high_sortino").otherwise(label).alias("name"), (-F.col("p_partkey")).alias("place"),
     )
     return s, h
 
 
-@query("history_matching", "O-E7 O-S6", """
-    WITH src AS (SELECT p_brand AS report_id, p_partkey % 7 AS odd, replace(p_name, ' ', '_') AS label, upper(replace(p_name, ' ', '.')) AS dotted FROM part),
-    s AS (SELECT DISTINCT report_id, CASE odd WHEN 0 THEN 'static_' || label WHEN 1 THEN 'rv_' || label WHEN 2 THEN dotted ELSE label END AS summary_name FROM src),
-    h AS (SELECT DISTINCT report_id, CASE odd WHEN 2 THEN 'highest_return' WHEN 3 THEN 'high_sortino' ELSE label END AS history_name FROM src WHERE odd > 1),
-    c AS (SELECT s.*, h.history_name, CASE WHEN summary_name = history_name THEN 0
-            WHEN history_name = CASE WHEN contains(lower(summary_name), 'static') OR contains(lower(summary_name), 'highest_return') THEN 'highest_return'
-                WHEN contains(lower(summary_name), 'sortino') OR starts_with(lower(summary_name), 'rv') THEN 'high_sortino' END THEN 1
-            WHEN contains(replace(replace(lower(summary_name), '_', ''), '.', ''), replace(replace(lower(history_name), '_', ''), '.', ''))
-                OR contains(replace(replace(lower(history_name), '_', ''), '.', ''), replace(replace(lower(summary_name), '_', ''), '.', '')) THEN 2 END AS p,
-            (EXISTS (SELECT 1 FROM s x WHERE x.report_id = h.report_id AND x.summary_name = h.history_name))::INT AS taken
-        FROM s JOIN h ON h.report_id = s.report_id)
-    SELECT report_id, summary_name, arg_min(history_name, (p, taken, history_name)) AS history_name FROM c WHERE p IS NOT NULL GROUP BY 1, 2""")
+define("name_rows", """SELECT p_brand AS report_id, p_partkey AS place, p_partkey % 7 AS odd, replace(p_name, ' ', '_') AS label, upper(replace(p_name, ' ', '.')) AS dotted FROM part""")
+define("summary_names", """SELECT report_id, name, lower(name) AS low, replace(replace(lower(name), '_', ''), '.', '') AS compact, row_number() OVER (PARTITION BY report_id ORDER BY place, name) AS no
+    FROM (SELECT report_id, place, CASE odd WHEN 0 THEN 'static_' || label WHEN 1 THEN 'rv_' || label WHEN 2 THEN dotted ELSE label END AS name FROM name_rows)""")
+define("history_names", """SELECT report_id, name, replace(replace(lower(name), '_', ''), '.', '') AS compact, row_number() OVER (PARTITION BY report_id ORDER BY place, name) AS h
+    FROM (SELECT report_id, min(-place) AS place, CASE odd WHEN 2 THEN 'highest_return' WHEN 3 THEN 'high_sortino' ELSE label END AS name FROM name_rows WHERE odd > 1 GROUP BY 1, 3)""")
+define("wishes", """SELECT report_id, no, name, list(h ORDER BY kind, h) AS hs, row_number() OVER (PARTITION BY report_id ORDER BY no) AS i FROM (
+    SELECT s.report_id, s.no, s.name, h.h, CASE WHEN s.name = h.name THEN 0
+        WHEN (contains(low, 'static') OR contains(low, 'highest_return')) AND h.name = 'highest_return' THEN 1
+        WHEN (contains(low, 'sortino') OR starts_with(low, 'rv')) AND h.name = 'high_sortino' THEN 2
+        WHEN contains(s.compact, h.compact) OR contains(h.compact, s.compact) THEN 3 END AS kind
+    FROM summary_names s JOIN history_names h USING (report_id)) WHERE kind IS NOT NULL GROUP BY 1, 2, 3""")
+define("claims", """/* RECURSIVE */ SELECT report_id, no, name, i, hs[1] AS h, [hs[1]] AS taken FROM wishes WHERE i = 1
+    UNION ALL SELECT report_id, no, name, i, h, list_append(taken, h) FROM (
+        SELECT w.report_id, w.no, w.name, w.i, c.taken, coalesce((SELECT x.v FROM (SELECT unnest(w.hs) AS v, generate_subscripts(w.hs, 1) AS k) x
+            WHERE NOT list_contains(c.taken, x.v) ORDER BY k LIMIT 1), w.hs[1]) AS h
+        FROM claims c JOIN wishes w ON w.report_id = c.report_id AND w.i = c.i + 1)""")
+
+
+@query("history_matching", "O-E7", """
+    WITH got AS (SELECT c.report_id, c.name AS label, arg_max(h.name, c.no) AS history_name FROM claims c JOIN history_names h ON h.report_id = c.report_id AND h.h = c.h GROUP BY 1, 2)
+    SELECT * FROM got UNION ALL SELECT report_id, name, name FROM history_names h WHERE NOT EXISTS (SELECT 1 FROM got WHERE got.report_id = h.report_id AND got.label = h.name)""")
 def _matching(t: Tables):
     return reports.match_histories(*_names(t))
 

@@ -98,8 +98,41 @@ def test_default_universe_is_valid(spark):
 def test_name_matching(spark):
     s = spark.createDataFrame([("r", n) for n in ("static_1.50x", "rv336_boost", "a_b.c", "exact")], "report_id string, name string")
     h = spark.createDataFrame([("r", n) for n in ("highest_return", "high_sortino", "abc_full", "exact")], "report_id string, name string")
-    got = {r["summary_name"]: r["history_name"] for r in reports.match_histories(s, h).collect()}
-    assert got == {"static_1.50x": "highest_return", "rv336_boost": "high_sortino", "a_b.c": "abc_full", "exact": "exact"}
+    got = {r["label"]: r["history_name"] for r in reports.match_histories(s, h).collect()}
+    assert {k: got[k] for k in ("static_1.50x", "rv336_boost", "a_b.c", "exact")} == {"static_1.50x": "highest_return", "rv336_boost": "high_sortino", "a_b.c": "abc_full", "exact": "exact"}
+
+
+def _claims_plain(summary, histories):
+    """Free histories first, then all; own name, role, then the first that contains or is contained."""
+
+    def match(name, names):
+        low = name.lower()
+        wishes = [name] + ["highest_return"] * ("static" in low or "highest_return" in low) + ["high_sortino"] * ("sortino" in low or low.startswith("rv"))
+        small = lambda x: x.lower().replace("_", "").replace(".", "")
+        near = [x for x in names if small(x) in small(name) or small(name) in small(x)]
+        return next((x for x in [w for w in wishes if w in names] + near), None)
+
+    out, free = {}, list(histories)
+    for name in summary:
+        got = match(name, free) or match(name, histories)
+        if got is not None:
+            out[name] = got
+            free = [x for x in free if x != got]
+    return {**{x: x for x in histories}, **out}
+
+
+def test_histories_are_handed_out_in_order(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["a", "ab", "b_c", "ABC", "x.y", "static", "rv", "sortino", "", "long_name"]
+    name = lambda: "_".join(rng.choice(pieces) for _ in range(rng.randint(1, 3)))
+    reports_ = {f"r{i}": ([name() for _ in range(rng.randint(0, 12))], list(dict.fromkeys([name() for _ in range(rng.randint(0, 8))] + ["highest_return"] * (i % 2)))) for i in range(25)}
+    frame = lambda k: spark.createDataFrame([(r, n, p) for r, x in reports_.items() for p, n in enumerate(x[k])], "report_id string, name string, place int").repartition(3)
+    got = {}
+    for r in reports.match_histories(frame(0), frame(1)).collect():
+        got.setdefault(r["report_id"], {})[r["label"]] = r["history_name"]
+    assert got == {r: c for r, x in reports_.items() if (c := _claims_plain(*x))}
 
 
 def test_timeline_counts_unpriced_bars_as_previous(spark):
