@@ -13,6 +13,8 @@ import pathlib
 import statistics
 import time
 
+from pyspark.sql import functions as F
+
 from quaymark.operators import sweep
 from quaymark.plans import QUERIES
 from quaymark.plans.studies import price_like
@@ -33,11 +35,29 @@ def sweep_of_50(spark, root: str):
     return sweep.signal_sweep(price_like(Tables(spark, root)), specs, ["4h", "1d"])
 
 
+def long_bars(spark, root: str):
+    """Three years of hourly bars of two symbols, as line items give them."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    slot = F.col("l_orderkey") % 26_305
+    bars = spark.read.parquet(f"{root}/lineitem.parquet").groupBy(F.col("l_linestatus").alias("symbol"), slot.alias("slot")).agg(
+        F.min(price).alias("low"), F.max(price).alias("high"), F.avg(price).alias("close"), F.sum("l_quantity").alias("volume")
+    )
+    ts = F.timestamp_seconds(F.lit(1_685_232_000) + F.col("slot") * 3600)
+    return bars.select("symbol", ts.alias("ts"), F.col("close").alias("open"), "high", "low", "close", "volume")
+
+
+def sweep_of_50_long(spark, root: str):
+    """50 settings over 26,305 bars of two symbols: 2.6 million signals."""
+    specs = sweep.trend_specs((5, 7, 10, 14, 21), [1.0 + 0.5 * i for i in range(10)])
+    return sweep.signal_sweep(long_bars(spark, root), specs, ["4h", "1d"])
+
+
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "*"), int(os.environ.get("BENCH_CPUS") or os.cpu_count() or 8))
     jobs = {name: QUERIES[name].run for name in HEADLINE}
     jobs["sweep_50"] = sweep_of_50
+    jobs["sweep_50_long"] = sweep_of_50_long
     seconds = {}
     for name, build in jobs.items():
         times = []

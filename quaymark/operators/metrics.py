@@ -11,13 +11,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import INF, bool_share, is_finite, ratio
-from quaymark.operators.ranged import Extreme, FirstSince, Frame, Last, LowestSince, Stage, Sum, Values, scanned
+from quaymark.operators.ranged import Extreme, FirstSince, Frame, Last, LowestSince, Peak, Stage, Sum, Values, scanned
 
 RUN = ("run_id",)
 
@@ -30,18 +29,6 @@ def _last(value: str, order: str = "ts") -> Column:
     return F.max_by(value, order)
 
 
-def _falls(f: Frame) -> Values:
-    """Distance to the peak, and the row's number where it is at it."""
-    v, peak = f["__v"].astype(float), f["peak"].astype(float)
-    off = np.isnan(v) | np.isnan(peak) | (peak == 0)
-    fall = np.divide(v - peak, peak, out=np.zeros(len(v)), where=~off)
-    return {"drawdown": np.where(np.isnan(v) | np.isnan(peak), np.nan, fall), "__high": np.where(v >= peak, f["__rn"], np.nan)}
-
-
-def _below(f: Frame) -> Values:
-    return {"bars_below": pa.array(f["__rn"] - f["__at"], from_pandas=True).cast(pa.int64())}
-
-
 def with_drawdown(history: DataFrame, value: str = "portfolio_value", keys: Sequence[str] = RUN, before: Sequence[str] = (), long: bool = True) -> DataFrame:
     """Add pnl, return (first row 0), peak, drawdown fraction and bars below peak; and `__before_<c>`, the last value of c.
 
@@ -50,17 +37,17 @@ def with_drawdown(history: DataFrame, value: str = "portfolio_value", keys: Sequ
     if not long:
         return _short_drawdown(history, value, keys, before)
     held = [value, *[c for c in before if c != value]]
-    rows = history.withColumns({"__v": F.col(value).cast("double"), "__one": F.lit(1.0), "__all": F.lit(True)})
-    stages = [
-        Stage((Extreme("__v", "peak", True), Sum("__one", "__rn"), Last("__all", tuple(held), tuple(f"__before_{c}" for c in held), before=True))),
-        Stage((Extreme("__high", "__at", True),), _falls),
-        Stage((), _below),
-    ]
+    rows = history.withColumns({"__v": F.col(value).cast("double"), "__all": F.lit(True)})
+    stage = Stage((Peak("__v", "peak", "bars_below"), Last("__all", tuple(held), tuple(f"__before_{c}" for c in held), before=True)))
     kinds = dict(history.dtypes)
-    outs = {"peak": "double", "drawdown": "double", "bars_below": "bigint", "__rn": "double"} | {f"__before_{c}": kinds[c] for c in held}
-    out = scanned(rows, keys, ["ts"], stages, outs)
-    v, last = F.col(value), F.col(f"__before_{value}")
-    out = out.withColumns({"pnl": F.coalesce(v - last, F.lit(0.0)), "ret": F.coalesce(ratio(v, last) - 1.0, F.lit(0.0)), "first_row": last.isNull()})
+    out = scanned(rows, keys, ["ts"], [stage], {"peak": "double", "bars_below": "bigint"} | {f"__before_{c}": kinds[c] for c in held})
+    v, last, peak = F.col(value), F.col(f"__before_{value}"), F.col("peak")
+    out = out.withColumns(
+        {
+            "pnl": F.coalesce(v - last, F.lit(0.0)), "ret": F.coalesce(ratio(v, last) - 1.0, F.lit(0.0)), "first_row": last.isNull(),
+            "drawdown": ratio(v - peak, peak, 0.0),
+        }
+    )
     return out.select(*history.columns, "pnl", "ret", "first_row", "peak", "drawdown", "bars_below", *[f"__before_{c}" for c in before])
 
 

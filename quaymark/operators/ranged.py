@@ -110,6 +110,50 @@ class Extreme:
         return self._join(state, summary)
 
 
+@dataclass(frozen=True)
+class Peak:
+    """Running maximum, and rows since it was last reached.
+
+    A summary is (maximum, rows since its last place, rows): below a higher peak, all rows count on.
+    """
+
+    value: str
+    out: str
+    below: str
+    zero = (None, 0)
+    identity = (None, 0, 0)
+
+    def rows(self, f: Frame, run: np.ndarray, entry: tuple) -> tuple[Values, tuple]:
+        came, since = entry
+        x = f[self.value].astype(float)
+        top = _grouped(np.where(np.isnan(x), -np.inf, x), run).cummax().to_numpy()
+        if came is not None:
+            top = np.where(run == 0, np.maximum(top, came), top)
+        row = np.arange(len(x))
+        # the row before a run's first; where a run goes on, its last row at the peak may lie further back
+        start = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])[run]
+        unreached = np.where((run == 0) & (came is not None), -1 - since, start - 1)
+        at = _grouped(np.where(x >= top, row, np.iinfo(np.int64).min), run).cummax().to_numpy()
+        below = row - np.maximum(at, unreached)
+        return {self.out: np.where(np.isinf(top), np.nan, top), self.below: pa.array(below, mask=np.isinf(top))}, (None if np.isinf(top[-1]) else float(top[-1]), int(below[-1]))
+
+    def extend(self, summary: tuple, f: Frame, a: int) -> tuple:
+        high, since, n = summary
+        x = f[self.value][a:].astype(float)
+        m = len(x)
+        if not np.isnan(x).all() and (high is None or np.nanmax(x) >= high):
+            top = np.nanmax(x)
+            return float(top), m - 1 - int(np.flatnonzero(x == top)[-1]), n + m
+        return high, since + m, n + m
+
+    def apply(self, summary: tuple, state: tuple) -> tuple:
+        high, since, n = summary
+        came, below = state
+        if high is not None and (came is None or high >= came):
+            return high, since
+        return came, below + n
+
+
 @dataclass(frozen=True)
 class Last:
     """Values of the latest row where `when` holds, nulls among them too; of any types."""
@@ -382,7 +426,7 @@ class FirstSince:
         return place if cut or state is None else state
 
 
-Scan = Sum | Extreme | Last | Floored | Affine | Spent | Trailing | LowestSince | FirstSince
+Scan = Sum | Extreme | Peak | Last | Floored | Affine | Spent | Trailing | LowestSince | FirstSince
 
 
 @dataclass(frozen=True)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Mapping, Sequence
-from itertools import product
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaymark.functions.numeric import ratio
-from quaymark.operators.bars import on_base_bars, resample
+from quaymark.operators.bars import resample
 from quaymark.operators.indicators import TrendSpec, trend_states
 from quaymark.operators.metrics import with_drawdown
-from quaymark.operators.perp import exposure_curve
+from quaymark.operators.ranged import runs_of_keys
 
 
 def param_grid(spark, grid: Mapping[str, Sequence]) -> DataFrame:
@@ -42,7 +44,40 @@ def with_params(rows: DataFrame, grid: Mapping[str, Sequence], number: str = "co
 
 def trend_specs(atrs: Sequence[int], mults: Sequence[float]) -> list[TrendSpec]:
     """One spec per (atr, mult); the id names the setting."""
-    return [TrendSpec(f"a{a}_m{m:g}", a, m) for a, m in product(atrs, mults)]
+    return [TrendSpec(f"a{a}_m{m:g}", a, m) for a, m in itertools.product(atrs, mults)]
+
+
+#: Settings of a symbol that one task takes.
+SPECS_PER_TASK = 8
+
+
+def _curves(bars: pa.RecordBatch, candles: pa.RecordBatch) -> Iterator[tuple]:
+    """(spec, final equity, deepest fall, mean, deviation and downside deviation of returns) of a symbol's settings."""
+    ts = bars.column("at").cast(pa.int64()).to_numpy()
+    close = bars.column("close").to_numpy(zero_copy_only=False).astype(float)
+    with np.errstate(all="ignore"):
+        change = close[1:] / close[:-1] - 1.0
+    change = np.where(close[:-1] > 0, change, np.nan)
+    at, bull = candles.column("at").cast(pa.int64()).to_numpy(), candles.column("bull").to_numpy(zero_copy_only=False).astype(bool)
+    spec = runs_of_keys(candles, ("spec",))
+    series = runs_of_keys(candles, ("spec", "tf"))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(series)) + 1, [len(series)]])
+    first = np.concatenate([[0], np.flatnonzero(np.diff(spec)) + 1])
+    votes = np.zeros((len(first), len(ts)))
+    frames = np.zeros(len(first))
+    for lo, hi in itertools.pairwise(edges):
+        # what a bar sees is the candle before the latest whose label it has reached; it changes with labels only
+        start = np.concatenate([[0], np.searchsorted(ts, at[lo + 1 : hi], side="left"), [len(ts)]])
+        votes[spec[lo]] += np.repeat(np.concatenate([[1.0], np.where(bull[lo : hi - 1], 1.0, -1.0)]), np.diff(start))
+        frames[spec[lo]] += 1
+    exposure = votes / frames[:, None]
+    for k, name in enumerate(candles.column("spec").take(pa.array(first)).to_pylist()):
+        step = np.concatenate([[1.0], 1.0 + exposure[k, :-1] * change])
+        equity = 10_000.0 * np.cumprod(np.where(np.isnan(step), 1.0, step))
+        ret = np.concatenate([[0.0], equity[1:] / equity[:-1] - 1.0])
+        down = ret[ret < 0]
+        deviation = lambda x: float(np.std(x, ddof=1)) if len(x) > 1 else None
+        yield name, float(equity[-1]), float((1.0 - equity / np.maximum.accumulate(equity)).max()) * 100.0, float(ret.mean()), deviation(ret), deviation(down)
 
 
 def signal_sweep(bars: DataFrame, specs: Sequence[TrendSpec], frames: Sequence[str]) -> DataFrame:
@@ -50,27 +85,48 @@ def signal_sweep(bars: DataFrame, specs: Sequence[TrendSpec], frames: Sequence[s
 
     Candles are resampled once and every distinct (atr, mult) recurrence runs
     once per series.  Exposure is the mean vote of the timeframes, the curve has
-    no costs.
+    no costs.  Votes change with candles only: a task gets a symbol's bars, once, and the candles of
+    a few settings, and makes each curve as one array; rows are bars and candles, not their product.
+    Bars per symbol are bounded by span / bar length.
     """
-    states = trend_states(resample(bars, frames), specs)
-    votes = on_base_bars(bars, states, frames, {"bull": F.lit(True)}, carry=("close",), by=("spec",))
-    scored = votes.groupBy("symbol", "spec", "ts").agg(
-        F.first("close").alias("price"),
-        F.avg(F.when(F.col("bull"), 1.0).otherwise(-1.0)).alias("exposure"),
-    )
-    keys = ("symbol", "spec")
-    rows = with_drawdown(exposure_curve(scored, keys=keys), "equity", keys, long=False)
-    agg = rows.groupBy(*keys).agg(
-        F.max_by("equity", "ts").alias("final_equity"),
-        (F.abs(F.min("drawdown")) * 100.0).alias("max_drawdown_pct"),
-        F.avg("ret").alias("__mean"),
-        F.stddev_samp("ret").alias("__std"),
-        F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("__down"),
-    )
+    states = trend_states(resample(bars, frames), specs).select("symbol", "tf", "spec", F.col("label").alias("at"), "bull")
+    parts = -(-len(specs) // SPECS_PER_TASK)
+    place = F.create_map(*[F.lit(x) for k, s in enumerate(specs) for x in (s.spec, k % parts)])
+    candles = states.withColumn("part", F.element_at(place, F.col("spec")))
+    base = bars.select("symbol", F.col("ts").alias("at"), F.col("close").cast("double"), F.explode(F.array(*[F.lit(k) for k in range(parts)])).alias("part"))
+    fed = base.unionByName(candles, allowMissingColumns=True).repartition("symbol", "part").sortWithinPartitions("symbol", "part", "spec", "tf", "at")
+    keys = ["symbol", "part"]
+    names = ["spec", "final_equity", "max_drawdown_pct", "__mean", "__std", "__down"]
+    kind = dict(bars.dtypes)["symbol"]
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            n = group.column("spec").null_count  # bars come first
+            if 0 < n < group.num_rows:
+                rows = list(_curves(group.slice(0, n), group.slice(n)))
+                columns = [pa.array(c, pa.string() if i == 0 else pa.float64()) for i, c in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([group.column("symbol").slice(0, 1).take(pa.array([0] * len(rows))), *columns], ["symbol", *names])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run = runs_of_keys(batch, keys)
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+            for lo, hi in itertools.pairwise(cuts):
+                if held and [held[0].column(k)[0].as_py() for k in keys] != [batch.column(k)[lo].as_py() for k in keys]:
+                    yield from out(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from out(held)
+
+    agg = fed.mapInArrow(walked, f"symbol {kind}, spec string, " + ", ".join(f"{n} double" for n in names[1:]))
     scale = math.sqrt(8760.0)
     by = lambda d: F.when(F.col(d) > 0, F.col("__mean") / F.col(d) * scale).otherwise(0.0)
     return agg.select(
-        *keys, "final_equity", (F.col("final_equity") / 100.0 - 100.0).alias("total_return_pct"),
+        "symbol", "spec", "final_equity", (F.col("final_equity") / 100.0 - 100.0).alias("total_return_pct"),
         "max_drawdown_pct", by("__std").alias("sharpe_ratio"), by("__down").alias("sortino_ratio"),
     )
 
