@@ -13,7 +13,7 @@ from quaymark.functions import timeframes as tf
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
-def _arrival(ts: str, tie: str | None) -> Column:
+def arrival(ts: str, tie: str | None) -> Column:
     """Ordering key as one number.
 
     A struct key would turn the partial aggregate over all ticks into a sort; a
@@ -33,7 +33,7 @@ def bars_from_ticks(ticks: DataFrame, timeframe: str = "1h", tie: str | None = "
     `tie` orders ticks of one instant (a number below 10^18); None is cheaper, for
     sources without equal instants.
     """
-    at = _arrival("ts", tie)
+    at = arrival("ts", tie)
     return (
         ticks.groupBy("symbol", tf.label(F.col("ts"), timeframe).alias("bucket"))
         .agg(

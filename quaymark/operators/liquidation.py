@@ -37,7 +37,7 @@ def market_assets(spark) -> DataFrame:
 
 def with_market(rows: DataFrame, market: DataFrame) -> DataFrame:
     """Attach asset parameters; assets the market does not know stay null."""
-    return rows.join(F.broadcast(market), "symbol", "left")
+    return rows.join(market, "symbol", "left")
 
 
 def bonus_rate(ltv: Column, threshold: Column, low: Column, high: Column) -> Column:

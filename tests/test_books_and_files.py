@@ -196,7 +196,9 @@ def test_report_bundle_and_sinks(spark, tmp_path):
 
 
 def test_streamed_bars_equal_batch(spark, tmp_path):
-    ticks = spark.createDataFrame([("A", hour(i / 4), float(i), 1.0) for i in range(40)], "symbol string, ts timestamp, price double, size double")
+    # two ticks of one instant: the later number closes the first bar, and comes first in the file
+    data = [("A", hour(0.75), 3.5, 1.0, 100)] + [("A", hour(i / 4), float(i), 1.0, i) for i in range(40)]
+    ticks = spark.createDataFrame(data, "symbol string, ts timestamp, price double, size double, seq bigint")
     src = str(tmp_path / "ticks")
     ticks.coalesce(1).write.parquet(src)
     stream = stream_bars(spark.readStream.schema(ticks.schema).parquet(src))
@@ -206,7 +208,7 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
         got = rows(spark.table("bars_out"), "ts")
     finally:
         q.stop()
-    assert [(r["open"], r["close"]) for r in got][:3] == [(0.0, 3.0), (4.0, 7.0), (8.0, 11.0)]
+    assert [(r["open"], r["close"]) for r in got][:3] == [(0.0, 3.5), (4.0, 7.0), (8.0, 11.0)]
     assert len(got) == 7  # bars whose end the watermark (last tick - 2 h) has passed
 
 
