@@ -180,6 +180,7 @@ def near_duplicates(
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows in double precision."""
+    """Cosines of paired rows in double precision; powers of two bring components of any size into range."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     dot = (a * b).sum(axis=1)
     return dot / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))

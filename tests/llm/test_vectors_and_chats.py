@@ -37,6 +37,14 @@ def test_links_match_brute_force(spark, chunk):
     assert got == expected(rows)
 
 
+def test_components_of_any_size_link(spark):
+    big, small = [1e200, 1e200, 0.0], [1e-200, 0.0, 1e-200]
+    rows = [(0, big, 1), (1, [2 * x for x in big], 1), (2, small, 1), (3, [3 * x for x in small], 1), (4, [1.0, 1.0, 0.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in spherical_caps.near_duplicates(table).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 4: (2, 0), 2: (1, 2), 3: (1, 2)}
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, None), (4, None, 1), (5, [0.0] * 3, 1), (6, [1.0, None, 2.0], 1), (7, [float("nan"), 1.0, 2.0], 1), (8, [float("inf"), 1.0, 2.0], 1), (9, [], 1), (10, [1.0, 2.0], 1), (None, [5.0, 0.0, 0.0], 1)]
