@@ -21,6 +21,8 @@ from quaymark.llm.text import stored
 
 SLOTS, SHARDS = 8192, 40
 OVERHEAD = 16
+#: Rows equal in id and text that share a virtual slot; more take further slots.
+COPIES = 16
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,6 +37,25 @@ def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_co
     return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
+def spread(rows: DataFrame, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:
+    """The rows of `records`, with rows equal in id and text over one virtual slot per `copies` of them.
+
+    Rows that are repeated no oftener keep the slot of their hash.  The others are dealt by a
+    running row number, which is stored first, so that a retried task deals them alike.  AQE
+    splits a repeated key that holds much of the table.
+    """
+    key = ["doc_id", "text_crc32", "size"]
+    often = rows.groupBy(*key).count().filter(F.col("count") > copies)
+    if not often.limit(1).count():
+        return rows
+    rows = stored(rows.withColumn("running", F.monotonically_increasing_id()), "records")
+    often = rows.groupBy(*key).count().filter(F.col("count") > copies).select(*(F.col(c).alias(f"{c}_2") for c in key), F.ceil(F.col("count") / copies).alias("blocks"))
+    same = [rows[c].eqNullSafe(often[f"{c}_2"]) for c in key]
+    block = F.pmod(F.xxhash64("running"), F.col("blocks"))
+    dealt = F.pmod(F.xxhash64(*key, block), F.lit(slots)).cast("int")
+    return rows.join(often, same, "left").select(*key, F.when(F.col("blocks").isNull(), F.col("virtual_slot")).otherwise(dealt).alias("virtual_slot"))
+
+
 def slot_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
@@ -120,11 +141,11 @@ def shard(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, id_col: str
     """Shards of nearly equal bytes for all rows.
 
     Null text has no bytes (size 16, checksum 0).  Null and repeated ids are carried as they
-    are; rows equal in id and text share a virtual slot and get consecutive places.  Columns
-    other than id and text are ignored; an empty table gives no rows.
+    are; up to 16 rows equal in id and text share a virtual slot, more are spread over further
+    ones.  Columns other than id and text are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = records(docs, slots, id_col, text_col)
+    rows = spread(records(docs, slots, id_col, text_col), slots)
     sizes = stored(slot_sizes(rows), "slot-sizes")
     slot_map = stored(rebalanced(first_map(spark, slots, shards), sizes, shards), "slot-map")
     return placed(rows, slot_map, sizes)

@@ -3,7 +3,8 @@
 The public byte-level vocabulary splits a text into pieces by character class and merges only
 inside a piece, so a text's ids are the concatenated ids of its pieces.  The split runs in
 numpy over a batch's code points; pieces are looked up by a 64-bit hash, and the tokenizer is
-asked once per distinct piece.  A worker remembers a bounded number of pieces and starts
+asked once per distinct piece.  A string with an id of its own, as <|endoftext|>, is one piece
+and splits the text around it, as the plain tokenizer does.  A worker remembers a bounded number of pieces and starts
 afresh past it, with equal results.  Character classes are asked of the tokenizer as well.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -63,7 +65,9 @@ class Pieces:
         self.spans = spans
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the vocabulary has ids of its own for, wherever a text holds them
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self._forget()
 
@@ -149,6 +153,15 @@ class Pieces:
             quote = quote[~fits]
         return begins
 
+    def _added(self, joined: str, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the strings that have ids of their own; none crosses texts."""
+        found = []
+        if self.added and self.added.search(joined):
+            for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(joined)], strict=True):
+                found.extend(m.span() for m in self.added.finditer(joined, a, b))
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
     def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For UTF-8 texts: piece numbers one after the other, pieces per text, first character of each piece."""
         if self.known > REMEMBERED:
@@ -156,7 +169,12 @@ class Pieces:
         joined = data.tobytes().decode("utf-8", "replace")
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # characters before each text
-        begin = np.flatnonzero(self.split(points, np.unique(chars[:-1][np.diff(chars) > 0])))
+        firsts = np.unique(chars[:-1][np.diff(chars) > 0])
+        at, to = self._added(joined, firsts)
+        edge = self.split(points, np.union1d(firsts, np.concatenate([at, to[to < len(points)]])))
+        for a, b in zip(at.tolist(), to.tolist(), strict=True):
+            edge[a + 1 : b] = False
+        begin = np.flatnonzero(edge)
         hashes = Rolling(mixed_points(points)).of(begin, np.append(begin[1:], len(points)))
         hashes[hashes == 0] = 1
         found = self.index.find(hashes)

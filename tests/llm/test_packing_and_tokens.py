@@ -13,7 +13,8 @@ from quaymark.llm.text import utf8
 
 HARD = [
     "", "don't 'sab  'll''s x'", "  a\n\n b \t c  ", "é ü\n", " ", "\n", "a  ", "'s't 're", " 'tis", "x'S", "½ ²3 ٣",
-    "​　a  b", "<|endoftext|> a", "👍🏽 ok", "a'", "a b", "1'2", "\r\n'd", "…  …", "日本語 です。 次",
+    "​　a  b", "<|endoftext|> a", "a <|endoftext|>\n\n b<|endoftext|><|endoftext|>'s", "<|endof", "text|>", "<|endoftext|>",
+    "👍🏽 ok", "a'", "a b", "1'2", "\r\n'd", "…  …", "日本語 です。 次",
 ]
 
 
@@ -22,9 +23,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
 
 
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="ab '\n s.td1é", max_size=30)), max_size=6))
@@ -35,7 +34,6 @@ def test_ids_equal_the_tokenizers(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-    whole.encode_special_tokens = True
     coder = tokens.pieces()
     codes, counts, _ = coder.codes(*utf8(pa.array(texts + HARD, pa.string())))
     got = coder.ids(codes).tolist()
@@ -139,6 +137,20 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert all(x.text_crc32 == zlib.crc32((texts[x.doc_id] or "").encode()) for x in got if x.doc_id not in (None, 7))
 
 
+def test_rows_without_id_and_text_spread(spark):
+    rows = [(i, "z" * (i % 90)) for i in range(10_000)] + [(None, None)] * 10_000
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(table).collect()
+    load, places, slots = {}, {}, {}
+    for x in got:
+        load[x.shard] = load.get(x.shard, 0) + x.size
+        places.setdefault(x.shard, []).append(x.slot)
+        slots[x.virtual_slot] = slots.get(x.virtual_slot, 0) + 1
+    assert len(got) == len(rows) and sum(x.doc_id is None for x in got) == 10_000
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(load.values()) <= 1.01 * sum(load.values()) / 40 and max(slots.values()) < 10 * sharding.COPIES
+
+
 def test_map_versions_are_edits(spark, tmp_path):
     rows = sharding.records(spark.createDataFrame([(i, "y" * (i % 50)) for i in range(2000)], "doc_id long, text string"), 128)
     sizes = sharding.slot_sizes(rows)
