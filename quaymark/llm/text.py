@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import numpy as np
@@ -125,6 +126,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once everything that reads them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        root = checkpoint_folder(spark).rstrip("/") + "/"
+        folder = os.path.dirname(next(iter(table.inputFiles()), ""))
+        at = folder.find(root.split(":", 1)[-1].lstrip("/"))  # a file's name may spell the scheme differently
+        if at >= 0:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, list[F.Column]]:
     """docs with columns of these names renamed, and what selects the original columns afterwards."""
     new = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}

@@ -8,9 +8,10 @@ Two sets can only reach the similarity if they share an element among their firs
 n - ceil(t n) + 1, so only those are shuffled.  Where they meet,
 
 1. every set is paired with a few sets drawn from the group (stars, linear in the group); pairs
-   that prove similar already tie near copies into groups, and sets are then dealt to tries of
-   at most `block` sets, near copies side by side;
-2. sets of different groups that share an element, and whose lengths and positions allow the
+   that prove similar already tie near copies into groups, and stars of other groups are drawn
+   again as long as the join of step 2 would be more than linear and that shrinks it;
+2. sets are dealt to tries of at most `block` sets, near copies side by side, and sets of
+   different groups that share an element, and whose lengths and positions allow the
    similarity, are looked up in each other's tries.
 
 A trie stores the ordered sets of its block.  One traversal carries the overlap of the probe
@@ -22,6 +23,7 @@ new together; no link between different groups is lost, so the components are ex
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,11 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaymark.llm.components import components
-from quaymark.llm.text import LOWER, SPACES, Rolling, copies_numbered, runs_of, small_batches, stored, utf8, words
+from quaymark.llm.text import LOWER, SPACES, Rolling, copies_numbered, dropped, runs_of, small_batches, stored, utf8, words
 
 N, PERCENT, BLOCK = 5, 75, 256
-#: Stars that a set is compared with at first, the ratio of sizes that counts as alike, and how often.
-STARS, LIKE, ROUNDS = 5, 1.15, 2
+#: Stars that a set is compared with at first, and the ratio of sizes that counts as alike.
+STARS, LIKE = 5, 1.15
+#: Rows of the join across groups, to rows that go into it, at which no more stars are drawn.
+FEW = 2
+#: Bits of the bitmap that picks documents, for each of them, and in all; more documents are picked by a join.
+KEY_BITS, MOST_BITS = 16, 1 << 28
 #: Buckets of the corpus-wide counts: a fixed size, whatever the corpus.
 BUCKET_BITS = 21
 #: Bits of a set's parity map.
@@ -143,36 +149,47 @@ def in_order(column: pa.Array, n: int, often: np.ndarray, bits: int) -> tuple[np
 
 
 def key_bits(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size in which the hashes of (doc_id, copy) are set."""
-    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << bits))
-    words = keys.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, copy), 64) as int))").alias("bit"))
+    """A bitmap in which the hashes of (doc_id, copy) are set."""
+    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(bits))
+    words = keys.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id, copy), {bits}), 64) as int))").alias("bit"))
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros((1 << bits) // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[table["word"].to_numpy()] = table["bit"].to_numpy()
     return out.view(np.uint64)
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, n: int, often, bits: int) -> DataFrame:
-    """node and its set's elements, as bytes in the global order, at least for the given rows.
+    """node and its set's elements, as bytes in the global order, at least for the given rows; stored.
 
-    The corpus is read again and a bitmap picks the rows, so no text is shuffled; what it picks
-    beyond the given rows is sifted out where sets are joined.
+    The corpus is read again.  A bitmap of `KEY_BITS` bits a row picks the rows, so no text is
+    shuffled, and what it picks beyond them, one row in sixteen at most, is sifted out where
+    sets are joined.  Rows too many for a bitmap of `MOST_BITS` are picked by a join.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(key_bits(keys, bits))
-    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(1 << bits)).alias("key")
+    count = keys.count()
+    size = 1 << max(12, (KEY_BITS * count - 1).bit_length())
+    small = size <= MOST_BITS
+    wanted = docs.sparkSession.sparkContext.broadcast(key_bits(keys, size) if small else None)
+    if not small:
+        docs = docs.join(keys.select(F.col("doc_id").alias("i"), F.col("copy").alias("c")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c")), "left_semi")
+    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(size)).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(1).to_numpy()
-            hit = (wanted.value[key >> 6] >> (key & 63).astype(np.uint64)) & np.uint64(1) > 0
-            if not hit.any():
+            texts = batch.column(0)
+            if small:
+                key = batch.column(1).to_numpy()
+                hit = (wanted.value[key >> 6] >> (key & 63).astype(np.uint64)) & np.uint64(1) > 0
+                texts = texts.filter(pa.array(hit))
+            if not len(texts):
                 continue
-            grams, sizes, node = in_order(batch.column(0).filter(pa.array(hit)), n, often.value, bits)
+            grams, sizes, node = in_order(texts, n, often.value, bits)
             upto = np.concatenate([[0], np.cumsum(sizes)])
             raw = [grams[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "grams"]).filter(pa.array(sizes > 0))
 
-    return docs.select("text", h).mapInArrow(run, "node long, grams binary")
+    out = stored(docs.select("text", h).mapInArrow(run, "node long, grams binary"), "sets")
+    wanted.destroy()
+    return out
 
 
 def prefix_rows(docs: DataFrame, n: int, often, bits: int, percent: int) -> DataFrame:
@@ -225,19 +242,24 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, node long, size int, pos int")
 
 
-def starred(shared: DataFrame, groups: DataFrame | None, most: int) -> DataFrame:
+def starred(shared: DataFrame, groups: DataFrame | None, most: int, turn: int) -> DataFrame:
     """Pairs (a, b): every node with the sets, of those drawn from its grams, that it meets most often.
 
-    Among the sets of a gram with like sizes, two are drawn by a hash of their group (their own
-    node at first), and a node is paired with those of another group.  Sizes fall into two
-    overlapping scales, so near sizes are alike in one of them.
+    Among the sets of a gram with like sizes, two are drawn, and a node is paired with those of
+    another group (their own node at first).  One is drawn by a hash.  The other has the gram
+    nearest to its beginning: rare elements come first, so it has the fewest of its own and is
+    the likeliest to be similar to the rest.  Every turn draws it from twice as many positions.
+    Sizes fall into two overlapping scales, so near sizes are alike in one of them.
     """
     size = F.log(F.col("size").cast("double")) / math.log(LIKE)
     scales = F.array(F.floor(size), F.floor(size + 0.5) + 100_000)
     label = F.col("node") if groups is None else F.coalesce("label", "node")
-    rows = (shared if groups is None else shared.join(groups, "node", "left")).select("gram", "node", label.alias("label"), F.explode(scales).alias("like"))
-    drawn = rows.groupBy("gram", "like").agg(*(pick(F.struct("node", "label"), F.xxhash64("label")).alias(c) for pick, c in ((F.min_by, "x"), (F.max_by, "y"))))
-    met = rows.join(drawn.filter("x.label <> y.label"), ["gram", "like"]).select("node", "label", F.explode(F.array("x", "y")).alias("star"))
+    rows = (shared if groups is None else shared.join(groups, "node", "left")).select("gram", "node", label.alias("label"), F.explode(scales).alias("like"), F.shiftright("pos", turn).alias("pos"))
+    set_, by = F.struct("node", "label"), F.xxhash64("node", F.lit(turn))
+    drawn = rows.groupBy("gram", "like").agg(
+        F.min_by(set_, F.struct("pos", by)).alias("x"), F.max_by(set_, F.xxhash64("label", F.lit(turn))).alias("y"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    met = rows.join(drawn.filter("low <> high"), ["gram", "like"]).select("node", "label", F.explode(F.array_distinct(F.array("x", "y"))).alias("star"))
     met = met.filter("label <> star.label").groupBy("node", F.col("star.node").alias("star")).count()
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "star"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("node").alias("a"), F.col("star").alias("b"))
@@ -364,6 +386,15 @@ def crossing(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("met") + rest >= need).select("node_a", "node_b")
 
 
+def rows_across(shared: DataFrame, groups: DataFrame) -> tuple[int, int]:
+    """Rows of a join on gram over different groups, lengths and positions apart, and the rows that go into it."""
+    label = F.coalesce("label", "node").alias("label")
+    held = shared.join(groups, "node", "left").groupBy("gram", label).agg(F.count("*").cast("double").alias("n"))
+    grams = held.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
+    pairs, rows = grams.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+    return int(pairs or 0), int(rows or 0)
+
+
 def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy, n_shingles, component_id and component_copy of every row.
 
@@ -398,17 +429,26 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
     def fetched(nodes: DataFrame) -> DataFrame:
         """The sets of some nodes, each from one of its documents."""
         first = own.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("d")).select("d.doc_id", "d.copy")
-        return stored(sets_of(docs, first, n, often, bits), "sets")
+        keys = stored(first, "keys")
+        sets = sets_of(docs, keys, n, often, bits)
+        dropped(keys)
+        return sets
 
-    # 1. every set with a few stars, and once more with stars of other groups
+    # 1. every set with a few stars, and again with stars of other groups
     near = groups = None
-    for _ in range(ROUNDS):
-        stars = stored(plausible(starred(shared, groups, STARS), own, percent).toDF("node", "block"), "stars")
+    before = math.inf
+    for turn in itertools.count():
+        stars = stored(plausible(starred(shared, groups, STARS, turn), own, percent).toDF("node", "block"), "stars")
         centres = stars.select("block").distinct().select(F.col("block").alias("node"), "block")
         sets = fetched(stars.select("node").union(centres.select("node")).distinct())
         found = looked_up(stars, centres, sets, percent)
-        near = stored(found if near is None else near.union(found), "near")
+        earlier, near = near, stored(found if near is None else near.union(found), "near")
+        dropped(stars, sets, *([groups] if groups else []), *([earlier] if earlier else []))
         groups = components(near).select("node", F.col("component").alias("label"))
+        across, rows = rows_across(shared, groups)
+        if across <= FEW * rows or across > 0.8 * before:
+            break
+        before = across
     # 2. pairs across groups; near copies share a trie
     pairs = stored(plausible(crossing(shared, groups, percent).toDF("a", "b"), own, percent).toDF("node_a", "node_b"), "pairs")
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()
@@ -416,9 +456,12 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
     sizes = label.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = stored(label.join(sizes, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "members")
     probes = pairs.join(members.withColumnRenamed("node", "node_b"), "node_b").select(F.col("node_a").alias("node"), "block").distinct()
-    across = looked_up(probes, members, fetched(nodes), percent)
-    links = near.union(across).distinct()
+    sets = fetched(nodes)
+    links = stored(near.union(looked_up(probes, members, sets, percent)).distinct(), "links")
+    often.destroy()
+    dropped(shared, groups, pairs, members, sets, near)
     found = components(links).select("node", F.col("component").alias("label"))
+    dropped(links)
     labelled = own.drop("parity").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy")
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min(order).alias("first"))
