@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -176,13 +177,37 @@ def read_report_bundle(spark: SparkSession, root: str, summary_schema: str, regi
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """Write a result table; parts are partitioned by the given columns."""
+    """Write a result table so that it can be written again.
+
+    With partition columns, only the partitions that df has are replaced: a
+    rerun of one run leaves the others, and an empty df changes nothing.
+    Without, the new table is written beside the old one and takes its place
+    once it is complete.  Either way a write that fails leaves what was there.
+    """
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).save(path)
+        return
+    context = df.sparkSession.sparkContext
+    to_path = context._jvm.org.apache.hadoop.fs.Path
+    at = to_path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    at = files.makeQualified(at)
+    new, old = (to_path(at.getParent(), f"_{at.getName()}-{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    try:
+        writer.save(new.toString())
+    except Exception:
+        files.delete(new, True)
+        raise
+    replaced = files.exists(at)
+    if replaced and not files.rename(at, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(new, at):
+        raise OSError(f"cannot publish {path}; the new table is in {new.toString()}")
+    if replaced:
+        files.delete(old, True)
 
 
 def write_sweep_tables(rows: DataFrame, root: str) -> None:

@@ -195,6 +195,23 @@ def test_report_bundle_and_sinks(spark, tmp_path):
     assert spark.read.parquet(out).filter("run_id = 'r2'").first()["v"] == 2
 
 
+def test_sinks_can_be_written_again(spark, tmp_path):
+    frame = lambda data: spark.createDataFrame(data, "run_id string, v int")
+    failing = frame([("r1", 9), ("r2", 9)]).withColumn("v", F.when(F.col("run_id") == "r2", F.raise_error("no")).otherwise(F.col("v")).cast("int"))
+    for fmt, keys in (("parquet", ["run_id"]), ("csv", ["run_id"]), ("parquet", []), ("csv", []), ("json", [])):
+        path = tmp_path / f"{fmt}{len(keys)}" / "table"
+        read = lambda: sorted((r.run_id, r.v) for r in spark.read.format(fmt).option("header", True).schema("run_id string, v int").load(str(path)).collect())  # noqa: B023, E731
+        files.write_table(frame([("r1", 1), ("r2", 2), ("r2", 3)]), str(path), fmt, keys)
+        files.write_table(frame([("r1", 4)]), str(path), fmt, keys)
+        want = [("r1", 4), ("r2", 2), ("r2", 3)] if keys else [("r1", 4)]
+        assert read() == want
+        with pytest.raises(Exception, match="no"):
+            files.write_table(failing, str(path), fmt, keys)
+        assert read() == want and [x.name for x in path.parent.iterdir()] == ["table"]
+        files.write_table(frame([]), str(path), fmt, keys)
+        assert read() == (want if keys else [])
+
+
 def test_streamed_bars_equal_batch(spark, tmp_path):
     # two ticks of one instant: the later number closes the first bar, and comes first in the file
     data = [("A", hour(0.75), 3.5, 1.0, 100)] + [("A", hour(i / 4), float(i), 1.0, i) for i in range(40)]
