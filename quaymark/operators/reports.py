@@ -219,22 +219,27 @@ def _pieces_of(c: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))
 
 
+def _met(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that never broadcasts: rows made by `explode` are many more than the size of their file tells."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (report_id, inner, outer) of numbered names of a report where the inner compact name is part of the outer.
+    """Pairs (report_id, part, whole) of compact names of a report where the part is in the whole.
 
-    An outer name is listed under all its pieces; an inner one is looked up by the one of its own pieces that
-    fewest outer names of the report have, and compared with what is found.
+    Both sides: (report_id, compact), every name once.  A whole name is listed under all its pieces; a part is looked
+    up by the one of its own pieces that fewest whole names of the report have, and compared with what is found.
     """
-    listed = outer.select("report_id", F.col("no").alias("outer"), F.col("compact").alias("whole"), F.explode(_pieces(F.col("compact"))).alias("piece"))
+    listed = outer.select("report_id", F.col("compact").alias("whole"), F.explode(_pieces(F.col("compact"))).alias("piece"))
     known = listed.groupBy("report_id", "piece").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("compact") >= _PIECE, _pieces_of(F.col("compact"), _PIECE)).otherwise(F.array("compact"))
-    asked = inner.select("report_id", F.col("no").alias("inner"), F.col("compact").alias("part"), F.explode(F.array_distinct(own)).alias("piece"))
+    asked = inner.select("report_id", F.col("compact").alias("part"), F.explode(F.array_distinct(own)).alias("piece"))
     rarest = (
-        asked.join(known, ["report_id", "piece"], "left")
-        .groupBy("report_id", "inner", "part")
+        _met(asked, known, ["report_id", "piece"], "left")
+        .groupBy("report_id", "part")
         .agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
     )
-    return rarest.join(listed, ["report_id", "piece"]).filter(F.col("whole").contains(F.col("part"))).select("report_id", "inner", "outer")
+    return _met(rarest, listed, ["report_id", "piece"]).filter(F.col("whole").contains(F.col("part"))).select("report_id", "part", "whole")
 
 
 def claimed_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
@@ -256,10 +261,14 @@ def claimed_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
         F.when(first, F.struct(F.lit(1).alias("kind"), F.lit("highest_return").alias("wish"))),
         F.when(second, F.struct(F.lit(2).alias("kind"), F.lit("high_sortino").alias("wish"))),
     ))
-    named = s.select("report_id", "no", F.inline(wishes)).join(h.select("report_id", F.col("name").alias("wish"), F.col("no").alias("h")), ["report_id", "wish"])
-    parts = _contained(h, s).select("report_id", F.col("outer").alias("no"), F.col("inner").alias("h")).union(
-        _contained(s, h).select("report_id", F.col("inner").alias("no"), F.col("outer").alias("h"))
-    )
+    named = _met(s.select("report_id", "no", F.inline(wishes)), h.select("report_id", F.col("name").alias("wish"), F.col("no").alias("h")), ["report_id", "wish"])
+    # many rows of a report share a name: names are compared once, and rows look up what theirs found
+    rows, kept = (df.select("report_id", "compact").distinct() for df in (s, h))
+    pairs = _contained(kept, rows).select("report_id", F.col("whole").alias("compact"), F.col("part").alias("kept")).union(
+        _contained(rows, kept).select("report_id", F.col("part").alias("compact"), F.col("whole").alias("kept"))
+    ).distinct()
+    places = _met(pairs, h.select("report_id", F.col("compact").alias("kept"), F.col("no").alias("h")), ["report_id", "kept"])
+    parts = _met(s.select("report_id", "compact", "no"), places, ["report_id", "compact"]).select("report_id", "no", "h")
     found = named.select("report_id", "no", "kind", "h").unionByName(parts.select("report_id", "no", F.lit(3).alias("kind"), "h"))
     ordered = found.repartition("report_id").sortWithinPartitions("report_id", "no", "kind", "h").select("report_id", "no", "h")
 
@@ -287,9 +296,10 @@ def claimed_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([report], kind), pa.array([row], pa.int32()), pa.array([last], pa.int32())], ["report_id", "no", "h"])
 
     handed = ordered.mapInArrow(claim, f"report_id {dict(ordered.dtypes)['report_id']}, no int, h int")
-    return handed.join(s.select("report_id", "no", F.col("name").alias("summary_name")), ["report_id", "no"]).join(
-        h.select("report_id", F.col("no").alias("h"), F.col("name").alias("history_name")), ["report_id", "h"]
-    ).select("report_id", "no", "summary_name", "history_name")
+    named_rows = _met(handed, s.select("report_id", "no", F.col("name").alias("summary_name")), ["report_id", "no"])
+    return _met(named_rows, h.select("report_id", F.col("no").alias("h"), F.col("name").alias("history_name")), ["report_id", "h"]).select(
+        "report_id", "no", "summary_name", "history_name"
+    )
 
 
 def match_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
@@ -301,7 +311,7 @@ def match_histories(summary: DataFrame, histories: DataFrame) -> DataFrame:
     summary, histories = placed(summary), placed(histories)
     got = claimed_histories(summary, histories).groupBy("report_id", F.col("summary_name").alias("label")).agg(F.max_by("history_name", "no").alias("history_name"))
     every = histories.filter("name IS NOT NULL").select("report_id", F.col("name").alias("label")).distinct()
-    return got.unionByName(every.join(got, ["report_id", "label"], "left_anti").withColumn("history_name", F.col("label")))
+    return got.unionByName(_met(every, got, ["report_id", "label"], "left_anti").withColumn("history_name", F.col("label")))
 
 
 #: Series of hedge levels and hedge profit.

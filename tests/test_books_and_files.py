@@ -264,3 +264,15 @@ def test_unlisted_exchanges_have_no_fees(spark):
     fees = spark.createDataFrame([("known", 0.1, 0.2)], "exchange string, maker double, taker double")
     assert {r.exchange: r.price_inc_fee for r in with_fees(levels, fees).collect()} == {"known": 8.0, "other": 9.0}
     assert {r.exchange for r in quotes(levels, fees).collect()} == {"known", "other"}
+
+
+def test_history_matching_sends_no_rows_to_the_driver(spark):
+    """Pieces of names are many times the rows that a file's size tells of, so no join may broadcast; equal names are compared once."""
+    s = spark.range(400).selectExpr("id % 2 AS report_id", "concat('static_', id % 5, '_x') AS name", "id AS place")
+    h = spark.createDataFrame([(0, "2_X", 1), (1, "2.x", 1), (1, "static_3_x_long", 2)], "report_id bigint, name string, place bigint")
+    out = reports.match_histories(s, h)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    got = {(r.report_id, r.label): r.history_name for r in out.collect()}
+    assert got == {(0, "static_2_x"): "2_X", (1, "static_2_x"): "2.x", (1, "static_3_x"): "static_3_x_long",
+                   (0, "2_X"): "2_X", (1, "2.x"): "2.x", (1, "static_3_x_long"): "static_3_x_long"}
