@@ -73,13 +73,13 @@ def margins(rows: DataFrame, notional: Column, equity: Column) -> DataFrame:
 
 def exit_reason(price: Column, quantity: Column, entry: Column, stop: float | None, take: float | None) -> Column:
     """Stop-loss or take-profit against the average entry; the stop is tested first."""
-    move = F.when(quantity > 0, price - entry).when(quantity < 0, entry - price)
+    long, short = quantity > 0, quantity < 0
     open_ = (quantity != 0) & entry.isNotNull() & (entry != 0)
     out = F.when(~open_, "")
     if stop is not None:
-        out = out.when(move <= -entry * stop, "stop_loss")
+        out = out.when((long & (price <= entry * (1.0 - stop))) | (short & (price >= entry * (1.0 + stop))), "stop_loss")
     if take is not None:
-        out = out.when(move >= entry * take, "take_profit")
+        out = out.when((long & (price >= entry * (1.0 + take))) | (short & (price <= entry * (1.0 - take))), "take_profit")
     return out.otherwise("")
 
 

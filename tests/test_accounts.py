@@ -251,3 +251,16 @@ def test_accounts_are_marked_with_every_asset(spark):
     prices = spark.createDataFrame([("SOL", at, 10.0), ("NEW", at, 5.0)], "symbol string, ts timestamp, price double")
     row = ledger.mark_to_market(deltas, marks, prices, liquidation.market_assets(spark)).first()
     assert row.collateral_value == 35.0 and row.portfolio_value == 35.0
+
+
+def test_exit_thresholds_are_products_of_the_entry(spark):
+    """A price right at entry * (1 - stop) is a hit, the next one towards the entry isn't."""
+    rng = random.Random(7)
+    data = []
+    for _ in range(100):
+        entry = round(rng.uniform(1, 100), 6)
+        for factor, quantity, reason in ((0.9, 1.0, "stop_loss"), (1.2, 1.0, "take_profit"), (1.1, -1.0, "stop_loss"), (0.8, -1.0, "take_profit")):
+            data += [(entry * factor, quantity, entry, reason), (math.nextafter(entry * factor, entry), quantity, entry, "")]
+    df = spark.createDataFrame(data, "p double, q double, e double, want string")
+    out = perp.exit_reason(F.col("p"), F.col("q"), F.col("e"), 0.1, 0.2)
+    assert df.filter(out != F.col("want")).count() == 0
