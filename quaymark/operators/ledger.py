@@ -87,8 +87,6 @@ def waterfall(rows: DataFrame, keys: Sequence[str], order: Sequence[str], need:
 def _covers(f: Frame) -> Values:
     """What a cover covers, and how the cost basis follows from the one before."""
     opens = f["is_open"].astype(bool)
-    f.made["open_amount"] = _snapped(f["open_amount"], f["__moved"])
-    f.made["__open0"] = _snapped(f["__open0"], f["__moved"])
     return {
         "covered": np.where(opens, 0.0, np.minimum(f["amount"], f["__open0"])),
         "__keep": np.where(opens, 1.0, _share(f["open_amount"], f["__open0"])),
@@ -122,20 +120,20 @@ def short_ledger(trades: DataFrame, protected: float | Column = 0.25, wanted: Co
     proceeds on opens and cost on covers.  `protected` is the share of a positive profit that is put
     aside, a number or a column (see `protected_fraction`); `wanted` is what a row asks to spend of the
     profit that is left, after its own trade.  The open amount is a floored running
-    sum; the cost basis is affine in its predecessor (opens add, covers scale); spending takes what is
+    sum, added row by row; what rounding leaves of it keeps its basis; the cost basis is affine in its predecessor (opens add, covers scale); spending takes what is
     asked for as far as it is there.  All are stages of one scan over one exchange.
     """
     amount = F.col("amount")
     change = F.when(F.col("is_open"), amount).otherwise(-amount)
     rows = trades.withColumns(
         {
-            "__change": change, "__size": F.abs(change),
+            "__change": change,
             "__fraction": protected if isinstance(protected, Column) else F.lit(float(protected)),
             "__wanted": F.greatest(F.lit(0.0), F.coalesce(wanted, F.lit(0.0))) if wanted is not None else F.lit(0.0),
         }
     )
     stages = [
-        Stage((Floored("__change", "open_amount", "__open0"), Sum("__size", "__moved"))),
+        Stage((Floored("__change", "open_amount", "__open0"),)),
         Stage((Affine("__keep", "__add", "cost_basis", "__cost0"),), _covers),
         Stage((Sum("realized_pnl", "lifetime_realized"), Sum("__kept", "protected_book")), _profits),
         Stage((Spent("__wanted", "__earned", "consumed", "spent"),), _earned),

@@ -47,6 +47,22 @@ class Frame:
         return self.batch.column(name)
 
 
+def _added(x: np.ndarray, run: np.ndarray, entry: float) -> np.ndarray:
+    """Running sums of runs, the first from `entry` on, each row added to the one before as a plain loop does.
+
+    Compensated sums differ from it in the last bits, which decide where a sum comes back to a threshold or to zero.
+    """
+    out = np.empty(len(x))
+    starts = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
+    ends = np.append(starts[1:], len(x))
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        out[a:b] = x[a:b]
+        if a == 0:
+            out[0] += entry
+        np.cumsum(out[a:b], out=out[a:b])
+    return out
+
+
 def _grouped(values: np.ndarray, run: np.ndarray):
     return pd.Series(values).groupby(run, sort=False)
 
@@ -63,8 +79,12 @@ class Sum:
 
     def rows(self, f: Frame, run: np.ndarray, entry: float) -> tuple[Values, float]:
         x = np.nan_to_num(f[self.value].astype(float))
-        total = _grouped(x, run).cumsum().to_numpy() + np.where(run == 0, entry, 0.0)
-        return {self.out: total - x if self.before else total}, float(total[-1])
+        total = _added(x, run, entry)
+        out = total
+        if self.before:
+            start = np.concatenate([[True], run[1:] != run[:-1]])
+            out = np.where(start, np.where(run == 0, entry, 0.0), np.concatenate([[0.0], total[:-1]]))
+        return {self.out: out}, float(total[-1])
 
     def extend(self, summary: float, f: Frame, a: int) -> float:
         return summary + float(np.nan_to_num(f[self.value][a:].astype(float)).sum())
@@ -200,14 +220,14 @@ class Floored:
     identity = (0.0, 0.0)
 
     def rows(self, f: Frame, run: np.ndarray, entry: float) -> tuple[Values, float]:
-        x = np.nan_to_num(f[self.value].astype(float))
-        total = _grouped(x, run).cumsum()
-        low = _grouped(total.to_numpy(), run).cummin().to_numpy()
-        s, e = total.to_numpy(), np.where(run == 0, entry, 0.0)
-        level = np.maximum(e + s, s - np.minimum(low, 0.0 * low + np.where(run == 0, np.inf, 0.0)))
-        level = np.maximum(level, 0.0)
-        start = np.concatenate([[True], run[1:] != run[:-1]])
-        return {self.out: level, self.prev: np.where(start, e, np.concatenate([[0.0], level[:-1]]))}, float(level[-1])
+        level, last, levels, before = entry, 0, [], []
+        for r, x in zip(run.tolist(), np.nan_to_num(f[self.value].astype(float)).tolist(), strict=True):
+            if r != last:
+                level, last = 0.0, r
+            before.append(level)
+            level = max(level + x, 0.0)
+            levels.append(level)
+        return {self.out: np.array(levels), self.prev: np.array(before)}, level
 
     def extend(self, summary: tuple[float, float], f: Frame, a: int) -> tuple[float, float]:
         total, level = summary
