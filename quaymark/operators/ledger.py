@@ -157,8 +157,7 @@ def spendable(lifetime: Column, consumed: Column, protected: Column) -> Column:
 def _positions(f: Frame) -> Values:
     """Quantities before and after a trade, its price profit, and how the entry's cost follows from the one before."""
     dq, price = f["delta_quantity"].astype(float), f["price"].astype(float)
-    q0 = _snapped(f["__q"] - dq, f["__gross"] - np.abs(dq))
-    q = _snapped(q0 + dq, f["__gross"])
+    q0, q = _snapped(f["__q0"], f["__gross0"]), _snapped(f["__q"], f["__gross"])
     fresh, adding = q0 * q <= 0, np.sign(q0) == np.sign(dq)
     moved = np.abs(q), np.abs(q0)
     return {
@@ -183,7 +182,7 @@ def perp_entries(trades: DataFrame) -> DataFrame:
     """
     rows = trades.withColumns({"__price": F.col("price").cast("double"), "__size": F.abs("delta_quantity"), "__priced": F.col("price").isNotNull()})
     stages = [
-        Stage((Sum("delta_quantity", "__q"), Sum("__size", "__gross"), Last("__priced", ("__price",), ("__last",), before=True))),
+        Stage((Sum("delta_quantity", "__q"), Sum("delta_quantity", "__q0", True), Sum("__size", "__gross"), Sum("__size", "__gross0", True), Last("__priced", ("__price",), ("__last",), before=True))),
         Stage((Affine("__keep", "__add", "__basis", "__basis0"),), _positions),
         Stage((), _entry),
     ]

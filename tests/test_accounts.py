@@ -302,3 +302,22 @@ def test_short_amounts_are_added_row_by_row(spark):
     for r in got:
         opened, basis = want[r["account_id"]][r["action_no"]]
         assert r["open_amount"] == opened and r["average_basis"] == pytest.approx(basis)
+
+
+def test_perp_quantities_are_added_row_by_row(spark):
+    rng = random.Random(12)
+    data, want = [], {}
+    for acc in range(60):
+        q = 0.0
+        for i in range(8):
+            dq = rng.randint(-9000, 9000) / 1000
+            data.append((acc, "BTC", hour(i), i, dq, 10.0))
+            want[acc, i] = (q, q := q + dq)
+    df = spark.createDataFrame(data, "account_id bigint, symbol string, ts timestamp, action_no bigint, delta_quantity double, price double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {(r["account_id"], r["action_no"]): (r["previous_quantity"], r["quantity"]) for r in ledger.perp_entries(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want
