@@ -201,7 +201,7 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
 
     `marks`: (account_id, ts).  Each mark joins the ledger of every asset side
     that its account ever moved as a zero change, so one running sum replays and
-    looks up at once.  Assets that the market lacks have no loan value, no
+    looks up at once; what rounding leaves of a balance that was moved out whole is nothing.  Assets that the market lacks have no loan value, no
     threshold and a borrow factor of 1; without a price they are worth nothing.
     """
     keys = ["account_id", "side", "symbol"]
@@ -210,8 +210,8 @@ def mark_to_market(deltas: DataFrame, marks: DataFrame, prices: DataFrame, marke
     moves = deltas.select(*keys, "ts", F.lit(0).alias("__mark"), "delta")
     held = running(
         moves.unionByName(grid), keys, ["ts", "__mark"],
-        {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark"))}, long=True,
-    )
+        {"balance": ("sum", F.col("delta")), "__moves": ("sum", 1.0 - F.col("__mark")), "__gross": ("sum", F.abs("delta"))}, long=True,
+    ).withColumn("balance", _snap(F.col("balance"), "__gross"))
     held = held.filter("__mark = 1 AND __moves > 0").select(*keys, "ts", "balance")
     priced = backward_asof(held, prices, ["symbol"], ["price"])
     coll = F.col("side") == "collateral"

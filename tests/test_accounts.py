@@ -321,3 +321,15 @@ def test_perp_quantities_are_added_row_by_row(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == want
+
+
+def test_a_debt_repaid_whole_leaves_no_dust(spark):
+    """0.1 + 0.2 - 0.3 of debt is none, so health is infinite."""
+    deltas = spark.createDataFrame(
+        [("a", "collateral", "SOL", hour(0), 0, 2.0)] + [("a", "debt", "ETH", hour(0), i, d) for i, d in enumerate((0.1, 0.2, -0.3))],
+        "account_id string, side string, symbol string, ts timestamp, action_no int, delta double",
+    )
+    marks = spark.createDataFrame([("a", hour(1))], "account_id string, ts timestamp")
+    prices = spark.createDataFrame([("SOL", hour(0), 10.0), ("ETH", hour(0), 5.0)], "symbol string, ts timestamp, price double")
+    got = one(ledger.mark_to_market(deltas, marks, prices, liquidation.market_assets(spark)))
+    assert got["health_factor"] == math.inf and got["debt_value"] == 0.0
