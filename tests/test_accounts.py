@@ -333,3 +333,19 @@ def test_a_debt_repaid_whole_leaves_no_dust(spark):
     prices = spark.createDataFrame([("SOL", hour(0), 10.0), ("ETH", hour(0), 5.0)], "symbol string, ts timestamp, price double")
     got = one(ledger.mark_to_market(deltas, marks, prices, liquidation.market_assets(spark)))
     assert got["health_factor"] == math.inf and got["debt_value"] == 0.0
+
+
+def test_positions_are_ranked_after_the_shuffle(spark):
+    """A sort in the scan's tasks grows with the file splits; a large side is ranked in shares, with the same first positions."""
+    data = [(a, n, "debt" if n % 2 else "collateral", ("SOL", "USDC", "ETH")[n * 7 % 3], float(n * 31 % 17), 2.0, 0.7, 0.8, 1.0) for a, m in ((1, 600), (2, 3), (3, 40)) for n in range(m)]
+    market = liquidation.market_assets(spark)
+    queues = liquidation._queues(liquidation.with_market(spark.createDataFrame(data, POS), market), 5)
+    lines = queues._jdf.queryExecution().executedPlan().toString().splitlines()
+    deepest = lambda word: max(i for i, line in enumerate(lines) if word in line)
+    assert deepest("WindowGroupLimit") < deepest("Exchange hashpartitioning(account_id")
+    factor, threshold = {"SOL": 1.0, "USDC": 1.053, "ETH": 1.0}, {"SOL": 0.80, "USDC": 0.93, "ETH": 0.83}
+    for r in queues.collect():
+        for side, got in (("debt", r["__debt"]), ("collateral", r["__collateral"])):
+            mine = [d for d in data if d[0] == r["account_id"] and d[2] == side and d[4] > 0]
+            mine.sort(key=lambda d: (-factor[d[3]] if d[2] == "debt" else threshold[d[3]], d[1]))
+            assert [(x["__r"], x["symbol"], x["amount"]) for x in got] == [(i + 1, d[3], d[4]) for i, d in enumerate(mine[:5])]
