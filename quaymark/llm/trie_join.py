@@ -9,7 +9,8 @@ n - ceil(t n) + 1, so only those are shuffled.  Where they meet,
 
 1. every set is paired with a few sets drawn from the group (stars, linear in the group); pairs
    that prove similar already tie near copies into groups, and stars of other groups are drawn
-   again as long as the join of step 2 would be more than linear and that shrinks it;
+   again, from the elements at which groups meet too often, as long as the join of step 2 would
+   be more than linear and that shrinks it;
 2. sets are dealt to tries of at most `block` sets, near copies side by side, and sets of
    different groups that share an element, and whose lengths and positions allow the
    similarity, are looked up in each other's tries.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,8 +42,8 @@ N, PERCENT, BLOCK = 5, 75, 256
 STARS, LIKE = 5, 1.15
 #: Rows of the join across groups, to rows that go into it, at which no more stars are drawn.
 FEW = 2
-#: Bits of the bitmap that picks documents, for each of them, and in all; more documents are picked by a join.
-KEY_BITS, MOST_BITS = 16, 1 << 28
+#: Bits of the bitmap that picks documents, for each of them, and in all (more documents are picked by a join), and bits that a document sets.
+KEY_BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
 #: Buckets of the corpus-wide counts: a fixed size, whatever the corpus.
 BUCKET_BITS = 21
 #: Bits of a set's parity map.
@@ -148,10 +149,15 @@ def in_order(column: pa.Array, n: int, often: np.ndarray, bits: int) -> tuple[np
     return grams[order], sizes, node
 
 
+def key_hashes(bits: int) -> Column:
+    """The bits of (doc_id, copy) in a bitmap."""
+    return F.array(*(F.pmod(F.xxhash64("doc_id", "copy", F.lit(k)), F.lit(bits)) for k in range(PROBES)))
+
+
 def key_bits(keys: DataFrame, bits: int) -> np.ndarray:
     """A bitmap in which the hashes of (doc_id, copy) are set."""
-    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(bits))
-    words = keys.select(F.shiftright(h, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id, copy), {bits}), 64) as int))").alias("bit"))
+    at = keys.select(F.explode(key_hashes(bits)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 64) as int))").alias("bit"))
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[table["word"].to_numpy()] = table["bit"].to_numpy()
@@ -162,7 +168,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, n: int, often, bits: int) -> DataF
     """node and its set's elements, as bytes in the global order, at least for the given rows; stored.
 
     The corpus is read again.  A bitmap of `KEY_BITS` bits a row picks the rows, so no text is
-    shuffled, and what it picks beyond them, one row in sixteen at most, is sifted out where
+    shuffled, and what it picks beyond them, one row in four hundred at most, is sifted out where
     sets are joined.  Rows too many for a bitmap of `MOST_BITS` are picked by a join.
     """
     count = keys.count()
@@ -171,15 +177,15 @@ def sets_of(docs: DataFrame, keys: DataFrame, n: int, often, bits: int) -> DataF
     wanted = docs.sparkSession.sparkContext.broadcast(key_bits(keys, size) if small else None)
     if not small:
         docs = docs.join(keys.select(F.col("doc_id").alias("i"), F.col("copy").alias("c")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c")), "left_semi")
-    h = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(size)).alias("key")
+    h = key_hashes(size).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0)
             if small:
-                key = batch.column(1).to_numpy()
+                key = batch.column(1).flatten().to_numpy().reshape(-1, PROBES)
                 hit = (wanted.value[key >> 6] >> (key & 63).astype(np.uint64)) & np.uint64(1) > 0
-                texts = texts.filter(pa.array(hit))
+                texts = texts.filter(pa.array(hit.all(axis=1)))
             if not len(texts):
                 continue
             grams, sizes, node = in_order(texts, n, often.value, bits)
@@ -386,13 +392,12 @@ def crossing(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("met") + rest >= need).select("node_a", "node_b")
 
 
-def rows_across(shared: DataFrame, groups: DataFrame) -> tuple[int, int]:
-    """Rows of a join on gram over different groups, lengths and positions apart, and the rows that go into it."""
+def meetings(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """gram, n and pairs of the grams that several groups have: its rows, and their pairs of different groups, lengths and positions apart."""
     label = F.coalesce("label", "node").alias("label")
     held = shared.join(groups, "node", "left").groupBy("gram", label).agg(F.count("*").cast("double").alias("n"))
     grams = held.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
-    pairs, rows = grams.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-    return int(pairs or 0), int(rows or 0)
+    return grams.select("gram", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
 
 
 def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,19 +441,27 @@ def groups_of(docs: DataFrame, n: int, percent: int, block: int, bits: int) -> D
 
     # 1. every set with a few stars, and again with stars of other groups
     near = groups = None
-    before = math.inf
+    drawn, before, most = shared, math.inf, None
     for turn in itertools.count():
-        stars = stored(plausible(starred(shared, groups, STARS, turn), own, percent).toDF("node", "block"), "stars")
+        stars = stored(plausible(starred(drawn, groups, STARS, turn), own, percent).toDF("node", "block"), "stars")
         centres = stars.select("block").distinct().select(F.col("block").alias("node"), "block")
         sets = fetched(stars.select("node").union(centres.select("node")).distinct())
         found = looked_up(stars, centres, sets, percent)
         earlier, near = near, stored(found if near is None else near.union(found), "near")
         dropped(stars, sets, *([groups] if groups else []), *([earlier] if earlier else []))
         groups = components(near).select("node", F.col("component").alias("label"))
-        across, rows = rows_across(shared, groups)
-        if across <= FEW * rows or across > 0.8 * before:
+        met = stored(meetings(drawn, groups), "meetings")
+        crowded = F.col("pairs") > FEW * F.col("n")
+        rows, across, much = met.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("n", "pairs", F.when(crowded, F.col("pairs"))))).first()
+        most = FEW * rows if most is None else most
+        if across <= most or across > 0.8 * before:
+            dropped(met, *([drawn] if turn else []))
             break
-        before = across
+        # the next turn draws from the grams at which groups meet too often; the others' pairs stay
+        often_met = stored(met.filter(crowded).select("gram"), "crowded")
+        before, most = much, most - (across - much)
+        earlier, drawn = drawn, stored(drawn.join(often_met, "gram", "left_semi").select(shared.columns), "drawn")
+        dropped(met, often_met, *([earlier] if turn else []))
     # 2. pairs across groups; near copies share a trie
     pairs = stored(plausible(crossing(shared, groups, percent).toDF("a", "b"), own, percent).toDF("node_a", "node_b"), "pairs")
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b")).distinct()

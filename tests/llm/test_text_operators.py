@@ -228,6 +228,30 @@ def test_stages_keep_columns_with_their_own_names(spark, tmp_path):
         assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_further_stars_are_drawn_where_groups_meet_too_often(spark, monkeypatch):
+    drawn, starred = [], trie_join.starred
+
+    def counted(shared, groups, most, turn):
+        drawn.append((shared.count(), None if groups is None else trie_join.meetings(shared, groups).agg({"n": "sum"}).first()[0]))
+        return starred(shared, groups, most, turn)
+
+    monkeypatch.setattr(trie_join, "starred", counted)
+    monkeypatch.setattr(trie_join, "FEW", 0)
+    docs = corpus(n=120)
+    got = {r.doc_id: r.component_id for r in trie_join.similar_groups(frame(spark, docs)).collect()}
+    monkeypatch.undo()
+    assert got == {r.doc_id: r.component_id for r in trie_join.similar_groups(frame(spark, docs)).collect()}
+    assert len(drawn) > 1 and drawn[1][0] < drawn[0][0] and drawn[1][0] == drawn[1][1]
+
+
+def test_few_sets_are_read_beyond_the_wanted_ones(spark):
+    docs = copies_numbered(spark.createDataFrame([(i, f"a b c d w{i}") for i in range(3000)], "doc_id long, text string"))
+    often = spark.sparkContext.broadcast(np.zeros(1 << 8, np.int32))
+    sets = trie_join.sets_of(docs, docs.filter("doc_id < 60").select("doc_id", "copy"), 5, often, 8)
+    wanted = trie_join.sets_of(docs.filter("doc_id < 60"), docs.select("doc_id", "copy"), 5, often, 8)
+    assert sets.join(wanted, "node", "left_semi").count() == 60 and sets.count() <= 65
+
+
 @pytest.mark.parametrize("run", [trie_join.similar_groups, trie_join.one_per_group, suffixes.removed, suffixes.deduplicated, katz.scored])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
