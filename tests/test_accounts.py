@@ -55,6 +55,19 @@ def test_stress_moves_leave_stablecoins_alone(spark):
     assert got["fix"]["collateral_value"] == 1000
 
 
+def test_stress_values_are_those_of_moved_prices_to_the_last_bit(spark):
+    columns = account(spark).columns
+    row = account(spark).filter("side = 'collateral'").limit(1)
+    terms = [(0.1 * k + 7.3, 913.37 + 1.01 * k, 0.61 + 0.01 * (k % 9), 0.67 + 0.01 * (k % 7)) for k in range(50)]
+    many = row.drop("account_id", "amount", "price", "ltv", "liq_threshold", "symbol").crossJoin(
+        spark.createDataFrame([(k, "SOL", *t) for k, t in enumerate(terms)], "account_id long, symbol string, amount double, price double, ltv double, liq_threshold double")
+    ).select(columns)
+    got = {r["account_id"]: r for r in rows(risk.stress_grid(many, {"p20": 0.2}))}
+    for k, (amount, price, ltv, threshold) in enumerate(terms):
+        moved = amount * (price * (1.0 + 0.2))
+        assert (got[k]["collateral_value"], got[k]["borrow_limit"], got[k]["liquidation_value"]) == (moved, moved * ltv, moved * threshold)
+
+
 def test_action_batch_and_what_if(spark):
     acts = spark.createDataFrame(
         [(1, hour(0), 1, "borrow", "USDC", 100.0, None), (1, hour(0), 2, "set_price", "SOL", 0.0, 140.0),
