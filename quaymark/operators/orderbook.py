@@ -115,13 +115,19 @@ class Ladders:
         run = runs_of_keys(batch, ("pair", "exchange", "side"))
         self.start = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
         self.end = np.append(self.start[1:], len(run))
-        before = lambda x: pd.Series(x).groupby(run).cumsum().to_numpy() - x
-        self.before, self.worth = before(self.vol), before(self.vol * self.price)
+        self.before, self.worth = self._before(self.vol, run), self._before(self.vol * self.price, run)
         self.pair = runs_of_keys(batch, ("pair",))[self.start]
         self.ask = batch.column("side").take(pa.array(self.start)).to_pylist()
         self.ask = np.array([side == "ask" for side in self.ask])
         self.balance = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)[self.start] for c in ("base_balance", "quote_balance")}
 
+    def _before(self, x: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Running sum up to the level before. Taking a level off its own running sum would round what came before it to the level's size."""
+        total = pd.Series(x).groupby(run).cumsum().to_numpy()
+        out = np.concatenate([[0.0], total[:-1]])
+        out[self.start] = 0.0
+        return out
+
     def depth(self, ladder: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Volume of the first levels of a ladder."""
         last = self.start[ladder] + count - 1

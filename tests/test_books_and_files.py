@@ -53,6 +53,17 @@ def test_opposing_leg(spark):
     assert got == {"y": pytest.approx(201.0)}
 
 
+def test_a_deep_level_takes_nothing_from_those_before_it(spark):
+    levels = spark.createDataFrame(
+        [("P", "x", "bid", 4.0, 1e17), ("P", "y", "ask", 1.0, 0.1), ("P", "y", "ask", 2.0, 0.2), ("P", "y", "ask", 3.0, 1e17)],
+        "pair string, exchange string, side string, price double, vol double",
+    )
+    held = unlimited(spark, base=5.0)
+    paid = 0.1 * 1.0 + 0.2 * 2.0 + (5.0 - (0.1 + 0.2)) * 3.0
+    assert one(orderbook.opposing_leg(levels, no_fees(spark), held))["opposing_value"] == pytest.approx(paid, rel=1e-14)
+    assert one(orderbook.executable(levels, no_fees(spark), held))["opposing_value"] == pytest.approx(paid, rel=1e-14)
+
+
 def test_nested_books_explode(spark):
     nested = spark.createDataFrame(
         [("P", "x", [(105.0, 2.0)], [(106.0, 1.0), (107.0, 4.0)])],
