@@ -87,7 +87,8 @@ class Sum:
         return {self.out: out}, float(total[-1])
 
     def extend(self, summary: float, f: Frame, a: int) -> float:
-        return summary + float(np.nan_to_num(f[self.value][a:].astype(float)).sum())
+        x = np.nan_to_num(f[self.value][a:].astype(float))
+        return float(_added(x, np.zeros(len(x), int), summary)[-1])
 
     def apply(self, summary: float, state: float) -> float:
         return state + summary

@@ -80,6 +80,35 @@ def test_action_batch_and_what_if(spark):
     assert delta["band"] == "liquidation" and delta["delta_borrow_limit"] == pytest.approx(-2 * 130 * 0.65 - 975)
 
 
+def test_actions_are_added_up_in_their_order(spark):
+    # 0.3, 0.2, 0.1 make 0.6; from the other end they make 0.6000000000000001
+    debt = account(spark).filter("side = 'debt'").withColumn("amount", F.lit(0.6))
+    acts = [(1, hour(0), k, "repay", "USDC", x, None) for k, x in ((3, 0.1), (2, 0.2), (1, 0.3))]
+    after = risk.apply_actions(debt, spark.createDataFrame(acts, ACTIONS).coalesce(1))
+    assert one(after)["amount"] == 0.0
+    assert one(risk.scenario_deltas(after))["band"] == "safe"
+    acts[0] = (*acts[0][:5], math.nan, None)
+    assert math.isnan(one(risk.apply_actions(debt, spark.createDataFrame(acts, ACTIONS)))["amount"])
+
+
+def test_actions_of_one_number_all_count(spark):
+    acts = spark.createDataFrame([(1, hour(0), 5, "borrow", "USDC", 1.0, None)] * 9, ACTIONS)
+    assert one(risk.apply_actions(account(spark).filter("side = 'debt'"), acts))["amount"] == 509.0
+
+
+def test_deltas_start_from_the_opening_positions_to_the_last_bit(spark):
+    lines = [(1, k, "collateral", "SOL", 7.0 + 2 * k, 913.37 + 4.04 * k, 0.61 + 0.01 * k, 0.7, 1.0) for k in range(3)]
+    opening = spark.createDataFrame(lines, account(spark).schema).coalesce(1)
+    net = risk.net_positions(opening)
+    limit = 0.0
+    for r in lines:
+        limit += r[4] * r[5] * r[6]
+    n = one(net)
+    after = risk.apply_actions(net, spark.createDataFrame([], ACTIONS))
+    assert n["amount"] * n["price"] * n["ltv"] != limit
+    assert one(risk.scenario_deltas(after, opening))["delta_borrow_limit"] == n["amount"] * n["price"] * n["ltv"] - limit
+
+
 def test_action_errors(spark):
     acts = spark.createDataFrame(
         [(1, hour(0), 1, "borrow", "SOL", 1.0, None), (1, hour(0), 2, "deposit_collateral", "USDC", 1.0, None),

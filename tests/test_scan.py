@@ -177,3 +177,13 @@ def test_another_exchange_than_the_summary_s_is_noticed():
     batch = pa.record_batch({"k": ["b"], "x": [1.0], "__entry0": [pickle.dumps(("('a',)", [2.0]))]})
     with pytest.raises(RuntimeError, match="not reused"):
         walk.add(batch)
+
+
+def test_sums_over_one_cut_are_those_of_a_loop_to_the_last_bit(spark):
+    rng = random.Random(5)
+    data = [(f"{i // 300:02d}", i, rng.uniform(-5, 5), 0.0) for i in range(3000)]
+    got = rows(running(frame(spark, data), ["k"], ["i"], {"s": ("sum", F.col("x"))}, True), "i")
+    total = {}
+    for row in got:
+        total[row["k"]] = total.get(row["k"], 0.0) + row["x"]
+        assert row["s"] == total[row["k"]]
